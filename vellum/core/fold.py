@@ -193,7 +193,7 @@ class Fold:
         doc = self.doc
 
         def row(verb: str, paint: tuple, what: str | None = None) -> tuple:
-            alpha = state.gstate.get("CA" if paint is state.stroke else "ca", 1.0)
+            alpha = state.gstate.get("CA" if verb == "stroke" else "ca", 1.0)
             return verb, " ".join(path) if verb in ("fill", "eofill", "stroke", "clip", "eoclip") else None, state.ctm, str(paint[0]), list(paint[1]), state.width, float(alpha), state.gstate.get("BM", "Normal"), state.clips, what
 
         try:
