@@ -125,11 +125,17 @@ def longest_previous_factors(text: bytes) -> tuple[list[int], list[int]]:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(len(a.tobytes()).to_bytes(8, "little") + a.tobytes() for a in arrays)
+    """Arrays as one compressed row. Bytes of texts and columns of counters shrink; hashes do not."""
+    import zstandard
+
+    raw = b"".join(len(a.tobytes()).to_bytes(8, "little") + a.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpack(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    out, at = [], 0
+    import zstandard
+
+    out, at, blob = [], 0, zstandard.ZstdDecompressor().decompress(blob)
     for kind in kinds:
         n = int.from_bytes(blob[at : at + 8], "little")
         out.append(np.frombuffer(blob, kind, n // np.dtype(kind).itemsize, at + 8))
