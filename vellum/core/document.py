@@ -179,6 +179,7 @@ class Document:
                     packed[Ref(num, 0)] = (Ref(a, 0), b)
         return {"trailer": d, "offsets": offsets, "packed": packed}
 
+    _POINTER = re.compile(rb"[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r %()\[\]{}/<>\\])")
     _OBJ = re.compile(rb"(?<![0-9])(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+obj(?![^\x00\t\n\x0c\r %()\[\]{}/<>\\])|(?<![A-Za-z0-9])(trailer|stream)(?![A-Za-z0-9])")
 
     def _recover(self) -> None:
@@ -284,6 +285,8 @@ class Document:
             lex.keyword(b"obj", "expectedIdentifierNotFound")
             sec = None if direct_only else self.security
             obj = require_object(lex, (lambda b: sec.of_string(ref, b)) if sec else None)
+            if type(obj) is int and (m := self._POINTER.match(lex.data, lex.pos)):  # an object that is a reference
+                obj, lex.pos = Ref(obj, int(m[1])), m.end()
             t = lex.next()
             if t and t[0] == "word" and t[1] == b"stream":
                 if not isinstance(obj, dict):
