@@ -92,7 +92,7 @@ def nearest(scratch: Scratch, table: DataFrame, queries: DataFrame, k: int = 10,
     """(query_id, rank, vec_id, score): the k rows of table nearest to each row of queries.
 
     leaf_share: a leaf's part of the table; share: rows to compare with a query, as a multiple of the table's rows (the
-    trees hold it ``trees`` times).
+    trees hold it ``trees`` times); 64 k rows of each tree at least, so that a query of a small table sees all of it.
     """
     clean = lambda df: df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_doubles(F.col(vec_col)).alias("v")).where(usable(F.col("v")))
     rows, asked = clean(table), clean(queries)
@@ -132,7 +132,7 @@ def nearest(scratch: Scratch, table: DataFrame, queries: DataFrame, k: int = 10,
             for q, v in zip(ids, vs, strict=True):
                 own = held.get(len(v), {})
                 if forest := shared.value.get(len(v)):
-                    found = leaves_of(forest, np.array(v), own, share * sum(own.values()) / trees)
+                    found = leaves_of(forest, np.array(v), own, max(share * sum(own.values()) / trees, trees * 64 * k))
                 else:
                     found = [x for x in own if x[0] == 0]
                 out += [(q, v, len(v), t, leaf) for t, leaf in found]

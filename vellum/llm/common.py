@@ -36,11 +36,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
         atexit.register(self.clear)
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write df once and return the table read back; shuffle files of the job go as soon as it ends."""
-        path = f"{self.root}/{name}"
+        path = self.paths[name] = f"{self.root}/{name}-{len(self.paths)}-{uuid.uuid4().hex[:6]}"
         with shuffle_cleanup(self.spark):
             df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -50,8 +51,9 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            jpath, fs = _path(self.spark, self.path(name))
-            fs.delete(jpath, True)
+            if path := self.paths.pop(name, None):
+                jpath, fs = _path(self.spark, path)
+                fs.delete(jpath, True)
 
     def clear(self) -> None:
         try:
