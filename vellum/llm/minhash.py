@@ -80,12 +80,13 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.n
     at = np.concatenate([[0], np.cumsum(count)])
     with np.errstate(over="ignore"):
         c = np.uint64(0xD6E8FEB86659FD93)
-        run = np.zeros(max(len(h) - words + 1, 0), np.uint64)
+        n = max(len(h) - words + 1, 0)
+        run = np.zeros(n, np.uint64)
         for j in range(words):
-            run = run * c + h[j : len(h) - words + 1 + j]
+            run = run * c + h[j : j + n]
         run = mix(run)
-        same = doc[: len(run)] == doc[words - 1 :] if len(run) else np.zeros(0, bool)
-        out_d, out_h = [doc[: len(run)][same]], [run[same]]
+        same = doc[:n] == doc[words - 1 : words - 1 + n]
+        out_d, out_h = [doc[:n][same]], [run[same]]
         for d in np.flatnonzero((count > 0) & (count < words)):
             v = np.uint64(count[d])
             for x in h[at[d] : at[d + 1]]:
@@ -194,16 +195,13 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, similarity: tuple[int, in
     comp = connected_components(scratch, _by_vertex(links, vertex).union(members.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "round1")
     at = vertex.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("comp"))
     at = scratch.write(at, "at")
-    open_ = buckets.join(links.select(F.col("a").alias("m"), F.col("b").alias("cls")), ["m", "cls"], "left_anti")
-    both = buckets.join(at, "cls").select("key", "cls", "comp")
-    left = open_.join(at, "cls").select("key", F.col("cls").alias("x"), F.col("comp").alias("cx"))
-    pairs = left.join(both, "key").where("x <> cls and cx <> comp").select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"))
-    pairs = pairs.groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one")
-    tested2 = scratch.write(_verify(_close(pairs, reps, limit, k), texts, words, num, den), "tested2")
+    open_ = buckets.join(links.select(F.col("a").alias("m"), F.col("b").alias("cls")), ["m", "cls"], "left_anti").select("key", "cls", F.lit(True).alias("open"))
+    pairs = _open_pairs(buckets, open_, at, reps, limit, k)
+    tested2 = scratch.write(_verify(scratch.write(pairs, "pairs"), texts, words, num, den), "tested2")
     more = tested2.where("linked").select("a", "b")
     edges = _by_vertex(links.union(more), vertex).union(members.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     comp = connected_components(scratch, edges, "round2")
-    scratch.drop("buckets", "reps", "stars")
+    scratch.drop("buckets", "stars")
     out = table.select("id", F.col("n").alias("n_shingles")).join(comp, "id", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
@@ -228,6 +226,48 @@ def _close(pairs: DataFrame, reps: DataFrame, limit: int, k: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
 
 
+def _open_pairs(buckets: DataFrame, open_: DataFrame, at: DataFrame, reps: DataFrame, limit: int, k: int, block: int = 512) -> DataFrame:
+    """Pairs (a, b) within the signature distance of members of one key, one of them open, in different components.
+
+    Members are compared where they are and only close pairs come back.  A crowded key is cut into blocks: each pair of
+    blocks is a piece of work of its own, so no key is one task.
+    """
+    members = buckets.join(open_.select("key").distinct(), "key", "left_semi").join(at, "cls")
+    size = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 and lo <> hi")
+    rows = members.join(size.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key").join(open_, ["key", "cls"], "left")
+    rows = rows.join(reps.select("cls", "sig"), "cls").withColumn("b", F.pmod("cls", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = rows.where("open").select("key", F.col("b").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"), "cls", "comp", "sig")
+    sides = sides.unionByName(rows.select("key", F.col("other").alias("x"), F.col("b").alias("y"), F.lit(False).alias("asks"), "cls", "comp", "sig"))
+    parts = 1024  # pieces of work go to parts by hash; a part holds many small ones
+
+    def compare(group):
+        import pyarrow as pa
+
+        key, x, y, cls, comp = (group.column(c).to_numpy() for c in ("key", "x", "y", "cls", "comp"))
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, k)
+        order = np.lexsort((asks, y, x, key))
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]))
+        out_a, out_b = [], []
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+            own = order[lo:hi]
+            n = int(np.count_nonzero(asks[own]))
+            if not n or n == hi - lo:
+                continue
+            them, us = own[: hi - lo - n], own[hi - lo - n :]
+            for i in us:
+                j = them[comp[them] != comp[i]]
+                j = j[(sig[j] != sig[i]).sum(axis=1) <= limit]
+                out_a.append(np.minimum(cls[i], cls[j]))
+                out_b.append(np.maximum(cls[i], cls[j]))
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
+        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+    found = sides.withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(parts))).groupBy("part").applyInArrow(compare, "a long, b long")
+    return found.groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one")
+
+
 def _class_texts(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str):
     """A function of class ids that gives (cls, t): one text per class."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
