@@ -107,7 +107,7 @@ def mix(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", source_col: s
     keyed = docs.select(F.coalesce(name, F.lit("-")).alias("_s"), F.col(id_col).alias("_id"), size.alias("_len"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"), F.xxhash64(F.col(text_col)).alias("_t"))
     totals = scratch.write(keyed.groupBy("_s").agg(F.sum("_len").alias("chars"), F.count("*").alias("n")), "totals")
     rows = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    salts = max(32, -(-rows // 20_000))
+    salts = max(64, -(-rows // 5_000))
     # Places in a source's order, in two steps: within a salt, then over the salts' totals. Salts are ranges of the hash.
     keyed = keyed.withColumn("_b", F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * salts))
     keyed = keyed.groupBy("_s", "_b", "_h", "_id", "_t", "_len").agg(F.count("*").alias("_n"))  # equal rows share a place
