@@ -1,3 +1,44 @@
-"""DuckDB SQL for the queries that SQL can express on whole tables."""
+"""DuckDB SQL for the queries that SQL can express on whole tables.
 
-ORACLES: dict[str, str] = {}
+The others (tokenizing, fitted models, page parsing, approximate search) are held against brute force in tests/llm.
+"""
+
+_COMPONENTS = """
+reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+comp AS (SELECT id, min(other) AS low FROM reach GROUP BY id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+{_COMPONENTS}
+SELECT m.vec_id, (SELECT count(*) FROM links l WHERE l.a = m.vec_id) AS n_links, least(m.vec_id, coalesce(c.low, m.vec_id)) AS component_id,
+  m.vec_id = least(m.vec_id, coalesce(c.low, m.vec_id)) AS kept
+FROM embeddings m LEFT JOIN comp c ON c.id = m.vec_id""",
+    "op6_minhash_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM e p JOIN e q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS (SELECT c.a, c.b FROM common c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b WHERE 100 * c.n >= 85 * (len(x.s) + len(y.s) - c.n)),
+{_COMPONENTS}
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(c.low, s.doc_id)) AS kept
+FROM s LEFT JOIN comp c ON c.id = s.doc_id""",
+    "op7_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, unnest(range(0, CAST(length(h) AS BIGINT) // 2 - 49)) AS p, h FROM d),
+grams AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s FROM g),
+hits AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM grams) WHERE first < doc_id),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM hits)) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT k.doc_id, string_agg(substr(d.h, 2 * k.a + 1, 2 * (coalesce(k.b, length(d.h) // 2) - k.a)), '' ORDER BY k.a) AS h FROM gaps k JOIN d USING (doc_id) GROUP BY k.doc_id),
+total AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN total t USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
+}
