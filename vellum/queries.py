@@ -34,6 +34,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt out before work in Python; larger tables have splits enough and are not shuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= n else df.repartition(n)
+
+
 def write_pdfs(df: DataFrame, id_col: str, make: Callable[[dict], bytes]) -> DataFrame:
     """(doc_id, content): one file per row."""
 
@@ -69,7 +75,7 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscrip
 
 @query(LINES_SQL)
 def text_lines(spark, sf_dir):
-    docs = write_pdfs(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", _lines)
+    docs = write_pdfs(dealt(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", _lines)
     return Engine(docs).features(("text",)).select("doc_id", F.col("seq").alias("line"), F.col("text.text").alias("text"))
 
 
@@ -81,7 +87,7 @@ def text_tj_concat(spark, sf_dir):
 
     from vellum.operators.text import combine_runs
 
-    docs = write_pdfs(read(spark, sf_dir, "documents").select("doc_id", "text").where("text <> ''"), "doc_id", make)
+    docs = write_pdfs(dealt(read(spark, sf_dir, "documents").select("doc_id", "text").where("text <> ''")), "doc_id", make)
     return combine_runs(Engine(docs).table("text_runs")).select("doc_id", "text")
 
 
@@ -163,7 +169,7 @@ IM = b"/XObject << /Im 6 0 R >>"
 @query("SELECT p_partkey AS doc_id, 5.0::DOUBLE AS x, (p_partkey % 97)::DOUBLE AS y, p_size::DOUBLE AS width, round(p_retailprice, 4) AS height, 6::BIGINT AS num FROM part")
 def ctm_images(spark, sf_dir):
     make = lambda r: synth.one_page(b"q %d 0 0 %s 5 %d cm /Im Do Q" % (r["p_size"], num(r["p_retailprice"]), r["p_partkey"] % 97), IM, extra=IMAGE).finish()
-    f = Engine(write_pdfs(read(spark, sf_dir, "part"), "p_partkey", make)).features(("image",))
+    f = Engine(write_pdfs(dealt(read(spark, sf_dir, "part")), "p_partkey", make)).features(("image",))
     return f.select("doc_id", *[F.round(f"bounds.{c}", 4).alias(c) for c in ("x", "y", "width", "height")], "image.num")
 
 
@@ -258,7 +264,7 @@ def page_boxes(spark, sf_dir):
         page = [b"/MediaBox [0 0 100 100] /CropBox [%d 0 %d 40]" % (s, s + 30), b"/MediaBox [100 0 0 100]", b"/CropBox [0 0 %d 40]" % s, b""][k]
         return synth.one_page(b"", page=page).finish()
 
-    p = Engine(write_pdfs(read(spark, sf_dir, "part"), "p_partkey", make)).table("pages")
+    p = Engine(write_pdfs(dealt(read(spark, sf_dir, "part")), "p_partkey", make)).table("pages")
     box = G.page_rect(F.col("crop"), F.col("media"), F.col("above"))
     return p.select("doc_id", box["width"].alias("width"), box["x"].alias("x"))
 
@@ -338,7 +344,7 @@ def object_streams(spark, sf_dir):
         w.add(b"<< /Name /%s /Nation %d /Balance %s >>" % (r["c_name"].replace("#", "#23").encode(), r["c_nationkey"], num(r["c_acctbal"])), 5)
         return w.finish_packed(flate=True)
 
-    n = Engine(write_pdfs(read(spark, sf_dir, "customer"), "c_custkey", make)).table("object_nodes").where("num = 5 and size(path) = 1")
+    n = Engine(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make)).table("object_nodes").where("num = 5 and size(path) = 1")
     of = lambda k, c: F.max(F.when(F.col("path")[0] == k, F.col(c)))
     return n.groupBy("doc_id").agg(of("Name", "s").alias("name"), of("Nation", "i").alias("nation"), F.round(of("Balance", "d"), 2).alias("balance"))
 
@@ -354,7 +360,7 @@ def dereference_chain(spark, sf_dir):
         w.add(synth.literal(r["c_name"].encode()), 7)
         return w.finish()
 
-    e = Engine(write_pdfs(read(spark, sf_dir, "customer"), "c_custkey", make))
+    e = Engine(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make))
     refs = e.table("objects").where("num = 5").select("doc_id", "ref")
     out = dereference(refs, e.table("objects"))
     return out.select("doc_id", F.decode(F.unhex(F.get_json_object("value", "$.v")), "UTF-8").alias("name"))
@@ -516,7 +522,7 @@ def image_metadata(spark, sf_dir):
         extra = [b"/ImageMask true", b"/ColorSpace /DeviceRGB /Filter /DCTDecode", b"/ColorSpace /DeviceCMYK /BitsPerComponent 8"][r["p_partkey"] % 3]
         return synth.one_page(b"", IM, extra={6: synth.stream(b"\xff\xd8", b"/Subtype /Image /Width %d /Height %d %s" % (r["p_size"], r["p_partkey"] % 7 + 1, extra))}).finish()
 
-    return Engine(write_pdfs(read(spark, sf_dir, "part"), "p_partkey", make)).table("images").select("doc_id", "width", "height", "bits", "mask", "encoding", "space")
+    return Engine(write_pdfs(dealt(read(spark, sf_dir, "part")), "p_partkey", make)).table("images").select("doc_id", "width", "height", "bits", "mask", "encoding", "space")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, k AS key, CASE k WHEN 'A' THEN 'Indexed' WHEN 'B' THEN 'Separation' ELSE 'ICCBased' END AS kind, CAST(CASE k WHEN 'C' THEN 4 ELSE 1 END AS INTEGER) AS components, k = 'C' AS is_cmyk, CASE k WHEN 'A' THEN 'DeviceRGB' WHEN 'B' THEN 'DeviceCMYK' END AS base FROM nation, (VALUES ('A'), ('B'), ('C')) v(k)")
@@ -598,7 +604,7 @@ def parse_errors(spark, sf_dir):
         out = w.finish()
         return out if k else b"no header here" + out[8:]
 
-    e = Engine(write_pdfs(read(spark, sf_dir, "part"), "p_partkey", make))
+    e = Engine(write_pdfs(dealt(read(spark, sf_dir, "part")), "p_partkey", make))
     kept = e.features(("text",)).groupBy("doc_id").agg(F.count("*").alias("kept"))
     return e.table("parse_errors").select("doc_id", "failure").join(kept, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)).cast("long"))
 
