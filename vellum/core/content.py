@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
-from .objects import Keyword, Lexer, Name, PdfError, parse_object
+from .objects import Keyword, Lexer, Name, PdfError, parse_object, real_value, text_of_name
 
 #: Fixed by the format: each operator's operands in the order of the stream. n number, i integer, N name, s string,
 #: a array, p properties (dictionary or name), * every number before it.
@@ -38,11 +38,16 @@ def _number(x) -> bool:
 def build(op: str, stack: list[Any]) -> Op:
     """The operands are the last of the stack; what lies before them is not looked at."""
     spec = OPERANDS[op]
+    if not spec:
+        return Op(op)
     if spec == "*":
         return Op(op, [float(x) for x in stack if _number(x)])
-    args = stack[len(stack) - len(spec) :] if spec else []
-    if len(args) < len(spec):
+    n = len(spec)
+    if len(stack) < n:
         raise PdfError("missingRequiredParameters")
+    args = stack[-n:]
+    if spec == "n" * n and all(type(x) is int or type(x) is float for x in args):
+        return Op(op, [float(x) for x in args])
     nums, name, data, tj, props = [], None, None, None, None
     for kind, x in zip(spec, args, strict=True):
         if kind == "n" and _number(x):
@@ -69,20 +74,50 @@ def build(op: str, stack: list[Any]) -> Op:
     return Op(op, nums, name, data, tj, props)
 
 
+#: The plain tokens, blanks before them included: whole numbers, reals, names, strings without escapes or parentheses
+#: inside, words. What else there is goes to the lexer.
+_PLAIN = re.compile(
+    rb"[\x00\t\n\x0c\r ]*(?:([+-]?\d{1,18}(?![\d.]))|([+-]?\d*\.\d*)|/([^\x00\t\n\x0c\r %()\[\]{}/<>\\]*)|\(([^()\\\r]*)\)|([A-Za-z'\"][^\x00\t\n\x0c\r %()\[\]{}/<>\\]*))"
+)
+_CONSTANTS = {b"true": True, b"false": False, b"null": None}
+
+
 def operators(data: bytes) -> Iterator[Op]:
     """Operators one by one; a PdfError ends them, after those before it."""
-    lex, stack = Lexer(data), []
+    lex, stack, plain = Lexer(data), [], _PLAIN.match
     while True:
         at = lex.pos
-        found, x = parse_object(lex)
-        if not found:
-            if stack:
-                raise PdfError("expectedOperator", at, len(data))
-            return
-        if not isinstance(x, Keyword):
-            stack.append(x)
-            continue
-        word = str(x)
+        if m := plain(data, at):
+            lex.pos, kind = m.end(), m.lastindex
+            if kind == 1:
+                stack.append(int(m[1]))
+                continue
+            if kind == 2:
+                stack.append(real_value(m[2]))
+                continue
+            if kind == 3:
+                stack.append(Name(text_of_name(m[3])))
+                continue
+            if kind == 4:
+                stack.append(m[4])
+                continue
+            raw = m[5]
+            if raw in _CONSTANTS:
+                stack.append(_CONSTANTS[raw])
+                continue
+            if raw == b"R":  # part of an object: the lexer tells what is wrong with it here
+                raise PdfError("unexpectedToken", m.start(5), m.end())
+            word = raw.decode("latin-1")
+        else:
+            found, x = parse_object(lex)
+            if not found:
+                if stack:
+                    raise PdfError("expectedOperator", at, len(data))
+                return
+            if not isinstance(x, Keyword):
+                stack.append(x)
+                continue
+            word = str(x)
         if word == "BI":
             yield Op("BI")
             yield from _inline_image(lex)
