@@ -265,4 +265,7 @@ def test_first_match():
 def test_glyph_names():
     win, std, mac = (encoding(n) for n in ("WinAnsiEncoding", "StandardEncoding", "MacRomanEncoding"))
     assert (win[0x80], win[0xE9], win[0x31], win[0x41], win[0xFF]) == ("Euro", "eacute", "one", "A", "ydieresis")
+    sizes = {n: len(encoding(n)) for n in ("SymbolEncoding", "ZapfDingbatsEncoding", "ExpertEncoding", "MacExpertEncoding")}
+    assert sizes == {"SymbolEncoding": 188, "ZapfDingbatsEncoding": 188, "ExpertEncoding": 165, "MacExpertEncoding": 165}
+    assert encoding("SymbolEncoding")[0x61] == "alpha" and encoding("MacExpertEncoding")[0xFB] == "Ringsmall" and encoding("Other") == {}
     assert (std[0x27], std[0xAE], mac[0x8E], mac[0xCA]) == ("quoteright", "fi", "eacute", "space")

@@ -76,3 +76,17 @@ def test_functions_stay_in_codegen(spark):
     df = spark.range(11).select(compile_function(f, [F.col("id") / 10])[0].alias("v"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     assert [round(r[0], 6) for r in df.collect()] == [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.4, 0.3, 0.2, 0.1, 0]
+
+
+def test_images_as_files(spark):
+    import struct
+    import zlib
+
+    from vellum.sources.images import image_files
+
+    im = lambda extra, data: synth.stream(data, b"/Subtype /Image /Width 2 /Height 1 " + extra)
+    w = synth.one_page(b"", extra={5: im(b"/ColorSpace /DeviceGray /BitsPerComponent 8", b"\x01\xff"), 6: im(b"/Filter /DCTDecode", b"\xff\xd8"), 7: im(b"/ColorSpace [/Indexed /DeviceRGB 1 <000000FF8000>] /BitsPerComponent 1", b"\x40")})
+    got = {r["num"]: (r["extension"], bytes(r["file"])) for r in image_files(Engine(docs(spark, w.finish()))).collect()}
+    assert got[6] == ("jpg", b"\xff\xd8") and got[5][0] == "png" and struct.unpack(">II", got[5][1][16:24]) == (2, 1)
+    data = lambda b: zlib.decompress(b[b.index(b"IDAT") + 4 : b.index(b"IEND") - 8])
+    assert data(got[5][1]) == b"\0\x01\xff" and data(got[7][1]) == b"\0\0\0\0\xff\x80\0"

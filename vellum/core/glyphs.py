@@ -1,4 +1,4 @@
-"""Glyph names of the base encodings, from Python's codecs and Unicode's own names.
+"""Glyph names of the Latin base encodings, from Python's codecs and Unicode's own names; the others are in symbolic.py.
 
 A letter's glyph is its base letter and its accent's glyph name; only what no rule names is listed.
 """
@@ -57,7 +57,11 @@ def glyph_name(c: str) -> str | None:
 
 @lru_cache(None)
 def encoding(name: str) -> dict[int, str]:
-    """code -> glyph name of StandardEncoding, WinAnsiEncoding, MacRomanEncoding; empty for the symbolic ones, which fonts carry themselves."""
+    """code -> glyph name of a base encoding; empty for other names."""
+    from .symbolic import TABLES, codes
+
+    if name in TABLES:
+        return codes(TABLES[name])
     out: dict[int, str] = {}
     for code in range(32, 256):
         if name == "WinAnsiEncoding":

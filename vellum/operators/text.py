@@ -45,8 +45,9 @@ def glyph_names(codes: DataFrame, differences: DataFrame, base: DataFrame) -> Da
 
 
 def base_encodings(spark) -> DataFrame:
-    """(encoding, code, glyph): 3 x 256 rows at most."""
+    """(encoding, code, glyph): 7 x 256 rows at most."""
     from vellum.core.glyphs import encoding
+    from vellum.core.symbolic import TABLES
 
-    rows = [(n, c, g) for n in ("StandardEncoding", "WinAnsiEncoding", "MacRomanEncoding") for c, g in encoding(n).items()]
+    rows = [(n, c, g) for n in ("StandardEncoding", "WinAnsiEncoding", "MacRomanEncoding", *TABLES) for c, g in encoding(n).items()]
     return spark.createDataFrame(rows, "encoding string, code int, glyph string")
