@@ -238,7 +238,7 @@ def _open_pairs(buckets: DataFrame, open_: DataFrame, at: DataFrame, reps: DataF
     rows = rows.join(reps.select("cls", "sig"), "cls").withColumn("b", F.pmod("cls", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sides = rows.where("open").select("key", F.col("b").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"), "cls", "comp", "sig")
     sides = sides.unionByName(rows.select("key", F.col("other").alias("x"), F.col("b").alias("y"), F.lit(False).alias("asks"), "cls", "comp", "sig"))
-    parts = 1024  # pieces of work go to parts by hash; a part holds many small ones
+    parts = max(256, reps.count() // 500)  # pieces of work go to parts by hash; a part holds many small ones
 
     def compare(group):
         import pyarrow as pa
