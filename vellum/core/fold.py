@@ -62,6 +62,7 @@ class Fold:
     def __init__(self, doc: Document, mask: int, compat: bool = False):
         self.doc, self.mask, self.compat = doc, mask, compat
         self.fonts: dict[Any, Font | None] = {}
+        self.spaces: dict[tuple[int, str], Any] = {}
 
     # ---- features -----------------------------------------------------------------------------------------------
 
@@ -175,7 +176,7 @@ class Fold:
     # ---- display list -------------------------------------------------------------------------------------------
 
     def display(self, page: Page) -> Iterator[tuple]:
-        """(verb, path, ctm, colour space, colour, line width, alpha, blend, clip depth, text or object) in drawing order; then annotations' appearances."""
+        """(verb, path, ctm, colour space, colour, its red, green and blue, line width, alpha, blend, clip depth, text or object) in drawing order; then annotations' appearances."""
         data = b"".join(s.data for _, s in page.streams())
         yield from self.draw(data, page.resources(), State(Matrix()), ("page", *page.ref), ())
         for x in self.doc.list_(page.dict.get("Annots")) or []:
@@ -194,7 +195,7 @@ class Fold:
 
         def row(verb: str, paint: tuple, what: str | None = None) -> tuple:
             alpha = state.gstate.get("CA" if verb == "stroke" else "ca", 1.0)
-            return verb, " ".join(path) if verb in ("fill", "eofill", "stroke", "clip", "eoclip") else None, state.ctm, str(paint[0]), list(paint[1]), state.width, float(alpha), state.gstate.get("BM", "Normal"), state.clips, what
+            return verb, " ".join(path) if verb in ("fill", "eofill", "stroke", "clip", "eoclip") else None, state.ctm, str(paint[0]), list(paint[1]), self.rgb(paint, resources), state.width, float(alpha), state.gstate.get("BM", "Normal"), state.clips, what
 
         try:
             for op in operators(data):
@@ -270,6 +271,16 @@ class Fold:
         except PdfError as e:
             doc.fail(e, intent)
 
+    def rgb(self, paint: tuple, resources: dict) -> list[float] | None:
+        """None for patterns and for spaces that are not known."""
+        from .images import named_space
+
+        key = (id(resources), str(paint[0]))
+        if key not in self.spaces:
+            self.spaces[key] = (named_space(self.doc, str(paint[0]), resources), resources)  # the dictionary stays alive, so its id does
+        space = self.spaces[key][0]
+        return space.rgb(list(paint[1])) if space is not None else None
+
     def apply_gstate(self, state: State, d: dict) -> None:
         g = ext_gstate(self.doc, d)
         state.gstate = state.gstate | {k: v for k, v in g.items() if v is not None}

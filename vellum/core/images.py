@@ -80,6 +80,21 @@ def color_space(doc, x, depth: int = 8) -> Space | None:
     return None
 
 
+#: Fixed by the format: resources that stand in for the device spaces.
+DEFAULTS = {"DeviceGray": "DefaultGray", "DeviceRGB": "DefaultRGB", "DeviceCMYK": "DefaultCMYK"}
+
+
+def named_space(doc, name: str, resources: dict) -> Space | None:
+    """A space by its name in a content stream: a device's stand-in, the device, or a resource that is an array."""
+    entries = doc.dict_(resources.get("ColorSpace")) or {}
+    name = SHORT.get(name, name)
+    if name in DEVICE:
+        own = doc.list_(entries.get(DEFAULTS[name]))
+        return (color_space(doc, own) if own is not None else None) or Space(name, DEVICE[name])
+    own = doc.list_(entries.get(name))
+    return color_space(doc, own) if own is not None else None
+
+
 @dataclass
 class Image:
     width: int

@@ -32,7 +32,7 @@ SCHEMAS: dict[str, str] = {
     "operators": "page_index int, seq int, op string, nums array<double>, name string, bytes binary, tj array<struct<text:binary,offset:double>>, props string",
     "features": f"page_index int, seq int, kind string, bounds {RECT}, matrix {MATRIX}, annotation struct<type:string,idx:int,num:bigint,gen:bigint>, image struct<num:bigint,gen:bigint,encoding:string,data:binary>, text struct<text:string,font_num:bigint,font_gen:bigint,ps_name:string,size:double>",
     "text_runs": "page_index int, seq int, part int, text string, x double, y double, width double, height double, size double",
-    "display_list": f"page_index int, seq int, verb string, path string, ctm {MATRIX}, space string, colour array<double>, line_width double, alpha double, blend string, clips int, what string",
+    "display_list": f"page_index int, seq int, verb string, path string, ctm {MATRIX}, space string, colour array<double>, rgb array<double>, line_width double, alpha double, blend string, clips int, what string",
     "fonts": f"num bigint, gen bigint, subtype string, base_font string, ps_name string, encoding string, ascent double, descent double, cap_height double, italic double, bbox {RECT}, matrix {MATRIX}, vertical boolean, up double, down double",
     "font_widths": "num bigint, gen bigint, code int, width double",
     "font_differences": "num bigint, gen bigint, code int, glyph string",

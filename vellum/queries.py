@@ -546,6 +546,19 @@ def blend_gstate(spark, sf_dir):
     return e.table("ext_gstates").join(drawn, "doc_id").select("doc_id", "blend", F.round("fill_alpha", 6).alias("alpha"), F.round("line_width", 6).alias("line_width"), "drawn")
 
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(i AS INTEGER) AS seq, CASE i WHEN 0 THEN n_nationkey / 25.0 WHEN 1 THEN 1 - n_nationkey / 25.0 ELSE 0.5 END::DOUBLE AS red FROM nation, (VALUES (0), (1), (2)) v(i)")
+def color_evaluate(spark, sf_dir):
+    """A spot colour through its tint function, a CMYK colour, and a stand-in for the gray device."""
+
+    def make(r):
+        t = num(r["n_nationkey"] / 25)
+        cs = b"/ColorSpace << /Spot [/Separation /Gold /DeviceRGB << /FunctionType 2 /Domain [0 1] /C0 [0 0 0] /C1 [1 0 0] /N 1 >>] /DefaultGray [/Separation /Half /DeviceRGB << /FunctionType 2 /Domain [0 1] /C0 [0.5 0 0] /C1 [0.5 1 1] /N 1 >>] >>"
+        return synth.one_page(b"/Spot cs %s scn 0 0 1 1 re f %s 0 0 0 k 0 0 1 1 re f 0.25 g 0 0 1 1 re f" % (t, t), cs).finish()
+
+    d = Engine(write_pdfs(read(spark, sf_dir, "nation"), "n_nationkey", make)).table("display_list")
+    return d.select("doc_id", "seq", F.round(F.col("rgb")[0], 6).alias("red"))
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(2 + n_nationkey % 2 AS INTEGER) AS type, 'DeviceRGB' AS space, (n_nationkey / 50.0)::DOUBLE AS middle FROM nation")
 def shadings(spark, sf_dir):
     def make(r):
