@@ -269,3 +269,42 @@ def test_glyph_names():
     assert sizes == {"SymbolEncoding": 188, "ZapfDingbatsEncoding": 188, "ExpertEncoding": 165, "MacExpertEncoding": 165}
     assert encoding("SymbolEncoding")[0x61] == "alpha" and encoding("MacExpertEncoding")[0xFB] == "Ringsmall" and encoding("Other") == {}
     assert (std[0x27], std[0xAE], mac[0x8E], mac[0xCA]) == ("quoteright", "fi", "eacute", "space")
+
+
+def test_hybrid_sections():
+    w = synth.one_page(b"")
+    w.finish()
+    holder = len(w.out)
+    w.out += b"6 0 obj\n" + synth.stream(b"7 0 (packed)", b"/Type /ObjStm /N 1 /First 4") + b"\nendobj\n"
+    at = len(w.out)
+    w.out += b"8 0 obj\n" + synth.stream(bytes([2, 0, 6, 0]), b"/Type /XRef /W [1 2 1] /Index [7 1] /Size 9") + b"\nendobj\n"
+    data = w._table({6: holder}, 1, b"/XRefStm %d" % at)
+    d = Document(data)
+    assert d.resolve(Ref(7, 0)) == b"packed" and len(d.sections) == 3 and len(list(d.pages())) == 1
+
+
+def test_loops_of_sections_end():
+    w = synth.one_page(b"")
+    first = w.finish()
+    at = w.last_xref
+    w2 = synth.one_page(b"")
+    w2.last_xref = at
+    data = w2.finish()
+    assert first and Document(data).ok
+
+
+def test_crypt_filter_identity_and_exempt_dictionary():
+    w = synth.one_page(b"")
+    trailer, key = synth.aes_128(b"", b"owner")
+    w.objects[4] = synth.stream(b"BT (plain) Tj ET", b"/Filter [/Crypt] /DecodeParms [<< /Name /Identity >>]")
+    d = Document(w.finish(trailer=trailer))
+    assert d.ok and [f.text[0] for p in d.pages() for f in Fold(d, 4).page(p)] == ["plain"]
+
+
+def test_cmap_with_mixed_lengths():
+    from vellum.core.fonts import ToUnicode, codes, parse_cmap
+
+    t = ToUnicode(b"2 begincodespacerange <00> <7F> <8000> <FFFF> endcodespacerange 2 beginbfchar <41> <0061> <8001> <D83DDE00> endbfchar 1 beginbfrange <42> <44> [<0062> <00660069>] endbfrange 1 beginbfrange <8010> <8012> <00410030> endbfrange")
+    assert t.decode(b"ABCD\x80\x01\x80\x12\xff") == "abfi\U0001f600A2" and t.decode(b"\xff") is None
+    assert codes(b"\x41\x80\x01\x80", t.spaces) == [0x41, 0x8001]
+    assert parse_cmap(b"/WMode 1 def 1 begincidrange <00> <10> 5 endcidrange 1 begincidchar <20> 9 endcidchar", unicode=False)[1:] == ([(0, 16, 5), (32, 32, 9)], 1)

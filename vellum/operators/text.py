@@ -37,6 +37,26 @@ def cid_widths(codes: DataFrame, ranges: DataFrame) -> DataFrame:
     return codes.join(hits, [*key, "cid"], "left").join(default, key, "left").withColumn("width", F.coalesce("width", "_d", F.lit(1000.0))).drop("_d")
 
 
+def decode_codes(strings: DataFrame, codespaces: DataFrame, mappings: DataFrame) -> DataFrame:
+    """strings (doc_id, num, gen, sid, bytes) with the text that ToUnicode mappings give, for fonts whose codes have one length.
+
+    Codes join their font's ranges (equi-join, the range as residual predicate); of several the least position counts, and
+    codes without one give nothing.  Fonts with codes of several lengths are decoded in the parse stage.
+    """
+    key = ["doc_id", "num", "gen"]
+    wide = codespaces.where("of = 'unicode'").groupBy(*key).agg(F.min("bytes").alias("_w"), F.max("bytes").alias("_x")).where("_w = _x").drop("_x")
+    rows = strings.join(wide, key).withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("bytes") / F.col("_w")).cast("int") - 1)))
+    code = F.conv(F.hex(F.substring(F.col("bytes"), F.col("_i") * F.col("_w") + 1, F.col("_w"))), 16, 10).cast("long")
+    m = mappings.select(*key, "pos", "lo", "hi", F.col("text").alias("_t"))
+    hits = rows.withColumn("_c", code).join(m, key).where("_c between lo and hi")
+    hits = hits.groupBy(*key, "sid", "_i").agg(F.min_by(F.struct("_c", "lo", "_t"), "pos").alias("h"))
+    last = F.substring("h._t", -1, 1)
+    shifted = F.concat(F.left(F.col("h._t"), F.length("h._t") - 1), F.expr("decode(unhex(lpad(hex(ascii(right(h._t, 1)) + h._c - h.lo), 8, '0')), 'UTF-32')"))
+    char = F.when(F.col("h._c") == F.col("h.lo"), F.col("h._t")).otherwise(F.when(last != "", shifted).otherwise(""))
+    out = hits.select(*key, "sid", "_i", char.alias("c")).groupBy(*key, "sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "c"))), lambda x: x["c"]), "").alias("text"))
+    return strings.join(out, [*key, "sid"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def glyph_names(codes: DataFrame, differences: DataFrame, base: DataFrame) -> DataFrame:
     """codes (doc_id, num, gen, encoding, code) with the glyph: the font's difference, else its base encoding's. base has a few hundred rows per encoding."""
     d = differences.select("doc_id", "num", "gen", "code", F.col("glyph").alias("_g"))

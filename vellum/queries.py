@@ -123,6 +123,18 @@ def text_cid_tounicode(spark, sf_dir):
     return f.select("doc_id", F.col("text.text").alias("text"), F.round("bounds.width", 6).alias("width"))
 
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name AS text FROM nation")
+def tounicode_range_join(spark, sf_dir):
+    """The same decoding as relations: codes of the shown strings against the font's mappings."""
+    from vellum.operators.text import decode_codes
+
+    make = lambda r: synth.one_page(b"BT /F1 10 Tf 20 20 Td <%s> Tj ET" % b"".join(b"%04X" % (ord(c) + 0x400) for c in r["n_name"]), F1, extra=TYPE0).finish()
+    e = Engine(write_pdfs(read(spark, sf_dir, "nation"), "n_nationkey", make))
+    fonts = e.table("fonts").select("doc_id", "num", "gen")
+    strings = e.table("operators").where("op = 'Tj'").select("doc_id", F.col("seq").alias("sid"), "bytes").join(fonts, "doc_id")
+    return decode_codes(strings, e.table("codespaces"), e.table("tounicode_mappings")).select("doc_id", "text")
+
+
 @query("SELECT doc_id, text FROM documents")
 def pdfdoc_decode(spark, sf_dir):
     from vellum.functions.text import pdf_doc_bytes, pdf_text
