@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
-from .objects import Keyword, Lexer, Name, PdfError, parse_object, real_value, text_of_name
+from .objects import PLAIN, Keyword, Lexer, Name, PdfError, parse_object, real_value, text_of_name
 
 #: Fixed by the format: each operator's operands in the order of the stream. n number, i integer, N name, s string,
 #: a array, p properties (dictionary or name), * every number before it.
@@ -74,17 +74,12 @@ def build(op: str, stack: list[Any]) -> Op:
     return Op(op, nums, name, data, tj, props)
 
 
-#: The plain tokens, blanks before them included: whole numbers, reals, names, strings without escapes or parentheses
-#: inside, words. What else there is goes to the lexer.
-_PLAIN = re.compile(
-    rb"[\x00\t\n\x0c\r ]*(?:([+-]?\d{1,18}(?![\d.]))|([+-]?\d*\.\d*)|/([^\x00\t\n\x0c\r %()\[\]{}/<>\\]*)|\(([^()\\\r]*)\)|([A-Za-z'\"][^\x00\t\n\x0c\r %()\[\]{}/<>\\]*))"
-)
 _CONSTANTS = {b"true": True, b"false": False, b"null": None}
 
 
 def operators(data: bytes) -> Iterator[Op]:
     """Operators one by one; a PdfError ends them, after those before it."""
-    lex, stack, plain = Lexer(data), [], _PLAIN.match
+    lex, stack, plain = Lexer(data), [], PLAIN.match
     while True:
         at = lex.pos
         if m := plain(data, at):

@@ -129,7 +129,8 @@ class Fold:
         if state.font is None:
             return len(data) * 0.6 * h
         tc, tw = (0.0, state.word_space) if self.compat else (state.char_space / size, state.word_space / size)
-        return sum((w / 1000 + tc + (tw if c == 32 else 0.0)) * h for c, w in state.font.widths_of(data))
+        wide, n, spaces = state.font.run(data)
+        return (wide / 1000 + tc * n + tw * spaces) * h
 
     def show(self, state: State, data: bytes) -> Feature | None:
         size = max(state.size, TINY)

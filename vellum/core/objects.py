@@ -176,10 +176,33 @@ _OPEN_ARRAY, _OPEN_DICT = object(), object()
 _WORDS = {b"true": True, b"false": False, b"null": None}
 
 
+#: The plain tokens, blanks before them included: whole numbers, reals, names, strings without escapes or parentheses
+#: inside, words. What else there is goes to the lexer.
+PLAIN = re.compile(
+    rb"[" + _SPACE + rb"]*(?:([+-]?\d{1,18}(?![\d.]))|([+-]?\d*\.\d*)|/([^" + _STOP + rb"]*)|\(([^()\\\r]*)\)|([A-Za-z'\"][^" + _STOP + rb"]*))"
+)
+
+
 def parse_object(lex: Lexer, decrypt=None) -> tuple[bool, Any]:
     """(found, value) of the next object; found is False at the end."""
     stack: list[Any] = []
+    plain, data, stop = PLAIN.match, lex.data, lex.end
     while True:
+        m = plain(data, lex.pos, stop)
+        if m and (n := m.lastindex) < 5:
+            lex.pos = m.end()
+            if n == 1:
+                value = int(m[1])
+            elif n == 2:
+                value = real_value(m[2])
+            elif n == 3:
+                value = Name(text_of_name(m[3]))
+            else:
+                value = decrypt(m[4]) if decrypt else m[4]
+            if not stack:
+                return True, value
+            stack.append(value)
+            continue
         t = lex.next()
         if t is None:
             if not stack:

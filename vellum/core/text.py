@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 #: Where that encoding is not Latin-1 (0x18-0x1F, 0x80-0x9E, 0xA0).
 PDF_DOC = {
     0x18: 0x02D8, 0x19: 0x02C7, 0x1A: 0x02C6, 0x1B: 0x02D9, 0x1C: 0x02DD, 0x1D: 0x02DB, 0x1E: 0x02DA, 0x1F: 0x02DC,
@@ -10,6 +12,7 @@ PDF_DOC = {
     0x90: 0x2019, 0x91: 0x201A, 0x92: 0x2122, 0x93: 0xFB01, 0x94: 0xFB02, 0x95: 0x0141, 0x96: 0x0152, 0x97: 0x0160,
     0x98: 0x0178, 0x99: 0x017D, 0x9A: 0x0131, 0x9B: 0x0142, 0x9C: 0x0153, 0x9D: 0x0161, 0x9E: 0x017E, 0xA0: 0x20A2,
 }
+_OWN = re.compile(rb"[\x18-\x1f\x80-\xa0]")
 _DECODE = str.maketrans({chr(k): chr(v) for k, v in PDF_DOC.items()})
 _ENCODE = {chr(v): k for k, v in PDF_DOC.items()}
 
@@ -21,7 +24,8 @@ def pdf_text(b: bytes) -> str:
         return b[2:].decode("utf-16-le", "replace")
     if b[:3] == b"\xef\xbb\xbf":
         return b[3:].decode("utf-8", "replace")
-    return b.decode("latin-1").translate(_DECODE)
+    text = b.decode("latin-1")
+    return text.translate(_DECODE) if _OWN.search(b) else text
 
 
 def pdf_doc_bytes(text: str) -> bytes:
