@@ -385,7 +385,9 @@ class Document:
 
     def reals_(self, x) -> list[float] | None:
         a = self.list_(x)
-        return None if a is None else [v for v in map(self.real_, a) if v is not None]
+        if a is None or {int, float}.issuperset(map(type, a)):
+            return a if a is None else list(map(float, a))
+        return [v for v in map(self.real_, a) if v is not None]
 
     # ---- tables -------------------------------------------------------------------------------------------------
 
