@@ -189,7 +189,8 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, similarity: tuple[int, in
     first = scratch.write(buckets.groupBy("m", "cls").agg(F.lit(1).alias("_one")).select(F.col("m").alias("a"), F.col("cls").alias("b")), "stars")
     vertex = reps.select("cls", "id")
     texts = _class_texts(docs, reps, id_col, text_col)
-    tested = scratch.write(_verify(_close(first, reps, limit, k), texts, words, num, den), "tested")
+    close = scratch.write(_close(first, reps, limit, k), "close")
+    tested = scratch.write(_verify(close, texts, words, num, den), "tested")
     links = tested.where("linked").select("a", "b")
     # Members that their key's smallest does not link with: against the others of the key, in other components so far.
     comp = connected_components(scratch, _by_vertex(links, vertex).union(members.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "round1")
