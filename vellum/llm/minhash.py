@@ -6,7 +6,7 @@ asked for that a pair is missed with probability below 1e-5 (less the more simil
 into chunks with e_i allowed errors and the e_i + 1 add up to more than t, some chunk of such a pair has e_i errors at
 most.  Errors are enumerated by leaving symbols out: every subset of a chunk with e_i symbols less is a key.
 
-Documents of equal shingle sets are one class from the start.  A key's members are first compared with its smallest only
+Documents of equal shingle sets are one class from the start.  A key's members are first compared with one of them only
 (a star), so a group of copies gives one pair each; whoever that leaves unlinked is then compared with the other members
 of the key that are still in another component.  Candidates pass the signature distance, then the exact similarity of
 their full shingle sets decides.
@@ -183,16 +183,17 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, similarity: tuple[int, in
     reps = table.join(classes, ["s1", "s2", "n"]).where("id = rep").select("id", "s1", "s2", "keys", "sig").dropDuplicates(["id", "s1", "s2"])
     # Rows that repeat an id with other texts are other classes: cls tells them apart, id joins them as a vertex.
     reps = scratch.write(reps.withColumn("cls", F.xxhash64("id", "s1", "s2")), "reps")
-    keyed = reps.select("cls", "id", F.explode("keys").alias("key"))
-    low = keyed.groupBy("key").agg(F.min(F.struct("id", "cls")).alias("m"), F.max(F.struct("id", "cls")).alias("x")).where("m <> x").select("key", F.col("m.cls").alias("m"))
-    buckets = scratch.write(keyed.select("key", "cls").join(low, "key").where("cls <> m"), "buckets")
+    # Any member can be a key's star; the least class number needs no more than a hash aggregate.
+    keyed = reps.select("cls", F.explode("keys").alias("key"))
+    low = keyed.groupBy("key").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).where("m < x").select("key", "m")
+    buckets = scratch.write(keyed.join(low, "key").where("cls <> m").select("key", "cls", "m"), "buckets")
     first = scratch.write(buckets.groupBy("m", "cls").agg(F.lit(1).alias("_one")).select(F.col("m").alias("a"), F.col("cls").alias("b")), "stars")
     vertex = reps.select("cls", "id")
     texts = _class_texts(docs, reps, id_col, text_col)
     close = scratch.write(_close(first, reps, limit, k), "close")
     tested = scratch.write(_verify(close, texts, words, num, den), "tested")
     links = tested.where("linked").select("a", "b")
-    # Members that their key's smallest does not link with: against the others of the key, in other components so far.
+    # Members that their key's star does not link with: against the others of the key, in other components so far.
     comp = connected_components(scratch, _by_vertex(links, vertex).union(members.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "round1")
     at = vertex.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("comp"))
     at = scratch.write(at, "at")
