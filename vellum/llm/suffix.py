@@ -18,7 +18,8 @@ row and not a crowded key; parts hold about part_bytes of text each, however lar
 Texts are their UTF-8 bytes (null: empty).  Matches never cross documents; strings are judged on the input.
 
 Defined results: rows that repeat an id are documents of one id, which never match each other; a null id takes no part
-(nothing is removed from it or because of it); an empty table gives no rows; columns named in ``keep`` come through.
+(nothing is removed from it or because of it); an empty table gives no rows; columns named in ``keep`` come through, except those named like
+the ones added, which are replaced.
 """
 
 from __future__ import annotations
@@ -322,8 +323,8 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, min_bytes: int = 50, id_co
     spread = texts.groupBy("_part").cogroup(found.groupBy("part")).applyInArrow(lambda a, b: contexts(a, b), "part int, blob binary")
     cuts = scratch.write(spread.groupBy("part").applyInArrow(factors, "part int, blob binary"), "cuts")
     scratch.drop("anchors")
-    kept_cols = list(dict.fromkeys(keep or [id_col]))
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
+    kept_cols = [c for c in dict.fromkeys(keep or [id_col]) if c not in new]
     inner = [f"_k{i}" for i in range(len(kept_cols))]
     full = named.select(*[F.col(c).alias(i) for c, i in zip(kept_cols, inner, strict=True)], "_row", "_text", "_part")
 
