@@ -184,9 +184,9 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, similarity: tuple[int, in
     # Rows that repeat an id with other texts are other classes: cls tells them apart, id joins them as a vertex.
     reps = scratch.write(reps.withColumn("cls", F.xxhash64("id", "s1", "s2")), "reps")
     # Any member can be a key's star; the least class number needs no more than a hash aggregate.
-    keyed = reps.select("cls", F.explode("keys").alias("key"))
+    keyed = reps.select("cls", F.posexplode("keys").alias("no", "key"))
     low = keyed.groupBy("key").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).where("m < x").select("key", "m")
-    buckets = scratch.write(keyed.join(low, "key").where("cls <> m").select("key", "cls", "m"), "buckets")
+    buckets = scratch.write(keyed.join(low, "key").where("cls <> m").select("key", "no", "cls", "m"), "buckets")
     first = scratch.write(buckets.groupBy("m", "cls").agg(F.lit(1).alias("_one")).select(F.col("m").alias("a"), F.col("cls").alias("b")), "stars")
     vertex = reps.select("cls", "id")
     texts = _class_texts(docs, reps, id_col, text_col)
@@ -198,7 +198,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, similarity: tuple[int, in
     at = vertex.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("comp"))
     at = scratch.write(at, "at")
     open_ = buckets.join(links.select(F.col("a").alias("m"), F.col("b").alias("cls")), ["m", "cls"], "left_anti").select("key", "cls", F.lit(True).alias("open"))
-    pairs = _open_pairs(buckets, open_, at, reps, limit, k)
+    pairs = _open_pairs(buckets, open_, at, reps, limit, plan, k)
     tested2 = scratch.write(_verify(scratch.write(pairs, "pairs"), texts, words, num, den), "tested2")
     more = tested2.where("linked").select("a", "b")
     edges = _by_vertex(links.union(more), vertex).union(members.select(F.col("id").alias("a"), F.col("rep").alias("b")))
@@ -228,24 +228,35 @@ def _close(pairs: DataFrame, reps: DataFrame, limit: int, k: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
 
 
-def _open_pairs(buckets: DataFrame, open_: DataFrame, at: DataFrame, reps: DataFrame, limit: int, k: int, block: int = 512) -> DataFrame:
+def key_masks(plan: list[tuple[range, int]], k: int) -> np.ndarray:
+    """keys x k: the symbols that each key of chunk_keys holds."""
+    kept = [c for symbols, errors in plan for c in combinations(symbols, len(symbols) - errors)]
+    out = np.zeros((len(kept), k), np.float32)
+    for row, c in zip(out, kept, strict=True):
+        row[list(c)] = 1
+    return out
+
+
+def _open_pairs(buckets: DataFrame, open_: DataFrame, at: DataFrame, reps: DataFrame, limit: int, plan, k: int, block: int = 4096) -> DataFrame:
     """Pairs (a, b) within the signature distance of members of one key, one of them open, in different components.
 
-    Members are compared where they are and only close pairs come back.  A crowded key is cut into blocks: each pair of
-    blocks is a piece of work of its own, so no key is one task.
+    Members are compared where they are and only close pairs come back, each from the first key that it shares.  (If both
+    are linked with that key's star, they are in one component; else one is open there.)  A crowded key is cut into
+    blocks: each pair of blocks is a piece of work of its own, so no key is one task.
     """
+    masks = key_masks(plan, k)
     members = buckets.join(open_.select("key").distinct(), "key", "left_semi").join(at, "cls")
     size = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 and lo <> hi")
     rows = members.join(size.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key").join(open_, ["key", "cls"], "left")
     rows = rows.join(reps.select("cls", "sig"), "cls").withColumn("b", F.pmod("cls", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sides = rows.where("open").select("key", F.col("b").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"), "cls", "comp", "sig")
-    sides = sides.unionByName(rows.select("key", F.col("other").alias("x"), F.col("b").alias("y"), F.lit(False).alias("asks"), "cls", "comp", "sig"))
+    sides = rows.where("open").select("key", "no", F.col("b").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"), "cls", "comp", "sig")
+    sides = sides.unionByName(rows.select("key", "no", F.col("other").alias("x"), F.col("b").alias("y"), F.lit(False).alias("asks"), "cls", "comp", "sig"))
     parts = max(256, reps.count() // 500)  # pieces of work go to parts by hash; a part holds many small ones
 
     def compare(group):
         import pyarrow as pa
 
-        key, x, y, cls, comp = (group.column(c).to_numpy() for c in ("key", "x", "y", "cls", "comp"))
+        key, no, x, y, cls, comp = (group.column(c).to_numpy() for c in ("key", "no", "x", "y", "cls", "comp"))
         asks = group.column("asks").to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, k)
         order = np.lexsort((asks, y, x, key))
@@ -259,7 +270,12 @@ def _open_pairs(buckets: DataFrame, open_: DataFrame, at: DataFrame, reps: DataF
             them, us = own[: hi - lo - n], own[hi - lo - n :]
             for i in us:
                 j = them[comp[them] != comp[i]]
-                j = j[(sig[j] != sig[i]).sum(axis=1) <= limit]
+                differ = sig[j] != sig[i]
+                near = differ.sum(axis=1) <= limit
+                if not near.any():
+                    continue
+                first = (differ[near].astype(np.float32) @ masks.T == 0).argmax(axis=1)
+                j = j[near][first == no[i]]
                 out_a.append(np.minimum(cls[i], cls[j]))
                 out_b.append(np.maximum(cls[i], cls[j]))
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
