@@ -306,6 +306,20 @@ def test_mixing(spark, scratch):
     assert order[-1][0] is None  # without a weight: last
 
 
+def test_a_long_phase_keeps_its_shares(spark):
+    n = {"a": 4001, "b": 2503, "c": 997, "d": 89, "e": 1}
+    parts = mixing.phases(spark.createDataFrame([(s, float(x), x) for s, x in n.items()], "source string, w double, n long"))
+    shares = parts.groupBy("phase").agg(F.collect_list(F.struct("source", "a")).alias("shares"), F.collect_list(F.struct("source", "n_blocks")).alias("blocks"))
+    for r in shares.select("blocks", mixing.frame_slots(F.col("shares")).alias("slots")).collect():
+        want = {x["source"]: x["n_blocks"] for x in r["blocks"]}
+        total, done, slots = sum(want.values()), dict.fromkeys(want, 0), [(x["source"], x["k"], x["slot"]) for x in r["slots"]]
+        assert len(slots) == total > 7000
+        for t, (s, k, slot) in enumerate(slots):
+            assert (k, slot) == (done[s], t)
+            done[s] += 1
+            assert all(abs(done[x] * total - want[x] * (t + 1)) < total for x in want)
+
+
 def test_mixing_is_native(spark, sf_dir):
     from vellum.llm.queries import op3_mixing
 

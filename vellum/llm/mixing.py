@@ -3,9 +3,9 @@
 Each source's documents, in an order seeded by a hash, form blocks of about block_chars characters.  With weight w, block
 i (from 1) of a source is released at slot floor((i - 1) / w) and is due by slot ceil(i / w); each slot goes to the
 released block that is due first (ties: the one whose deadline shares its slot with its successor's window, then the
-longer run of such windows as told by the weight, then the smaller source).  Weights are whole numbers of slots in a
-frame, so windows repeat frame by frame: one frame is scheduled, and block i = j * a + k takes the slot of block k in
-frame j.  At every slot each source that still has blocks is less than one block from its share.
+longer run of such windows as told by the weight, then the smaller source).  Weights are the sources' blocks over all
+blocks of a phase, as whole numbers, so nothing is rounded and a phase is scheduled from end to end: at every slot each
+source of it is less than one block from its share, however many blocks there are.
 
 When a source ends, the rest go on with their weights in proportion: a phase runs while its set of sources lasts, so no
 document is dropped or repeated.  Where weights are not given, they follow the power ``alpha`` of a source's characters,
@@ -18,54 +18,67 @@ other columns come through, except those named like the ones added (``block``, `
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-FRAME = 1000
+#: Slots that are folded at a time; it bounds the copying of the slots so far, not the schedule.
+STRIDE = 500
 
 
 def frame_slots(shares: Column) -> Column:
     """array<struct<source, k, slot>>: the earliest-deadline-first schedule of one frame.
 
-    shares: array<struct<source string, a int>> whose a add up to the number of slots.  The fold keeps the blocks done
-    per source; it is an expression over one row per phase, so its size is frame x sources, whatever the documents.
+    shares: array<struct<source string, a long>> whose a add up to the number of slots.  The fold keeps the blocks done
+    per source; it is an expression over one row per phase, so its time is slots x sources.
     """
-    total = F.aggregate(shares, F.lit(0), lambda s, x: s + x["a"])
+    shares = F.transform(shares, lambda x: F.struct(x["source"].alias("source"), x["a"].cast("long").alias("a")))
+    total = F.aggregate(shares, F.lit(0).cast("long"), lambda s, x: s + x["a"])
+    none = F.expr("cast(array() as array<struct<i int, k long, slot long>>)")
 
     def step(state: Column, t: Column) -> Column:
         # done[i]: blocks so far; the next one's window is [done * q / a, ceil((done + 1) * q / a))
-        keyed = F.transform(
-            shares,
-            lambda x, i: F.struct(
-                F.when(F.expr("false"), 0).otherwise(_floor_div(F.get(state["done"], i) * total, x["a"])).alias("release"),
-                _ceil_div((F.get(state["done"], i) + 1) * total, x["a"]).alias("due"),
-                F.when((F.get(state["done"], i) + 1) * total % x["a"] == 0, 1).otherwise(0).alias("whole"),
+        def window(x: Column, i: Column) -> Column:
+            end = (F.get(state["done"], i) + 1) * state["q"]
+            return F.struct(
+                F.call_function("div", end - state["q"], x["a"]).alias("release"),
+                F.call_function("div", end + x["a"] - 1, x["a"]).alias("due"),
+                F.when(end % x["a"] == 0, 1).otherwise(0).alias("whole"),
                 (-x["a"]).alias("light"),
                 i.alias("i"),
+            )
+
+        keyed = F.filter(F.transform(state["shares"], window), lambda y: y["release"] <= t)
+        best = F.array_min(F.transform(keyed, lambda y: F.struct(y["due"], y["whole"], y["light"], y["i"])))["i"]
+        return _let(
+            best,
+            lambda i: F.struct(
+                state["shares"].alias("shares"),
+                state["q"].alias("q"),
+                F.transform(state["done"], lambda d, j: d + F.when(j == i, 1).otherwise(0)).alias("done"),
+                F.concat(state["slots"], F.array(F.struct(i.cast("int").alias("i"), F.get(state["done"], i).alias("k"), t.alias("slot")))).alias("slots"),
             ),
         )
-        best = F.array_min(F.transform(F.filter(keyed, lambda y: y["release"] <= t), lambda y: F.struct(y["due"], y["whole"], y["light"], y["i"])))
-        return F.struct(
-            F.when(best.isNull(), state["done"]).otherwise(F.transform(state["done"], lambda d, i: d + F.when(i == best["i"], 1).otherwise(0))).alias("done"),
-            F.concat(state["slots"], F.when(best.isNull(), F.expr("cast(array() as array<struct<i int, k int, slot int>>)")).otherwise(F.array(F.struct(best["i"].cast("int").alias("i"), F.get(state["done"], best["i"]).cast("int").alias("k"), t.cast("int").alias("slot"))))).alias("slots"),
-        )
-
-    first = F.struct(F.transform(shares, lambda x: F.lit(0)).alias("done"), F.expr("cast(array() as array<struct<i int, k int, slot int>>)").alias("slots"))
-    folded = F.aggregate(F.sequence(F.lit(0), total - 1), first, step, lambda s: s["slots"])
-    return F.transform(folded, lambda x: F.struct(F.get(shares, x["i"])["source"].alias("source"), x["k"].alias("k"), x["slot"].alias("slot")))
 
+    def stride(state: Column, at: Column) -> Column:
+        fresh = F.struct(state["shares"].alias("shares"), state["q"].alias("q"), state["done"].alias("done"), none.alias("slots"))
+        folded = F.aggregate(F.sequence(at, F.least(at + STRIDE, state["q"]) - 1), fresh, step)
+        return _let(folded, lambda f: F.struct(f["shares"].alias("shares"), f["q"].alias("q"), f["done"].alias("done"), F.concat(state["parts"], F.array(f["slots"])).alias("parts")))
 
-def _floor_div(a: Column, b: Column) -> Column:
-    return F.floor(a / b).cast("int")
+    first = F.struct(shares.alias("shares"), total.alias("q"), F.transform(shares, lambda x: F.lit(0).cast("long")).alias("done"), F.expr("cast(array() as array<array<struct<i int, k long, slot long>>>)").alias("parts"))
+    done = _let(first, lambda f: F.aggregate(F.sequence(F.lit(0).cast("long"), f["q"] - 1, F.lit(STRIDE).cast("long")), f, stride))
+    return _let(done, lambda d: F.transform(F.flatten(d["parts"]), lambda x: F.struct(F.get(d["shares"], x["i"])["source"].alias("source"), x["k"].alias("k"), x["slot"].alias("slot"))))
 
 
-def _ceil_div(a: Column, b: Column) -> Column:
-    return F.ceil(a / b).cast("int")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
-def phases(sources: DataFrame, frame: int = FRAME) -> DataFrame:
+def phases(sources: DataFrame) -> DataFrame:
     """(phase, first_slot, source, first_block, n_blocks, a, q): the slots while one set of sources lasts.
 
     sources: source, w, n (blocks).  A source's blocks last until n / w in a virtual time in which every source moves at
@@ -82,23 +95,17 @@ def phases(sources: DataFrame, frame: int = FRAME) -> DataFrame:
     # Blocks of a source before a time are round(w * t): the last phase ends on exactly n.
     cut = lambda t: F.least(F.floor(F.col("x.w") * F.col(t) + 0.5), F.col("x.n")).cast("long")
     rows = rows.select("phase", "x.source", "x.w", cut("from_t").alias("first_block"), (F.when(F.col("x.end") <= F.col("to_t"), F.col("x.n")).otherwise(cut("to_t")) - cut("from_t")).alias("n_blocks")).where("n_blocks > 0")
-    share = F.col("n_blocks") / F.sum("n_blocks").over(Window.partitionBy("phase"))
+    # The share is a of q slots. A source that is alone takes every slot.
     part = Window.partitionBy("phase")
-    q = F.least(F.sum("n_blocks").over(part), F.lit(frame)).cast("int")
-    rows = rows.withColumn("share", share).withColumn("q0", q)
-    # Largest remainders; a source keeps one slot of a frame at least.
-    rows = rows.withColumn("base", F.greatest(F.floor(F.col("share") * F.col("q0")).cast("int"), F.lit(1)))
-    rows = rows.withColumn("spare", F.col("q0") - F.sum("base").over(part))
-    rank = F.row_number().over(part.orderBy((F.floor(F.col("share") * F.col("q0")) - F.col("share") * F.col("q0")), F.col("source")))
-    rows = rows.withColumn("a", F.col("base") + F.when(rank <= F.col("spare"), 1).otherwise(0))
-    rows = rows.withColumn("q", F.sum("a").over(part).cast("int"))
+    rows = rows.withColumn("a", F.when(F.count("*").over(part) > 1, F.col("n_blocks")).otherwise(F.lit(1).cast("long")))
+    rows = rows.withColumn("q", F.sum("a").over(part))
     weighted = rows.select("phase", "source", "first_block", "n_blocks", "a", "q")
     n = ordered.select(F.size("s").alias("n"), F.posexplode("z").alias("i", "z"))
-    rest = n.select((F.col("n") + F.col("i")).cast("int").alias("phase"), "z.source", F.lit(0).cast("long").alias("first_block"), F.col("z.n").cast("long").alias("n_blocks"), F.lit(1).alias("a"), F.lit(1).alias("q"))
+    rest = n.select((F.col("n") + F.col("i")).cast("int").alias("phase"), "z.source", F.lit(0).cast("long").alias("first_block"), F.col("z.n").cast("long").alias("n_blocks"), F.lit(1).cast("long").alias("a"), F.lit(1).cast("long").alias("q"))
     return weighted.unionByName(rest)
 
 
-def mix(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str | None, float] | None = None, alpha: float = 0.5, block_chars: int = 65_536, seed: int = 0, frame: int = FRAME) -> DataFrame:
+def mix(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str | None, float] | None = None, alpha: float = 0.5, block_chars: int = 65_536, seed: int = 0) -> DataFrame:
     """docs with block (of its source), slot (of the block in the mixture) and at_char (place in the source's order)."""
     spark = docs.sparkSession
     docs = docs.drop("block", "slot", "at_char")
@@ -134,14 +141,14 @@ def mix(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", source_col: s
         for k, v in weights.items():
             w = F.when(F.col("_s") == ("-" if k is None else f"s{k}"), F.lit(float(v))).otherwise(w)
     sources = per.join(totals.select("_s", "chars"), "_s").select(F.col("_s").alias("source"), w.alias("w"), "n")
-    parts = scratch.write(phases(sources, frame), "phases")
+    parts = scratch.write(phases(sources), "phases")
     slots = parts.groupBy("phase", "q").agg(F.array_sort(F.collect_list(F.struct("source", "a"))).alias("shares"), F.max(F.ceil(F.col("n_blocks") / F.col("a"))).alias("frames"))
     before = F.coalesce(F.sum(F.col("q") * F.col("frames")).over(Window.orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = slots.withColumn("first_slot", before)
     one = scratch.write(slots.select("phase", "q", "first_slot", F.explode(frame_slots(F.col("shares"))).alias("x")).select("phase", "q", "first_slot", F.col("x.source").alias("_s"), F.col("x.k").alias("k"), F.col("x.slot").alias("at")), "frames")
     p = parts.select(F.col("source").alias("_s"), "phase", "first_block", "n_blocks", "a")
     timed = blocks.join(p, "_s").where("block >= first_block and block < first_block + n_blocks")
-    timed = timed.withColumn("j", F.floor((F.col("block") - F.col("first_block")) / F.col("a"))).withColumn("k", ((F.col("block") - F.col("first_block")) % F.col("a")).cast("int"))
+    timed = timed.withColumn("j", F.floor((F.col("block") - F.col("first_block")) / F.col("a"))).withColumn("k", ((F.col("block") - F.col("first_block")) % F.col("a")).cast("long"))
     timed = timed.join(one, ["_s", "phase", "k"]).select("_s", "_raw", "block", (F.col("first_slot") + F.col("j") * F.col("q") + F.col("at")).cast("long").alias("slot"))
     found = placed.join(timed, ["_s", "_raw"]).select("_s", "_id", "_t", "block", "slot", "at_char")
     back = docs.withColumns({"_s": F.coalesce(name, F.lit("-")), "_t": F.xxhash64(F.col(text_col))})
