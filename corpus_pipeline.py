@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import Scratch
 from vellum.llm.minhash import near_duplicates
 from vellum.llm.mixing import mix
-from vellum.llm.packing import pack, token_pieces
+from vellum.llm.packing import pack_in_order, token_pieces, with_places
 from vellum.llm.quality import classify
 from vellum.llm.suffix import remove_repeats
 from vellum.llm.tokens import default_path
@@ -38,17 +38,17 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumns(new).select(*docs.columns)
 
 
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mixture."""
-    mixed = mix(Scratch(spark), docs)
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str | None, float] | None = None) -> DataFrame:
+    """The documents in the order of the mixture, which packing keeps."""
+    mixed = mix(Scratch(spark), docs, weights=weights)
     order = ["slot", "at_char", "doc_id"]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequences."""
-    pieces = token_pieces(docs, "doc_id", "text", default_path(), end_id=0, max_len=2048)
-    return pack(Scratch(spark), pieces, 2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str, window_tokens: int = 1 << 18) -> DataFrame:
+    """Pieces of at most 2048 tokens with their sequences, which are numbered in the order of the documents' rows."""
+    pieces = token_pieces(with_places(docs), "doc_id", "text", default_path(), end_id=0, max_len=2048, keep=("_file", "_row"))
+    return pack_in_order(Scratch(spark), pieces, 2048, window_tokens).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("repeats", repeats), ("mixture", mixture), ("packing", packing)]

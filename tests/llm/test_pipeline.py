@@ -61,3 +61,21 @@ def test_odd_documents_go_through(spark, folder):
         assert name == "packing" or out.columns == docs.columns
         docs = out if name != "packing" else docs
     assert stage(spark, folder, "packing", docs.limit(0)).count() == 0
+
+
+def test_the_mixture_orders_the_sequences(spark, folder, monkeypatch):
+    words, n, top = [f"w{i}" for i in range(97)], 900, folder[0].path("sourced")
+    rows = [(i, " ".join(words[(i * j) % 97] for j in range(60 + i * 7 % 90)), "en", f"src{i % 2}", 0) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{top}/documents.parquet")
+    runs, real = [], cp.mix
+    for weights in ({"src0": 4, "src1": 1}, {"src0": 1, "src1": 4}):
+        monkeypatch.setattr(cp, "mix", lambda scratch, docs, w=weights, **_: real(scratch, docs, weights=w, block_chars=2000))
+        monkeypatch.setattr(cp, "STAGES", [("mixture", cp.mixture), ("packing", lambda *a: cp.packing(*a, window_tokens=20_000))])
+        packed = cp.run(spark, top).collect()
+        total = sum(r["length"] for r in packed)
+        assert len(packed) == n and {r["sequence_id"] for r in packed} == set(range(check_packing(packed, 2048)))
+        early = [r for r in packed if r["sequence_id"] < 0.4 * total / 2048]
+        share = sum(r["length"] for r in early if r["doc_id"] % 2 == 0) / sum(r["length"] for r in early)
+        assert abs(share - weights["src0"] / 5) < 0.1
+        runs.append(sorted(map(tuple, packed)))
+    assert runs[0] != runs[1]

@@ -7,6 +7,10 @@ most whatever the corpus: runs of equal sequences, never single pieces, are plan
 that does not depend on the input (``MAX_RUNS``), which is what makes its broadcast safe.  Pieces meet the plan by their
 rank among pieces of one length; ranks come from salted windows, so that a common length is not one task.
 
+``pack_in_order`` keeps an order of the documents: it is cut into windows of about window_tokens tokens, each is packed by
+the same plan on its own, and sequences are numbered window after window, within one by their first piece.  What the first
+sequences hold is therefore what the first documents of the order hold, up to a window.
+
 Defined results: null and empty texts hold the end id alone; repeated rows are packed each on its own; a text longer than
 max_len is cut into full pieces and a rest; an empty table gives no rows; other columns are not read.
 """
@@ -18,6 +22,7 @@ from bisect import bisect_left, insort
 from itertools import combinations_with_replacement
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +34,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MAX_RUNS = 200_000
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int | None = 0, max_len: int = 2048, with_ids: bool = False) -> DataFrame:
-    """One row per piece of at most max_len ids; with_ids adds them as little-endian bytes."""
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int | None = 0, max_len: int = 2048, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece of at most max_len ids; with_ids adds them as little-endian bytes, keep columns of docs."""
 
     def pieces(batches):
         import pyarrow as pa
@@ -39,8 +44,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         step = 4 * max_len
         for batch in batches:
-            docs_, no, starts, lens, crcs, ids = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs_, no, starts, lens, crcs, ids, at_row = [], [], [], [], [], [], []
+            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 raw = enc.encode_bytes(text.as_py()) + end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
@@ -49,16 +54,19 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, en
                     starts.append(at // 4)
                     lens.append(len(part) // 4)
                     crcs.append(zlib.crc32(part))
+                    at_row.append(i)
                     if with_ids:
                         ids.append(part)
             cols = [pa.array(docs_, pa.int64()), pa.array(no, pa.int32()), pa.array(starts, pa.int64()), pa.array(lens, pa.int64()), pa.array(crcs, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 cols, names = [*cols, pa.array(ids, pa.binary())], [*names, "ids"]
+            if keep:
+                cols, names = [*cols, *batch.select(list(keep)).take(pa.array(at_row, pa.int64())).columns], [*names, *keep]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"), *keep)
+    return rows.mapInArrow(pieces, PIECES + ", ids binary" * with_ids + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep))
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -213,3 +221,54 @@ def pack(scratch: Scratch, pieces: DataFrame, max_len: int = 2048, order: tuple[
     runs_df = spark.createDataFrame(runs, "length long, _lo long, _hi long, _base long, _at long") if runs else spark.createDataFrame([], "length long, _lo long, _hi long, _base long, _at long")
     placed = ranked.join(F.broadcast(runs_df), (ranked["length"] == runs_df["length"]) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))).drop(runs_df["length"])
     return placed.select(*pieces.columns, (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), F.col("_at").alias("offset"))
+
+
+def with_places(docs: DataFrame) -> DataFrame:
+    """docs with _file and _row, by which its rows sort as they were written: Spark numbers part files in the order of partitions."""
+    name = F.col("_metadata.file_name")
+    places = {"_file": F.concat(F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 12, "0"), name), "_row": F.col("_metadata.row_index")}
+    try:
+        return docs.withColumns(places)
+    except AnalysisException:  # rows that do not come from files
+        return docs.withColumns({"_file": F.lit(""), "_row": F.monotonically_increasing_id()})
+
+
+def pack_in_order(scratch: Scratch, pieces: DataFrame, max_len: int = 2048, window_tokens: int = 1 << 18) -> DataFrame:
+    """pieces (with _file, _row and piece, their order, and ``length``) with sequence_id and offset."""
+    table = scratch.write(pieces.withColumn("_c", F.floor(F.col("_row") / 4096)), "pieces")
+    # Tokens before a piece, in two steps: within 4096 documents, then over their totals.
+    sums = table.groupBy("_file", "_c").agg(F.sum("length").alias("_all"))
+    sums = scratch.write(sums.select("_file", "_c", "_all", F.coalesce(F.sum("_all").over(Window.orderBy("_file", "_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")), "totals")
+    total = sums.agg(F.coalesce(F.sum("_all"), F.lit(0))).first()[0]
+    windows = max(1, round(total / window_tokens))
+    width = max(1, -(-total // windows))
+    inner = F.sum("length").over(Window.partitionBy("_file", "_c").orderBy("_row", "piece").rowsBetween(Window.unboundedPreceding, -1))
+    placed = table.withColumn("_in", F.coalesce(inner, F.lit(0))).join(sums.drop("_all"), ["_file", "_c"])
+    placed = placed.withColumn("_at", F.col("_before") + F.col("_in")).withColumn("_w", F.floor(F.col("_at") / width))
+    columns = [c for c in pieces.columns if c not in ("_file", "_row")]
+
+    def fit(group):
+        import pyarrow as pa
+
+        group = group.sort_by("_at")
+        length = group.column("length").to_numpy()
+        by_length = np.argsort(length, kind="stable")
+        values, first, count = np.unique(length[by_length], return_index=True, return_counts=True)
+        start = dict(zip(values.tolist(), first.tolist(), strict=True))
+        seq, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        for k, lo, hi, base, at in plan(dict(zip(values.tolist(), count.tolist(), strict=True)), max_len):
+            rows = by_length[start[k] + lo : start[k] + hi]
+            seq[rows], offset[rows] = base + np.arange(hi - lo), at
+        # Rows are in order, so that the first row of a sequence is its first piece.
+        found, head, back = np.unique(seq, return_index=True, return_inverse=True)
+        number = np.empty(len(found), np.int64)
+        number[np.argsort(head)] = np.arange(len(found))
+        return group.select([*columns, "_w"]).append_column("_n", pa.array(number[back])).append_column("offset", pa.array(offset))
+
+    schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in columns)
+    # Windows are few bytes and much work: their number deals them out, not their size.
+    dealt = placed.select(*columns, "_at", "_w").repartition(max(pieces.sparkSession.sparkContext.defaultParallelism, windows // 16), "_w")
+    packed = scratch.write(dealt.groupBy("_w").applyInArrow(fit, f"{schema}, _w long, _n long, offset long"), "packed")
+    sizes = packed.groupBy("_w").agg((F.max("_n") + 1).alias("_s"))
+    sizes = sizes.select("_w", F.coalesce(F.sum("_s").over(Window.orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return packed.join(sizes, "_w").select(*columns, (F.col("_base") + F.col("_n")).alias("sequence_id"), "offset")
