@@ -114,6 +114,20 @@ def test_odd_pages(html, text):
     assert html_extract.extract_page(html, ["html>body>article"]) == text
 
 
+@pytest.mark.parametrize("name", ["with-sidebar", "no-sidebar", "content-social", "post category-social", "page-header-fixed", "header", "site-header"])
+@pytest.mark.parametrize("inner", ["<article><p>own text</p></article>", "<main><p>own text</p></main>", "<p>own text</p>"])
+def test_a_wrapper_keeps_its_text(name, inner):
+    page = f'<body><div class="{name}">{inner}<div class="comments"><p>me</p></div><div id="social-share">x</div></div><div class="ad">buy</div></body>'
+    assert html_extract.extract_page(page, []) == "own text"
+
+
+def test_main_beside_its_article():
+    page = "<body><main><h1>Head</h1><p>Lead.</p><article><p>" + "own text " * 40 + "</p></article><nav>menu</nav><div class='share-buttons'>x</div></main><footer>f</footer></body>"
+    assert html_extract.extract_page(page, []) == "Head\n\nLead.\n\n" + ("own text " * 40).strip()
+    comments = "<body><div class='post'><p>short</p></div><div class='comments-area'><article><p>a much longer comment</p></article></div></body>"
+    assert html_extract.extract_page(comments, []) == "short"
+
+
 def test_consensus_of_a_host(spark, scratch):
     body = "<body><div class='main-{n}'><p>{a}</p></div><div class='other'><p>{b}</p></div></body>"
     rows = [(i, "http://h.example/p", body.format(n=i, a="the article's own text " * 9, b="x")) for i in range(5)]

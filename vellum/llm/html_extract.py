@@ -9,7 +9,10 @@
 
 Blocks are what block-level tags bound.  Character references are decoded, white space becomes single spaces, blocks are
 trimmed and joined by an empty line in page order.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are told by tag, role, and words of class and id.
+styles and reader comments are told by tag, role, and names in class and id: every part of such a name is a listed word or
+says where or in what form (``site-header``, ``comment-list``, but not ``no-sidebar`` or ``page-header-fixed``).  A name does
+not discard a container of main, of the page's only articles, or, where it has neither, of most of its text, unless that is
+reader comments.  An article inside main brings what else main holds.
 
 Defined results: null, empty or tag-only html gives an empty text; a null url belongs to a host of its own (empty); rows
 that repeat a page_id come back each; text without any markup is one block; a tag that the page's end cuts off is dropped;
@@ -40,6 +43,12 @@ BAD_WORDS = frozenset(
     "header masthead topbar footer footnav sidebar aside widget widgets cookie cookies consent gdpr notice alert popup modal overlay subscribe newsletter "
     "signup login comment comments commentlist reply replies respond disqus share sharing social related recommended pagination pager skip toolbar".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: Parts of a name that say where or in what form the rest is.
+FORM_WORDS = frozenset(
+    "site page post entry article blog main primary secondary global mobile desktop top bottom left right inner outer sticky wrap wrapper container box bar block list item items area "
+    "section panel group row col column module unit slot zone link links button buttons btn icon icons title label text image form tools actions message policy inline first last sub".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol "
     "option p pre section summary table tbody td tfoot th thead tr ul head button select label caption legend template svg math canvas audio video object datalist".split()
@@ -51,7 +60,7 @@ GOOD = {"article": 1.5, "main": 1.3}
 
 
 class Page:
-    """blocks: (text, linked characters, element or -1 if boilerplate); elements: (parent, step, tag)."""
+    """blocks: (text, linked characters, element), without boilerplate; elements: (parent, step, tag)."""
 
     __slots__ = ("blocks", "elements")
 
@@ -60,6 +69,7 @@ class Page:
         self.elements: list[tuple[int, str, str]] = [(-1, "", "")]
         stack: list[tuple[str, int, bool]] = [("", 0, False)]
         pieces: list[str] = []
+        named: dict[int, set[str]] = {}  # elements that only their names make boilerplate, and the words
         linked, in_link, at, n = 0, 0, 0, len(html)
 
         def flush() -> None:
@@ -108,7 +118,7 @@ class Page:
                 if tag in VOID or not m[3] or stack[-1][2]:
                     continue
                 # An inline advert or the like goes with its content and bounds no block.
-                if self._bad(tag, m[3]):
+                if self._bad(tag, m[3]) or self._named(tag, m[3]):
                     close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
                     at = close.end() if close else n
                 continue
@@ -123,12 +133,38 @@ class Page:
             bad = stack[-1][2] or self._bad(tag, m[3])
             if m[3].endswith("/") and tag in ("svg", "math"):
                 continue
-            if bad or tag == "p":
+            words = set() if bad else self._named(tag, m[3])
+            if bad or tag == "p" and not words:
                 stack.append((tag, stack[-1][1], bad))
             else:
+                if words:
+                    named[len(self.elements)] = words
                 self.elements.append((stack[-1][1], self._step(tag, m[3]), tag))
                 stack.append((tag, len(self.elements) - 1, False))
         flush()
+        if named:
+            self._discard(named)
+
+    def _discard(self, named: dict[int, set[str]]) -> None:
+        """Drop the blocks of named elements, but for those that hold what the page is about."""
+        n = len(self.elements)
+        over: list[list[int]] = [[] for _ in range(n)]  # the named elements that an element is in
+        for e in range(n):
+            parent = self.elements[e][0]
+            over[e] = (over[parent] if parent >= 0 else []) + [e] * (e in named)
+        size, total = dict.fromkeys(named, 0), 0
+        for text, _, at in self.blocks:
+            total += len(text)
+            for x in over[at]:
+                size[x] += len(text)
+        keep = {x for e in range(n) if self.elements[e][2] == "main" for x in over[e]}
+        articles = [e for e in range(n) if self.elements[e][2] == "article"]
+        mains = any(t == "main" for _, _, t in self.elements)
+        if not mains and articles and all(over[e] for e in articles):
+            keep |= {x for e in articles for x in over[e] if not named[x] & COMMENT_WORDS}
+        elif not mains and not articles:
+            keep |= {x for x, k in size.items() if 2 * k > total and not named[x] & COMMENT_WORDS}
+        self.blocks = [b for b in self.blocks if keep.issuperset(over[b[2]])]
 
     @staticmethod
     def _attrs(raw: str) -> dict[str, str]:
@@ -145,8 +181,19 @@ class Page:
             return True
         if BAD_ROLES.intersection(a.get("role", "").lower().split()):
             return True
-        words = {w.lower() for w in _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-        return bool(words & BAD_WORDS) and tag not in ("article", "main")
+        return False
+
+    @classmethod
+    def _named(cls, tag: str, raw: str) -> set[str]:
+        """The listed words of names in class and id that are boilerplate as a whole."""
+        if not raw or tag in ("body", "html", "article", "main"):
+            return set()
+        a, out = cls._attrs(raw), set()
+        for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+            parts = set(_WORD.findall(name))
+            if parts & BAD_WORDS and parts <= BAD_WORDS | FORM_WORDS:
+                out |= parts & BAD_WORDS
+        return out
 
     @classmethod
     def _step(cls, tag: str, raw: str) -> str:
@@ -182,7 +229,11 @@ class Page:
                 worth = score[e] / score[0] * GOOD.get(tag, 1.0) + 0.02 * min(depth, 10)
                 if worth >= top:
                     best, top = e, worth
-        return best
+        # What main has beside its article is no boilerplate either.
+        up = best
+        while up > 0 and self.elements[up][2] != "main":
+            up = self.elements[up][0]
+        return up if up > 0 else best
 
     def text(self, wanted: set[int]) -> str:
         inside = [False] * len(self.elements)
