@@ -47,6 +47,18 @@ def test_embedding_dedup(spark, scratch, components, pivot_rows, block_rows):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_scaled_copies_as_pivots(spark, scratch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    rows = [(i, (base * (1 + i / 7)).tolist(), 1) for i in range(60)]
+    rows += [(60 + i, (base + rng.standard_normal(16) * 0.15).tolist(), 1) for i in range(60)]
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    got = near_vectors(scratch, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), pivot_rows=15, block_rows=16).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist()))
+
+
 def test_no_vectors(spark, scratch):
     none = odd_vectors(spark).limit(0)
     assert near_vectors(scratch, none).count() == 0 and nearest(scratch, none, none).count() == 0

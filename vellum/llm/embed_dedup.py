@@ -2,8 +2,8 @@
 
 Unit vectors u, v have cosine >= c exactly if their distance is at most e = sqrt(2 - 2c).  A bounded sample of vectors
 gives the pivots; each vector lives in the cell of its nearest pivot.  By the triangle inequality a partner of a vector in
-the cell of p lies within d(own pivot) + 2e of p; and nearer than e to the plane halfway between p and its own pivot.  A
-vector is replicated to the cells that this allows, and to no other.  Cells are cut into blocks of block_rows vectors, so
+the cell of p lies within d(own pivot) + 2e of p; and nearer than e to the plane halfway between p and its own pivot.  Sampled
+pivots that coincide, or nearly so, are one pivot: the plane between them would be rounding.  A vector is replicated to the cells that this allows, and to no other.  Cells are cut into blocks of block_rows vectors, so
 that a crowded cell is many tasks: a task compares one block of owners with one block of residents or guests and returns
 counts of links and a spanning forest of what it linked, never the pairs.  The test itself is the cosine in double
 precision; a pair lost to rounding of the distances is ruled out by a margin.
@@ -25,6 +25,8 @@ from .common import Scratch, connected_components
 from .vectors import as_doubles, matrix, sample_vectors, usable
 
 MARGIN = 1e-6
+#: Pivots nearer than this are merged: rounding moves a plane by about 1e-15 / CLOSE, far below MARGIN.
+CLOSE = 1e-3
 MAX_PIVOTS = 256
 
 
@@ -45,8 +47,9 @@ def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_co
     pivots: dict[int, np.ndarray] = {}
     for v in sample_vectors(classes, "v", n_pivots, seed):
         x = np.array(v)
+        x /= np.abs(x).max()
         pivots.setdefault(len(v), []).append(x / np.linalg.norm(x))
-    pivots = {d: np.stack(x) for d, x in pivots.items()}
+    pivots = {d: _apart(np.stack(x)) for d, x in pivots.items()}
     cells = "k long, label string, dim int, c long, n long, v array<double>, cell int, own boolean"
 
     def assign(batches):
@@ -62,6 +65,7 @@ def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_co
                     take.append(idx), cell.append(np.zeros(len(idx), np.int32)), own.append(np.ones(len(idx), bool))
                     continue
                 x = matrix(vs.take(pa.array(idx)))
+                x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 dist = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
                 home = dist.argmin(1)
@@ -124,6 +128,15 @@ def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_co
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _apart(p: np.ndarray) -> np.ndarray:
+    """The unit vectors of p without those within CLOSE of an earlier one that stays."""
+    kept: list[int] = []
+    for i in range(len(p)):
+        if not kept or np.linalg.norm(p[kept] - p[i], axis=1).min() > CLOSE:
+            kept.append(i)
+    return p[kept]
+
+
 def _forest(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each left vertex the smallest id that it reaches over the block's links."""
     low, none = a.copy(), np.iinfo(np.int64).max
