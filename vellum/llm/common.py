@@ -8,7 +8,7 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -77,27 +77,43 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a small side that may be broadcast (some 10 to 50 MB).
+SMALL = 200_000
+
+
+def lookup(left: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner", salts: int = 32) -> DataFrame:
+    """left joined with a table that is small as a rule: broadcast if it has SMALL rows at most, else by salted keys.
+
+    salt: a hash that differs among the rows of left that share a key; it deals a hot key over ``salts`` tasks.
+    """
+    if small.limit(SMALL + 1).count() <= SMALL:
+        return left.join(F.broadcast(small), on, how)
+    left = left.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(small, [*on, "_salt"], how).drop("_salt")
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), for every id in an edge.
 
-    Alternates large-star and small-star steps until the edges are stars.  Each step is an aggregation with
-    map-side combine and a join that adaptive execution can split at a hub, so no neighbourhood is gathered.
+    Alternates large-star and small-star steps until the edges are stars.  Each step is an aggregation with map-side
+    combine and a join.  The least neighbours are written first: they are then a plain side of the join, which adaptive execution
+    may broadcast, or split the other side of at a hub; so no neighbourhood is gathered in one task.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, seen, k = scratch.write(now, f"{name}-0"), None, 0
     while True:
+        got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(got) == seen or not got[0]:
+            break
+        seen, k = tuple(got), k + 1
         both = now.union(now.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").selectExpr("stack(2, b, m, a, m) as (a, b)").where("a <> b").distinct()
-        k += 1
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").selectExpr("stack(2, b, m, a, m) as (a, b)").where("a <> b").distinct()
         now = scratch.write(small, f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
-        got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(got) == seen:
-            break
-        seen = tuple(got)
+        scratch.drop(f"{name}-{k - 1}", f"{name}-low")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
