@@ -7,9 +7,11 @@ into chunks with e_i allowed errors and the e_i + 1 add up to more than t, some
 most.  Errors are enumerated by leaving symbols out: every subset of a chunk with e_i symbols less is a key.
 
 Documents of equal shingle sets are one class from the start.  A key's members are first compared with one of them only
-(a star), so a group of copies gives one pair each; whoever that leaves unlinked is then compared with the other members
-of the key that are still in another component.  Candidates pass the signature distance, then the exact similarity of
-their full shingle sets decides.
+(a star), so a group of copies gives one pair each; whoever that leaves apart is then compared with the other members of
+the key, where they are, and a spanning forest of what lies within the signature distance leaves the task.  The components
+of all that are groups; every pair within the distance lies inside one.  The members of a group meet once with their full
+shingle sets (64-bit hashes), whose exact similarity decides, and leave with a label.  So rows grow with the members of a
+group and not with its pairs, however many of those are near copies just below the similarity asked for.
 
 Words are runs of bytes other than white space (space, tab to carriage return) after lower-casing A-Z; a set holds the
 distinct runs of ``words`` words; a shorter text is one shingle; null texts and those without words are empty sets.
@@ -166,54 +168,38 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, k: int, plan
     return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>, sig binary")
 
 
-def word_set(text: str, words: int) -> frozenset:
-    w = text.encode().translate(bytes(LOWER)).split()
-    return frozenset(zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+def near_duplicates(scratch: Scratch, docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", words: int = 5, k: int = 96, threshold: int | None = None, errors: int = 1, seed: int = 3, block: int = 1024, block_bytes: int = 16 << 20) -> DataFrame:
+    """(id, n_shingles, component_id, kept). similarity: linked if intersection * b >= a * union for (a, b).
 
-
-def near_duplicates(scratch: Scratch, docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", words: int = 5, k: int = 96, threshold: int | None = None, errors: int = 1, seed: int = 3) -> DataFrame:
-    """(id, n_shingles, component_id, kept). similarity: linked if intersection * b >= a * union for (a, b)."""
+    block, block_bytes: members, and bytes of their sets, that a piece of work takes from one group.
+    """
     num, den = similarity
     limit = threshold_of(k, num / den) if threshold is None else threshold
     plan = chunk_plan(k, limit, errors)
-    spark = docs.sparkSession
     table = scratch.write(sketch(docs, id_col, text_col, words, k, plan, seed), "sketch")
-    classes = scratch.write(table.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("top")), "classes")
-    members = table.select("id", "n", "s1", "s2").where("n > 0 and id is not null").join(classes, ["s1", "s2", "n"]).select("id", "rep").where("id <> rep")
-    reps = table.join(classes, ["s1", "s2", "n"]).where("id = rep").select("id", "s1", "s2", "keys", "sig").dropDuplicates(["id", "s1", "s2"])
-    # Rows that repeat an id with other texts are other classes: cls tells them apart, id joins them as a vertex.
+    sets = table.select("id", "n", "s1", "s2").where("n > 0 and id is not null")
+    classes = scratch.write(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "classes")
+    reps = table.join(classes, ["s1", "s2", "n"]).where("id = rep").select("id", "s1", "s2", "n", "keys", "sig").dropDuplicates(["id", "s1", "s2"])
+    # Rows that repeat an id with other texts are other classes: cls tells them apart.
     reps = scratch.write(reps.withColumn("cls", F.xxhash64("id", "s1", "s2")), "reps")
     # Any member can be a key's star; the least class number needs no more than a hash aggregate.
-    keyed = reps.select("cls", F.posexplode("keys").alias("no", "key"))
+    keyed = reps.select("cls", F.explode("keys").alias("key"))
     low = keyed.groupBy("key").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).where("m < x").select("key", "m")
-    buckets = scratch.write(keyed.join(low, "key").where("cls <> m").select("key", "no", "cls", "m"), "buckets")
+    buckets = scratch.write(keyed.join(low, "key").where("cls <> m").select("key", "cls", "m"), "buckets")
     first = scratch.write(buckets.groupBy("m", "cls").agg(F.lit(1).alias("_one")).select(F.col("m").alias("a"), F.col("cls").alias("b")), "stars")
-    vertex = reps.select("cls", "id")
-    texts = _class_texts(docs, reps, id_col, text_col)
     close = scratch.write(_close(first, reps, limit, k), "close")
-    tested = scratch.write(_verify(close, texts, words, num, den), "tested")
-    links = tested.where("linked").select("a", "b")
-    # Members that their key's star does not link with: against the others of the key, in other components so far.
-    comp = connected_components(scratch, _by_vertex(links, vertex).union(members.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "round1")
-    at = vertex.join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("comp"))
-    at = scratch.write(at, "at")
-    open_ = buckets.join(links.select(F.col("a").alias("m"), F.col("b").alias("cls")), ["m", "cls"], "left_anti").select("key", "cls", F.lit(True).alias("open"))
-    pairs = _open_pairs(buckets, open_, at, reps, limit, plan, k)
-    tested2 = scratch.write(_verify(scratch.write(pairs, "pairs"), texts, words, num, den), "tested2")
-    more = tested2.where("linked").select("a", "b")
-    edges = _by_vertex(links.union(more), vertex).union(members.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    comp = connected_components(scratch, edges, "round2")
-    scratch.drop("buckets", "stars")
-    out = table.select("id", F.col("n").alias("n_shingles")).join(comp, "id", "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    more = scratch.write(_open_forest(scratch, buckets, close, reps, limit, k, block), "open")
+    groups = connected_components(scratch, close.union(more), "groups").select(F.col("id").alias("cls"), F.col("component").alias("grp"))
+    scratch.drop("buckets", "stars", "open")
+    found = _exact(scratch, docs, reps, scratch.write(groups, "grouped"), id_col, text_col, words, num, den, block, block_bytes)
+    label = _labels(scratch, sets, reps, found)
+    low = label.groupBy("label").agg(F.min("id").alias("component"))
+    names = scratch.write(label.join(low, "label").select("s1", "s2", "n", "component"), "names")
+    out = table.select("id", "n", "s1", "s2").join(names, ["s1", "s2", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _by_vertex(links: DataFrame, vertex: DataFrame) -> DataFrame:
-    a, b = vertex.select(F.col("cls").alias("a"), F.col("id").alias("va")), vertex.select(F.col("cls").alias("b"), F.col("id").alias("vb"))
-    return links.join(a, "a").join(b, "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
-
-
 def _close(pairs: DataFrame, reps: DataFrame, limit: int, k: int) -> DataFrame:
     """Pairs (a, b) of classes whose signatures differ in ``limit`` symbols at most."""
     a, b = reps.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("cls").alias("b"), F.col("sig").alias("sb"))
@@ -228,109 +214,187 @@ def _close(pairs: DataFrame, reps: DataFrame, limit: int, k: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
 
 
-def key_masks(plan: list[tuple[range, int]], k: int) -> np.ndarray:
-    """keys x k: the symbols that each key of chunk_keys holds."""
-    kept = [c for symbols, errors in plan for c in combinations(symbols, len(symbols) - errors)]
-    out = np.zeros((len(kept), k), np.float32)
-    for row, c in zip(out, kept, strict=True):
-        row[list(c)] = 1
-    return out
+def _in_units(rows: DataFrame, key: str, own: str, parts: int) -> DataFrame:
+    """rows (with ``blocks`` of their key) once for each pair x <= y of blocks that theirs is in; part deals the pairs out."""
+    rows = rows.withColumn("b", F.pmod(own, F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o")})
+    return rows.withColumn("part", F.pmod(F.xxhash64(key, "x", "y"), F.lit(parts)))
+
 
+def _cuts(*columns: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """(order, cuts): rows sorted by the columns, and where equal ones begin, with the end."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return order, [*np.flatnonzero(new).tolist(), len(order)]
 
-def _open_pairs(buckets: DataFrame, open_: DataFrame, at: DataFrame, reps: DataFrame, limit: int, plan, k: int, block: int = 4096) -> DataFrame:
-    """Pairs (a, b) within the signature distance of members of one key, one of them open, in different components.
 
-    Members are compared where they are and only close pairs come back, each from the first key that it shares.  (If both
-    are linked with that key's star, they are in one component; else one is open there.)  A crowded key is cut into
-    blocks: each pair of blocks is a piece of work of its own, so no key is one task.
+def _open_forest(scratch: Scratch, buckets: DataFrame, close: DataFrame, reps: DataFrame, limit: int, k: int, block: int) -> DataFrame:
+    """Edges (a, b) within the signature distance that join what a key's members form beside its star.
+
+    Members that are close to the star are one tree already.  The others of the key are compared where they are, with them
+    and among themselves; a spanning forest leaves the task, so what comes out grows with the members and not with their
+    pairs.  A crowded key is cut into blocks, each pair of which is a piece of work, so no key is one task.
     """
-    masks = key_masks(plan, k)
-    members = buckets.join(open_.select("key").distinct(), "key", "left_semi").join(at, "cls")
-    size = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 and lo <> hi")
-    rows = members.join(size.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key").join(open_, ["key", "cls"], "left")
-    rows = rows.join(reps.select("cls", "sig"), "cls").withColumn("b", F.pmod("cls", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sides = rows.where("open").select("key", "no", F.col("b").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"), "cls", "comp", "sig")
-    sides = sides.unionByName(rows.select("key", "no", F.col("other").alias("x"), F.col("b").alias("y"), F.lit(False).alias("asks"), "cls", "comp", "sig"))
-    parts = max(256, reps.count() // 500)  # pieces of work go to parts by hash; a part holds many small ones
+    held = buckets.join(close.select(F.col("a").alias("m"), F.col("b").alias("cls"), F.lit(False).alias("open")), ["m", "cls"], "left")
+    held = scratch.write(held.select("key", "cls", F.coalesce("open", F.lit(True)).alias("open")), "held")
+    size = held.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = held.join(size, "key").join(reps.select("cls", "sig"), "cls")
+    parts = max(256, reps.count() // 500)  # a part holds many small pieces of work
+    schema = "a long, b long"
 
     def compare(group):
         import pyarrow as pa
 
-        key, no, x, y, cls, comp = (group.column(c).to_numpy() for c in ("key", "no", "x", "y", "cls", "comp"))
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        key, x, y, b, cls = (group.column(c).to_numpy() for c in ("key", "x", "y", "b", "cls"))
+        is_open = group.column("open").to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, k)
-        order = np.lexsort((asks, y, x, key))
-        cut = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]))
-        out_a, out_b = [], []
-        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
-            own = order[lo:hi]
-            n = int(np.count_nonzero(asks[own]))
-            if not n or n == hi - lo:
-                continue
-            them, us = own[: hi - lo - n], own[hi - lo - n :]
-            for i in us:
-                j = them[comp[them] != comp[i]]
-                differ = sig[j] != sig[i]
-                near = differ.sum(axis=1) <= limit
-                if not near.any():
-                    continue
-                first = (differ[near].astype(np.float32) @ masks.T == 0).argmax(axis=1)
-                j = j[near][first == no[i]]
-                out_a.append(np.minimum(cls[i], cls[j]))
-                out_b.append(np.maximum(cls[i], cls[j]))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
-
-    found = sides.withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(parts))).groupBy("part").applyInArrow(compare, "a long, b long")
-    return found.groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one")
-
-
-def _class_texts(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str):
-    """A function of class ids that gives (cls, t): one text per class."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-
-    def of(ids: DataFrame) -> DataFrame:
-        wanted = reps.select("cls", "id", "s1", "s2").join(ids, "cls", "left_semi")
-        found = rows.join(wanted, "id")
-        # Rows of one id may hold several texts: the one of the class has its set's hash.
-        return found.select("cls", "t", "s1", "s2")
-
-    return of
-
-
-def _verify(pairs: DataFrame, texts, words: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked): the exact similarity of the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    own = texts(ids)
+        order, cuts = _cuts(key, x, y)
+        edges: set[tuple[int, int]] = set()
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            at = order[lo:hi]
+            tree = np.where(is_open[at], np.arange(len(at)), -1)  # -1: the star's
+            side, own = b[at], sig[at]
+            for i in np.flatnonzero(is_open[at]).tolist():
+                other = np.flatnonzero(tree != tree[i])
+                if x[at[0]] != y[at[0]]:
+                    other = other[side[other] != side[i]]
+                near = other[(own[other] != own[i]).sum(axis=1) <= limit]
+                for j in near.tolist():
+                    if tree[j] != tree[i]:
+                        p, q = int(cls[at[i]]), int(cls[at[j]])
+                        edges.add((min(p, q), max(p, q)))
+                        tree[tree == max(tree[i], tree[j])] = min(tree[i], tree[j])
+        a, c = ([e[n] for e in edges] for n in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+
+    return _in_units(rows, "key", "cls", parts).groupBy("part").applyInArrow(compare, schema).groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one")
+
+
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int, chunk: int = 2048) -> np.ndarray:
+    """left x right (or left x left): is den * intersection >= num * union? Sets are sorted arrays of distinct hashes."""
+    both = left if right is None else left + right
+    size, n = np.array([len(s) for s in both], np.int64), len(left)
+    many = len(both) > 12
+    if many:
+        values = np.concatenate(both)
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(both)), size)
+        shared = count[column] > 1
+        number = np.cumsum(count > 1) - 1
+        owner, column = owner[shared], number[column[shared]]
+        by = np.argsort(column, kind="stable")
+        owner, column = owner[by], column[by]
+        common = np.zeros((n, len(both) if right is None else len(right)))
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
+            a, b = np.searchsorted(column, [at, at + chunk])
+            m = np.zeros((len(both), chunk), np.float32)
+            m[owner[a:b], column[a:b] - at] = 1
+            common += m[:n] @ (m if right is None else m[n:]).T
+        common = common.astype(np.int64)
+    else:
+        right_ = left if right is None else right
+        common = np.array([[len(np.intersect1d(p, q, assume_unique=True)) for q in right_] for p in left], np.int64).reshape(n, len(right_))
+    total = size[:n, None] + (size if right is None else size[n:])[None, :]
+    return (common > 0) & (den * common >= num * (total - common))
+
+
+def least_labels(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least number that each row (of a) and column (of b) reaches over the links."""
+    lo, hi, none = a.copy(), b.copy(), np.iinfo(np.int64).max
+    rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    m = linked[np.ix_(rows, cols)]
+    while m.size:
+        new_hi = np.minimum(hi[cols], np.where(m, lo[rows][:, None], none).min(0))
+        new_lo = np.minimum(lo[rows], np.where(m, new_hi[None, :], none).min(1))
+        if (new_lo == lo[rows]).all() and (new_hi == hi[cols]).all():
+            break
+        lo[rows], hi[cols] = new_lo, new_hi
+    return lo, hi
+
+
+def _exact(scratch: Scratch, docs: DataFrame, reps: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, block: int, block_bytes: int) -> DataFrame:
+    """(cls, label, whole): the least class that a class reaches by exact links; whole tells that it is final.
+
+    The members of a group meet once with their full sets and are compared there; labels leave the task, never pairs.  A
+    group of more than a block is cut: each pair of blocks is a piece of work of its own, whose labels are edges.
+    """
+    sized = groups.join(reps.select("cls", "id", "s1", "s2", "n"), "cls")
+    cut = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks")).where("blocks > 1")
+    wanted = scratch.write(sized.join(cut, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "wanted")
+    asked = wanted.select("id", "s1", "cls", "grp", "blocks").hint("merge")  # grows with the documents: the same plan at every size
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(asked, "id")
 
-    def right_set(batches):
+    def full_sets(batches):
         import pyarrow as pa
 
-        for t in batches:
-            keep = []
-            for text, s1 in zip(t.column(1), t.column(2).to_pylist(), strict=True):
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                _, s = shingle_hashes(data, np.array([0, len(data)]), words)
+        for batch in batches:
+            s1 = batch.column(2).to_numpy()
+            for at, data, offs in text_slices(batch, 1):
+                d, s = shingle_hashes(data, offs, words)
+                total = np.zeros(len(offs) - 1, np.uint64)
                 with np.errstate(over="ignore"):
-                    keep.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == s1 if len(s) else False)
-            yield t.filter(pa.array(keep, pa.bool_())).select(["cls", "t"])
-
-    own = own.mapInArrow(right_set, "cls long, t string").dropDuplicates(["cls"])
+                    np.add.at(total, d, mix(s))
+                # Rows of one id may hold several texts: that of the class has its set's hash.
+                right = total.view(np.int64) == s1[at]
+                ends = np.searchsorted(d, np.arange(len(offs) - 1), side="right")
+                begins = np.concatenate([[0], ends[:-1]])
+                blobs = [s[i:j].tobytes() if ok else None for i, j, ok in zip(begins.tolist(), ends.tolist(), right.tolist(), strict=True)]
+                part = batch.slice(at.start, len(blobs)).select(["cls", "grp", "blocks"])
+                out = pa.RecordBatch.from_arrays([*part.columns, pa.array(blobs, pa.binary())], names=["cls", "grp", "blocks", "set"])
+                yield out.filter(pa.array(right))
+
+    sets = rows.select("id", "t", "s1", "cls", "grp", "blocks").mapInArrow(full_sets, "cls long, grp long, blocks int, set binary")
+    total = wanted.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0)), F.count("*")).first()
+    parts = int(max(48, -(-total[0] * 8 // block_bytes), total[1] // 2000))
 
-    def test(batches):
+    def compare(group):
         import pyarrow as pa
 
-        held, value = None, frozenset()
-        for t in batches:
-            a, b, out = t.column(0), t.column(1), []
-            for key, x, y in zip(a.to_pylist(), t.column(2), t.column(3), strict=True):
-                if key != held:
-                    held, value = key, word_set(x.as_py(), words)
-                other = word_set(y.as_py(), words)
-                both = len(value & other)
-                out.append(den * both >= num * (len(value) + len(other) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(out, pa.bool_())], names=["a", "b", "linked"])
-
-    x, y = own.select(F.col("cls").alias("b"), F.col("t").alias("tb")), own.select(F.col("cls").alias("a"), F.col("t").alias("ta"))
-    return pairs.join(x, "b").join(y, "a").select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long, linked boolean")
+        grp, x, y, b, cls, blocks = (group.column(c).to_numpy() for c in ("grp", "x", "y", "b", "cls", "blocks"))
+        blobs = group.column("set")
+        order, cuts = _cuts(grp, x, y, cls)
+        order = order[cuts[:-1]]  # rows that repeat a document are one
+        again, cuts = _cuts(grp[order], x[order], y[order])
+        order = order[again]
+        out_c, out_l, out_w = [], [], []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            at = order[lo:hi]
+            if len(at) < 2:
+                continue
+            mine = [np.frombuffer(blobs[i].as_py(), np.uint64) for i in at.tolist()]
+            if x[at[0]] == y[at[0]]:
+                label, _ = least_labels(linked_pairs(mine, None, num, den), cls[at], cls[at])
+            else:
+                first = b[at] == x[at[0]]
+                label = cls[at].copy()
+                if first.any() and not first.all():
+                    sides = [[s for s, f in zip(mine, first.tolist(), strict=True) if f is want] for want in (True, False)]
+                    label[first], label[~first] = least_labels(linked_pairs(*sides, num, den), cls[at][first], cls[at][~first])
+            keep = label != cls[at]
+            out_c.append(cls[at][keep])
+            out_l.append(label[keep])
+            out_w.append(blocks[at][keep] == 1)
+        c, v, w = (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((out_c, np.int64), (out_l, np.int64), (out_w, bool)))
+        return pa.table({"cls": pa.array(c, pa.int64()), "label": pa.array(v, pa.int64()), "whole": pa.array(w, pa.bool_())})
+
+    return scratch.write(_in_units(sets, "grp", "cls", parts).groupBy("part").applyInArrow(compare, "cls long, label long, whole boolean"), "exact")
+
+
+def _labels(scratch: Scratch, sets: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, s1, s2, n, label) of every class; classes that share an id, whose rows hold several texts, have one label."""
+    pieces = connected_components(scratch, found.where("not whole").select(F.col("cls").alias("a"), F.col("label").alias("b")), "pieces")
+    known = found.where("whole").select("cls", "label").union(pieces.select("id", "component"))
+    label = reps.select("id", "s1", "s2", "n", "cls").join(known, "cls", "left").select("id", "s1", "s2", "n", F.coalesce("label", "cls").alias("label"))
+    label = scratch.write(label, "label")
+    # Ids whose rows hold several texts.
+    several = sets.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi").select("id")
+    shared = sets.join(several, "id").join(label.drop("id"), ["s1", "s2", "n"]).select("id", "label").distinct()
+    shared = scratch.write(shared, "shared")
+    if shared.isEmpty():
+        return label
+    edges = shared.join(shared.groupBy("id").agg(F.min("label").alias("b")), "id").select(F.col("label").alias("a"), "b")
+    merged = connected_components(scratch, edges, "merged").select(F.col("id").alias("label"), "component")
+    return scratch.write(label.join(merged, "label", "left").select("id", "s1", "s2", "n", F.coalesce("component", "label").alias("label")), "merged")
