@@ -1,25 +1,27 @@
-"""Exact repeats across documents, by longest-previous-factor arrays over a sampled suffix order.
+"""Exact repeats across documents, by longest-previous-factor arrays over the suffixes that can repeat.
 
-A byte goes if a string of min_bytes bytes that covers it also starts in a document with a smaller id.  Three passes:
+A byte goes if a string of min_bytes bytes that covers it also starts in a document with a smaller id.
 
-1. Anchors.  Every window of min_bytes bytes chooses the least hash among its k-grams (the leftmost, if several tie), so
-   equal windows choose equal anchors at equal places.  The windows of one anchor follow each other: an entry is (hash of
-   the anchor, document, first window, number of windows).  Entries go to the part that their hash names, and those whose
-   hash occurs in two documents or more come back to their documents.
-2. Suffixes.  Those entries take the bytes of their windows to the part of their hash.  Entries of equal bytes are one
-   class, of which all but the first document's are repeats.  The classes that share an anchor are put in suffix order:
-   their suffixes are sorted, neighbours give the longest common prefixes, and the previous and next suffix of an
-   earlier document tell the longest previous factor.  A suffix repeats if that factor has min_bytes bytes.
-3. Documents.  The repeats come back to their documents, which drop the bytes they cover.
+1. Contexts.  Every window of min_bytes bytes chooses the least hash among its k-grams (the leftmost, if several tie), its
+   anchor, so equal windows choose equal anchors at equal places.  Windows that follow each other with one anchor form a
+   context.  Documents are dealt into slices; a slice sends each context that it holds once, as a fingerprint (64 bits of
+   the anchor, 64 of the context) with its smallest document, to the part that its anchor names: a passage that stands in
+   every document is one entry a slice.
+2. Answers.  A part tells the slices where an equal context has an earlier document, which is all that a copied passage
+   needs.  Where one anchor has several contexts of different documents, it asks the earliest document of each for the bytes.
+3. Suffixes.  The bytes of those contexts meet in the part of their anchor and are put in suffix order.  Neighbours give the
+   longest common prefixes; the previous and the next suffix of an earlier document give the longest previous factor of
+   each suffix (counted up to min_bytes: longer ones change nothing).  A window whose factor has min_bytes bytes is a repeat.
+4. Documents drop the bytes that answers and suffixes cover.
 
-Anchors and suffixes travel in packed binary rows, one per slice of text and part, so that a frequent passage is a longer
-row and not a crowded key; parts hold about part_bytes of text each, however large the corpus.
+What travels is packed in binary rows, one per slice and part; slices hold about part_bytes of text, however large the
+corpus.  Contexts of one anchor are told apart by 64 bits; all else is compared byte by byte.
 
 Texts are their UTF-8 bytes (null: empty).  Matches never cross documents; strings are judged on the input.
 
 Defined results: rows that repeat an id are documents of one id, which never match each other; a null id takes no part
-(nothing is removed from it or because of it); an empty table gives no rows; columns named in ``keep`` come through, except those named like
-the ones added, which are replaced.
+(nothing is removed from it or because of it); an empty table gives no rows; columns named in ``keep`` come through whatever
+their names, except those named like the ones added, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,18 +32,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, Scratch, text_slices
+from .common import PrefixHash, Scratch, mix, text_slices
 
 GRAM = 20
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:bigint,end:bigint>>, kept_text string"
 
 
-def owned_windows(data: np.ndarray, offs: np.ndarray, min_bytes: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, document, first window, windows) for all windows within single documents; windows count from the document's start."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def contexts(data: np.ndarray, offs: np.ndarray, min_bytes: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, context hash, document, first window, windows) of all contexts; windows count from the document's start."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(data) < min_bytes:
         return none
-    h = PrefixHash(data).grams(gram)
+    prefix = PrefixHash(data)
+    h = prefix.grams(gram)
     bits = np.uint64(int(len(h)).bit_length())
     key = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
     span, wide = 1, min_bytes - gram + 1
@@ -63,7 +66,7 @@ def owned_windows(data: np.ndarray, offs: np.ndarray, min_bytes: int, gram: int)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(p)))
     start = p[first]
-    return h[a[first]], doc[start], start - offs[doc[start]], n
+    return h[a[first]], prefix(start, start + n + min_bytes - 1), doc[start], start - offs[doc[start]], n
 
 
 def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,51 +81,67 @@ def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def repeats_earlier(lcp: np.ndarray, rank: np.ndarray, m: int) -> np.ndarray:
-    """In suffix order: is there a smaller rank before or after with a common prefix of m?
+def previous_factors(lcp: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """In suffix order: the longest common prefix of each suffix with one of a smaller rank.
 
-    The common prefix with the previous (next) smaller rank is the least lcp on the way, so the longest previous factor
-    reaches m exactly if a smaller rank lies in the same run of lcp >= m, on either side.
+    That is the greater of those with the previous and the next smaller rank, and the prefix shared with either is the least
+    lcp on the way.  Each suffix follows the pointers of those that it meets, so ways double from round to round.
     """
-    n = len(rank)
-    if not n:
-        return np.zeros(0, bool)
-    run = np.cumsum(np.concatenate([[True], lcp[1:] < m])) - 1
-    wide = np.int64(rank.max()) + 1
-    before = np.minimum.accumulate(rank + (run[-1] - run) * wide) - (run[-1] - run) * wide
-    after = (np.minimum.accumulate((rank + run * wide)[::-1])[::-1]) - run * wide
-    return (before < rank) | (after < rank)
 
+    def towards(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """common[i]: prefix that i shares with i - 1 (0 for the first)."""
+        at, best = np.arange(len(rank)) - 1, common.copy()
+        todo = np.flatnonzero((at >= 0) & (rank[at] >= rank))
+        while len(todo):
+            via = at[todo]
+            best[todo], at[todo] = np.minimum(best[todo], best[via]), at[via]
+            todo = todo[(at[todo] >= 0) & (rank[at[todo]] >= rank[todo])]
+        best[at < 0] = 0
+        return best
+
+    after = np.append(lcp[1:], 0)
+    return np.maximum(towards(rank, lcp), towards(rank[::-1], after[::-1])[::-1])
+
+
+def _find(keys: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each pair of asked its place among the distinct pairs of keys, or -1."""
+    with np.errstate(over="ignore"):
+        k, q = (mix(x ^ (y * np.uint64(0x9E3779B97F4A7C15))) for x, y in (keys, asked))
+    order = np.argsort(k, kind="stable")
+    k, at, out = k[order], np.searchsorted(k[order], q), np.full(len(q), -1)
+    todo = np.flatnonzero(at < len(k))
+    while len(todo):
+        todo = todo[k[at[todo]] == q[todo]]
+        place = order[at[todo]]
+        hit = (keys[0][place] == asked[0][todo]) & (keys[1][place] == asked[1][todo])
+        out[todo[hit]] = place[hit]
+        todo = todo[~hit]
+        at[todo] += 1
+        todo = todo[at[todo] < len(k)]
+    return out
 
-def longest_previous_factors(text: bytes) -> tuple[list[int], list[int]]:
-    """(length, place) of the longest factor that begins earlier, for each position: the whole array, for short texts.
 
-    Previous and next smaller positions in suffix order are linked through a list from which positions go, largest first.
-    """
-    n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-    place = [0] * n
-    for k, i in enumerate(order):
-        place[i] = k
-    up, down = [order[place[i] - 1] if place[i] else -1 for i in range(n)], [order[place[i] + 1] if place[i] + 1 < n else -1 for i in range(n)]
-
-    def common(i: int, j: int) -> int:
-        k = 0
-        while j >= 0 and max(i, j) + k < n and text[i + k] == text[j + k]:
-            k += 1
-        return k
-
-    length, where = [0] * n, [-1] * n
-    for i in range(n - 1, -1, -1):
-        a, b = up[i], down[i]
-        length[i], where[i] = max((common(i, a), a), (common(i, b), b))
-        if not length[i]:
-            where[i] = -1
-        if a >= 0:
-            down[a] = b
-        if b >= 0:
-            up[b] = a
-    return length, where
+def _classes(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each pair, a row of each class)."""
+    order = np.lexsort((c, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+    cls = np.empty(len(h), np.int64)
+    cls[order] = np.cumsum(new) - 1
+    return cls, order[new]
+
+
+def _runs(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans (row, a, b) with those that meet or overlap joined."""
+    order = np.lexsort((a, rows))
+    rows, a, b = rows[order], a[order], b[order]
+    new = np.ones(len(rows), bool)
+    wide = np.int64(b.max(initial=0) + 1)
+    start = np.cumsum(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    end = np.maximum.accumulate(b + start * wide) - start * wide  # within a row, as rows are far apart
+    new[1:] = (rows[1:] != rows[:-1]) | (a[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    return rows[first], a[first], end[np.append(first[1:], len(rows)) - 1] if len(rows) else end
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -155,10 +174,17 @@ def _by(target: np.ndarray):
         yield int(t[a]), order[a:b]
 
 
-def _rows(names: str, keys: list[int], blobs: list[bytes]):
+def _rows(keys: list[int], blobs: list[bytes], whole: list[bool] | None = None):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=names.split())
+    cols = [pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())] + ([] if whole is None else [pa.array(whole, pa.bool_())])
+    return pa.RecordBatch.from_arrays(cols, names=["part", "blob", "whole"][: len(cols)])
+
+
+def _table(batch):
+    import pyarrow as pa
+
+    return pa.Table.from_batches([batch])
 
 
 def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -172,177 +198,169 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, min_bytes: int = 50, id_co
 
     kept_text is what is left as text: of a character that is removed in part, no byte stays.
     """
-    gram = min(GRAM, max(1, min_bytes // 2))
-    wide = min_bytes - 1
-    text = F.col(text_col).cast("string")
+    gram, wide = min(GRAM, max(1, min_bytes // 2)), min_bytes - 1
+    text, doc = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = int(max(48, -(-total // part_bytes)))
-    # row names a document and its text; equal rows have equal results.
-    named = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_text": text, "_row": F.xxhash64(F.col(id_col).cast("long"), text)}).withColumn("_part", F.pmod("_row", F.lit(parts)).cast("int"))
-
-    def anchors(batches):
-        for batch in batches:
-            valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(0).to_numpy()
-            names = batch.column(1).to_numpy()
-            for rows, data, offs in text_slices(batch, 2):
-                h, d, p, n = owned_windows(data, offs, min_bytes, gram)
-                ok = valid[rows][d]
-                h, d, p, n = h[ok], d[ok], p[ok], n[ok]
-                keys, blobs = [], []
-                for part, at in _by((h % np.uint64(parts)).astype(np.int64)):
-                    own, local = np.unique(d[at], return_inverse=True)
-                    keys.append(part)
-                    blobs.append(_pack(ids[rows][own], names[rows][own], h[at], local.astype(np.uint32), p[at].astype(np.uint32), n[at].astype(np.uint8 if wide < 256 else np.uint32)))
-                yield _rows("part blob", keys, blobs)
-
-    count = "<u1" if wide < 256 else "<u4"
-    entry = ("<i8", "<i8", "<u8", "<u4", "<u4", count)
-
-    def gathered(group) -> list[np.ndarray]:
-        cols = [[] for _ in range(6)]
-        for blob in group.column("blob"):
-            ids, names, h, local, p, n = _unpack(blob.as_py(), entry)
-            for c, x in zip(cols, (ids[local], names[local], h, p, n), strict=False):
-                c.append(x)
-        return [np.concatenate(c) for c in cols[:5]]
+    # _row names a document and its text; equal rows have equal results. The slice follows from it.
+    row = F.xxhash64(doc, text)
+    texts = docs.where(doc.isNotNull()).select(doc.alias("_doc"), row.alias("_row"), text.alias("_text"), F.pmod(row, F.lit(parts)).cast("int").alias("_part"))
+    packed = "part int, blob binary"
 
-    def repeated(group):
-        import pyarrow as pa
-
-        ids, names, h, p, n = gathered(group)
-        order = np.argsort(h, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        size = np.diff(np.append(cut, len(h)))
-        low, high = np.minimum.reduceat(ids[order], cut), np.maximum.reduceat(ids[order], cut)
-        at = order[np.repeat(low != high, size)]
+    def entries(table):
+        """(document ids, row names, bytes, offsets, contexts) of the distinct rows of a slice, a piece at a time."""
+        seen: set[int] = set()
+        for batch in table.combine_chunks().to_batches():
+            ids, names = batch.column("_doc").to_numpy(), batch.column("_row").to_numpy()
+            for rows, data, offs in text_slices(batch, batch.schema.get_field_index("_text")):
+                fresh = np.array([n not in seen and not seen.add(n) for n in names[rows].tolist()], bool)
+                found = contexts(data, offs, min_bytes, gram)
+                if not fresh.all():
+                    found = tuple(x[fresh[found[2]]] for x in found)
+                yield ids[rows], names[rows], data, offs, found
+
+    def sent(table):
+        """Each context of a slice once, with its smallest document."""
+        h, c, ids = ([np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64))
+        for own, _, _, _, (anchor, hashed, d, _, _) in entries(table):
+            h.append(anchor), c.append(hashed), ids.append(own[d])
+        h, c, ids = np.concatenate(h), np.concatenate(c), np.concatenate(ids)
+        cls, some = _classes(h, c)
+        low = np.full(len(some), np.iinfo(np.int64).max)
+        np.minimum.at(low, cls, ids)
+        h, c, source = h[some], c[some], table.column("_part")[0].as_py()
         keys, blobs = [], []
-        for part, rows in _by(names[at] % parts):
-            rows = at[rows]
-            own, local = np.unique(names[rows], return_inverse=True)
+        for part, at in _by((h % np.uint64(parts)).astype(np.int64)):
             keys.append(part)
-            blobs.append(_pack(own, local.astype(np.uint32), h[rows], p[rows].astype(np.uint32), n[rows]))
-        return pa.table({"part": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    found = named.select("_doc", "_row", "_text").mapInArrow(anchors, "part int, blob binary").groupBy("part").applyInArrow(repeated, "part int, blob binary")
-    found = scratch.write(found, "anchors")
+            blobs.append(_pack(np.array([source], np.int32), h[at], c[at], low[at]))
+        return _rows(keys, blobs)
 
-    def wanted(group, kinds: tuple[str, ...], n: int) -> list[np.ndarray]:
-        """Packed entries of a part, each with its document's name first, sorted by that."""
-        cols = [[] for _ in range(n)]
+    def answers(group):
+        """To slices: contexts with an earlier document elsewhere, and those whose bytes are asked for."""
+        cols = [[], [], [], []]
         for blob in group.column("blob"):
-            own, local, *rest = _unpack(blob.as_py(), kinds)
-            for c, x in zip(cols, (own[local], *rest), strict=True):
-                c.append(x)
-        out = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-        order = np.argsort(out[0], kind="stable")
-        return [x[order] for x in out]
-
-    def contexts(left, right):
-        import pyarrow as pa
-
-        names, h, p, n = wanted(right, ("<i8", "<u4", "<u8", "<u4", count), 4)
+            source, h, c, low = _unpack(blob.as_py(), ("<i4", "<u8", "<u8", "<i8"))
+            for z, x in zip(cols, (np.repeat(source, len(h)), h, c, low), strict=True):
+                z.append(x)
+        source, h, c, low = (np.concatenate(z) for z in cols)
+        order = np.lexsort((low, c, h))
+        source, h, c, low = (x[order] for x in (source, h, c, low))
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+        cls, anchor = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
+        first = low[new_c]  # of each class: rows are sorted by it
+        begin = np.flatnonzero(new_h)
+        lo, hi = np.minimum.reduceat(low, begin), np.maximum.reduceat(first[cls], begin)
+        asked = (lo[anchor] < hi[anchor]) & (low == first[cls])
+        at = np.flatnonzero(asked | (low > first[cls]))
         keys, blobs = [], []
-        table = left.combine_chunks()
-        seen: set[int] = set()
-        for batch in table.to_batches():
-            row_names, ids = batch.column(1).to_numpy(), batch.column(0)
-            for rows, data, offs in text_slices(batch, 2):
-                take, start, doc = [], [], []
-                for i, name in enumerate(row_names[rows].tolist()):
-                    a, b = np.searchsorted(names, [name, name + 1]) if name < np.iinfo(np.int64).max else (np.searchsorted(names, name), len(names))
-                    if a == b or name in seen:
-                        continue
-                    seen.add(name)
-                    take.append(np.arange(a, b))
-                    start.append(offs[i] + p[a:b].astype(np.int64))
-                    doc.append(np.full(b - a, i))
-                if not take:
-                    continue
-                take, start, doc = np.concatenate(take), np.concatenate(start), np.concatenate(doc)
-                id_of, name_of = ids.slice(rows.start, len(offs) - 1).fill_null(0).to_numpy(), row_names[rows]
-                for part, at in _by((h[take] % np.uint64(parts)).astype(np.int64)):
-                    own, local = np.unique(doc[at], return_inverse=True)
-                    lens = n[take[at]].astype(np.int64) + wide
-                    keys.append(part)
-                    blobs.append(_pack(id_of[own], name_of[own], h[take[at]], local.astype(np.uint32), p[take[at]], n[take[at]], data[_ranges(start[at], lens)]))
-        return pa.table({"part": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        for part, rows in _by(source[at]):
+            rows = at[rows]
+            keys.append(part)
+            blobs.append(_pack(h[rows], c[rows], first[cls[rows]], asked[rows].astype(np.uint8)))
+        return _rows(keys, blobs)
+
+    answered = texts.groupBy("_part").applyInArrow(lambda t: _table(sent(t)), packed).groupBy("part").applyInArrow(lambda t: _table(answers(t)), packed)
+    answered = scratch.write(answered, "answers")
+
+    def applied(left, right):
+        """Spans of a slice's documents that answers cover (whole), and the contexts asked for, to their parts."""
+        cols = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.uint8)]
+        for blob in right.column("blob"):
+            for z, x in zip(cols, _unpack(blob.as_py(), ("<u8", "<u8", "<i8", "<u1")), strict=True):
+                z.append(x)
+        known_h, known_c, known_low, known_asked = (np.concatenate(z) for z in cols)
+        pieces = list(entries(left)) if left.num_rows else []
+        if not pieces:
+            return _rows([], [], [])
+        source = left.column("_part")[0].as_py()
+        h, c = np.concatenate([x[4][0] for x in pieces]), np.concatenate([x[4][1] for x in pieces])
+        ids, names = (np.concatenate([x[k][x[4][2]] for x in pieces]) for k in (0, 1))
+        p, n = (np.concatenate([x[4][k] for x in pieces]) for k in (3, 4))
+        cls, some = _classes(h, c)
+        low, asked = np.full(len(some), np.iinfo(np.int64).max), np.zeros(len(some), bool)
+        np.minimum.at(low, cls, ids)
+        at = _find((known_h, known_c), (h[some], c[some])) if len(known_h) else np.full(len(some), -1)
+        hit = at >= 0
+        asked[hit] = known_asked[at[hit]] > 0
+        low[hit] = np.minimum(low[hit], known_low[at[hit]])
+        later = ids > low[cls]
+        keys, blobs, whole = [], [], []
+        if later.any():
+            keys.append(source)
+            blobs.append(_pack(*_runs(names[later], p[later], p[later] + n[later] + wide)))
+            whole.append(True)
+        wanted = np.flatnonzero(asked[cls] & (ids == low[cls]))
+        starts = np.cumsum([0, *(len(x[4][0]) for x in pieces)])
+        piece = np.searchsorted(starts, wanted, side="right") - 1
+        for part, rows in _by((h[wanted] % np.uint64(parts)).astype(np.int64)):
+            row, of = wanted[rows], piece[rows]
+            raw = []
+            for k in np.unique(of).tolist():
+                _, _, data, offs, (_, _, d, start, count) = pieces[k]
+                own = row[of == k] - starts[k]
+                raw.append(data[_ranges(offs[d[own]] + start[own], count[own] + wide)])
+            keys.append(part)
+            blobs.append(_pack(np.array([source], np.int32), h[row], c[row], ids[row], names[row], p[row], n[row], np.concatenate(raw)))
+            whole.append(False)
+        return _rows(keys, blobs, whole)
 
-    def factors(group):
-        """The repeats among the entries of one part."""
-        import pyarrow as pa
+    spread = texts.groupBy("_part").cogroup(answered.groupBy("part")).applyInArrow(lambda a, b: _table(applied(a, b)), packed + ", whole boolean")
+    spread = scratch.write(spread, "spread")
+    scratch.drop("answers")
 
-        cols, texts = [[] for _ in range(5)], []
+    def factors(group):
+        """The repeats that suffix order tells, to the slices of their documents."""
+        cols, raws = [[] for _ in range(7)], []
         for blob in group.column("blob"):
-            ids, names, h, local, p, n, data = _unpack(blob.as_py(), (*entry, "<u1"))
-            for c, x in zip(cols, (ids[local], names[local], h, p, n.astype(np.int64)), strict=True):
-                c.append(x)
-            raw, ends = data.tobytes(), np.cumsum(n.astype(np.int64) + wide)
-            texts += [raw[e - m - wide : e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-        ids, names, h, p, n = (np.concatenate(c) for c in cols)
-        classes: dict[bytes, int] = {}
-        cls = np.array([classes.setdefault(t, len(classes)) for t in texts], np.int64)
-        first = np.full(len(classes), np.iinfo(np.int64).max)
-        np.minimum.at(first, cls, ids)
-        later = ids > first[cls]
-        out = [(names[later], p[later].astype(np.int64), p[later].astype(np.int64) + n[later] + wide)]
-        # Classes that share their anchor with another.
-        key = np.zeros(len(classes), np.uint64)
-        key[cls] = h
-        same = np.unique(key, return_counts=True, return_inverse=True)
-        several = np.flatnonzero(same[2][same[1]] > 1)
-        if len(several):
-            kept = list(classes)
-            windows, owner = [], []
-            for c in several.tolist():
-                t = np.frombuffer(kept[c], np.uint8)
-                w = np.lib.stride_tricks.sliding_window_view(t, min_bytes)
-                windows.append(w), owner.append(np.full(len(w), c))
-            windows, owner = np.concatenate(windows), np.concatenate(owner)
-            order, lcp = suffix_order(windows)
-            rank = np.searchsorted(np.unique(first[several]), first)
-            hit = np.zeros(len(owner), bool)
-            hit[order] = repeats_earlier(lcp, rank[owner[order]].astype(np.int64), min_bytes)
-            begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(classes)))])
-            # The first document's entries of a class with hits drop those windows.
-            any_hit = np.zeros(len(classes), bool)
-            any_hit[owner[hit]] = True
-            for e in np.flatnonzero(any_hit[cls] & ~later).tolist():
-                w = np.flatnonzero(hit[begin[cls[e]] : begin[cls[e] + 1]]) + int(p[e])
-                cut = np.flatnonzero(np.concatenate([[True], w[1:] > w[:-1] + 1]))
-                out.append((np.full(len(cut), names[e]), w[cut], w[np.append(cut[1:], len(w)) - 1] + min_bytes))
-        names, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            source, *rest, raw = _unpack(blob.as_py(), ("<i4", "<u8", "<u8", "<i8", "<i8", "<i8", "<i8", "<u1"))
+            for z, x in zip(cols, (np.repeat(source, len(rest[0])), *rest), strict=True):
+                z.append(x)
+            raws.append(raw)
+        source, h, c, ids, names, p, n = (np.concatenate(z) for z in cols)
+        raw, ends = np.concatenate(raws), np.cumsum(n + wide)
+        cls, some = _classes(h, c)  # owners of one context send it each
+        starts = ends[some] - n[some] - wide
+        count = n[some]
+        windows = np.lib.stride_tricks.sliding_window_view(raw, min_bytes)[_ranges(starts, count)]
+        owner = np.repeat(np.arange(len(some)), count)
+        order, lcp = suffix_order(windows)
+        hit = np.zeros(len(owner), bool)
+        hit[order] = previous_factors(lcp, ids[some][owner[order]]) >= min_bytes
+        begin = np.cumsum(count) - count
+        # Every document that owns a context drops the context's hits.
+        at = np.flatnonzero(np.bincount(owner[hit], minlength=len(some))[cls] > 0)
+        window = _ranges(begin[cls[at]], n[at])
+        entry = np.repeat(at, n[at])
+        place = (_ranges(np.zeros(len(at), np.int64), n[at]) + np.repeat(p[at], n[at]))[hit[window]]
+        entry = entry[hit[window]]
         keys, blobs = [], []
-        for part, rows in _by(names % parts):
-            own, local = np.unique(names[rows], return_inverse=True)
+        for part, rows in _by(source[entry]):
             keys.append(part)
-            blobs.append(_pack(own, local.astype(np.uint32), a[rows].astype(np.uint32), b[rows].astype(np.uint32)))
-        return pa.table({"part": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+            blobs.append(_pack(*_runs(names[entry[rows]], place[rows], place[rows] + min_bytes)))
+        return _rows(keys, blobs)
 
-    texts = named.select("_doc", "_row", "_text", "_part").where("_doc is not null")
-    spread = texts.groupBy("_part").cogroup(found.groupBy("part")).applyInArrow(lambda a, b: contexts(a, b), "part int, blob binary")
-    cuts = scratch.write(spread.groupBy("part").applyInArrow(factors, "part int, blob binary"), "cuts")
-    scratch.drop("anchors")
+    more = spread.where("not whole").select("part", "blob").groupBy("part").applyInArrow(lambda t: _table(factors(t)), packed)
+    cuts = scratch.write(spread.where("whole").select("part", "blob").unionByName(more), "cuts")
+    scratch.drop("spread")
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
     kept_cols = [c for c in dict.fromkeys(keep or [id_col]) if c not in new]
     inner = [f"_k{i}" for i in range(len(kept_cols))]
-    full = named.select(*[F.col(c).alias(i) for c, i in zip(kept_cols, inner, strict=True)], "_row", "_text", "_part")
+    full = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept_cols, inner, strict=True)], row.alias("_row"), text.alias("_text"), F.pmod(row, F.lit(parts)).cast("int").alias("_part"))
 
     def cut_out(left, right):
         import pyarrow as pa
 
-        names, a, b = wanted(right, ("<i8", "<u4", "<u4", "<u4"), 3) if right.num_rows else [np.zeros(0, np.int64)] * 3
-        a, b = a.astype(np.int64), b.astype(np.int64)
+        cols_ = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for blob in right.column("blob"):
+            for z, x in zip(cols_, _unpack(blob.as_py(), ("<i8",) * 3), strict=True):
+                z.append(x)
+        names, a, b = _runs(*(np.concatenate(z) for z in cols_))
         row_names, cols = left.column("_row").to_numpy(), {c: [] for c in new}
-        for name, t in zip(row_names.tolist(), left.column("_text"), strict=True):
+        lo, hi = np.searchsorted(names, row_names).tolist(), np.searchsorted(names, row_names, side="right").tolist()
+        for i, j, t in zip(lo, hi, left.column("_text"), strict=True):
             raw = (t.as_py() or "").encode()
-            i, j = np.searchsorted(names, name), np.searchsorted(names, name, side="right")
-            spans = []
-            if i < j:
-                order = np.argsort(a[i:j], kind="stable")
-                x, y = a[i:j][order], np.maximum.accumulate(b[i:j][order])
-                cut = np.flatnonzero(np.concatenate([[True], x[1:] > y[:-1]]))
-                spans = list(zip(x[cut].tolist(), y[np.append(cut[1:], len(x)) - 1].tolist(), strict=True))
+            spans = list(zip(a[i:j].tolist(), b[i:j].tolist(), strict=True))
             left_over = b"".join(raw[s:e] for s, e in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True)) if spans else raw
             cols["n_bytes"].append(len(raw))
             cols["n_removed"].append(len(raw) - len(left_over))
