@@ -74,13 +74,13 @@ URL_RULES = [("block", "com", "en/"), ("allow", "example.com", "en/7"), ("allow"
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is that of the document that its path numbers; low quality is bad."""
+    """A page's label is that of the document that its path numbers; low quality or toxic is bad."""
     from .url_rules import judge, mine, path_of
 
     pages, labels = _read(spark, sf_dir, "pages").select("page_id", "url"), _read(spark, sf_dir, "labels")
     number = F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})(?:/|\.html)?$", 1)
     numbered = pages.withColumn("doc_id", F.when(number != "", number).cast("long"))
-    labelled = numbered.join(labels, "doc_id").select("url", (F.col("quality") == 0).alias("bad"))
+    labelled = numbered.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return judge(pages, mine(labelled), URL_RULES)
 
 

@@ -1,14 +1,18 @@
 """URL filtering by association rules.
 
-FP-growth (Spark's own) finds the combinations of URL tokens that occur together among labelled pages; a rule "these
-tokens: bad" stays if its support and confidence suffice and no part of it is as sure.  Rules meet all URLs through an
-inverted index: each rule is filed under one of its tokens, so a URL looks at the rules of its own tokens only.
+FP-growth (Spark's own) finds the combinations of URL tokens that occur together among the bad ones of the labelled pages
+that are mined (three quarters of them, by a hash of the url).  A combination is a rule "these tokens: bad" if, among the
+mined pages, it has the support (``min_count``), its confidence is ``min_lift`` times the share of bad pages, and that share lies
+below the lower end of the confidence's interval (``sure`` standard errors, Wilson); if, among the pages that were held
+out, it has some and more of them are bad than that share; and if no part of it is a rule that is as sure.
 
-Fixed host and path rules come first; the longest that fits decides.  The mined rules judge what no fixed rule fits.
+Rules meet all URLs through an inverted index: each rule is filed under the rarest of its tokens, so a URL looks at few
+rules.  Fixed host and path rules come first; the longest that fits decides.  The mined rules judge what no fixed rule fits.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule, so it is allowed;
-repeated rows are judged each on its own; without labels there are no mined rules; an empty table gives no rows; other
-columns are not read.  The number of frequent tokens is at most tokens per url / min_support, whatever the labels.
+repeated rows are judged each on its own and count each among labelled pages; equally sure rules: the greater list of
+tokens is told; without labels there are no mined rules; an empty table gives no rows; other columns are not read.
+Frequent tokens are at most tokens per url / min_support, whatever the labels.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lookup
+
 
 def host_of(url: Column) -> Column:
     at = F.instr(url, "://")
@@ -41,25 +47,47 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(hosts, paths, words))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, most: int = 3, min_count: int = 5) -> DataFrame:
-    """(rule_id, tokens, confidence, n) from labelled(url, bad boolean): combinations of up to ``most`` tokens that mean bad."""
+def frequent(rows: DataFrame, min_count: int, min_support: float, most: int) -> DataFrame:
+    """(tokens, n): sorted combinations of up to ``most`` tokens that min_count of rows(t) hold, and min_support of them."""
     from pyspark.ml.fpm import FPGrowth
 
-    spark = labelled.sparkSession
-    rows = labelled.where("url is not null and bad is not null").select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("t"), "bad")
-    items = rows.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit("!")))).otherwise(F.col("t")).alias("items"))
-    empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, n double")
-    total = items.count()
+    total = rows.count()
     if not total:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min(1.0, min_count / total)), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where("consequent = array('!')").where(F.size("antecedent") <= most)
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * total).alias("n"))
+        return rows.sparkSession.createDataFrame([], "tokens array<string>, n long")
+    model = FPGrowth(itemsCol="t", minSupport=max(min_support, min(1.0, min_count / total))).fit(rows)
+    return model.freqItemsets.where(F.size("items") <= most).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
+
+
+def _hits(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """sets (with their tokens _t) joined with the rules of index (tok, tokens, ...) that they hold."""
+    asked = sets.withColumn("tok", F.explode("_t"))
+    return lookup(asked, index, ["tok"], F.xxhash64("_t")).where(F.size(F.array_except("tokens", "_t")) == 0)
+
+
+def mine(labelled: DataFrame, min_count: int = 5, min_lift: float = 1.5, sure: float = 1.64, most: int = 3, min_support: float = 1e-4) -> DataFrame:
+    """(tok, tokens, confidence, n) from labelled(url, bad boolean): combinations of up to ``most`` tokens that mean bad."""
+    url = F.col("url").cast("string")
+    rows = labelled.where("url is not null and bad is not null").select(tokens_of(host_of(url), path_of(url)).alias("_t"), "bad", (F.pmod(F.xxhash64(url), F.lit(4)) == 0).alias("held"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    bad, held = F.col("bad"), F.col("held")
+    sums = {"n": count(~held), "b": count(~held & bad), "hn": count(held), "hb": count(held & bad)}
+    sets = rows.groupBy("_t").agg(*[v.alias(k) for k, v in sums.items()])
+    n, b = sets.agg(F.sum("n"), F.sum("b")).first()
+    base = b / n if n else 0.0
+    found = frequent(rows.where(bad & ~held).select(F.col("_t").alias("t")), min_count, min_support, most).select("tokens")
+    # Filed under the token that the fewest pages hold.
+    share = sets.select(F.explode("_t").alias("tok"), "n").groupBy("tok").agg(F.sum("n").alias("pages"))
+    filed = found.withColumn("tok", F.explode("tokens")).join(share, "tok").groupBy("tokens").agg(F.min(F.struct("pages", "tok"))["tok"].alias("tok"))
+    counted = _hits(sets, filed).groupBy("tok", "tokens").agg(*[F.sum(k).alias(k) for k in sums])
+    p, z = F.col("b") / F.col("n"), float(sure)
+    low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
+    rules = counted.where((F.col("b") >= min_count) & (p >= min_lift * base) & (low > base) & (F.col("hb") > base * F.col("hn")))
+    rules = rules.select("tok", "tokens", p.alias("confidence"), "n")
     # A rule goes if a part of it is a rule that is as sure: it would add nothing.
-    parts = rules.select("tokens", "confidence", F.explode("tokens").alias("tok")).alias("a")
-    other = rules.select(F.col("tokens").alias("o"), F.col("confidence").alias("oc"), F.explode("tokens").alias("tok")).alias("b")
-    idle = parts.join(other, "tok").where("size(o) < size(tokens) and size(array_except(o, tokens)) = 0 and oc >= confidence").select("tokens").distinct()
-    return rules.join(idle, "tokens", "left_anti").select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "n")
+    parts = rules.select("tokens", "confidence", F.explode("tokens").alias("t"))
+    other = rules.select(F.col("tokens").alias("o"), F.col("confidence").alias("oc"), F.explode("tokens").alias("t"))
+    idle = parts.join(other, "t").where("size(o) < size(tokens) and size(array_except(o, tokens)) = 0 and oc >= confidence").select("tokens").distinct()
+    return rules.join(idle, "tokens", "left_anti").select("tok", "tokens", "confidence", "n")
 
 
 def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -73,16 +101,16 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 def judge(pages: DataFrame, mined: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, mined): mined is the surest mined rule that fits, else null."""
-    base = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("_url"))
-    base = base.withColumns({"host": F.coalesce(host_of(F.col("_url")), F.lit("")), "path": F.coalesce(path_of(F.col("_url")), F.lit(""))})
-    base = base.withColumns({"_fixed": fixed_rule(F.col("host"), F.col("path"), rules)})
+    url = F.col(url_col).cast("string")
+    base = pages.select(F.col(id_col), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
+    base = base.withColumn("_fixed", fixed_rule(F.col("host"), F.col("path"), rules))
+    # What a fixed rule decides, or has no host, needs no join.
+    open_ = F.col("_fixed").isNull() & (F.col("host") != "")
+    done, asked = base.where(~open_), base.where(open_).withColumn("_t", tokens_of(F.col("host"), F.col("path")))
     # Distinct token sets meet the index once; a host with a third of the pages is one row in the aggregate's partial step.
-    asked = base.where("_fixed is null and host <> ''").withColumn("_t", tokens_of(F.col("host"), F.col("path")))
-    sets = asked.groupBy("_t").agg(F.lit(1).alias("_one")).drop("_one")
-    index = mined.select(F.col("tokens")[0].alias("tok"), "tokens", "confidence")  # a rule under one of its tokens
-    hits = sets.select("_t", F.explode("_t").alias("tok")).join(index, "tok").where(F.size(F.array_except("tokens", "_t")) == 0)
-    best = hits.groupBy("_t").agg(F.max(F.struct("confidence", "tokens")).alias("_best"))
-    out = base.withColumn("_t", F.when(F.col("_fixed").isNull() & (F.col("host") != ""), tokens_of(F.col("host"), F.col("path"))))
-    out = out.join(best, "_t", "left")
-    verdict = F.coalesce(F.col("_fixed.verdict"), F.when(F.col("_best").isNotNull(), "block").otherwise("allow"))
-    return out.select(id_col, "host", "path", F.col("_fixed.rule").alias("rule"), verdict.alias("verdict"), F.array_join("_best.tokens", " ").alias("mined"))
+    best = _hits(asked.select("_t").distinct(), mined).groupBy("_t").agg(F.max(F.struct("confidence", "tokens"))["tokens"].alias("_best"))
+    found = lookup(asked, best, ["_t"], F.xxhash64("path"), "left")
+    block = F.when(F.col("_best").isNotNull(), "block").otherwise("allow")
+    none = F.lit(None).cast("string")
+    done = done.select(id_col, "host", "path", F.col("_fixed.rule").alias("rule"), F.coalesce("_fixed.verdict", F.lit("allow")).alias("verdict"), none.alias("mined"))
+    return done.unionByName(found.select(id_col, "host", "path", none.alias("rule"), block.alias("verdict"), F.array_join("_best", " ").alias("mined")))
