@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline as cp
-from vellum.llm.minhash import word_set
+from .brute import word_set
 
 from .test_texts import brute_repeats, check_packing, odd_documents, whole
 

@@ -10,11 +10,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vellum.llm import mixing, packing, token_file
-from vellum.llm.minhash import chunk_keys, chunk_plan, near_duplicates, shingle_hashes, signatures, threshold_of, word_set
+from vellum.llm.minhash import chunk_keys, chunk_plan, linked_pairs, near_duplicates, shingle_hashes, signatures, threshold_of
 from vellum.llm.quality import classify
-from vellum.llm.suffix import longest_previous_factors, remove_repeats, repeats_earlier, suffix_order
+from vellum.llm.suffix import _find, _runs, previous_factors, remove_repeats, suffix_order
 from vellum.llm.tokens import Encoder, default_path
 
+from .brute import word_set
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part string, block int, key int, kept int"
 
 
@@ -185,22 +187,47 @@ def test_suffix_dedup_on_small_alphabets(spark, texts):
     s.clear()
 
 
-@given(st.binary(max_size=40))
-def test_longest_previous_factors(text):
-    length, where = longest_previous_factors(text)
-    for i in range(len(text)):
-        best = max([next(k for k in range(len(text) - i + 1) if i + k == len(text) or text[j + k] != text[i + k]) for j in range(i)], default=0)
-        assert length[i] == best and (not best or text[where[i] : where[i] + best] == text[i : i + best] and where[i] < i)
-
-
-@given(st.lists(st.tuples(st.text(alphabet="ab", min_size=3, max_size=3), st.integers(0, 4)), max_size=12))
-def test_repeats_in_suffix_order(rows):
-    w = np.array([list(t.encode()) for t, _ in rows], np.uint8).reshape(-1, 3)
+@given(st.lists(st.tuples(st.text(alphabet="ab", min_size=5, max_size=5), st.integers(0, 4)), max_size=25))
+def test_previous_factors_in_suffix_order(rows):
+    w = np.array([list(t.encode()) for t, _ in rows], np.uint8).reshape(-1, 5)
     rank = np.array([r for _, r in rows], np.int64)
     order, lcp = suffix_order(w)
-    hit = np.zeros(len(rows), bool)
-    hit[order] = repeats_earlier(lcp, rank[order], 3)
-    assert hit.tolist() == [any(t == u and s < r for u, s in rows) for t, r in rows]
+    got = np.zeros(len(rows), np.int64)
+    got[order] = previous_factors(lcp, rank[order])
+    common = lambda t, u: next((k for k in range(5) if t[k] != u[k]), 5)
+    assert got.tolist() == [max([common(t, u) for u, s in rows if s < r], default=0) for t, r in rows]
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 20), st.integers(1, 6)), max_size=20))
+def test_runs(spans):
+    rows, a, n = (np.array(x, np.int64) for x in (zip(*spans, strict=True) if spans else ([], [], [])))
+    got = {(r, k) for r, x, y in zip(*(v.tolist() for v in _runs(rows, a, a + n)), strict=True) for k in range(x, y)}
+    assert got == {(r, k) for r, x, m in spans for k in range(x, x + m)}
+
+
+def test_pairs_are_found_among_pairs():
+    rng = np.random.default_rng(1)
+    h, c = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(0, 40, 300).astype(np.uint64)
+    keys = np.unique(np.stack([h, c], axis=1), axis=0)
+    at = _find((keys[:, 0], keys[:, 1]), (h, c))
+    assert (keys[at] == np.stack([h, c], axis=1)).all() and (_find((keys[:5, 0], keys[:5, 1]), (keys[5:, 0], keys[5:, 1])) == -1).all()
+
+
+@pytest.mark.parametrize("part_bytes", [12 << 20, 2000])
+def test_suffix_dedup_of_many_copies(spark, scratch, part_bytes):
+    """A passage in every document, copies with changes and repeated rows over many slices, against brute force."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcd "), rng.integers(2, 7))) for _ in range(40)]
+    line = "this very line stands in each of the documents that there are, word by word"
+    base = [" ".join(rng.choice(words, 60)) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        t = base[i % 6]
+        cut = int(rng.integers(len(t)))
+        rows.append((int(rng.integers(0, 120)), t[:cut] + "#" * int(rng.integers(0, 3)) + t[cut:] + line + "".join(rng.choice(words, 3))))
+    rows += rows[:5]
+    got = remove_repeats(scratch, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), part_bytes=part_bytes).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats([(i, t.encode()) for i, t in rows], 50)
 
 
 def brute_near(rows, num, den, components):
@@ -231,6 +258,35 @@ def test_minhash_on_odd_documents(spark, scratch, components):
     assert {r["doc_id"]: r["n_shingles"] for r in got}[3] == 0
 
 
+@pytest.mark.parametrize("sizes", [{}, {"block": 7}, {"block_bytes": 4000}])
+def test_a_group_just_below_the_similarity(spark, scratch, components, sizes):
+    """Members of one group that are close by signature, of which few are linked; blocks cut the group."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"b{i}" for i in range(100)], []
+    for i in range(40):
+        t = list(base)
+        for j in rng.choice(100, int(rng.integers(1, 4)), replace=False):
+            t[int(j)] = f"x{i % 20}"
+        rows.append((i, " ".join(t)))
+    rows += [(7, "another text of id seven"), (50, "another text of id seven"), (51, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(scratch, docs, **sizes).collect()
+    want = brute_near(rows, 85, 100, components)
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+    assert 1 < len(set(want.values())) < len(want)
+
+
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=1, max_size=30), st.integers(0, 30))
+@settings(deadline=None)
+def test_pairs_are_linked_by_their_sets(sets, cut):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    want = np.array([[2 * len(a & b) >= len(a | b) for b in sets] for a in sets])
+    got = linked_pairs(arrays, None, 1, 2, chunk=4)
+    assert ((got == want) | np.eye(len(sets), dtype=bool)).all()  # a set and itself are nobody's pair
+    if 0 < cut < len(sets):
+        assert (linked_pairs(arrays[:cut], arrays[cut:], 1, 2, chunk=4) == want[:cut, cut:]).all()
+
+
 def test_pigeonhole_and_threshold():
     t = threshold_of(96, 0.85)
     plan = chunk_plan(96, t, 1)
@@ -286,38 +342,84 @@ def test_frame_is_pfair(spark, shares):
         assert all(abs(done[x] - a * (t + 1) / q) < 1 for x, a in shares)
 
 
-def test_mixing(spark, scratch):
-    docs = odd_documents(spark, [(100 + i, "x" * (50 + i % 7), ) for i in range(600)])
-    mixed = mixing.mix(scratch, docs, block_chars=500, weights={"src0": 5, "src1": 3, "src2": 2})
+def brute_mixture(rows, weights, block_chars, frame):
+    """slot of every place (source, at_char) by simulation of all phases and frames. rows: (source, at_char, size)."""
+    import math
+
+    chars = {}
+    for s, at, size in rows:
+        chars[s] = max(chars.get(s, 0), at + size)
+    live = sorted((chars[s] / w, s) for s, w in weights.items() if s in chars)
+    out, slot0, block0, shares = {}, 0, dict.fromkeys(chars, 0), []
+    for p, (to_t, _) in enumerate(live):
+        from_t = live[p - 1][0] if p else 0.0
+        cut = lambda s, t: min(math.floor(weights[s] * t), chars[s])
+        spans = [(s, cut(s, from_t), chars[s] if e <= to_t else cut(s, to_t)) for e, s in live[p:]]
+        spans = [(s, a, b - a) for s, a, b in spans if b > a]
+        total = sum(n for _, _, n in spans)
+        if not total:
+            continue
+        slots = -(-total // block_chars)
+        a = {s: max(1, math.floor(min(slots, frame) * n / total + 0.5)) if len(spans) > 1 else 1 for s, _, n in spans}
+        q = sum(a.values())
+        frames = max(1, math.floor(slots / q + 0.5))
+        at = {(s, k): t for s, k, t in edf(sorted(a.items()))}
+        for s, first, n in spans:
+            for r, place, _ in rows:
+                if r == s and first <= place < first + n:
+                    j = min(math.floor((place - first) / n * (a[s] * frames)), a[s] * frames - 1)
+                    out[s, place] = (block0[s] + j, slot0 + j // a[s] * q + at[s, j % a[s]])
+            block0[s] += a[s] * frames
+        shares.append((slot0, slot0 + q * frames, {s: (first, n) for s, first, n in spans}, total))
+        slot0 += q * frames
+    return out, shares
+
+
+@pytest.mark.parametrize("sizes, block_chars, frame", [((600, 300, 100), 500, 1000), ((900, 50, 7), 300, 10), ((30, 30, 30), 40, 7)])
+def test_mixing_against_a_simulation(spark, scratch, sizes, block_chars, frame):
+    rng = np.random.default_rng(9)
+    rows = [(1000 * i + j, f"src{i}", "x" * int(rng.integers(0, 120))) for i, n in enumerate(sizes) for j in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    weights = {"src0": 5.0, "src1": 3.0, "src2": 2.0}
+    got = mixing.mix(scratch, docs, block_chars=block_chars, frame=frame, weights=weights).collect()
+    assert len(got) == len(rows)
+    places = [(r["source"], r["at_char"], len(r["text"]) + 1) for r in got]
+    want, shares = brute_mixture(places, weights, block_chars, frame)
+    assert {(r["source"], r["at_char"]): (r["block"], r["slot"]) for r in got} == want
+    # At the end of every slot each source has delivered its share of the phase's characters, but for less than one block.
+    for lo, hi, spans, _ in shares:
+        for s, (first, n) in spans.items():
+            own = sorted((slot, place) for (r, place), (_, slot) in want.items() if r == s and lo <= slot < hi)
+            block = n / max(1, len({b for (r, _), (b, slot) in want.items() if r == s and lo <= slot < hi}))
+            for slot, place in own:
+                assert abs((place - first) - n * (slot - lo) / (hi - lo)) < 2 * block  # one block, and the place within it
+
+
+def test_three_equal_sources_stay_within_a_block(spark):
+    n = 10_000 * 65_536
+    parts = mixing.phases(spark.createDataFrame([(s, 1.0, n) for s in "abc"], "source string, w double, chars long"), 65_536)
+    (r,) = parts.groupBy("phase", "q", "frames").agg(F.array_sort(F.collect_list(F.struct("source", "a", "n_chars"))).alias("shares")).collect()
+    assert {x["source"]: x["n_chars"] for x in r["shares"]} == dict.fromkeys("abc", n)
+    order, done = edf([(x["source"], x["a"]) for x in r["shares"]]), dict.fromkeys("abc", 0)
+    assert 29_000 < len(order) * r["frames"] < 31_000
+    for t in range(len(order) * r["frames"]):
+        done[order[t % len(order)][0]] += 1
+        assert all(abs(done[x] - (t + 1) / 3) < 1 for x in done)
+
+
+def test_mixing_of_odd_documents(spark, scratch):
+    docs = odd_documents(spark).withColumns({c: F.lit("own") for c in ("_s", "_t", "_id", "_row", "phase", "a", "_k")})
+    mixed = mixing.mix(scratch, docs, block_chars=500, weights={"src0": 5, "src1": 3, "src2": 0})
     got = mixed.collect()
-    assert len(got) == docs.count() and set(docs.columns) - {"block"} <= set(mixed.columns)
+    assert len(got) == docs.count() and set(docs.columns) <= set(mixed.columns)
+    assert all(r[c] == "own" for r in got for c in ("_s", "_t", "_id", "_row", "phase", "a", "_k"))
     slots = {}
     for r in got:
         slots.setdefault(r["slot"], set()).add((r["source"], r["block"]))
     assert all(len(v) == 1 for v in slots.values())
-    order = [next(iter(slots[t])) for t in sorted(slots)]
-    left = {s: sum(1 for x in order if x[0] == s) for s in {x[0] for x in order}}
-    done = dict.fromkeys(left, 0)
-    for n, (s, b) in enumerate(order, 1):
-        assert b == done[s]
-        done[s] += 1
-        if all(done[x] < left[x] for x in ("src0", "src1", "src2")):
-            assert all(abs(done[x] - w * n / 10) < 1.5 for x, w in (("src0", 5), ("src1", 3), ("src2", 2)))
-    assert order[-1][0] is None  # without a weight: last
-
-
-def test_a_long_phase_keeps_its_shares(spark):
-    n = {"a": 4001, "b": 2503, "c": 997, "d": 89, "e": 1}
-    parts = mixing.phases(spark.createDataFrame([(s, float(x), x) for s, x in n.items()], "source string, w double, n long"))
-    shares = parts.groupBy("phase").agg(F.collect_list(F.struct("source", "a")).alias("shares"), F.collect_list(F.struct("source", "n_blocks")).alias("blocks"))
-    for r in shares.select("blocks", mixing.frame_slots(F.col("shares")).alias("slots")).collect():
-        want = {x["source"]: x["n_blocks"] for x in r["blocks"]}
-        total, done, slots = sum(want.values()), dict.fromkeys(want, 0), [(x["source"], x["k"], x["slot"]) for x in r["slots"]]
-        assert len(slots) == total > 7000
-        for t, (s, k, slot) in enumerate(slots):
-            assert (k, slot) == (done[s], t)
-            done[s] += 1
-            assert all(abs(done[x] * total - want[x] * (t + 1)) < total for x in want)
+    order = [next(iter(slots[t]))[0] for t in sorted(slots)]
+    unweighted = [s for s in order if s in (None, "src2")]
+    assert order[-len(unweighted) :] == unweighted == sorted(unweighted, key=lambda s: "-" if s is None else f"s{s}")
 
 
 def test_mixing_is_native(spark, sf_dir):

@@ -168,10 +168,61 @@ def test_fixed_rules(spark, scratch):
     ]
 
 
+def labelled_urls():
+    rng = np.random.default_rng(3)
+    rows = [(f"http://www.spam{i % 2}.example/buy/{i}", i % 9 > 0) for i in range(120)] + [(f"http://ok{i % 40}.example/{rng.choice(['buy', 'read'])}/{i}", bool(rng.random() < 0.1)) for i in range(400)]
+    return [*rows, *rows[:3], (None, True), ("http://x", None), ("no scheme", False)]
+
+
 def test_mined_rules(spark):
-    rows = [(f"http://www.spam{i % 2}.example/buy/{i}", True) for i in range(30)] + [(f"http://ok{i}.example/buy/{i}", False) for i in range(30)] + [(None, True), ("http://x", None)]
-    rules = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), min_support=0.05)
-    tokens = {t for r in rules.collect() for t in r["tokens"]}
-    assert "w:spam0" in tokens and rules.where("confidence < 0.8").count() == 0
-    pages = spark.createDataFrame([(0, "http://shop.spam0.example/new"), (1, "http://ok77.example/buy/3"), (1, "http://ok77.example/buy/3")], "page_id long, url string")
-    assert [r["verdict"] for r in url_rules.judge(pages, rules, []).orderBy("page_id").collect()] == ["block", "allow", "allow"]
+    rules = url_rules.mine(spark.createDataFrame(labelled_urls(), "url string, bad boolean"))
+    found = {tuple(r["tokens"]): r["confidence"] for r in rules.collect()}
+    assert ("w:spam0",) in found and all(c > 0.3 for c in found.values()) and not any("ok" in t for k in found for t in k)
+    assert all(r["tok"] in r["tokens"] for r in rules.collect())
+    pages = spark.createDataFrame([(0, "http://shop.spam0.example/new"), (1, "http://ok77.example/read/3"), (1, "http://ok77.example/read/3"), (2, None)], "page_id long, url string").withColumn("_t", F.lit("own"))
+    assert [r["verdict"] for r in url_rules.judge(pages, rules, []).orderBy("page_id").collect()] == ["block", "allow", "allow", "allow"]
+    assert url_rules.judge(pages.limit(0), rules, []).count() == 0
+
+
+def tokens(spark, urls):
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    return [set(r[0]) for r in df.select(url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url")))).collect()]
+
+
+def test_rules_against_a_count(spark):
+    """Every rule by brute force: combinations of the pages' tokens, counted on the mined and the held-out pages."""
+    from itertools import combinations
+    from math import sqrt
+
+    rows = [r for r in labelled_urls() if r[0] is not None and r[1] is not None]
+    sets = tokens(spark, [u for u, _ in rows])
+    held = [r[0] for r in spark.createDataFrame([(u,) for u, _ in rows], "url string").select(F.pmod(F.xxhash64("url"), F.lit(4)) == 0).collect()]
+    n, mined = {}, [i for i, h in enumerate(held) if not h]
+    base = sum(rows[i][1] for i in mined) / len(mined)
+    for i, own in enumerate(sets):
+        for k in (1, 2, 3):
+            for c in combinations(sorted(own), k):
+                x = n.setdefault(c, [0, 0, 0, 0])
+                x[2 * held[i]] += 1
+                x[2 * held[i] + 1] += rows[i][1]
+    z, good = 1.64, {}
+    for c, (m, b, hm, hb) in n.items():
+        if b >= 5:
+            p = b / m
+            low = (p + z * z / (2 * m) - z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            if p >= 1.5 * base and low > base and hb > base * hm:
+                good[c] = p
+    want = {c for c, p in good.items() if not any(set(o) < set(c) and q >= p for o, q in good.items())}
+    got = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), min_support=0.0)
+    assert {tuple(r["tokens"]) for r in got.collect()} == want and want
+
+
+def test_salted_lookup(spark, monkeypatch):
+    from vellum.llm import common
+
+    left, small = spark.createDataFrame([(i, i % 3) for i in range(60)], "id long, k int"), spark.createDataFrame([(0, "a"), (1, "b")], "k int, v string")
+    want = sorted((i, i % 3, "ab"[i % 3] if i % 3 < 2 else None) for i in range(60))
+    for bound in (10, 1):
+        monkeypatch.setattr(common, "SMALL", bound)
+        got = common.lookup(left, small, ["k"], F.xxhash64("id"), "left").select("id", "k", "v").collect()
+        assert sorted(map(tuple, got), key=lambda r: r[0]) == want
