@@ -3,35 +3,41 @@
 1. Each page's containers are scored: the characters of their blocks outside boilerplate, less links; the smallest that
    holds most of the page's text is the page's choice.  Its path, a chain of tag.class steps whose numbers are
    generalised, is the page's vote.
-2. Spark counts the votes of each host and ranks its paths.
-3. Each page is read again with the ranked paths of its host: the first path that leads to text on this page gives the
-   article; a page on which none does keeps its own choice, so no page is lost to its host's majority.
+2. Spark counts the votes of each host.  Paths with a twentieth of them are the host's winning paths (twenty at most).
+3. Each page is read again with the winning paths of its host: of those that lead to text on this page, the one whose share
+   of votes times the root of its share of the page's text is greatest gives the article (on equal terms the smaller path).
+   A page on which none does keeps its own choice, so no page is lost to its host's majority.
 
 Blocks are what block-level tags bound.  Character references are decoded, white space becomes single spaces, blocks are
 trimmed and joined by an empty line in page order.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are told by tag, role, and names in class and id: every part of such a name is a listed word or
 says where or in what form (``site-header``, ``comment-list``, but not ``no-sidebar`` or ``page-header-fixed``).  A name does
 not discard a container of main, of the page's only articles, or, where it has neither, of most of its text, unless that is
-reader comments.  An article inside main brings what else main holds.
+reader comments.  An article inside main brings what else main holds.  Of a header inside an article or main, its headings stay:
+they are the article's own title; what else it holds (bylines, dates, buttons) goes as headers do.
 
 Defined results: null, empty or tag-only html gives an empty text; a null url belongs to a host of its own (empty); rows
-that repeat a page_id come back each; text without any markup is one block; a tag that the page's end cuts off is dropped;
+that repeat a page_id come back each; nesting may be of any depth; text without any markup is one block; a tag that the page's end cuts off is dropped;
 an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lookup
 from .url_rules import host_of
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z)|<[!?/](?:[^>]*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# A quote opens a value after an equals sign only; elsewhere it is a character like others.
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>=]|=)*+)(>|\Z)|<[!?/](?:[^>]*)(?:>|\Z)""", re.S
+)
+_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[a-zA-Z]+")
 #: Elements whose content is not text.
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes")}
@@ -55,6 +61,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body blockquote html dd li center".split())
 GOOD = {"article": 1.5, "main": 1.3}
 
@@ -67,7 +74,8 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, int]] = []
         self.elements: list[tuple[int, str, str]] = [(-1, "", "")]
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, element, and whether text goes: 0 no, 1 yes, 2 unless in a heading
+        opened: Counter[str] = Counter()
         pieces: list[str] = []
         named: dict[int, set[str]] = {}  # elements that only their names make boilerplate, and the words
         linked, in_link, at, n = 0, 0, 0, len(html)
@@ -101,9 +109,10 @@ class Page:
                     in_link = max(0, in_link - 1)
                 elif tag in BLOCKS:
                     flush()
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
+                    while opened[tag]:
+                        top = stack.pop()[0]
+                        opened[top] -= 1
+                        if top == tag:
                             break
                 continue
             if tag in RAW:
@@ -126,45 +135,60 @@ class Page:
             if tag in VOID:
                 continue
             if stack[-1][0] == "p":
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             shut = SELF_CLOSING.get(tag)
             if shut and stack[-1][0] in shut:
-                stack.pop()
-            bad = stack[-1][2] or self._bad(tag, m[3])
+                opened[stack.pop()[0]] -= 1
+            bad = stack[-1][2]
+            if bad == 2 and tag in HEADINGS and not self._bad(tag, m[3]):
+                bad = 0
+            elif not bad and self._bad(tag, m[3]):
+                bad = 2 if tag == "header" and (opened["article"] or opened["main"]) else 1
             if m[3].endswith("/") and tag in ("svg", "math"):
                 continue
             words = set() if bad else self._named(tag, m[3])
+            opened[tag] += 1
             if bad or tag == "p" and not words:
                 stack.append((tag, stack[-1][1], bad))
             else:
                 if words:
                     named[len(self.elements)] = words
                 self.elements.append((stack[-1][1], self._step(tag, m[3]), tag))
-                stack.append((tag, len(self.elements) - 1, False))
+                stack.append((tag, len(self.elements) - 1, 0))
         flush()
         if named:
             self._discard(named)
 
     def _discard(self, named: dict[int, set[str]]) -> None:
         """Drop the blocks of named elements, but for those that hold what the page is about."""
-        n = len(self.elements)
-        over: list[list[int]] = [[] for _ in range(n)]  # the named elements that an element is in
-        for e in range(n):
-            parent = self.elements[e][0]
-            over[e] = (over[parent] if parent >= 0 else []) + [e] * (e in named)
-        size, total = dict.fromkeys(named, 0), 0
-        for text, _, at in self.blocks:
-            total += len(text)
-            for x in over[at]:
-                size[x] += len(text)
-        keep = {x for e in range(n) if self.elements[e][2] == "main" for x in over[e]}
-        articles = [e for e in range(n) if self.elements[e][2] == "article"]
-        mains = any(t == "main" for _, _, t in self.elements)
-        if not mains and articles and all(over[e] for e in articles):
-            keep |= {x for e in articles for x in over[e] if not named[x] & COMMENT_WORDS}
-        elif not mains and not articles:
-            keep |= {x for x, k in size.items() if 2 * k > total and not named[x] & COMMENT_WORDS}
-        self.blocks = [b for b in self.blocks if keep.issuperset(over[b[2]])]
+        size, under = self._sums([float(len(text)) for text, _, _ in self.blocks]), [False] * len(self.elements)
+        for e, (parent, _, _) in enumerate(self.elements):
+            under[e] = e in named or parent >= 0 and under[parent]
+        tags = [t for _, _, t in self.elements]
+        mains, articles = ([e for e, t in enumerate(tags) if t == name] for name in ("main", "article"))
+        keep: set[int] = set()
+        holds, seen = mains or (articles if all(under[e] for e in articles) else []), [False] * len(tags)
+        for e in holds:
+            while e >= 0 and not seen[e]:
+                seen[e] = True
+                if e in named and (mains or not named[e] & COMMENT_WORDS):
+                    keep.add(e)
+                e = self.elements[e][0]
+        if not mains and not articles:
+            keep = {x for x in named if 2 * size[x] > size[0] and not named[x] & COMMENT_WORDS}
+        gone = [False] * len(tags)
+        for e, (parent, _, _) in enumerate(self.elements):
+            gone[e] = e in named and e not in keep or parent >= 0 and gone[parent]
+        self.blocks = [b for b in self.blocks if not gone[b[2]]]
+
+    def _sums(self, worth: list[float]) -> list[float]:
+        """For each element the sum over the blocks in it; children come after their parents."""
+        out = [0.0] * len(self.elements)
+        for w, (_, _, at) in zip(worth, self.blocks, strict=True):
+            out[at] += w
+        for e in range(len(out) - 1, 0, -1):
+            out[self.elements[e][0]] += out[e]
+        return out
 
     @staticmethod
     def _attrs(raw: str) -> dict[str, str]:
@@ -210,23 +234,12 @@ class Page:
 
     def choice(self) -> int:
         """The container that wins on this page; 0 is the whole page."""
-        n = len(self.elements)
-        score = [0.0] * n
-        for text, linked, at in self.blocks:
-            good = len(text) * (1 - linked / len(text)) ** 2
-            while at >= 0:
-                score[at] += good
-                at = self.elements[at][0]
-        best, top = 0, 0.0
-        for e in range(n):  # parents come before children, so on equal terms the inner one wins
-            tag = self.elements[e][2]
-            if e and tag not in CONTAINERS:
-                continue
-            if score[e] >= 0.5 * score[0] and score[e] > 0:
-                depth, up = 0, e
-                while up > 0:
-                    depth, up = depth + 1, self.elements[up][0]
-                worth = score[e] / score[0] * GOOD.get(tag, 1.0) + 0.02 * min(depth, 10)
+        score = self._sums([len(text) * (1 - linked / len(text)) ** 2 for text, linked, _ in self.blocks])
+        best, top, depth = 0, 0.0, [0] * len(score)
+        for e, (parent, _, tag) in enumerate(self.elements):  # on equal terms the inner one wins
+            depth[e] = depth[parent] + 1 if e else 0
+            if (not e or tag in CONTAINERS) and score[e] >= 0.5 * score[0] and score[e] > 0:
+                worth = score[e] / score[0] * GOOD.get(tag, 1.0) + 0.02 * min(depth[e], 10)
                 if worth >= top:
                     best, top = e, worth
         # What main has beside its article is no boilerplate either.
@@ -242,23 +255,32 @@ class Page:
         return "\n\n".join(t for t, _, e in self.blocks if inside[e])
 
     def by_path(self, path: str) -> set[int]:
-        last = path.rpartition(">")[2]
-        return {e for e, x in enumerate(self.elements) if x[1] == last and self.path(e) == path}
+        """The elements at the end of the chain of steps, in one pass: a step leads on from its parent's."""
+        steps, out, done = path.split(">"), set(), [0] * len(self.elements)
+        for e, (parent, step, _) in enumerate(self.elements):
+            if e:
+                done[e] = done[parent] + 1 if 0 <= done[parent] < len(steps) and steps[done[parent]] == step else -1
+                if done[e] == len(steps):
+                    out.add(e)
+        return out
 
 
-def extract_page(html: str | None, paths: list[str]) -> str:
+def extract_page(html: str | None, paths: list[tuple[str, float]]) -> str:
+    """The text of a page, given its host's winning paths with their shares of votes."""
     if not html:
         return ""
-    page = Page(html)
-    for p in paths:
-        if (found := page.by_path(p)) and (text := page.text(found)):
-            return text
-    return page.text({page.choice()})
+    page, best = Page(html), (0.0, "")
+    whole = sum(len(t) for t, _, _ in page.blocks)
+    for path, share in sorted(paths):
+        if (found := page.by_path(path)) and (text := page.text(found)):
+            best = max(best, (share * (len(text) / whole) ** 0.5, text), key=lambda x: x[0])
+    return best[1] or page.text({page.choice()})
 
 
-def extract(scratch: Scratch, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ranked: int = 8) -> DataFrame:
-    """(id, url, text). ranked: paths that a host's pages try; beyond them a page keeps its own choice."""
-    base = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("_html"), F.coalesce(host_of(F.col(url_col).cast("string")), F.lit("")).alias("_host"))
+def extract(scratch: Scratch, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", winning: float = 0.05) -> DataFrame:
+    """(id, url, text). winning: the share of a host's votes that makes a path a winning one; so a host has 1 / winning at most."""
+    host = F.coalesce(host_of(F.col(url_col).cast("string")), F.lit(""))
+    base = pages.select(F.struct(F.col(id_col), F.col(url_col)).alias("_row"), F.col(html_col).cast("string").alias("_html"), host.alias("_host"))
 
     def vote(batches):
         import pyarrow as pa
@@ -271,14 +293,16 @@ def extract(scratch: Scratch, pages: DataFrame, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["_host", "path"])
 
     votes = base.select("_host", "_html").mapInArrow(vote, "_host string, path string").where("path <> ''").groupBy("_host", "path").count()
-    best = votes.withColumn("r", F.row_number().over(Window.partitionBy("_host").orderBy(F.desc("count"), "path"))).where(F.col("r") <= ranked)
-    best = best.groupBy("_host").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("_paths"))
-    best = scratch.write(best, "paths")
+    votes = scratch.write(votes, "votes")
+    share = F.col("count") / F.col("all")
+    best = votes.join(votes.groupBy("_host").agg(F.sum("count").alias("all")), "_host").where(share >= winning)
+    best = scratch.write(best.groupBy("_host").agg(F.collect_list(F.struct("path", share.alias("share"))).alias("_paths")), "paths")
 
     @F.pandas_udf("string")
     def read(html, paths):
         import pandas as pd
 
-        return pd.Series([extract_page(h, [] if p is None else list(p)) for h, p in zip(html, paths, strict=True)])
+        return pd.Series([extract_page(h, [] if p is None else [(x["path"], x["share"]) for x in p]) for h, p in zip(html, paths, strict=True)])
 
-    return base.join(best, "_host", "left").select(F.col(id_col), F.col(url_col), read("_html", "_paths").alias("text"))
+    found = lookup(base, best, ["_host"], F.xxhash64("_html"), "left")
+    return found.select("_row.*", read("_html", "_paths").alias("text"))
