@@ -40,7 +40,7 @@ RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans
 
 def contexts(data: np.ndarray, offs: np.ndarray, min_bytes: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, context hash, document, first window, windows) of all contexts; windows count from the document's start."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     if len(data) < min_bytes:
         return none
     prefix = PrefixHash(data)
@@ -66,7 +66,7 @@ def contexts(data: np.ndarray, offs: np.ndarray, min_bytes: int, gram: int) -> t
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(p)))
     start = p[first]
-    return h[a[first]], prefix(start, start + n + min_bytes - 1), doc[start], start - offs[doc[start]], n
+    return h[a[first]], prefix(start, start + n + min_bytes - 1), doc[start], (start - offs[doc[start]]).astype(np.int32), n.astype(np.int32)
 
 
 def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +123,15 @@ def _find(keys: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarr
 
 def _classes(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class of each pair, a row of each class)."""
-    order = np.lexsort((c, h))
+    with np.errstate(over="ignore"):
+        k = mix(h ^ (c * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(k)
+    same = k[order][1:] == k[order][:-1]
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+    if (same & new[1:]).any():  # two pairs of one key may lie mixed
+        order = np.lexsort((c, h))
+        new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
     cls = np.empty(len(h), np.int64)
     cls[order] = np.cumsum(new) - 1
     return cls, order[new]
@@ -193,7 +199,7 @@ def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens - starts, lens)
 
 
-def remove_repeats(scratch: Scratch, docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, part_bytes: int = 12 << 20) -> DataFrame:
+def remove_repeats(scratch: Scratch, docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, part_bytes: int = 8 << 20) -> DataFrame:
     """docs (id, or the columns of ``keep``) with n_bytes, n_removed, n_spans, kept_sha256, spans and kept_text.
 
     kept_text is what is left as text: of a character that is removed in part, no byte stays.
@@ -243,6 +249,7 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, min_bytes: int = 50, id_co
             for z, x in zip(cols, (np.repeat(source, len(h)), h, c, low), strict=True):
                 z.append(x)
         source, h, c, low = (np.concatenate(z) for z in cols)
+        del cols
         order = np.lexsort((low, c, h))
         source, h, c, low = (x[order] for x in (source, h, c, low))
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -288,7 +295,7 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, min_bytes: int = 50, id_co
         keys, blobs, whole = [], [], []
         if later.any():
             keys.append(source)
-            blobs.append(_pack(*_runs(names[later], p[later], p[later] + n[later] + wide)))
+            blobs.append(_pack(*_runs(names[later], p[later].astype(np.int64), p[later].astype(np.int64) + n[later] + wide)))
             whole.append(True)
         wanted = np.flatnonzero(asked[cls] & (ids == low[cls]))
         starts = np.cumsum([0, *(len(x[4][0]) for x in pieces)])
@@ -313,11 +320,12 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, min_bytes: int = 50, id_co
         """The repeats that suffix order tells, to the slices of their documents."""
         cols, raws = [[] for _ in range(7)], []
         for blob in group.column("blob"):
-            source, *rest, raw = _unpack(blob.as_py(), ("<i4", "<u8", "<u8", "<i8", "<i8", "<i8", "<i8", "<u1"))
+            source, *rest, raw = _unpack(blob.as_py(), ("<i4", "<u8", "<u8", "<i8", "<i8", "<i4", "<i4", "<u1"))
             for z, x in zip(cols, (np.repeat(source, len(rest[0])), *rest), strict=True):
                 z.append(x)
             raws.append(raw)
         source, h, c, ids, names, p, n = (np.concatenate(z) for z in cols)
+        p, n = p.astype(np.int64), n.astype(np.int64)
         raw, ends = np.concatenate(raws), np.cumsum(n + wide)
         cls, some = _classes(h, c)  # owners of one context send it each
         starts = ends[some] - n[some] - wide
