@@ -123,7 +123,7 @@ def test_page():
 
 @pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("plain &lt; x", "plain < x"), ("<p>a</p", "a"), ("<script>x</script>y", "y"), ("<p>x &am", "x &am"), ("<p", ""), ("<!-- open", ""), ("<div hidden>x</div><p>y", "y"), ("</p></div>z", "z"), ("<p>" + "w " * 50_000, ("w " * 50_000).strip())])
 def test_odd_pages(html, text):
-    assert html_extract.extract_page(html, ["html>body>article"]) == text
+    assert html_extract.extract_page(html, [("html>body>article", 1.0)]) == text
 
 
 @pytest.mark.parametrize("name", ["with-sidebar", "no-sidebar", "content-social", "post category-social", "page-header-fixed", "header", "site-header"])
@@ -133,6 +133,63 @@ def test_a_wrapper_keeps_its_text(name, inner):
     assert html_extract.extract_page(page, []) == "own text"
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p title=don't>Hello it is me</p><p>second para isn't here</p></article>", "Hello it is me\n\nsecond para isn't here"),
+        ("<p>a<!-->b<!--->c<!-- d --!>e<!-- f -->g", "abceg"),
+        ("<div class='elementor-widget-text'><article>x</article></div>", "x"),
+        ("<article><header><h1>Title</h1><p>by me</p></header><p>own text</p></article><header><h1>Site</h1></header>", "Title\n\nown text"),
+        ("<p a='x>y' b=\"'>\" c = 'z'>t</p>", "t"),
+        ("<article><p>one<p>two</div></section></article>", "one\n\ntwo"),
+    ],
+)
+def test_markup(html, text):
+    assert html_extract.extract_page(html, []) == text
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        html, began = "<div class='ad-list x'>" * n + "<p>deep</p>" + "</div></section>" * n + "<article>" * n + "own", time.perf_counter()
+        page = html_extract.Page(html)
+        page.choice()
+        page.by_path(page.path(len(page.elements) - 1))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * 4 * took[0] + 1
+
+
+def generated_page(rng, kind, body):
+    """A page of one of several templates around blocks of text, which are what its article says."""
+    blocks = "".join(f"<p>{b}</p>" if rng.random() < 0.7 else f"<div>{b}</div>" for b in body)
+    nav = "<nav><ul>" + "".join(f"<li><a href='/{i}'>menu {i}</a>" for i in range(int(rng.integers(2, 6)))) + "</ul></nav>"
+    side = "<aside><p>aside words</p></aside>" if rng.random() < 0.5 else "<div class='sidebar'><p>side words</p></div>"
+    ad, foot = "<div class='ad'>buy this</div>", "<footer><p>foot</p></footer>"
+    return [
+        f"<html><body>{nav}{ad}<article>{blocks}{ad}</article>{side}{foot}</body></html>",
+        f"<body><header><h1>Site</h1>{nav}</header><main id=m><div class='post post-{rng.integers(9)}'>{blocks}</div><form><input>mail</form></main>{foot}</body>",
+        f"<body>{nav}<div class='wrap no-sidebar'><section class='content'>{blocks}</section><div class='comments'><p>me too</p></div></div>{side}{foot}<script>var a='<p>x</p>'</script></body>",
+        f"<table><tr><td>{nav}<td>{blocks}</table><div role=contentinfo>imprint</div>{ad}",
+    ][kind]
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_generated_pages_of_several_templates(spark, scratch, kind):
+    rng = np.random.default_rng(kind)
+    words = ["alpha", "beta", "gamma", "&eacute;t&eacute;", "1 &lt; 2", "don't", "A&amp;B", "two\n words", "delta.", "epsilon,"]
+    from html import unescape
+
+    rows, want = [], {}
+    for i in range(25):
+        body = [" ".join(rng.choice(words, int(rng.integers(20, 60)))) for _ in range(int(rng.integers(2, 7)))]
+        want[i] = "\n\n".join(" ".join(unescape(b).split()) for b in body)
+        rows.append((i, f"http://h{i % 2}.example/{i}", generated_page(rng, kind, body)))
+    got = html_extract.extract(scratch, spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("_html", "_host", "_paths", "text")}))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == want
+
+
 def test_main_beside_its_article():
     page = "<body><main><h1>Head</h1><p>Lead.</p><article><p>" + "own text " * 40 + "</p></article><nav>menu</nav><div class='share-buttons'>x</div></main><footer>f</footer></body>"
     assert html_extract.extract_page(page, []) == "Head\n\nLead.\n\n" + ("own text " * 40).strip()
