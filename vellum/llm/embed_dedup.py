@@ -1,7 +1,9 @@
 """Embedding near-duplicates: an exact metric range join over the pivots' cells.
 
 Unit vectors u, v have cosine >= c exactly if their distance is at most e = sqrt(2 - 2c).  A bounded sample of vectors
-gives the pivots; each vector lives in the cell of its nearest pivot.  By the triangle inequality a partner of a vector in
+gives the pivots, LEAST_PIVOTS at least and as many as the root of the table's rows where that pays: for each number that
+is a power of two the sample tells with how many others of a label a vector would be compared and to how many cells it would
+go, and the cheapest is taken.  Each vector lives in the cell of its nearest pivot.  By the triangle inequality a partner of a vector in
 the cell of p lies within d(own pivot) + 2e of p; and nearer than e to the plane halfway between p and its own pivot.  Sampled
 pivots that coincide, or nearly so, are one pivot: the plane between them would be rounding.  A vector is replicated to the cells that this allows, and to no other.  Cells are cut into blocks of block_rows vectors, so
 that a crowded cell is many tasks: a task compares one block of owners with one block of residents or guests and returns
@@ -22,16 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
-from .vectors import as_doubles, matrix, sample_vectors, usable
+from .vectors import as_doubles, matrix, sample_vectors, unit_rows, usable
 
 MARGIN = 1e-6
 #: Pivots nearer than this are merged: rounding moves a plane by about 1e-15 / CLOSE, far below MARGIN.
 CLOSE = 1e-3
-MAX_PIVOTS = 256
+LEAST_PIVOTS = 4
+#: Vectors that pivots and their number are chosen from.
+SAMPLE = 4096
+#: Comparisons that take as long as sending a vector to a cell.
+MOVE = 400
 
 
-def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", pivot_rows: int = 16_384, block_rows: int = 1024, seed: int = 11) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row. pivot_rows: vectors per pivot to aim at (MAX_PIVOTS pivots at most)."""
+def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", pivots: int | None = None, block_rows: int = 1024, seed: int = 11) -> DataFrame:
+    """(id, n_links, component_id, kept) for every row. pivots: their number, where it is not to be chosen."""
     if not 0 < cosine <= 1:
         raise ValueError("cosine is in (0, 1]")
     reach = float(np.sqrt(2 - 2 * cosine)) + MARGIN
@@ -43,13 +49,9 @@ def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_co
     # Rows of one id with different vectors share the vertex; their classes stay apart by a key of their own.
     classes = scratch.write(classes.select(F.xxhash64("label", "dim", "v").alias("k"), "label", "dim", "c", "n", "v"), "classes")
     total = classes.count()
-    n_pivots = int(min(MAX_PIVOTS, max(1, -(-total // pivot_rows))))
-    pivots: dict[int, np.ndarray] = {}
-    for v in sample_vectors(classes, "v", n_pivots, seed):
-        x = np.array(v)
-        x /= np.abs(x).max()
-        pivots.setdefault(len(v), []).append(x / np.linalg.norm(x))
-    pivots = {d: _apart(np.stack(x)) for d, x in pivots.items()}
+    sample = {d: unit_rows(x) for d, x in sample_vectors(classes, "v", SAMPLE, seed).items()}
+    labels = classes.select("label").distinct().count()
+    chosen = {d: _apart(x[: pivots or best_number(x, reach, total, labels)]) for d, x in sample.items()}
     cells = "k long, label string, dim int, c long, n long, v array<double>, cell int, own boolean"
 
     def assign(batches):
@@ -60,21 +62,11 @@ def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_co
             take, cell, own = [], [], []
             for d in np.unique(dims):
                 idx = ks[dims == d]
-                p = pivots.get(int(d))
+                p = chosen.get(int(d))
                 if p is None or len(p) == 1:
                     take.append(idx), cell.append(np.zeros(len(idx), np.int32)), own.append(np.ones(len(idx), bool))
                     continue
-                x = matrix(vs.take(pa.array(idx)))
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                dist = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
-                home = dist.argmin(1)
-                near = dist[np.arange(len(x)), home][:, None]
-                between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))[home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (dist**2 - near**2) / (2 * between)
-                goes = (dist <= near + 2 * reach + MARGIN) & ~(plane > reach + MARGIN)
-                goes[np.arange(len(x)), home] = True
+                home, goes = cells_of(unit_rows(matrix(vs.take(pa.array(idx)))), p, reach)
                 i, j = np.nonzero(goes)
                 take.append(idx[i]), cell.append(j.astype(np.int32)), own.append(home[i] == j)
             at = np.concatenate(take)
@@ -93,10 +85,7 @@ def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_co
 
         side = group.column("left").to_numpy(zero_copy_only=False)
         k, c, n = (group.column(x).to_numpy() for x in ("k", "c", "n"))
-        x = matrix(group.column("v"))
-        # Scaled by the largest component first, so that squares neither overflow nor vanish.
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit_rows(matrix(group.column("v")))
         i, j = np.flatnonzero(side), np.flatnonzero(~side)
         found = x[i] @ x[j].T >= cosine if len(i) and len(j) else np.zeros((len(i), len(j)), bool)
         other = k[i][:, None] != k[j][None, :]
@@ -128,6 +117,30 @@ def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_co
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def cells_of(x: np.ndarray, p: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of each row of x, rows x pivots: the cells that it must be in to meet every partner)."""
+    dist = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
+    home, rows = dist.argmin(1), np.arange(len(x))
+    near = dist[rows, home][:, None]
+    between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))[home]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (dist**2 - near**2) / (2 * between)
+    goes = (dist <= near + 2 * reach + MARGIN) & ~(plane > reach + MARGIN)
+    goes[rows, home] = True
+    return home, goes
+
+
+def best_number(x: np.ndarray, reach: float, rows: int, labels: int) -> int:
+    """The number of pivots that the sample says is cheapest for so many rows of so many labels."""
+    tried, n, most, best = x[-1024:], min(LEAST_PIVOTS, len(x)), max(LEAST_PIVOTS, int(rows**0.5)), (np.inf, 1)
+    while n <= min(most, len(x)):
+        home, goes = cells_of(tried, _apart(x[:n]), reach)
+        met = float((goes.sum(0) * np.bincount(home, minlength=goes.shape[1])).sum()) / len(tried) ** 2
+        best = min(best, (met * rows / labels + MOVE * float(goes.sum()) / len(tried), n))
+        n *= 2
+    return best[1]
+
+
 def _apart(p: np.ndarray) -> np.ndarray:
     """The unit vectors of p without those within CLOSE of an earlier one that stays."""
     kept: list[int] = []

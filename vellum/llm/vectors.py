@@ -29,7 +29,21 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def sample_vectors(df: DataFrame, vec_col: str, n: int, seed: int) -> list[list[float]]:
-    """n vectors at most, by a hash of their own content: a bounded sample that does not depend on partitions."""
-    rows = df.select(F.col(vec_col).alias("v"), F.xxhash64(F.col(vec_col), F.lit(seed)).alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(n).collect()
-    return [r["v"] for r in rows]
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def sample_vectors(df: DataFrame, vec_col: str, n: int, seed: int) -> dict[int, np.ndarray]:
+    """n distinct vectors at most, as a matrix for each length: a bounded sample by a hash of their content.
+
+    Hashes beyond the share that n is of the rows are left out in the scan, so only about n rows are shuffled.
+    """
+    total = df.count()
+    hashed = df.select(F.col(vec_col).alias("v"), F.xxhash64(F.col(vec_col), F.lit(seed)).alias("h"))
+    if total > 2 * n:
+        hashed = hashed.where(F.col("h").cast("double") / 2.0**64 + 0.5 < 2 * n / total)
+    rows = hashed.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(n).select("v").toArrow().column(0).combine_chunks()
+    sizes = np.array([len(v) for v in rows], np.int64)
+    return {int(d): matrix(rows.take(np.flatnonzero(sizes == d))) for d in np.unique(sizes)}
