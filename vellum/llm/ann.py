@@ -12,8 +12,9 @@ Recall depends on share and on the data: for vectors without any cluster structu
 share = trees every leaf is read and the search is exact.
 
 Defined results: unusable vectors (null, empty, zero, null or non-finite components) take no part; vectors of other lengths than the query's are no
-candidates; a null id is no query and no candidate; rows that repeat an id are candidates each on its own, but never for
-a query of that id; with fewer than k candidates all come back; an empty table gives no rows; other columns are not read.
+candidates; a null id is no query and no candidate; rows that repeat an id with other vectors are candidates each on
+its own, equal rows are one, and none is for a query of that id; query rows of one id are one query, near to what is near to any
+of its vectors; with fewer than k candidates all come back; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lookup
 from .vectors import as_doubles, matrix, sample_vectors, usable
 
 RESULT = "query_id long, vec_id long, score double"
@@ -69,12 +70,12 @@ def grow(sample: np.ndarray, trees: int, leaf_rows: int, seed: int) -> list[Tree
     return [Tree(sample, leaf_rows, np.random.default_rng([seed, t])) for t in range(trees)]
 
 
-def leaves_of(forest: list[Tree], q: np.ndarray, sizes: dict[tuple[int, int], int], enough: float) -> list[tuple[int, int]]:
-    """The leaves that the shared queue gives first, until they hold enough rows."""
+def leaves_of(forest: list[Tree], q: np.ndarray, sizes: dict[tuple[int, int], int], enough: float, least: int) -> list[tuple[int, int]]:
+    """The leaves that the shared queue gives first, until they hold enough rows, and those of one tree the least number."""
     margins = [t.direction @ q - np.array(t.cut) for t in forest]
-    queue, out, held = [(0.0, i, 0) for i in range(len(forest))], [], 0
+    queue, out, held = [(0.0, i, 0) for i in range(len(forest))], [], [0] * len(forest)
     heapq.heapify(queue)
-    while queue and held < enough:
+    while queue and (sum(held) < enough or max(held) < least):
         far, i, at = heapq.heappop(queue)
         t = forest[i]
         while t.leaf[at] < 0:
@@ -84,7 +85,7 @@ def leaves_of(forest: list[Tree], q: np.ndarray, sizes: dict[tuple[int, int], in
             at = near
         if n := sizes.get((i, t.leaf[at]), 0):
             out.append((i, t.leaf[at]))
-            held += n
+            held[i] += n
     return out
 
 
@@ -92,15 +93,12 @@ def nearest(scratch: Scratch, table: DataFrame, queries: DataFrame, k: int = 10,
     """(query_id, rank, vec_id, score): the k rows of table nearest to each row of queries.
 
     leaf_share: a leaf's part of the table; share: rows to compare with a query, as a multiple of the table's rows (the
-    trees hold it ``trees`` times); 64 k rows of each tree at least, so that a query of a small table sees all of it.
+    trees hold it ``trees`` times), whatever the table's size; k candidates at least, where there are as many.
     """
     clean = lambda df: df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_doubles(F.col(vec_col)).alias("v")).where(usable(F.col("v")))
     rows, asked = clean(table), clean(queries)
     sample = sample_vectors(rows, "v", sample_rows, seed)
-    by_dim: dict[int, list] = {}
-    for v in sample:
-        by_dim.setdefault(len(v), []).append(v)
-    forests = {d: grow(np.array(x), trees, max(1, int(len(x) * leaf_share)), seed) for d, x in by_dim.items()}
+    forests = {d: grow(x, trees, max(1, int(len(x) * leaf_share)), seed) for d, x in sample.items()}
     spark = table.sparkSession
     shared = spark.sparkContext.broadcast(forests)  # trees / leaf_share nodes of each length: no more with more rows
 
@@ -128,11 +126,11 @@ def nearest(scratch: Scratch, table: DataFrame, queries: DataFrame, k: int = 10,
         import pyarrow as pa
 
         for b in batches:
-            ids, vs, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for q, v in zip(ids, vs, strict=True):
+            out = []
+            for q, v, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = held.get(len(v), {})
                 if forest := shared.value.get(len(v)):
-                    found = leaves_of(forest, np.array(v), own, max(share * sum(own.values()) / trees, trees * 64 * k))
+                    found = leaves_of(forest, np.array(v), own, share * sum(own.values()) / trees, k + copies)
                 else:
                     found = [x for x in own if x[0] == 0]
                 out += [(q, v, len(v), t, leaf) for t, leaf in found]
@@ -140,6 +138,9 @@ def nearest(scratch: Scratch, table: DataFrame, queries: DataFrame, k: int = 10,
             kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["id", "v", "dim", "tree", "leaf"])
 
+    # A query of an id that rows repeat has to pass by all of them to find k others.
+    repeated = rows.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1")
+    asked = lookup(asked, repeated, ["id"], F.xxhash64("v"), "left").select("id", "v", F.coalesce("copies", F.lit(1)))
     asks = asked.mapInArrow(route, "id long, v array<double>, dim int, tree int, leaf int")
     parts = filed.groupBy("dim", "tree", "leaf").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     asks = scratch.write(asks, "asks")
