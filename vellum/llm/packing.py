@@ -3,9 +3,10 @@
 Lengths fall into classes; every pattern of up to four classes that fills a sequence is enumerated; non-negative least
 squares fits repeat counts to the histogram; the rounded counts are filled with pieces; what is left, and the room left
 in the patterns, is packed by best fit.  All of this works on the histogram of lengths, which has max_len entries at
-most whatever the corpus: runs of equal sequences, never single pieces, are planned.  The plan therefore has a bound
-that does not depend on the input (``MAX_RUNS``), which is what makes its broadcast safe.  Pieces meet the plan by their
-rank among pieces of one length; ranks come from salted windows, so that a common length is not one task.
+most whatever the corpus: runs of equal sequences, never single pieces, are planned.  A run uses up a length, a pattern or an
+open group of sequences, so runs do not grow with the pieces.  Pieces meet the plan by their rank among pieces of one length
+(a broadcast if the plan is as small as it always was, else a join by salted keys); ranks come from salted windows, so that a
+common length is not one task.
 
 ``pack_in_order`` keeps an order of the documents: it is cut into windows of about window_tokens tokens, each is packed by
 the same plan on its own, and sequences are numbered window after window, within one by their first piece.  What the first
@@ -26,12 +27,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lookup
 from .tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Each planned run uses up a length, a pattern or an open group of sequences; see plan().
-MAX_RUNS = 200_000
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int | None = 0, max_len: int = 2048, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -199,8 +198,6 @@ def plan(histogram: dict[int, int], max_len: int, classes: int = 64, most: int =
                     put(k, n, seqs, i * k)
                 leave(seqs, n, max_len - each * k)
                 seqs += n
-    if len(runs) > MAX_RUNS:
-        raise AssertionError("the plan has more runs than its bound")
     return runs
 
 
@@ -219,7 +216,7 @@ def pack(scratch: Scratch, pieces: DataFrame, max_len: int = 2048, order: tuple[
     ranked = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_b").orderBy(*order)))
     ranked = ranked.join(counts, ["length", "_b"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1)
     runs_df = spark.createDataFrame(runs, "length long, _lo long, _hi long, _base long, _at long") if runs else spark.createDataFrame([], "length long, _lo long, _hi long, _base long, _at long")
-    placed = ranked.join(F.broadcast(runs_df), (ranked["length"] == runs_df["length"]) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))).drop(runs_df["length"])
+    placed = lookup(ranked, runs_df, ["length"], F.xxhash64(*order)).where("_rank >= _lo and _rank < _hi")
     return placed.select(*pieces.columns, (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), F.col("_at").alias("offset"))
 
 
