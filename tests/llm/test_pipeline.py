@@ -63,6 +63,15 @@ def test_odd_documents_go_through(spark, folder):
     assert stage(spark, folder, "packing", docs.limit(0)).count() == 0
 
 
+def test_one_row_of_a_repeated_id_stays(spark, folder):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text), (3, "another text with words of its own"), (3, "and a third one of that same id"), (None, text), (None, text), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = stage(spark, folder, "near_dedup", docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 1), (False, 3), (False, 5), (True, 0), (True, 0)]
+    assert all(tuple(r)[:2] in rows for r in got)
+
+
 def test_the_mixture_orders_the_sequences(spark, folder, monkeypatch):
     words, n, top = [f"w{i}" for i in range(97)], 900, folder[0].path("sourced")
     rows = [(i, " ".join(words[(i * j) % 97] for j in range(60 + i * 7 % 90)), "en", f"src{i % 2}", 0) for i in range(n)]
