@@ -88,8 +88,14 @@ class Document:
 
     def _tail(self) -> tuple[int, int]:
         """[xref offset, offset of the word startxref) from the last three lines."""
-        lines = list(re.finditer(rb"[^\r\n]+", self.data[-2048:]))[-3:]
-        at = max(0, len(self.data) - 2048) + (lines[0].start() if lines else 0)
+        window = 2048
+        while True:
+            lines = list(re.finditer(rb"[^\r\n]+", self.data[-window:]))
+            if len(lines) > 3 or window >= len(self.data):
+                break
+            window *= 8  # long lines, or blanks after the end
+        lines = lines[-3:]
+        at = max(0, len(self.data) - window) + (lines[0].start() if lines else 0)
         lex = Lexer(self.data, at)
         t = lex.next()
         if t is None or t[0] != "word" or t[1] != b"startxref":

@@ -169,7 +169,10 @@ class Fold:
         if kind == "Image":
             if self.mask & IMAGES:
                 yield Feature("image", state.ctm.box(_UNIT), state.ctm.orientation(), image=(ref, s))
-        elif kind == "Form" and s.id not in inside and len(inside) < MAX_FORMS:
+        elif kind == "Form" and s.id not in inside:
+            if len(inside) >= MAX_FORMS:
+                doc.fail(PdfError("nestedTooDeeply"), ("form", *(s.id or (None, None))))
+                return
             m = matrix_of(doc.reals_(s.dict.get("Matrix"))) or Matrix()
             own = doc.dict_(s.dict.get("Resources"))
             yield from self.content(s.data, resources if own is None else own, m.then(state.ctm), ("form", *(s.id or (None, None))), (*inside, s.id))
@@ -210,18 +213,18 @@ class Fold:
                 elif o == "Tf":
                     self.set_font(state, op, resources)
                 elif o == "m":
-                    path.append(f"m {n[0]:g} {n[1]:g}")
+                    path.append(_shown("m", *n))
                     at = start = (n[0], n[1])
                 elif o in "lcvy" and at is not None:
                     if o == "v":
                         n = [*at, *n]
                     elif o == "y":
                         n = [*n, *n[2:]]
-                    path.append(("l " if o == "l" else "c ") + " ".join(f"{v:g}" for v in n))
+                    path.append(_shown("l" if o == "l" else "c", *n))
                     at = (n[-2], n[-1])
                 elif o == "re":
                     x, y, w, h = n
-                    path.append(f"m {x:g} {y:g} l {x + w:g} {y:g} l {x + w:g} {y + h:g} l {x:g} {y + h:g} h")
+                    path.append(" ".join([_shown("m", x, y), _shown("l", x + w, y), _shown("l", x + w, y + h), _shown("l", x, y + h), "h"]))
                     at = start = (x, y)
                 elif o == "h" and path:
                     path.append("h")
@@ -253,7 +256,9 @@ class Fold:
                     kind = doc.name_(s.dict.get("Subtype")) if s is not None else None
                     if kind == "Image":
                         yield row("stencil" if doc.bool_(s.dict.get("ImageMask")) else "image", state.fill, op.name)
-                    elif kind == "Form" and s.id not in inside and len(inside) < MAX_FORMS:
+                    elif kind == "Form" and s.id not in inside and len(inside) >= MAX_FORMS:
+                        doc.fail(PdfError("nestedTooDeeply"), ("form", *(s.id or (None, None))))
+                    elif kind == "Form" and s.id not in inside:
                         m = matrix_of(doc.reals_(s.dict.get("Matrix"))) or Matrix()
                         own = doc.dict_(s.dict.get("Resources"))
                         inner = replace(state, ctm=m.then(state.ctm), text=Matrix(), line=Matrix())
@@ -322,6 +327,11 @@ def displacement(offset: float, size: float, scale: float) -> float:
     return -(offset / 1000) * size * (scale / 100)
 
 
+def _shown(verb: str, *numbers: float) -> str:
+    """A step of a path; numbers in as many digits as tell them from all others, whole ones without a point."""
+    return " ".join([verb, *(str(int(v)) if v == int(v) and abs(v) < 1e15 else repr(float(v)) for v in numbers)])
+
+
 def _plain(data: bytes) -> str:
     from .text import pdf_text
 

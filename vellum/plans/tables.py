@@ -1,19 +1,22 @@
 """The tables of a collection of documents.
 
 Each table is one narrow pass over the documents (mapInArrow): a row of bytes in, rows of the table out in small batches,
-no shuffle.  A document never fails its task: what could be read is there, and parse_errors has the rest.  Arguments that
-Catalyst cannot push into Python (which features, which page) are arguments of the table.
+no shuffle.  A document never fails its task: what could be read is there, and parse_errors has the rest.  What Catalyst
+cannot push into Python is an argument: columns for every table, and which features, operators, objects or pages.  bundle()
+reads a document once for several tables.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from vellum.functions.geometry import MATRIX, RECT
 
@@ -23,6 +26,7 @@ SCHEMAS: dict[str, str] = {
     "headers": "type string, version string, xref_start bigint, xref_end bigint, recovered boolean, encrypted boolean",
     "trailers": "section_ord int, trailer string",
     "xref_entries": "section_ord int, num bigint, gen bigint, kind string, offset bigint, stm_num bigint, stm_index bigint",
+    "object_layouts": "num bigint, gen bigint, revision int, storage struct<kind:string,start:bigint,end:bigint,stm_num:bigint,stm_index:bigint>",
     "objects": f"num bigint, gen bigint, revision int, kind string, value string, data binary, ref {REF}",
     "object_nodes": f"num bigint, gen bigint, revision int, path array<string>, kind string, i bigint, d double, s string, b binary, ref {REF}",
     "object_rows": "num bigint, gen bigint, row int, depth int, key string, kind string, shown string",
@@ -57,11 +61,36 @@ class Engine:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content"), p.alias("password"))
         self.compat = compat
 
-    def table(self, name: str, **args) -> DataFrame:
+    def _reader(self, name: str, args: dict) -> Callable[..., Iterator[tuple]]:
         if name not in SCHEMAS:
             raise KeyError(name)
-        rows = partial(_ROWS[name], compat=self.compat, **args) if name in ("features", "text_runs", "display_list", "parse_errors") else partial(_ROWS[name], **args)
-        return flat(self.docs, f"doc_id bigint, {SCHEMAS[name]}", rows)
+        own = {"compat": self.compat} if name in ("features", "text_runs", "display_list", "parse_errors") else {}
+        return partial(_ROWS[name], **own, **args)
+
+    def table(self, name: str, columns: tuple[str, ...] | None = None, **args) -> DataFrame:
+        """A table: of its columns only those named leave Python; args say which of its rows are made at all."""
+        rows, schema = self._reader(name, args), SCHEMAS[name]
+        if columns is None:
+            return flat(self.docs, f"doc_id bigint, {schema}", rows)
+        fields, at = _chosen(schema, columns)
+        return flat(self.docs, f"doc_id bigint, {fields}", lambda doc: map(at, rows(doc)))
+
+    def bundle(self, **tables: dict) -> DataFrame:
+        """doc_id and, for each table named, an array of its rows: one reading of the document for all of them.
+
+        tables: name=args of table(), columns among them. A row holds what was asked for of a whole document.
+        """
+        parts = []
+        for name, args in tables.items():
+            columns = args.get("columns") or tuple(f.name for f in StructType.fromDDL(SCHEMAS[name]))
+            fields, at = _chosen(SCHEMAS[name], columns)
+            parts.append((name, columns, fields, at, self._reader(name, {k: v for k, v in args.items() if k != "columns"})))
+
+        def rows(doc):
+            yield tuple([dict(zip(columns, at(r), strict=True)) for r in read(doc)] for _, columns, _, at, read in parts)
+
+        struct = StructType([StructField("doc_id", LongType()), *(StructField(n, ArrayType(StructType.fromDDL(f))) for n, _, f, _, _ in parts)])
+        return flat(self.docs, struct, rows)
 
     def features(self, kinds: tuple[str, ...] = ("annotation", "image", "text")) -> DataFrame:
         """Only what is asked for is computed: without text no font is parsed, with annotations alone no content."""
@@ -72,16 +101,20 @@ class Engine:
         """Every table as a view."""
         for name in SCHEMAS:
             self.table(name).createOrReplaceTempView(prefix + name)
-        from vellum.operators.layouts import object_layouts
 
-        object_layouts(self.table("xref_entries"), self.table("headers")).createOrReplaceTempView(prefix + "object_layouts")
 
+def _chosen(schema: str, columns: tuple[str, ...]) -> tuple[str, Callable[[tuple], tuple]]:
+    """(the columns' part of a schema, what takes them from a row)."""
+    all_ = StructType.fromDDL(schema)
+    at = [all_.names.index(c) for c in columns]
+    return ", ".join(f"{c} {all_[c].dataType.simpleString()}" for c in columns), lambda row: tuple([row[i] for i in at])
 
-def flat(docs: DataFrame, schema: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
+
+def flat(docs: DataFrame, schema: str | StructType, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """rows(document), which begin with doc_id, as a table: a narrow pass."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    struct = StructType.fromDDL(schema)
+    struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def run(batches):
         import pyarrow as pa
@@ -89,19 +122,22 @@ def flat(docs: DataFrame, schema: str, rows: Callable[..., Iterator[tuple]]) ->
         from vellum.core.document import Document
 
         arrow = to_arrow_schema(struct)
-        held: list[list] = [[] for _ in arrow]
+        held: list[tuple] = []
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+
         for batch in batches:
             for doc_id, content, password in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = content.as_py()
                 doc = Document(b"" if data is None else data, password)
                 for row in rows(doc):
-                    for c, v in zip(held, (doc_id, *row), strict=True):
-                        c.append(v)
-                    if len(held[0]) >= BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, arrow, strict=True)], schema=arrow)
-                        held = [[] for _ in arrow]
-        if held[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, arrow, strict=True)], schema=arrow)
+                    held.append((doc_id, *row))
+                    if len(held) >= BATCH:
+                        yield batch_of()
+                        held.clear()
+        if held:
+            yield batch_of()
 
     return docs.mapInArrow(run, struct)
 
@@ -135,18 +171,45 @@ def _trailers(doc):
         yield k, _json(s["trailer"])
 
 
-def _objects(doc):
+def _object_layouts(doc):
+    """Every place of every object with its extent and revision (0 is the newest); vellum.operators.layouts has the same as relations."""
+    entries = sorted(doc.xref_entries(), key=lambda e: (e[0], e[3]))
+    starts = sorted({e[4] for e in entries if e[3] == "offset"})
+    ends = dict(zip(starts, [*starts[1:], doc.xref_range[1]], strict=False))
+    seen, packed = Counter(), set()
+    for _, num, gen, kind, offset, stm, index in entries:
+        revision = seen[num, gen]
+        seen[num, gen] += 1
+        if kind == "packed":  # only the newest sighting of a packed id has a layout
+            if (num, gen) in packed:
+                continue
+            packed.add((num, gen))
+        yield num, gen, revision, {"kind": kind, "start": offset, "end": ends.get(offset), "stm_num": stm, "stm_index": index}
+
+
+def _wanted(doc, nums, latest: bool):
+    """(id, revision, object) of the objects asked for."""
+    for ref, revision, x in doc.objects():
+        if (nums is None or ref.num in nums) and not (latest and revision):
+            yield ref, revision, x
+
+
+def _objects(doc, nums: tuple[int, ...] | None = None, latest: bool = False):
     from vellum.core.document import type_name
     from vellum.core.objects import Stream
 
-    for ref, revision, x in doc.objects():
+    for ref, revision, x in _wanted(doc, nums, latest):
         yield *ref, revision, type_name(x), _json(x), x.data if isinstance(x, Stream) else None, _ref(x)
 
 
-def _object_nodes(doc):
+def _object_nodes(doc, nums: tuple[int, ...] | None = None, latest: bool = False, depth: int | None = None):
+    """depth: paths of so many steps at most."""
     from vellum.core.document import nodes
 
-    for ref, revision, x in doc.objects():
+    for ref, revision, x in _wanted(doc, nums, latest):
+        if depth is not None:
+            yield from ((*ref, revision, *node) for node in nodes(x) if len(node[0]) <= depth)
+            continue
         for node in nodes(x):
             yield *ref, revision, *node
 
@@ -181,18 +244,26 @@ def _resources(doc):
                 yield p.index, category, key, _ref(x), type_name(doc.resolve(x))
 
 
-def _operators(doc):
+def _operators(doc, ops: tuple[str, ...] | None = None, pages: tuple[int, ...] | None = None, most: int | None = None):
+    """ops: these alone, numbered among all; pages: of these; most: reading of a page's content ends after so many of them."""
     from vellum.core.content import operators
     from vellum.core.objects import PdfError
 
     for p in doc.pages():
+        if pages is not None and p.index not in pages:
+            continue
         data = b"".join(s.data for _, s in p.streams())
-        k = 0
+        left = most
         try:
-            for op in operators(data):
+            for k, op in enumerate(operators(data)):
+                if ops is not None and op.op not in ops:
+                    continue
+                if left is not None:
+                    if not left:
+                        break
+                    left -= 1
                 tj = None if op.tj is None else [{"text": t, "offset": o} for t, o in op.tj]
                 yield p.index, k, op.op, op.nums, op.name, op.data, tj, None if op.props is None else _json(op.props)
-                k += 1
         except PdfError as e:
             doc.fail(e, ("page", *p.ref))
 
@@ -380,7 +451,7 @@ def _parse_errors(doc, compat: bool = False):
 
 
 _ROWS = {
-    "headers": _headers, "trailers": _trailers, "xref_entries": lambda doc: doc.xref_entries(), "objects": _objects, "object_nodes": _object_nodes, "object_rows": _object_rows,
+    "headers": _headers, "trailers": _trailers, "xref_entries": lambda doc: doc.xref_entries(), "object_layouts": _object_layouts, "objects": _objects, "object_nodes": _object_nodes, "object_rows": _object_rows,
     "pages": _pages, "content_streams": _content_streams, "resources": _resources, "operators": _operators, "features": _features, "text_runs": _text_runs, "display_list": _display_list,
     "fonts": _fonts, "font_widths": _font_widths, "font_differences": _font_differences, "cid_widths": _cid_widths, "tounicode_mappings": _tounicode, "codespaces": _codespaces,
     "images": _images, "image_pixels": _image_pixels, "color_spaces": _color_spaces, "ext_gstates": _ext_gstates, "shadings": _shadings, "functions": _functions, "parse_errors": _parse_errors,

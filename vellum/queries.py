@@ -35,9 +35,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores, dealt out before work in Python; larger tables have splits enough and are not shuffled."""
+    """A table of fewer splits than cores, dealt out before work in Python; larger tables have splits enough and are not shuffled."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= n else df.repartition(n)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def write_pdfs(df: DataFrame, id_col: str, make: Callable[[dict], bytes]) -> DataFrame:
@@ -81,13 +81,30 @@ def text_lines(spark, sf_dir):
 
 @query("SELECT doc_id, replace(text, ' ', '') AS text FROM documents")
 def text_tj_concat(spark, sf_dir):
+    """A document is one row of the pass, so one without text has an empty text (and null where there is no file)."""
+
     def make(r):
+        if r["text"] is None:
+            return None
         words = [synth.literal(w.encode("latin-1", "replace")) for w in r["text"].split(" ")]
         return synth.one_page(b"BT /F1 9 Tf 72 700 Td [" + b" -250 ".join(words) + b"] TJ ET", F1, extra=FONT, flate=True).finish()
 
+    docs = write_pdfs(dealt(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", make)
+    found = Engine(docs).bundle(headers={"columns": ("type",)}, features={"mask": 4, "columns": ("text",)})
+    text = F.array_join(F.transform("features", lambda x: x["text"]["text"]), "")
+    return found.select("doc_id", F.when(F.size("headers") > 0, text).alias("text"))
+
+
+@query("SELECT s_suppkey AS doc_id, replace(s_name, '#', ' x') AS text FROM supplier")
+def text_runs_combined(spark, sf_dir):
+    """The same as relations: the parts of a TJ operator put together again."""
     from vellum.operators.text import combine_runs
 
-    docs = write_pdfs(dealt(read(spark, sf_dir, "documents").select("doc_id", "text").where("text <> ''")), "doc_id", make)
+    def make(r):
+        a, b = (synth.literal(x.encode()) for x in r["s_name"].split("#"))
+        return synth.one_page(b"BT /F1 9 Tf 72 700 Td [%s -250 ( ) 3 (x) %s] TJ ET" % (a, b), F1, extra=FONT).finish()
+
+    docs = write_pdfs(read(spark, sf_dir, "supplier"), "s_suppkey", make)
     return combine_runs(Engine(docs).table("text_runs")).select("doc_id", "text")
 
 
@@ -158,20 +175,23 @@ def _orders(spark, sf_dir):
 
 @query("SELECT op, sum(n)::BIGINT AS n FROM (SELECT unnest(['rg', 're', 'f']) AS op, count(*) AS n FROM lineitem UNION ALL SELECT unnest(['q', 'Q']), count(DISTINCT l_orderkey) FROM lineitem) GROUP BY op")
 def op_histogram(spark, sf_dir):
-    return _orders(spark, sf_dir).table("operators").groupBy("op").agg(F.count("*").alias("n"))
+    return _orders(spark, sf_dir).table("operators", columns=("op",)).groupBy("op").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey AS doc_id, count(*) AS n, round(sum(l_quantity), 3) AS qty, round(sum(l_extendedprice), 3) AS price FROM lineitem GROUP BY l_orderkey")
 def rect_operands(spark, sf_dir):
-    re = _orders(spark, sf_dir).table("operators").where("op = 're'")
+    re = _orders(spark, sf_dir).table("operators", columns=("nums",), ops=("re",))
     return re.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("nums")[0]), 3).alias("qty"), F.round(F.sum(F.col("nums")[1]), 3).alias("price"))
 
 
-@query("SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS line, round(l_discount, 6) AS red, round(l_tax, 6) AS blue FROM lineitem")
+@query("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS line, round(l_discount, 6) AS red, round(l_tax, 6) AS blue, round(l_quantity, 4) AS x, round(l_extendedprice, 4) AS y,
+round(l_quantity + l_linenumber, 4) AS right_, round(l_extendedprice + 1, 4) AS top FROM lineitem""")
 def display_list_fills(spark, sf_dir):
-    d = _orders(spark, sf_dir).table("display_list").where("verb = 'fill'")
-    line = F.regexp_extract("path", r"^m (\S+) \S+ l (\S+)", 2).cast("double") - F.regexp_extract("path", r"^m (\S+)", 1).cast("double")
-    return d.select("doc_id", F.round(line).cast("long").alias("line"), F.round(F.col("colour")[0], 6).alias("red"), F.round(F.col("colour")[2], 6).alias("blue"))
+    d = _orders(spark, sf_dir).table("display_list", columns=("verb", "path", "colour")).where("verb = 'fill'")
+    step = F.split("path", " ")  # m x y l right y l right top l x top h
+    at = lambda i: F.round(step[i].cast("double"), 4)
+    line = F.round(step[4].cast("double") - step[1].cast("double")).cast("long")
+    return d.select("doc_id", line.alias("line"), F.round(F.col("colour")[0], 6).alias("red"), F.round(F.col("colour")[2], 6).alias("blue"), at(1).alias("x"), at(2).alias("y"), at(4).alias("right_"), at(8).alias("top"))
 
 
 IMAGE = {6: synth.stream(b"\x80", b"/Type /XObject /Subtype /Image /Width 1 /Height 1 /ColorSpace /DeviceGray /BitsPerComponent 8")}
@@ -298,7 +318,7 @@ def _customers(spark, sf_dir):
 
 @query("SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS INTEGER) AS revision, o_orderkey AS value FROM orders")
 def xref_revisions(spark, sf_dir):
-    n = _customers(spark, sf_dir).table("object_nodes").where("num = 5 and size(path) = 0")
+    n = _customers(spark, sf_dir).table("object_nodes", columns=("revision", "i"), nums=(5,), depth=0)
     return n.select("doc_id", "revision", F.col("i").alias("value"))
 
 
@@ -311,10 +331,9 @@ def _layouts(e: Engine) -> DataFrame:
 @query("SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS INTEGER) AS revision, (16 + length(o_orderkey::VARCHAR))::BIGINT AS extent FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
 def object_extents(spark, sf_dir):
     """The last object's extent goes on to the word startxref; the length of the table before it comes off."""
-    e = _customers(spark, sf_dir)
-    table = e.table("headers").select("doc_id", (F.col("xref_end") - F.col("xref_start")).alias("table"))
-    out = _layouts(e).where("num = 5 and revision = 0").join(table, "doc_id")
-    return out.select("doc_id", "revision", (F.col("storage.end") - F.col("storage.start") - F.col("table")).alias("extent"))
+    both = _customers(spark, sf_dir).bundle(object_layouts={}, headers={"columns": ("xref_start", "xref_end")})
+    out = both.select("doc_id", F.col("headers")[0].alias("h"), F.explode("object_layouts").alias("x")).where("x.num = 5 and x.revision = 0")
+    return out.select("doc_id", "x.revision", (F.col("x.storage.end") - F.col("x.storage.start") - F.col("h.xref_end") + F.col("h.xref_start")).alias("extent"))
 
 
 @query("SELECT o_custkey AS doc_id, 5::BIGINT AS num, CAST(count(*) - 1 AS INTEGER) AS oldest FROM orders GROUP BY o_custkey")
@@ -326,12 +345,11 @@ def navigate_oldest(spark, sf_dir):
 
 @query("SELECT o_custkey AS doc_id, max(o_orderkey) AS value FROM orders GROUP BY o_custkey")
 def resolve_latest(spark, sf_dir):
-    from vellum.operators.layouts import resolve_latest as newest
-
-    e = _customers(spark, sf_dir)
-    at = newest(_layouts(e)).where("num = 5").select("doc_id", "num", "gen", "revision")
-    nodes = e.table("object_nodes").where("num = 5 and size(path) = 0")
-    return nodes.join(at, ["doc_id", "num", "gen", "revision"]).select("doc_id", F.col("i").alias("value"))
+    """What a look-up by id finds: layouts and objects of one reading of the document meet inside its row."""
+    both = _customers(spark, sf_dir).bundle(object_layouts={"columns": ("num", "gen", "revision")}, object_nodes={"columns": ("num", "gen", "revision", "i"), "nums": (5,), "depth": 0})
+    newest = F.filter("object_layouts", lambda x: (x["num"] == 5) & (x["revision"] == 0))[0]
+    found = F.filter("object_nodes", lambda x: (x["gen"] == newest["gen"]) & (x["revision"] == newest["revision"]))
+    return both.select("doc_id", found[0]["i"].alias("value"))
 
 
 @query("SELECT s_suppkey AS doc_id, s_name AS name, (s_suppkey * 2)::BIGINT AS value, true AS recovered, 8::BIGINT AS size FROM supplier")
@@ -342,11 +360,11 @@ def recovery_scan(spark, sf_dir):
         first = w.finish(xref=False)
         return first + b"7 0 obj\n%d\nendobj\n" % (r["s_suppkey"] * 2)
 
-    e = Engine(write_pdfs(read(spark, sf_dir, "supplier"), "s_suppkey", make))
-    text = e.features(("text",)).select("doc_id", F.col("text.text").alias("name"))
-    value = e.table("object_nodes").where("num = 7 and size(path) = 0").select("doc_id", F.col("i").alias("value"))
-    size = e.table("trailers").select("doc_id", F.get_json_object("trailer", "$.v.Size.v").cast("long").alias("size"))
-    return text.join(value, "doc_id").join(e.table("headers").select("doc_id", "recovered"), "doc_id").join(size, "doc_id")
+    all_ = Engine(write_pdfs(read(spark, sf_dir, "supplier"), "s_suppkey", make)).bundle(
+        features={"mask": 4, "columns": ("text",)}, object_nodes={"columns": ("i",), "nums": (7,), "depth": 0}, headers={"columns": ("recovered",)}, trailers={"columns": ("trailer",)}
+    )
+    size = F.get_json_object(F.col("trailers")[0]["trailer"], "$.v.Size.v").cast("long")
+    return all_.select("doc_id", F.col("features")[0]["text"]["text"].alias("name"), F.col("object_nodes")[0]["i"].alias("value"), F.col("headers")[0]["recovered"].alias("recovered"), size.alias("size"))
 
 
 @query("SELECT c_custkey AS doc_id, c_name AS name, c_nationkey::BIGINT AS nation, round(c_acctbal, 2) AS balance FROM customer")
@@ -634,10 +652,14 @@ def parse_errors(spark, sf_dir):
     return e.table("parse_errors").select("doc_id", "failure").join(kept, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)).cast("long"))
 
 
-# ---- rows only ------------------------------------------------------------------------------------------------------
+# ---- whole listings -------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH t AS (SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name, '' || n_nationkey AS k, 1 + length(replace(n_name, ' ', '#20')) AS e, length('' || n_nationkey) AS d FROM nation),
+p AS (SELECT *, e + 1 AS s1, e + 4 + d AS s2 FROM t)
+SELECT doc_id, CAST(i AS INTEGER) AS seq, kind, CASE i WHEN 0 THEN n_name WHEN 1 THEN lower(hex(encode(k))) WHEN 3 THEN '1' WHEN 4 THEN '2.5' WHEN 7 THEN 'K' WHEN 8 THEN '4142' ELSE '' END AS text,
+CAST(CASE i WHEN 0 THEN 0 WHEN 1 THEN s1 ELSE s2 + o END AS BIGINT) AS start, CAST(CASE i WHEN 0 THEN e WHEN 1 THEN s1 + d + 2 ELSE s2 + o + n END AS BIGINT) AS "end"
+FROM p, (VALUES (0, 'name', 0, 0), (1, 'string', 0, 0), (2, 'left', 0, 1), (3, 'int', 1, 1), (4, 'real', 3, 3), (5, 'right', 6, 1), (6, 'open', 8, 2), (7, 'name', 11, 2), (8, 'string', 14, 6), (9, 'close', 21, 2)) v(i, kind, o, n)""")
 def token_dump(spark, sf_dir):
     from vellum.functions.udtf import register
 
@@ -647,11 +669,24 @@ def token_dump(spark, sf_dir):
     return spark.sql("SELECT doc_id, t.* FROM vellum_token_docs, LATERAL pdf_tokens(content) t")
 
 
-@query()
+@query("""WITH r AS (SELECT DISTINCT n_regionkey AS k FROM nation), n AS (SELECT * FROM nation),
+own AS (SELECT k, n_nationkey AS c, row_number() OVER (PARTITION BY k ORDER BY n_nationkey) - 1 AS i FROM r JOIN n ON n_regionkey = k),
+top AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM r),
+box AS (SELECT k, unnest([0, 1, 2, 3]) AS i FROM r),
+listed AS (
+SELECT 1 AS num, 0 AS a, 0 AS b, 0 AS depth, '' AS key, 'dictionary' AS kind, '2 entries' AS shown UNION ALL SELECT 1, 1, 0, 1, 'Pages', 'reference', '2 0 R' UNION ALL SELECT 1, 2, 0, 1, 'Type', 'name', 'Catalog'
+UNION ALL SELECT 2, 0, 0, 0, '', 'dictionary', '3 entries' UNION ALL SELECT 2, 1, 0, 1, 'Count', 'integer', '' || (SELECT count(*) FROM n) UNION ALL SELECT 2, 2, 0, 1, 'Kids', 'array', (SELECT count(*) FROM r) || ' items'
+UNION ALL SELECT 2, 3, i, 2, '' || i, 'reference', (100 + k) || ' 0 R' FROM top UNION ALL SELECT 2, 4, 0, 1, 'Type', 'name', 'Pages'
+UNION ALL SELECT 100 + k, 0, 0, 0, '', 'dictionary', '5 entries' FROM r UNION ALL SELECT 100 + k, 1, 0, 1, 'Count', 'integer', '' || count(*) FROM own GROUP BY k UNION ALL SELECT 100 + k, 2, 0, 1, 'Kids', 'array', count(*) || ' items' FROM own GROUP BY k
+UNION ALL SELECT 100 + k, 3, i, 2, '' || i, 'reference', (200 + c) || ' 0 R' FROM own UNION ALL SELECT 100 + k, 4, 0, 1, 'MediaBox', 'array', '4 items' FROM r
+UNION ALL SELECT 100 + k, 5, i, 2, '' || i, 'integer', '' || [0, 0, 10 + k, 50][i + 1] FROM box UNION ALL SELECT 100 + k, 6, 0, 1, 'Parent', 'reference', '2 0 R' FROM r UNION ALL SELECT 100 + k, 7, 0, 1, 'Type', 'name', 'Pages' FROM r
+UNION ALL SELECT 200 + n_nationkey, 0, 0, 0, '', 'dictionary', '3 entries' FROM n UNION ALL SELECT 200 + n_nationkey, 1, 0, 1, 'Parent', 'reference', (100 + n_regionkey) || ' 0 R' FROM n
+UNION ALL SELECT 200 + n_nationkey, 2, 0, 1, 'PieceInfo', 'string', lower(hex(encode(n_name))) FROM n UNION ALL SELECT 200 + n_nationkey, 3, 0, 1, 'Type', 'name', 'Page' FROM n)
+SELECT 0::BIGINT AS doc_id, num::BIGINT AS num, 0::BIGINT AS gen, CAST(row_number() OVER (PARTITION BY num ORDER BY a, b) - 1 AS INTEGER) AS row, CAST(depth AS INTEGER) AS depth, key, kind, shown FROM listed""")
 def object_display_rows(spark, sf_dir):
     return _tree(spark, sf_dir).table("object_rows")
 
 
-@query()
+@query("SELECT user_id AS doc_id, 0 AS page_index, CAST(i AS INTEGER) AS seq, verb, what FROM (SELECT DISTINCT user_id FROM events), (VALUES (0, 'text0', 'x'), (1, 'image', 'Im')) v(i, verb, what)")
 def display_list(spark, sf_dir):
-    return _users(spark, sf_dir).table("display_list").select("doc_id", "page_index", "seq", "verb", "what")
+    return _users(spark, sf_dir).table("display_list", columns=("page_index", "seq", "verb", "what"))
