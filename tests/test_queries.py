@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import vellum.queries_format  # noqa: F401
 from vellum.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -25,6 +25,12 @@ def intersection(p: Column, q: Column) -> Column:
     return F.when((w > 0) & (h > 0), rect(x, y, w, h))
 
 
+def union(p: Column, q: Column) -> Column:
+    """The smallest rectangle that holds both."""
+    x, y = F.least(p["x"], q["x"]), F.least(p["y"], q["y"])
+    return rect(x, y, F.greatest(p["x"] + p["width"], q["x"] + q["width"]) - x, F.greatest(p["y"] + p["height"], q["y"] + q["height"]) - y)
+
+
 def page_rect(crop: Column, media: Column, above: Column) -> Column:
     """Crop within media, else media; else crop; else media; else the size from above."""
     return F.when(crop.isNotNull() & media.isNotNull(), F.coalesce(intersection(crop, media), media)).otherwise(F.coalesce(crop, media, above))
