@@ -108,6 +108,39 @@ def aes_cbc_decrypt(key: bytes, data: bytes, iv: bytes | None = None, unpad: boo
     return bytes(out)
 
 
+@lru_cache(1)
+def _forward() -> tuple[bytes, list[list[int]]]:
+    """The S-box, and for each row of a column what a byte there adds to the mixed column."""
+    box = _tables()[0]
+    first = [_times(v, 2) << 24 | v << 16 | v << 8 | _times(v, 3) for v in box]
+    return box, [[(t >> 8 * k | t << (32 - 8 * k)) & 0xFFFFFFFF for t in first] for k in range(4)]
+
+
+def aes_cbc_encrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
+    """Whole blocks, without padding."""
+    box, (t0, t1, t2, t3) = _forward()
+    keys = [[int.from_bytes(r[i : i + 4], "big") for i in range(0, 16, 4)] for r in _schedule(key)]
+    first, *middle, last = keys
+    a, b, c, d = (int.from_bytes(iv[i : i + 4], "big") for i in range(0, 16, 4))
+    words, out = [int.from_bytes(data[i : i + 4], "big") for i in range(0, len(data), 4)], []
+    k0, k1, k2, k3 = first
+    for i in range(0, len(words), 4):
+        a, b, c, d = a ^ words[i] ^ k0, b ^ words[i + 1] ^ k1, c ^ words[i + 2] ^ k2, d ^ words[i + 3] ^ k3
+        for e, f, g, h in middle:
+            a, b, c, d = (
+                t0[a >> 24] ^ t1[b >> 16 & 255] ^ t2[c >> 8 & 255] ^ t3[d & 255] ^ e,
+                t0[b >> 24] ^ t1[c >> 16 & 255] ^ t2[d >> 8 & 255] ^ t3[a & 255] ^ f,
+                t0[c >> 24] ^ t1[d >> 16 & 255] ^ t2[a >> 8 & 255] ^ t3[b & 255] ^ g,
+                t0[d >> 24] ^ t1[a >> 16 & 255] ^ t2[b >> 8 & 255] ^ t3[c & 255] ^ h,
+            )
+        a, b, c, d = (
+            (box[p >> 24] << 24 | box[q >> 16 & 255] << 16 | box[r >> 8 & 255] << 8 | box[s & 255]) ^ k
+            for p, q, r, s, k in ((a, b, c, d, last[0]), (b, c, d, a, last[1]), (c, d, a, b, last[2]), (d, a, b, c, last[3]))
+        )
+        out += (a, b, c, d)
+    return b"".join([w.to_bytes(4, "big") for w in out])
+
+
 def file_key(password: bytes, o: bytes, p: int, doc_id: bytes, revision: int, length: int, with_metadata: bool) -> bytes:
     h = hashlib.md5((password + PAD)[:32] + o[:32] + (p & 0xFFFFFFFF).to_bytes(4, "little") + doc_id)
     if revision >= 4 and not with_metadata:
@@ -216,10 +249,16 @@ class Security:
 
 
 def hash_of_revision(data: bytes, password: bytes, extra: bytes, revision: int) -> bytes:
-    """Revision 5 is one SHA-256; revision 6 has not been built (its rounds encrypt with AES, 64 times and more)."""
-    if revision >= 6:
-        raise PdfError("unsupportedEncryption")
-    return hashlib.sha256(data).digest()
+    """Revision 5 is one SHA-256.  Revision 6 hardens it (ISO 32000-2, algorithm 2.B): rounds of AES over 64 copies of what is
+    known, each hashed by the function that the result modulo 3 names, until 64 rounds are done and the last byte allows it."""
+    k, done = hashlib.sha256(data).digest(), 0
+    while revision >= 6:
+        sealed = aes_cbc_encrypt(k[:16], k[16:32], (password + k + extra) * 64)
+        k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[sum(sealed[:16]) % 3](sealed).digest()
+        done += 1
+        if done >= 64 and sealed[-1] <= done - 32:
+            break
+    return k[:32]
 
 
 def is_name(x) -> bool:

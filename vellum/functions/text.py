@@ -22,10 +22,11 @@ def pdf_text(b: Column) -> Column:
 
 
 def pdf_doc_bytes(text: Column) -> Column:
-    """STRING to BINARY; characters that the encoding lacks become X."""
+    """STRING to BINARY; characters that the encoding lacks become X. Plain ASCII, and texts of what it has, skip the steps they need not."""
     have = "".join(chr(c) for c in range(256) if c not in PDF_DOC)
     klass = "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in have + _TO) + "]"
-    return F.encode(F.translate(F.regexp_replace(text, klass, "X"), _TO, _FROM), "ISO-8859-1")
+    own = F.when(text.rlike(klass), F.regexp_replace(text, klass, "X")).otherwise(text)
+    return F.encode(F.when(text.rlike(r"[^\x00-\x17\x20-\x7F]"), F.translate(own, _TO, _FROM)).otherwise(text), "ISO-8859-1")
 
 
 def big_endian(b: Column) -> Column:

@@ -34,7 +34,7 @@ def navigate(layouts: DataFrame) -> DataFrame:
 
 
 def dereference(refs: DataFrame, objects: DataFrame, ref_col: str = "ref", hops: int = 4) -> DataFrame:
-    """refs (doc_id, ref struct) with (kind, value, data) of what the reference leads to, through up to ``hops`` objects that are references themselves; NULL where it leads nowhere.
+    """refs (doc_id, ref struct) with (kind, value, data) of what the reference leads to, through up to ``hops`` objects that are references themselves; NULL where it leads nowhere, kind reference where it goes on beyond the hops.
 
     Each hop is an equi-join on (doc_id, num, gen); the bound on hops ends what goes in circles.
     """
@@ -45,4 +45,4 @@ def dereference(refs: DataFrame, objects: DataFrame, ref_col: str = "ref", hops:
         hit = now.join(newest, (F.col("doc_id") == F.col("_d")) & (F.col("_an") == F.col("_n")) & (F.col("_ag") == F.col("_g")), "left")
         final = F.col("_kind").isNotNull() & (F.col("_kind") != "reference")
         now = hit.select(*cols, F.when(~final, F.col("_ref.num")).alias("_an"), F.when(~final, F.col("_ref.gen")).alias("_ag"), *[F.coalesce(c, F.when(final, F.col(f"_{c}"))).alias(c) for c in ("kind", "value", "data")])
-    return now.drop("_an", "_ag")
+    return now.withColumn("kind", F.coalesce("kind", F.when(F.col("_an").isNotNull(), "reference"))).drop("_an", "_ag")

@@ -156,7 +156,7 @@ def tounicode_range_join(spark, sf_dir):
 def pdfdoc_decode(spark, sf_dir):
     from vellum.functions.text import pdf_doc_bytes, pdf_text
 
-    return read(spark, sf_dir, "documents").select("doc_id", pdf_text(pdf_doc_bytes(F.col("text"))).alias("text"))
+    return dealt(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", pdf_text(pdf_doc_bytes(F.col("text"))).alias("text"))
 
 
 # ---- operators ------------------------------------------------------------------------------------------------------

@@ -422,6 +422,22 @@ def encrypted_strings(spark, sf_dir):
     return n.groupBy("doc_id").agg(of(5).alias("sealed"), of(6).alias("plain"))
 
 
+@query("SELECT CAST(r_regionkey AS BIGINT) AS doc_id, r_name AS text FROM region")
+def aes_256_text(spark, sf_dir):
+    """Revision 6: the key of the file comes out of the password by the hardened hash."""
+    key = bytes(range(32))
+    trailer = synth.aes_256("pässword".encode(), key)
+    sealed = F.aes_encrypt(F.concat(F.lit(b"BT /F1 12 Tf ("), F.encode(F.col("r_name"), "UTF-8"), F.lit(b") Tj ET")), F.lit(key), F.lit("CBC"), F.lit("PKCS"))
+
+    def make(r):
+        w = synth.one_page(b"")
+        w.objects[4] = synth.stream(r["sealed"])
+        return w.finish(trailer=trailer)
+
+    docs = write_pdfs(dealt(read(spark, sf_dir, "region").select("r_regionkey", sealed.alias("sealed"))), "r_regionkey", make)
+    return Engine(docs, password="pässword").features(("text",)).select("doc_id", F.col("text.text").alias("text"))
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 1::BIGINT AS failures, CASE n_nationkey % 2 WHEN 0 THEN 'passwordRequired' ELSE 'unsupportedEncryption' END AS failure FROM nation")
 def encryption_errors(spark, sf_dir):
     def make(k, _):

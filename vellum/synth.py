@@ -169,3 +169,60 @@ def aes_128(user: bytes, owner: bytes, doc_id: bytes = b"0123456789abcdef") -> t
         u = arcfour(bytes(c ^ i for c in key), u)
     cf = b"/CF << /StdCF << /CFM /AESV2 /AuthEvent /DocOpen /Length 16 >> >> /StmF /StdCF /StrF /StdCF"
     return b"/ID [<%s><%s>] /Encrypt << /Filter /Standard /V 4 /R 4 /Length 128 /P -4 /O <%s> /U <%s> %s >>" % (doc_id.hex().encode(), doc_id.hex().encode(), o.hex().encode(), (u + bytes(16)).hex().encode(), cf), key
+
+
+def aes_256(user: bytes, key: bytes) -> bytes:
+    """Trailer entries of crypt filters with AESV3, revision 6, for a user's password and a file key of 32 bytes."""
+    salts = b"saltsalt", b"keysalt!"
+    u = hardened(user + salts[0], user) + salts[0] + salts[1]
+    ue = rijndael_cbc(hardened(user + salts[1], user), bytes(16), key)
+    cf = b"/CF << /StdCF << /CFM /AESV3 /AuthEvent /DocOpen /Length 32 >> >> /StmF /StdCF /StrF /StdCF"
+    o = bytes(48)
+    return b"/Encrypt << /Filter /Standard /V 5 /R 6 /Length 256 /P -4 /O <%s> /OE <%s> /U <%s> /UE <%s> /Perms <%s> %s >>" % (o.hex().encode(), bytes(32).hex().encode(), u.hex().encode(), ue.hex().encode(), bytes(16).hex().encode(), cf)
+
+
+def hardened(start: bytes, password: bytes) -> bytes:
+    k, rounds = hashlib.sha256(start).digest(), 0
+    while True:
+        e = rijndael_cbc(k[:16], k[16:32], (password + k) * 64)
+        k = hashlib.new(("sha256", "sha384", "sha512")[int.from_bytes(e[:16], "big") % 3], e).digest()
+        rounds += 1
+        if rounds > 63 and e[-1] + 32 <= rounds:
+            return k[:32]
+
+
+def rijndael_cbc(key: bytes, iv: bytes, text: bytes) -> bytes:
+    """By the book, byte by byte."""
+    log, exp, v = {}, [], 1
+    for i in range(255):
+        exp.append(v)
+        log[v] = i
+        v ^= (v << 1) ^ (0x11B if v & 0x80 else 0)
+    mul = lambda a, b: exp[(log[a] + log[b]) % 255] if a and b else 0
+    turn = lambda x, n: (x << n | x >> (8 - n)) & 255
+    sub = [0x63]
+    for a in range(1, 256):
+        i = exp[-log[a] % 255]
+        sub.append(i ^ turn(i, 1) ^ turn(i, 2) ^ turn(i, 3) ^ turn(i, 4) ^ 0x63)
+    double, triple = [mul(a, 2) for a in range(256)], [mul(a, 3) for a in range(256)]
+    nk, w, rc = len(key) // 4, [list(key[i : i + 4]) for i in range(0, len(key), 4)], 1
+    for i in range(nk, 4 * (nk + 7)):
+        t = list(w[-1])
+        if i % nk == 0:
+            t = [sub[x] for x in t[1:] + t[:1]]
+            t[0], rc = t[0] ^ rc, mul(rc, 2)
+        elif nk > 6 and i % nk == 4:
+            t = [sub[x] for x in t]
+        w.append([x ^ y for x, y in zip(w[i - nk], t, strict=True)])
+    flat = [sum(w[r : r + 4], []) for r in range(0, len(w), 4)]
+    out = b""
+    for at in range(0, len(text), 16):
+        s = [x ^ y ^ z for x, y, z in zip(text[at : at + 16], iv, flat[0], strict=True)]
+        for r, k in enumerate(flat[1:], 1):
+            s = [sub[s[(i + 4 * (i % 4)) % 16]] for i in range(16)]
+            if r < len(flat) - 1:
+                s = [double[s[c + i]] ^ triple[s[c + (i + 1) % 4]] ^ s[c + (i + 2) % 4] ^ s[c + (i + 3) % 4] for c in range(0, 16, 4) for i in range(4)]
+            s = [x ^ y for x, y in zip(s, k, strict=True)]
+        iv = bytes(s)
+        out += iv
+    return out
