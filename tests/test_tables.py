@@ -32,6 +32,52 @@ def test_reading_binary_files(spark, tmp_path):
     assert "content" not in e.docs.select("doc_id")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_writing_files(spark, tmp_path):
+    from vellum.plans.tables import open_engine
+    from vellum.sources.pdf import write_files
+
+    files = docs(spark, *[synth.one_page(b"BT (w%d) Tj ET" % i).finish() for i in range(5)], None)
+    for path in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        told = write_files(files, path)
+        assert sorted((r["doc_id"], r["name"]) for r in told.collect()) == [(i, f"{i}.pdf") for i in range(5)]
+        assert sorted(r[0] for r in open_engine(spark, path).features(("text",)).select("text.text").collect()) == [f"w{i}" for i in range(5)]
+
+
+def test_columns_rows_and_bundles(spark):
+    e = Engine(docs(spark, synth.one_page(b"q 1 w 2 w BT (a) Tj ET Q").finish(), None))
+    assert e.table("operators", columns=("seq", "op"), ops=("w", "Q")).collect() == [(0, 1, "w"), (0, 2, "w"), (0, 6, "Q")]
+    assert e.table("operators", columns=("op",), most=2).collect() == [(0, "q"), (0, "w")] and e.table("operators", pages=(1,)).count() == 0
+    assert e.table("objects", columns=("num",), nums=(3, 4), latest=True).collect() == [(0, 3), (0, 4)]
+    both = e.bundle(pages={"columns": ("page_index",)}, features={"mask": 4}, object_layouts={})
+    a, b = both.orderBy("doc_id").collect()
+    assert (a["pages"], len(a["features"]), len(a["object_layouts"])) == ([(0,)], 1, 4) and b["pages"] == b["features"] == []
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_layouts_agree_with_their_relational_form(spark):
+    from vellum.operators.layouts import object_layouts
+
+    w = synth.one_page(b"", extra={5: b"1", 6: b"<< >>"})
+    w.finish()
+    packed = synth.one_page(b"", extra={5: b"(x)"}).finish_packed()
+    e = Engine(docs(spark, w.update({5: b"2"}), packed, synth.one_page(b"", extra={5: b"7"}).finish(xref=False)))
+    cols = ["doc_id", "num", "gen", "revision", "storage"]
+    want = object_layouts(e.table("xref_entries"), e.table("headers")).select(*cols).collect()
+    assert sorted(map(repr, e.table("object_layouts").select(*cols).collect())) == sorted(map(repr, want)) and len(want) > 12
+
+
+def test_deep_forms_are_an_error(spark):
+    forms = {n: synth.stream(b"/F Do", b"/Subtype /Form /BBox [0 0 1 1] /Resources << /XObject << /F %d 0 R >> >>" % (n + 1)) for n in range(5, 80)}
+    e = Engine(docs(spark, synth.one_page(b"/F Do", b"/XObject << /F 5 0 R >>", extra=forms).finish()))
+    assert [r[0] for r in e.table("parse_errors").select("failure").collect()] == ["nestedTooDeeply"]
+
+
+def test_the_end_is_found_behind_long_lines(spark):
+    data = synth.one_page(b"BT (x) Tj ET").finish()
+    e = Engine(docs(spark, data + b"\n" * 9000, data.replace(b"startxref", b"%" + b"x" * 5000 + b"\nstartxref")))
+    assert e.features(("text",)).count() == 2 and e.table("headers").where("recovered").count() == 0
+
+
 def test_views_and_udtfs(spark):
     from vellum.functions.udtf import register
 

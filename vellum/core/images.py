@@ -138,6 +138,62 @@ def pixels(i: Image, data: bytes) -> np.ndarray | None:
     return out[:, : i.width * n].reshape(i.height, i.width, n).astype(np.int32)
 
 
+def rgba(doc, s: Stream) -> np.ndarray | None:
+    """height x width x (red, green, blue, alpha) of a raw image, 0 to 255.
+
+    Alpha comes from the soft mask (scaled to the image by its nearest samples; what was blended with a matte colour is
+    undone), else from an explicit mask or a range of colours that are masked out. A stencil is black where it paints.
+    """
+    i = image_of(doc, s)
+    px = pixels(i, s.data) if i is not None else None
+    if px is None:
+        return None
+    alpha = np.ones(px.shape[:2])
+    if i.mask:
+        return _bytes(np.zeros((*px.shape[:2], 3)), 1 - _decoded(i, px)[:, :, 0])
+    colour = _colours(i.space, _decoded(i, px))
+    masked = doc.resolve(s.dict.get("Mask"))
+    if i.smask is not None:
+        soft = image_of(doc, i.smask)
+        level = pixels(soft, i.smask.data) if soft is not None else None
+        if level is not None:
+            alpha = _scaled(np.clip(_decoded(soft, level)[:, :, 0], 0, 1), alpha.shape)
+            if i.matte and len(i.matte) == i.space.components:
+                matte = np.array(i.space.rgb(i.matte))
+                colour = np.where(alpha[:, :, None] > 0, matte + (colour - matte) / np.where(alpha > 0, alpha, 1)[:, :, None], matte)
+    elif isinstance(masked, Stream):
+        shape = image_of(doc, masked)
+        level = pixels(shape, masked.data) if shape is not None and shape.mask else None
+        if level is not None:
+            alpha = _scaled(1 - _decoded(shape, level)[:, :, 0], alpha.shape)
+    elif isinstance(masked, list) and len(ranges := doc.reals_(masked)) == 2 * px.shape[2]:
+        out = (px >= np.array(ranges[::2])) & (px <= np.array(ranges[1::2]))
+        alpha = np.where(out.all(axis=2), 0.0, 1.0)
+    return _bytes(colour, alpha)
+
+
+def _bytes(colour: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(np.concatenate([colour, alpha[:, :, None]], axis=2), 0, 1) * 255 + 0.5).astype(np.int32)
+
+
+def _decoded(i: Image, px: np.ndarray) -> np.ndarray:
+    n, top = px.shape[2], (1 << i.bits) - 1
+    d = i.decode if i.decode and len(i.decode) == 2 * n else [0, top if i.space.kind == "Indexed" else 1] * n
+    low, high = np.array(d[::2], float), np.array(d[1::2], float)
+    return low + px * (high - low) / top
+
+
+def _colours(space: Space, values: np.ndarray) -> np.ndarray:
+    """Each distinct colour meets the space once."""
+    flat, back = np.unique(values.reshape(-1, values.shape[2]), axis=0, return_inverse=True)
+    return np.array([space.rgb(list(v)) for v in flat])[back.reshape(-1)].reshape(*values.shape[:2], 3)
+
+
+def _scaled(level: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    y, x = (((np.arange(n) + 0.5) * have / n).astype(int) for n, have in zip(shape, level.shape, strict=True))
+    return level[np.ix_(y, x)]
+
+
 @dataclass
 class Shading:
     kind: int

@@ -43,8 +43,9 @@ SCHEMAS: dict[str, str] = {
     "cid_widths": "num bigint, gen bigint, pos int, lo bigint, hi bigint, width double, default_width double",
     "tounicode_mappings": "num bigint, gen bigint, pos int, lo bigint, hi bigint, text string",
     "codespaces": "num bigint, gen bigint, of string, pos int, bytes int, lo bigint, hi bigint",
-    "images": "num bigint, gen bigint, width bigint, height bigint, bits int, mask boolean, encoding string, space string, components int, decode array<double>, interpolate boolean, intent string, has_smask boolean, matte array<double>, data binary",
+    "images": "num bigint, gen bigint, width bigint, height bigint, bits int, mask boolean, encoding string, space string, components int, decode array<double>, interpolate boolean, intent string, has_smask boolean, matte array<double>, data binary, jbig2_globals binary",
     "image_pixels": "num bigint, gen bigint, y int, values array<int>",
+    "image_rgba": "num bigint, gen bigint, y int, values array<int>",
     "color_spaces": "page_index int, key string, kind string, components int, is_cmyk boolean, base string, structure string",
     "ext_gstates": "page_index int, key string, line_width double, line_cap int, line_join int, miter double, dash_phase double, dash array<double>, intent string, overprint_stroke boolean, overprint_fill boolean, overprint_mode int, flatness double, smoothness double, stroke_adjust boolean, blend string, smask string, stroke_alpha double, fill_alpha double, alpha_is_shape boolean, text_knockout boolean",
     "shadings": "page_index int, key string, type int, space string, coords array<double>, domain array<double>, extend array<boolean>, background array<double>, samples array<array<double>>",
@@ -380,7 +381,28 @@ def _images(doc):
 
     for ref, revision, x in doc.objects():
         if revision == 0 and isinstance(x, Stream) and doc.name_(x.dict.get("Subtype")) == "Image" and (i := image_of(doc, x)):
-            yield *ref, i.width, i.height, i.bits, i.mask, i.encoding, i.space.kind, i.space.components, i.decode, i.interpolate, i.intent, i.smask is not None, i.matte, x.data
+            yield *ref, i.width, i.height, i.bits, i.mask, i.encoding, i.space.kind, i.space.components, i.decode, i.interpolate, i.intent, i.smask is not None, i.matte, x.data, _globals(doc, x)
+
+
+def _globals(doc, s) -> bytes | None:
+    """What a JBIG2 stream needs from elsewhere."""
+    params = doc.resolve(s.dict.get("DecodeParms"))
+    for p in params if isinstance(params, list) else [params]:
+        shared = doc.stream_((doc.dict_(p) or {}).get("JBIG2Globals"))
+        if shared is not None:
+            return shared.data
+    return None
+
+
+def _image_rgba(doc):
+    """Rows of red, green, blue and alpha, masks included."""
+    from vellum.core.images import rgba
+    from vellum.core.objects import Stream
+
+    for ref, revision, x in doc.objects():
+        if revision == 0 and isinstance(x, Stream) and doc.name_(x.dict.get("Subtype")) == "Image" and (rows := rgba(doc, x)) is not None:
+            for y, row in enumerate(rows):
+                yield *ref, y, row.reshape(-1).tolist()
 
 
 def _image_pixels(doc):
@@ -454,7 +476,7 @@ _ROWS = {
     "headers": _headers, "trailers": _trailers, "xref_entries": lambda doc: doc.xref_entries(), "object_layouts": _object_layouts, "objects": _objects, "object_nodes": _object_nodes, "object_rows": _object_rows,
     "pages": _pages, "content_streams": _content_streams, "resources": _resources, "operators": _operators, "features": _features, "text_runs": _text_runs, "display_list": _display_list,
     "fonts": _fonts, "font_widths": _font_widths, "font_differences": _font_differences, "cid_widths": _cid_widths, "tounicode_mappings": _tounicode, "codespaces": _codespaces,
-    "images": _images, "image_pixels": _image_pixels, "color_spaces": _color_spaces, "ext_gstates": _ext_gstates, "shadings": _shadings, "functions": _functions, "parse_errors": _parse_errors,
+    "images": _images, "image_pixels": _image_pixels, "image_rgba": _image_rgba, "color_spaces": _color_spaces, "ext_gstates": _ext_gstates, "shadings": _shadings, "functions": _functions, "parse_errors": _parse_errors,
 }
 
 

@@ -250,6 +250,50 @@ def stencils(spark, sf_dir):
     return _nations(spark, sf_dir, make).table("display_list", columns=("verb", "what"))
 
 
+@query("""SELECT s_suppkey AS doc_id, CAST(x AS INTEGER) AS x, CAST(least(255, floor(255 * greatest(0, least(1, 0.5 + (v - 0.5) / (a / 255.0))) + 0.5)) AS INTEGER) AS red, CAST(a AS INTEGER) AS alpha
+FROM (SELECT s_suppkey, x, (s_suppkey * 3 + 40 * x) % 256 / 255.0 AS v, CASE WHEN x < 2 THEN 51 + s_suppkey % 100 ELSE 255 END AS a FROM supplier, range(4) r(x))""")
+def soft_masks(spark, sf_dir):
+    """A soft mask of half the width, and colours that were blended with a matte of one half."""
+
+    def make(k, _):
+        rgb = b"".join(bytes([(k * 3 + 40 * x) % 256, 0, 0]) for x in range(4))
+        own = b"/Subtype /Image /Height 1 /BitsPerComponent 8 "
+        image = synth.stream(rgb, own + b"/Width 4 /ColorSpace /DeviceRGB /SMask 7 0 R")
+        return synth.one_page(b"", IM, extra={6: image, 7: synth.stream(bytes([51 + k % 100, 255]), own + b"/Width 2 /ColorSpace /DeviceGray /Matte [0.5 0.5 0.5]")}).finish()
+
+    rows = _suppliers(spark, sf_dir, make).table("image_rgba", columns=("num", "values")).where("num = 6")
+    pixel = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("x"), "values")
+    return pixel.select("doc_id", "x", F.get("values", F.col("x") * 4).alias("red"), F.get("values", F.col("x") * 4 + 3).alias("alpha"))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, num::BIGINT AS num, CAST(x AS INTEGER) AS x, CAST(CASE num WHEN 6 THEN CASE x % 2 WHEN 0 THEN 0 ELSE 255 END WHEN 7 THEN CASE x WHEN n_nationkey % 4 THEN 0 ELSE 255 END ELSE CASE WHEN x < 2 THEN 0 ELSE 255 END END AS INTEGER) AS alpha
+FROM nation, (VALUES (6), (7), (8)) v(num), range(4) r(x)""")
+def image_masks(spark, sf_dir):
+    """A stencil, a colour that is masked out, and an explicit mask."""
+
+    def make(k, _):
+        own, gray = b"/Subtype /Image /Height 1 /Width 4 ", b"/ColorSpace /DeviceGray /BitsPerComponent 8 "
+        images = {6: synth.stream(b"\xa0", own + b"/ImageMask true"), 7: synth.stream(bytes([10, 20, 30, 40]), own + gray + b"/Mask [%d %d]" % ((10 * (k % 4 + 1),) * 2))}
+        images |= {8: synth.stream(bytes(4), own + gray + b"/Mask 9 0 R"), 9: synth.stream(b"\x80", b"/Subtype /Image /Height 1 /Width 2 /ImageMask true")}
+        return synth.one_page(b"", IM, extra=images).finish()
+
+    rows = _nations(spark, sf_dir, make).table("image_rgba", columns=("num", "values")).where("num < 9")
+    pixel = rows.select("doc_id", "num", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("x"), "values")
+    return pixel.select("doc_id", "num", "x", F.get("values", F.col("x") * 4 + 3).alias("alpha"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'jbig2' AS encoding, n_name AS shared, 'page' AS data FROM nation")
+def jbig2_streams(spark, sf_dir):
+    """Bytes that pass through undecoded, with the segments that they share."""
+
+    def make(k, name):
+        image = synth.stream(b"page", b"/Subtype /Image /Width 1 /Height 1 /BitsPerComponent 1 /ColorSpace /DeviceGray /Filter /JBIG2Decode /DecodeParms << /JBIG2Globals 7 0 R >>")
+        return synth.one_page(b"", IM, extra={6: image, 7: synth.stream(name.encode(), flate=True)}).finish()
+
+    i = _nations(spark, sf_dir, make).table("images", columns=("encoding", "jbig2_globals", "data"))
+    return i.select("doc_id", "encoding", F.decode("jbig2_globals", "UTF-8").alias("shared"), F.decode("data", "UTF-8").alias("data"))
+
+
 BITS_SQL = "SELECT s_suppkey AS doc_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((s_suppkey + 3 * y + x * (y + 1)) % {} AS INTEGER) AS value FROM supplier, range(3) a(y), range(5) b(x)"
 
 

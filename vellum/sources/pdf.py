@@ -24,6 +24,34 @@ def spread(docs: DataFrame, target_bytes: int = 32 << 20) -> DataFrame:
     return docs.repartition(max(1, -(-total // target_bytes)))
 
 
-def write_files(docs: DataFrame, path: str) -> None:
-    """The bytes of documents, as they came, as a binary table."""
-    docs.select("doc_id", "content").write.mode("errorifexists").parquet(path)
+def write_files(docs: DataFrame, path: str) -> DataFrame:
+    """One file per document, ``<doc_id>.pdf`` below path, and a table of what was written in ``path/_written``, which is returned.
+
+    path: a folder that all executors reach (any file system that Arrow opens by its name). A file is written aside and then
+    renamed, so a task that is run again, or twice, leaves whole files only. Documents without bytes have no file.
+    """
+
+    def put(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            names, sizes = [], []
+            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, name = content.as_py(), f"{doc_id}.pdf"
+                aside = f"{top}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(aside) as out:
+                    out.write(data)
+                store.move(aside, f"{top}/{name}")
+                names.append(name)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", "name", "bytes"])
+
+    rows = docs.where("content is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "content")
+    schema = "doc_id long, name string, bytes long"
+    rows.mapInArrow(put, schema).write.mode("errorifexists").parquet(f"{path}/_written")
+    return docs.sparkSession.read.schema(schema).parquet(f"{path}/_written")
