@@ -97,6 +97,49 @@ def test_no_documents(spark, scratch):
     assert classify(scratch, none, labels).count() == 0
 
 
+#: Names that an operator uses inside, or returns.
+INNER = "_s _t _id _row _doc _text _part _b _n _in _len _h _before _all _rank _lo _hi _base _at _o _raw _j _k _f _salt length n cls grp label key m a b q view held phase chars part blob whole component rep set".split()
+
+
+def test_columns_of_any_name_come_through_or_are_not_read(spark, scratch):
+    plain = odd_documents(spark).drop("part", "block", "key", "kept")
+    own = plain.withColumns({c: F.lit("own") for c in INNER if c not in plain.columns})
+    labels = spark.createDataFrame([(0, 1, 0), (8, 0, 0), (9, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+
+    def result(out, cols):
+        return sorted(map(repr, out.select(*cols).collect()))
+
+    for apply, cols in (
+        (lambda d: near_duplicates(scratch, d), ["doc_id", "n_shingles", "component_id", "kept"]),
+        (lambda d: remove_repeats(scratch, d, keep=d.columns), ["doc_id", "n_removed", "kept_sha256"]),
+        (lambda d: mixing.mix(scratch, d, block_chars=400), ["doc_id", "block", "slot", "at_char"]),
+        (lambda d: classify(scratch, d, labels), ["doc_id", "p_text", "p_meta", "p_quality", "kept"]),
+        (lambda d: packing.pack(scratch, packing.token_pieces(d, "doc_id", "text", default_path(), keep=tuple(c for c in INNER if c in d.columns and c not in ("length",)))), ["doc_id", "piece", "length"]),
+    ):
+        out = apply(own)
+        assert result(apply(plain), cols) == result(out, cols)
+        for c in set(INNER) & set(out.columns) - set(cols):
+            assert {r[0] for r in out.select(f"`{c}`").distinct().collect()} == {"own"}
+
+
+def test_whole_table_of_token_files_and_pieces(spark, sf_dir):
+    """Every document's ids against the library, through the queries."""
+    from vellum.llm.queries import op5_token_file, op10_packing
+
+    texts = {r["doc_id"]: whole(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    at = 0
+    for r in op5_token_file(spark, sf_dir).orderBy("doc_id").collect():
+        ids = texts[r["doc_id"]] + b"\2\0\0\0"
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids) // 4, zlib.crc32(ids))
+        at += len(ids) // 4
+    packed = op10_packing(spark, sf_dir).collect()
+    have = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in packed}
+    want = {(d, k // 8192): (k // 4, len(ids[k : k + 8192]) // 4, zlib.crc32(ids[k : k + 8192])) for d, t in texts.items() for ids in [t + bytes(4)] for k in range(0, len(ids), 8192)}
+    assert have == want and len(packed) == len(want)
+    total = sum(r["length"] for r in packed)
+    assert check_packing(packed, 2048) <= -(-total // 2048) * 1.02 + 1
+
+
 def check_packing(rows, max_len):
     by = {}
     for r in rows:

@@ -209,15 +209,17 @@ def pack(scratch: Scratch, pieces: DataFrame, max_len: int = 2048, order: tuple[
     runs = plan({int(r["length"]): r["count"] for r in found}, max_len)
     total = sum(r["count"] for r in found)
     salts = max(32, -(-total // 20_000))
-    salted = table.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    # The pieces' columns travel in a struct, where their names cannot clash.
+    bucket = F.pmod(F.xxhash64(*order), F.lit(salts))
+    salted = table.select(F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("_row"), F.col("length").cast("long").alias("length"), F.struct(*order).alias("_o"), bucket.alias("_b"))
     counts = salted.groupBy("length", "_b").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("length", "_b", before.alias("_before"))
-    ranked = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_b").orderBy(*order)))
-    ranked = ranked.join(counts, ["length", "_b"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1)
+    ranked = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_b").orderBy("_o")))
+    ranked = ranked.join(counts, ["length", "_b"]).select("_row", "length", F.xxhash64("_o").alias("_h"), (F.col("_before") + F.col("_n") - 1).alias("_rank"))
     runs_df = spark.createDataFrame(runs, "length long, _lo long, _hi long, _base long, _at long") if runs else spark.createDataFrame([], "length long, _lo long, _hi long, _base long, _at long")
-    placed = lookup(ranked, runs_df, ["length"], F.xxhash64(*order)).where("_rank >= _lo and _rank < _hi")
-    return placed.select(*pieces.columns, (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), F.col("_at").alias("offset"))
+    placed = lookup(ranked, runs_df, ["length"], F.col("_h")).where("_rank >= _lo and _rank < _hi")
+    return placed.select("_row.*", (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), F.col("_at").alias("offset"))
 
 
 def with_places(docs: DataFrame) -> DataFrame:
@@ -231,7 +233,7 @@ def with_places(docs: DataFrame) -> DataFrame:
 
 
 def pack_in_order(scratch: Scratch, pieces: DataFrame, max_len: int = 2048, window_tokens: int = 1 << 18) -> DataFrame:
-    """pieces (with _file, _row and piece, their order, and ``length``) with sequence_id and offset."""
+    """pieces (with _file, _row and piece, their order, and ``length``) with sequence_id and offset; no other column begins with _."""
     table = scratch.write(pieces.withColumn("_c", F.floor(F.col("_row") / 4096)), "pieces")
     # Tokens before a piece, in two steps: within 4096 documents, then over their totals.
     sums = table.groupBy("_file", "_c").agg(F.sum("length").alias("_all"))

@@ -12,9 +12,9 @@ from .tokens import default_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer files than cores is dealt out, larger ones have splits enough and are not shuffled."""
+    """A table; one of fewer splits than cores is dealt out, larger ones are not shuffled."""
     df, n = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= n else df.repartition(n)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
