@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import mixing, packing, token_file
 from vellum.llm.minhash import chunk_keys, chunk_plan, linked_pairs, near_duplicates, shingle_hashes, signatures, threshold_of
-from vellum.llm.quality import classify
+from vellum.llm.quality import N_META, N_TEXT, CoTrained, _matrix, _surest, classify
 from vellum.llm.suffix import _find, _runs, previous_factors, remove_repeats, suffix_order
 from vellum.llm.tokens import Encoder, default_path
 
@@ -479,6 +479,40 @@ def test_quality(spark, scratch, sf_dir):
     assert np.mean([r["kept"] == (r["quality"] > 0) for r in out]) >= 0.95
 
 
+def two_view_documents(n=1500, seed=2):
+    """Texts of which half tell, and sources of which half tell, independently of each other."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        good = bool(rng.random() < 0.6)
+        told = rng.random(2) < 0.6
+        words = rng.choice(["lorem", "ipsum", "dolor", "amet"] + (["sound", "plain"] if good else ["zzzq", "wxyk"]) * (3 * told[0]), 30)
+        source = f"{'a' if good else 'b'}{rng.integers(4)}" if told[1] else f"n{rng.integers(4)}"
+        rows.append((i, " ".join(words), "en", source, 100, int(good)))
+    return rows
+
+
+def test_views_teach_each_other(spark, scratch):
+    rows = two_view_documents()
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[5], 0) for r in rows[:120]], "doc_id long, quality int, toxic int")
+    share = {}
+    for rounds in (0, 3):
+        out = {r["doc_id"]: r for r in classify(scratch, docs, labels, rounds=rounds).collect()}
+        share[rounds] = [np.mean([(out[r[0]][c] >= 0.5) == (r[5] > 0) for r in rows[120:]]) for c in ("p_text", "p_meta", "p_quality")]
+    assert share[3][2] >= share[0][2] - 0.005 and share[3][2] > max(share[3][:2]) and share[3][2] >= 0.85
+    pooled = scratch.write(spark.createDataFrame([(i, bytes(2 * (N_TEXT + N_META - 1)) + np.float16(i % 97).tobytes()) for i in range(500)], "h long, f binary").repartition(7), "pool")
+    model = CoTrained(np.random.default_rng(0).standard_normal((40, N_TEXT + N_META)), np.arange(40) % 2.0, np.arange(40) % 4 == 3)
+    found = _surest(pooled, model, 20, 0.0)
+    p = model.scores(_matrix(pooled.select("f").toArrow().column(0)))
+    for v in (0, 1):
+        for good in (False, True):
+            own = [x for u, g, x in found if (u, g) == (v, good)]
+            q = np.sort(p[:, v] if good else 1 - p[:, v])[::-1][:10]
+            got = model.scores(np.stack(own))[:, v]
+            assert len(own) == 10 and np.allclose(np.sort(got if good else 1 - got)[::-1], q)
+
+
 def test_quality_on_odd_documents(spark, scratch):
     docs = odd_documents(spark)
     few = spark.createDataFrame([(0, 1, 0), (8, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")

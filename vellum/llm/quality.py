@@ -187,25 +187,33 @@ def _surest(pool: DataFrame, model: CoTrained, exchange: int, sure: float) -> li
     def best(batches):
         import pyarrow as pa
 
+        held = [(np.zeros(0), None)] * len(wanted)  # of each kind the task's surest so far
         for batch in batches:
             p = shared.value.scores(_matrix(batch.column(1)))[:, :2]
-            for v, good, n in wanted:
+            for i, (v, good, n) in enumerate(wanted):
                 q = p[:, v] if good else 1 - p[:, v]
-                at = np.argsort(-q, kind="stable")[:n]
-                at = at[q[at] >= sure]
-                k = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v] * k, pa.int32()), pa.array([good] * k, pa.bool_()), pa.array(q[at]), *batch.take(pa.array(at)).columns], names=["view", "good", "q", "h", "f"]
-                )
+                at = np.flatnonzero(q >= sure)
+                at = at[np.argsort(-q[at], kind="stable")[:n]]
+                rows = pa.Table.from_batches([batch.take(pa.array(at))])
+                both, q = (rows if held[i][1] is None else pa.concat_tables([held[i][1], rows])), np.concatenate([held[i][0], q[at]])
+                top = np.argsort(-q, kind="stable")[:n]
+                held[i] = (q[top], both.take(pa.array(top)))
+        for (v, good, _), (q, rows) in zip(wanted, held, strict=True):
+            if len(q):
+                rows = rows.combine_chunks()
+                yield from pa.table([pa.array([v] * len(q), pa.int32()), pa.array([good] * len(q), pa.bool_()), pa.array(q), *rows.columns], names=["view", "good", "q", "h", "f"]).combine_chunks().to_batches()
 
     found = pool.select("h", "f").mapInArrow(best, "view int, good boolean, q double, h long, f binary")
-    rank = F.row_number().over(Window.partitionBy("view", "good").orderBy(F.desc("q"), "h", "f"))
     limit = F.when(F.col("good"), max(w[2] for w in wanted if w[1])).otherwise(max(w[2] for w in wanted if not w[1]))
-    rows = found.withColumn("r", rank).where(F.col("r") <= limit).orderBy("view", "good", "r").select("view", "good", "f").toArrow()  # 2 x exchange rows at most
+    # First within parts of each kind, then over what those keep, so that no task holds what all tasks kept.
+    for keys in (["view", "good", "part"], ["view", "good"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("q"), "h", "f"))
+        found = found.withColumn("part", F.pmod("h", F.lit(64))).withColumn("r", rank).where(F.col("r") <= limit).drop("part")
+    rows = found.orderBy("view", "good", "r").select("view", "good", "f").toArrow()  # 2 x exchange rows at most
     return list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), _matrix(rows.column(2)), strict=True)) if rows.num_rows else []
 
 
-def classify(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", max_labelled: int = 10_000, exchange: int = 200, threshold: float = 0.5, sure: float = 0.95, rounds: int = 3, seed: int = 17) -> DataFrame:
+def classify(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", max_labelled: int = 10_000, exchange: int = 200, threshold: float = 0.5, sure: float = 0.9, rounds: int = 3, seed: int = 17) -> DataFrame:
     """docs with p_text, p_meta, p_quality and kept."""
     parts = [F.col(text_col).cast("string"), F.col(source_col).cast("string"), F.col(lang_col).cast("string"), F.col(chars_col).cast("double")]
     model = docs.sparkSession.sparkContext.broadcast(train(scratch, docs, labels, id_col, parts, label_col, max_labelled, exchange, sure, rounds, seed).ready())
