@@ -180,7 +180,7 @@ class Fold:
     # ---- display list -------------------------------------------------------------------------------------------
 
     def display(self, page: Page) -> Iterator[tuple]:
-        """(verb, path, ctm, colour space, colour, its red, green and blue, line width, alpha, blend, clip depth, text or object) in drawing order; then annotations' appearances."""
+        """(verb, path, ctm, colour space, colour, its red, green and blue, line width, alpha, blend, clip depth, text or object, cap, join, miter limit, dash, flatness, intent, soft mask) in drawing order; then annotations' appearances."""
         data = b"".join(s.data for _, s in page.streams())
         yield from self.draw(data, page.resources(), State(Matrix()), ("page", *page.ref), ())
         for x in self.doc.list_(page.dict.get("Annots")) or []:
@@ -199,7 +199,7 @@ class Fold:
 
         def row(verb: str, paint: tuple, what: str | None = None) -> tuple:
             alpha = state.gstate.get("CA" if verb == "stroke" else "ca", 1.0)
-            return verb, " ".join(path) if verb in ("fill", "eofill", "stroke", "clip", "eoclip") else None, state.ctm, str(paint[0]), list(paint[1]), self.rgb(paint, resources), state.width, float(alpha), state.gstate.get("BM", "Normal"), state.clips, what
+            return verb, " ".join(path) if verb in ("fill", "eofill", "stroke", "clip", "eoclip") else None, state.ctm, str(paint[0]), list(paint[1]), self.rgb(paint, resources), state.width, float(alpha), state.gstate.get("BM", "Normal"), state.clips, what, state.cap, state.join, state.miter, float(state.dash[0]), list(state.dash[1]), state.flatness, state.intent, state.gstate.get("SMask")
 
         try:
             for op in operators(data):
@@ -294,6 +294,7 @@ class Fold:
         state.miter = g["ML"] if g["ML"] is not None else state.miter
         state.flatness = g["FL"] if g["FL"] is not None else state.flatness
         state.intent = g["RI"] or state.intent
+        state.dash = g["D"] or state.dash
 
 
 def ext_gstate(doc: Document, d: dict) -> dict[str, Any]:

@@ -210,9 +210,33 @@ class Font:
                 self.cid_ranges.append((lo, hi, v))
                 i += 3
         self.cid_widths = FirstMatch(self.cid_ranges)
+        self.default_vertical = (doc.reals_(self.child.get("DW2")) or [880.0, -1000.0])[:2]
+        self.vertical_ranges = list(self._vertical(doc, doc.list_(self.child.get("W2")) or []))
         g = doc.stream_(self.child.get("CIDToGIDMap"))
         self.gids = g.data if g is not None else None
 
+    @staticmethod
+    def _vertical(doc, w: list):
+        """(first, last, advance down, origin's x and y) of W2: three numbers for each code of a list, or for a range."""
+        i = 0
+        while i + 1 < len(w):
+            lo, nxt = doc.int_(w[i]), doc.resolve(w[i + 1])
+            numbers = doc.reals_(nxt if isinstance(nxt, list) else w[i + 2 : i + 5]) or []
+            if lo is None or not isinstance(nxt, list) and (type(nxt) is not int or len(numbers) < 3):
+                return
+            if isinstance(nxt, list):
+                for k in range(len(numbers) // 3):
+                    yield lo + k, lo + k, *numbers[3 * k : 3 * k + 3]
+            else:
+                yield lo, nxt, *numbers
+            i += 2 if isinstance(nxt, list) else 5
+
+    def glyph(self, code: int) -> str | None:
+        """The name of a simple font's glyph: of the differences, else of the base encoding."""
+        from .glyphs import encoding
+
+        return self.differences.get(code) or encoding(self.encoding or "StandardEncoding").get(code)
+
     def gid(self, cid: int) -> int:
         if self.gids is None:
             return cid

@@ -36,7 +36,9 @@ SCHEMAS: dict[str, str] = {
     "operators": "page_index int, seq int, op string, nums array<double>, name string, bytes binary, tj array<struct<text:binary,offset:double>>, props string",
     "features": f"page_index int, seq int, kind string, bounds {RECT}, matrix {MATRIX}, annotation struct<type:string,idx:int,num:bigint,gen:bigint>, image struct<num:bigint,gen:bigint,encoding:string,data:binary>, text struct<text:string,font_num:bigint,font_gen:bigint,ps_name:string,size:double>",
     "text_runs": "page_index int, seq int, part int, text string, x double, y double, width double, height double, size double",
-    "display_list": f"page_index int, seq int, verb string, path string, ctm {MATRIX}, space string, colour array<double>, rgb array<double>, line_width double, alpha double, blend string, clips int, what string",
+    "glyph_runs": "page_index int, seq int, pos int, font_num bigint, code bigint, gid bigint, glyph string, x double, y double, advance double",
+    "vertical_metrics": "num bigint, gen bigint, pos int, lo bigint, hi bigint, advance double, x double, y double, default_y double, default_advance double",
+    "display_list": f"page_index int, seq int, verb string, path string, ctm {MATRIX}, space string, colour array<double>, rgb array<double>, line_width double, alpha double, blend string, clips int, what string, line_cap int, line_join int, miter double, dash_phase double, dash array<double>, flatness double, intent string, smask string",
     "fonts": f"num bigint, gen bigint, subtype string, base_font string, ps_name string, encoding string, ascent double, descent double, cap_height double, italic double, bbox {RECT}, matrix {MATRIX}, vertical boolean, up double, down double",
     "font_widths": "num bigint, gen bigint, code int, width double",
     "font_differences": "num bigint, gen bigint, code int, glyph string",
@@ -65,7 +67,7 @@ class Engine:
     def _reader(self, name: str, args: dict) -> Callable[..., Iterator[tuple]]:
         if name not in SCHEMAS:
             raise KeyError(name)
-        own = {"compat": self.compat} if name in ("features", "text_runs", "display_list", "parse_errors") else {}
+        own = {"compat": self.compat} if name in ("features", "text_runs", "glyph_runs", "display_list", "parse_errors") else {}
         return partial(_ROWS[name], **own, **args)
 
     def table(self, name: str, columns: tuple[str, ...] | None = None, **args) -> DataFrame:
@@ -315,6 +317,40 @@ def _text_runs(doc, compat: bool = False):
             seq += 1
 
 
+def _glyph_runs(doc, compat: bool = False):
+    """The glyphs of each text feature: what a renderer draws, and where."""
+    from vellum.core.fold import TEXT, TINY, Fold
+    from vellum.core.geometry import Matrix
+
+    class Glyphs(Fold):
+        def show(self, state, data):
+            font, size, h = state.font, max(state.size, TINY), state.scale / 100
+            at = 0.0
+            for code, wide in font.widths_of(data) if font is not None else ():
+                origin = Matrix(tx=at * size, ty=state.rise).then(state.text).then(state.ctm)
+                one = bytes([code]) if font.subtype != "Type0" else None
+                space = (0.0 if self.compat else state.char_space / size) + (state.word_space / (1 if self.compat else size) if code == 32 else 0.0)
+                step = (wide / 1000 + space) * h
+                gid = font.gid(code) if one is None else None
+                out.append((state.font_ref.num if state.font_ref else None, code, gid, font.glyph(code) if one is not None else None, origin.tx, origin.ty, step * size))
+                at += step
+            return super().show(state, data)
+
+    for p in doc.pages():
+        out: list[tuple] = []
+        for seq, _ in enumerate(Glyphs(doc, TEXT, compat).page(p)):
+            for k, row in enumerate(out):
+                yield p.index, seq, k, *row
+            out.clear()
+
+
+def _vertical_metrics(doc):
+    for ref, f in _all_fonts(doc):
+        if f.subtype == "Type0":
+            for k, row in enumerate(f.vertical_ranges):
+                yield *ref, k, *row, *f.default_vertical
+
+
 def _display_list(doc, compat: bool = False):
     from vellum.core.fold import TEXT, Fold
 
@@ -474,7 +510,7 @@ def _parse_errors(doc, compat: bool = False):
 
 _ROWS = {
     "headers": _headers, "trailers": _trailers, "xref_entries": lambda doc: doc.xref_entries(), "object_layouts": _object_layouts, "objects": _objects, "object_nodes": _object_nodes, "object_rows": _object_rows,
-    "pages": _pages, "content_streams": _content_streams, "resources": _resources, "operators": _operators, "features": _features, "text_runs": _text_runs, "display_list": _display_list,
+    "pages": _pages, "content_streams": _content_streams, "resources": _resources, "operators": _operators, "features": _features, "text_runs": _text_runs, "glyph_runs": _glyph_runs, "vertical_metrics": _vertical_metrics, "display_list": _display_list,
     "fonts": _fonts, "font_widths": _font_widths, "font_differences": _font_differences, "cid_widths": _cid_widths, "tounicode_mappings": _tounicode, "codespaces": _codespaces,
     "images": _images, "image_pixels": _image_pixels, "image_rgba": _image_rgba, "color_spaces": _color_spaces, "ext_gstates": _ext_gstates, "shadings": _shadings, "functions": _functions, "parse_errors": _parse_errors,
 }

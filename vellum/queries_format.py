@@ -197,6 +197,39 @@ def font_matrices(spark, sf_dir):
     return _suppliers(spark, sf_dir, make).table("fonts", columns=("subtype", "matrix")).select("doc_id", "subtype", F.round("matrix.a", 9).alias("a"))
 
 
+@query(f"""SELECT s_suppkey AS doc_id, CAST(j - 1 AS INTEGER) AS pos, ascii(substr(s_name, j, 1))::BIGINT AS code, CASE substr(s_name, j, 1) WHEN 'S' THEN 'big' WHEN '#' THEN 'numbersign' WHEN 'u' THEN 'u' END AS glyph,
+round(100 + 12 * coalesce({WIDTHS_SQL.format("substr(s_name, 1, j - 1)")}, 0) + 2 * (j - 1), 6)::DOUBLE AS x, 503.0::DOUBLE AS y FROM (SELECT s_suppkey, s_name, unnest(range(1, length(s_name) + 1)) AS j FROM supplier) WHERE substr(s_name, j, 1) IN ('S', '#', 'u')""")
+def glyph_runs_simple(spark, sf_dir):
+    """Names by differences and base encoding; origins with rise and character spacing."""
+    font = {5: synth.FONT.replace(b"/Encoding /WinAnsiEncoding", b"/Encoding << /BaseEncoding /WinAnsiEncoding /Differences [83 /big] >>")}
+    make = lambda k, name: synth.one_page(b"BT /F1 12 Tf 2 Tc 3 Ts 100 500 Td %s Tj ET" % synth.literal(name.encode()), F1, extra=font).finish()
+    g = _suppliers(spark, sf_dir, make).table("glyph_runs", columns=("pos", "code", "glyph", "x", "y")).where("code in (83, 35, 117)")
+    return g.withColumns({c: F.round(c, 6) for c in ("x", "y")})
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(i AS INTEGER) AS pos, (i + 1)::BIGINT AS code, (n_nationkey + 3 * i)::BIGINT AS gid, (20 + 10 * CASE i WHEN 0 THEN 0 WHEN 1 THEN 0.25 ELSE 0.75 END)::DOUBLE AS x FROM nation, range(3) v(i)")
+def glyph_runs_composite(spark, sf_dir):
+    """Characters to glyphs through the font's map; widths by character."""
+
+    def make(k, _):
+        gids = b"\0\0" + b"".join((k + 3 * i).to_bytes(2, "big") for i in range(3))
+        kids = b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /X /DW 500 /W [1 [250]] /CIDToGIDMap 7 0 R >>"
+        font = b"<< /Type /Font /Subtype /Type0 /BaseFont /X /Encoding /Identity-H /DescendantFonts [6 0 R] >>"
+        return synth.one_page(b"BT /F1 10 Tf 20 20 Td <000100020003> Tj ET", F1, extra={5: font, 6: kids, 7: synth.stream(gids)}).finish()
+
+    return _nations(spark, sf_dir, make).table("glyph_runs", columns=("pos", "code", "gid", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, lo::BIGINT AS lo, hi::BIGINT AS hi, advance::DOUBLE AS advance, x::DOUBLE AS x, y::DOUBLE AS y, 900.0::DOUBLE AS default_y, (-950.0)::DOUBLE AS default_advance
+FROM nation, LATERAL (VALUES (1, 1, -800, 250, 772), (2, 2, -700, 260, 600 + n_nationkey), (10, 20, -900, 300, 800)) v(lo, hi, advance, x, y)""")
+def vertical_metrics(spark, sf_dir):
+    def make(k, _):
+        kids = b"<< /Type /Font /Subtype /CIDFontType0 /BaseFont /X /DW2 [900 -950] /W2 [1 [-800 250 772 -700 260 %d] 10 20 -900 300 800] >>" % (600 + k)
+        return synth.one_page(b"", F1, extra={5: b"<< /Type /Font /Subtype /Type0 /BaseFont /X /Encoding /Identity-V /DescendantFonts [6 0 R] >>", 6: kids}).finish()
+
+    return _nations(spark, sf_dir, make).table("vertical_metrics").drop("num", "gen", "pos")
+
+
 # ---- graphics state, images and colours -----------------------------------------------------------------------------
 
 
@@ -216,6 +249,21 @@ def ext_gstate_fields(spark, sf_dir):
     return g.withColumns({"dash": F.array_join(F.transform("dash", lambda x: x.cast("int").cast("string")), " "), **{c: F.round(c, 6) for c in ("smoothness", "stroke_alpha", "fill_alpha")}})
 
 
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(i AS INTEGER) AS seq, CASE i WHEN 0 THEN 1 ELSE 2 END AS line_cap, 1 AS line_join, (CASE i WHEN 1 THEN n_nationkey + 2 ELSE 5 END)::DOUBLE AS miter,
+CASE i WHEN 1 THEN '2 1' ELSE '3 ' || n_nationkey END AS dash, (CASE i WHEN 1 THEN 2 ELSE 0 END)::DOUBLE AS dash_phase, (CASE i WHEN 1 THEN 7 ELSE 4 END)::DOUBLE AS flatness, CASE i WHEN 1 THEN 'Perceptual' ELSE 'Saturation' END AS intent, CASE i WHEN 1 THEN 'Alpha' END AS smask
+FROM nation, range(3) v(i)""".replace("CASE i WHEN 0 THEN 1 ELSE 2 END AS line_cap", "CASE i WHEN 1 THEN 2 ELSE 1 END AS line_cap"))
+def gstate_applied(spark, sf_dir):
+    """What a graphics state dictionary sets holds until the state before it comes back."""
+
+    def make(k, _):
+        gs = b"/ExtGState << /G << /LC 2 /ML %d /D [[2 1] 2] /FL 7 /RI /Perceptual /SMask << /S /Alpha >> >> >>" % (k + 2)
+        line = b" 0 0 m 1 1 l S "
+        return synth.one_page(b"1 J 1 j 5 M [3 %d] 0 d 4 i /Saturation ri%sq /G gs%sQ%s" % (k, line, line, line), gs).finish()
+
+    d = _nations(spark, sf_dir, make).table("display_list", columns=("seq", "line_cap", "line_join", "miter", "dash", "dash_phase", "flatness", "intent", "smask"))
+    return d.withColumn("dash", F.array_join(F.transform("dash", lambda x: x.cast("int").cast("string")), " "))
+
+
 BLENDS = "Normal Multiply Screen Overlay Darken Lighten ColorDodge ColorBurn HardLight SoftLight Difference Exclusion Hue Saturation Color Luminosity".split()
 
 
