@@ -186,15 +186,15 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, similarity: tuple[int, in
     keyed = reps.select("cls", F.explode("keys").alias("key"))
     low = keyed.groupBy("key").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).where("m < x").select("key", "m")
     buckets = scratch.write(keyed.join(low, "key").where("cls <> m").select("key", "cls", "m"), "buckets")
-    first = scratch.write(buckets.groupBy("m", "cls").agg(F.lit(1).alias("_one")).select(F.col("m").alias("a"), F.col("cls").alias("b")), "stars")
+    first = buckets.groupBy("m", "cls").agg(F.lit(1).alias("_one")).select(F.col("m").alias("a"), F.col("cls").alias("b"))
     close = scratch.write(_close(first, reps, limit, k), "close")
     more = scratch.write(_open_forest(scratch, buckets, close, reps, limit, k, block), "open")
     groups = connected_components(scratch, close.union(more), "groups").select(F.col("id").alias("cls"), F.col("component").alias("grp"))
-    scratch.drop("buckets", "stars", "open")
-    found = _exact(scratch, docs, reps, scratch.write(groups, "grouped"), id_col, text_col, words, num, den, block, block_bytes)
+    scratch.drop("buckets", "open")
+    found = _exact(scratch, docs, reps, groups, id_col, text_col, words, num, den, block, block_bytes)
     label = _labels(scratch, sets, reps, found)
     low = label.groupBy("label").agg(F.min("id").alias("component"))
-    names = scratch.write(label.join(low, "label").select("s1", "s2", "n", "component"), "names")
+    names = label.join(low, "label").select("s1", "s2", "n", "component")
     out = table.select("id", "n", "s1", "s2").join(names, ["s1", "s2", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
@@ -385,16 +385,18 @@ def _exact(scratch: Scratch, docs: DataFrame, reps: DataFrame, groups: DataFrame
 
 def _labels(scratch: Scratch, sets: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
     """(id, s1, s2, n, label) of every class; classes that share an id, whose rows hold several texts, have one label."""
-    pieces = connected_components(scratch, found.where("not whole").select(F.col("cls").alias("a"), F.col("label").alias("b")), "pieces")
-    known = found.where("whole").select("cls", "label").union(pieces.select("id", "component"))
+    known, cut = found.where("whole").select("cls", "label"), found.where("not whole")
+    if not cut.isEmpty():
+        pieces = connected_components(scratch, cut.select(F.col("cls").alias("a"), F.col("label").alias("b")), "pieces")
+        known = known.union(pieces.select("id", "component"))
     label = reps.select("id", "s1", "s2", "n", "cls").join(known, "cls", "left").select("id", "s1", "s2", "n", F.coalesce("label", "cls").alias("label"))
     label = scratch.write(label, "label")
     # Ids whose rows hold several texts.
     several = sets.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi").select("id")
-    shared = sets.join(several, "id").join(label.drop("id"), ["s1", "s2", "n"]).select("id", "label").distinct()
-    shared = scratch.write(shared, "shared")
-    if shared.isEmpty():
+    several = scratch.write(several, "several")
+    if several.isEmpty():
         return label
+    shared = scratch.write(sets.join(several, "id").join(label.drop("id"), ["s1", "s2", "n"]).select("id", "label").distinct(), "shared")
     edges = shared.join(shared.groupBy("id").agg(F.min("label").alias("b")), "id").select(F.col("label").alias("a"), "b")
     merged = connected_components(scratch, edges, "merged").select(F.col("id").alias("label"), "component")
     return scratch.write(label.join(merged, "label", "left").select("id", "s1", "s2", "n", F.coalesce("component", "label").alias("label")), "merged")
