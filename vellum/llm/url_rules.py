@@ -4,7 +4,8 @@ FP-growth (Spark's own) finds the combinations of URL tokens that occur together
 that are mined (three quarters of them, by a hash of the url).  A combination is a rule "these tokens: bad" if, among the
 mined pages, it has the support (``min_count``), its confidence is ``min_lift`` times the share of bad pages, and that share lies
 below the lower end of the confidence's interval (``sure`` standard errors, Wilson); if, among the pages that were held
-out, it has some and more of them are bad than that share; and if no part of it is a rule that is as sure.
+out, it has some and more of them are bad than that share; and if no part of it is a rule that is as sure.  Of tokens that
+stand in the very same pages the greatest stands for all.
 
 Rules meet all URLs through an inverted index: each rule is filed under the rarest of its tokens, so a URL looks at few
 rules.  Fixed host and path rules come first; the longest that fits decides.  The mined rules judge what no fixed rule fits.
@@ -67,16 +68,22 @@ def _hits(sets: DataFrame, index: DataFrame) -> DataFrame:
 def mine(labelled: DataFrame, min_count: int = 5, min_lift: float = 1.5, sure: float = 1.64, most: int = 3, min_support: float = 1e-4) -> DataFrame:
     """(tok, tokens, confidence, n) from labelled(url, bad boolean): combinations of up to ``most`` tokens that mean bad."""
     url = F.col("url").cast("string")
-    rows = labelled.where("url is not null and bad is not null").select(tokens_of(host_of(url), path_of(url)).alias("_t"), "bad", (F.pmod(F.xxhash64(url), F.lit(4)) == 0).alias("held"))
+    rows = labelled.where("url is not null and bad is not null").select("url", tokens_of(host_of(url), path_of(url)).alias("_t"), "bad", (F.pmod(F.xxhash64(url), F.lit(4)) == 0).alias("held"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     bad, held = F.col("bad"), F.col("held")
     sums = {"n": count(~held), "b": count(~held & bad), "hn": count(held), "hb": count(held & bad)}
     sets = rows.groupBy("_t").agg(*[v.alias(k) for k, v in sums.items()])
     n, b = sets.agg(F.sum("n"), F.sum("b")).first()
     base = b / n if n else 0.0
-    found = frequent(rows.where(bad & ~held).select(F.col("_t").alias("t")), min_count, min_support, most).select("tokens")
+    # Tokens that stand in the same pages make the same rules: one of them stands for all, or a long path that repeats would
+    # be frequent in each of its subsets.
+    each = sets.select(F.explode("_t").alias("tok"), "n", (F.col("n") + F.col("hn")).alias("all"), F.xxhash64("_t").cast("decimal(20,0)").alias("h"))
+    share = each.groupBy("tok").agg(F.sum("n").alias("pages"), F.sum("all").alias("all"), F.sum("h").alias("h"))
+    first = share.groupBy("all", "h").agg(F.max("tok").alias("tok")).select("tok")
+    kept = sets.where("b > 0").select("_t", F.explode("_t").alias("tok")).join(first, "tok", "left_semi").groupBy("_t").agg(F.collect_set("tok").alias("t"))
+    mined = lookup(rows.where(bad & ~held).select("_t", url.alias("_u")), kept, ["_t"], F.xxhash64("_u"))
+    found = frequent(mined.select("t"), min_count, min_support, most).select("tokens")
     # Filed under the token that the fewest pages hold.
-    share = sets.select(F.explode("_t").alias("tok"), "n").groupBy("tok").agg(F.sum("n").alias("pages"))
     filed = found.withColumn("tok", F.explode("tokens")).join(share, "tok").groupBy("tokens").agg(F.min(F.struct("pages", "tok"))["tok"].alias("tok"))
     counted = _hits(sets, filed).groupBy("tok", "tokens").agg(*[F.sum(k).alias(k) for k in sums])
     p, z = F.col("b") / F.col("n"), float(sure)
