@@ -285,7 +285,14 @@ def test_rules_against_a_count(spark):
     rows = [r for r in labelled_urls() if r[0] is not None and r[1] is not None]
     sets = tokens(spark, [u for u, _ in rows])
     held = [r[0] for r in spark.createDataFrame([(u,) for u, _ in rows], "url string").select(F.pmod(F.xxhash64("url"), F.lit(4)) == 0).collect()]
-    n, mined = {}, [i for i, h in enumerate(held) if not h]
+    n, mined, pages = {}, [i for i, h in enumerate(held) if not h], {}
+    for i, own in enumerate(sets):
+        for t in own:
+            pages.setdefault(t, []).append(i)
+    stands: dict[tuple, str] = {}
+    for t, at in pages.items():
+        stands[tuple(at)] = max(t, stands.get(tuple(at), ""))
+    sets = [own & set(stands.values()) for own in sets]
     base = sum(rows[i][1] for i in mined) / len(mined)
     for i, own in enumerate(sets):
         for k in (1, 2, 3):
@@ -305,6 +312,13 @@ def test_rules_against_a_count(spark):
     assert {tuple(r["tokens"]) for r in got.collect()} == want and want
 
 
+def test_long_paths_that_repeat_are_mined_at_once(spark):
+    long = "/".join(f"part{chr(97 + i)}" for i in range(24))
+    rows = [(f"http://h.example/{long}/x{i}y", True) for i in range(40)] + [(f"http://g.example/other/{i}", False) for i in range(80)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert 1 <= len(rules) <= 3 and all(r["confidence"] == 1 and len(r["tokens"]) == 1 for r in rules)
+
+
 def test_salted_lookup(spark, monkeypatch):
     from vellum.llm import common
 
