@@ -479,10 +479,10 @@ def wrong_ids(spark, sf_dir):
     return _nations(spark, sf_dir, make).table("parse_errors", columns=("failure", "intent")).select("doc_id", "failure", "intent.num")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, category, key, num::BIGINT AS num, kind FROM nation, (VALUES ('Font', 'F1', 5, 'dictionary'), ('XObject', 'Im', 6, 'stream'), ('Properties', 'P', NULL, 'dictionary')) v(category, key, num, kind)")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, category, key, num::BIGINT AS num, kind FROM nation, (VALUES ('Font', 'F1', 5, 'dictionary'), ('XObject', 'Im', 6, 'stream'), ('Properties', 'P', 0, 'dictionary')) v(category, key, num, kind)")
 def page_resources(spark, sf_dir):
     make = lambda k, _: synth.one_page(b"", F1 + IM + b"/Properties << /P << /K 1 >> >>", extra={**FONT, **IMAGE}).finish()
-    return _nations(spark, sf_dir, make).table("resources").select("doc_id", "category", "key", "ref.num", "kind")
+    return _nations(spark, sf_dir, make).table("resources").select("doc_id", "category", "key", F.coalesce("ref.num", F.lit(0)).alias("num"), "kind")
 
 
 @query("SELECT s_suppkey AS doc_id, s_name AS text FROM supplier")
