@@ -213,7 +213,7 @@ def _surest(pool: DataFrame, model: CoTrained, exchange: int, sure: float) -> li
     return list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), _matrix(rows.column(2)), strict=True)) if rows.num_rows else []
 
 
-def classify(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", max_labelled: int = 10_000, exchange: int = 200, threshold: float = 0.5, sure: float = 0.9, rounds: int = 3, seed: int = 17) -> DataFrame:
+def classify(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", max_labelled: int = 10_000, exchange: int = 200, threshold: float = 0.5, sure: float = 0.95, rounds: int = 3, seed: int = 17) -> DataFrame:
     """docs with p_text, p_meta, p_quality and kept."""
     parts = [F.col(text_col).cast("string"), F.col(source_col).cast("string"), F.col(lang_col).cast("string"), F.col(chars_col).cast("double")]
     model = docs.sparkSession.sparkContext.broadcast(train(scratch, docs, labels, id_col, parts, label_col, max_labelled, exchange, sure, rounds, seed).ready())
@@ -244,7 +244,11 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, par
     answers = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min((F.col(label_col) > 0).cast("int")).alias("y"))
     by_hash = F.xxhash64("id", F.lit(seed))
     table = scratch.write(seen.join(answers, "id", "left").select(by_hash.alias("h"), "y", "f"), "features")
-    sample = table.where("y is not null").orderBy("h", "y", "f").limit(max_labelled).toArrow()
+    # A row for each labelled id; hashes beyond twice the share that is asked for are left out before anything is sorted.
+    known = table.where("y is not null")
+    share = 2 * max_labelled / max(1, known.count())
+    known = known.where(F.col("h").cast("double") / 2.0**64 + 0.5 < share).groupBy("h", "y").agg(F.min("f").alias("f"))
+    sample = known.select("h", "y", "f").orderBy("h").limit(max_labelled).toArrow()
     held = np.array(sample.column(0).to_pylist(), np.int64) % 4 == 3
     model = CoTrained(_matrix(sample.column(2)), np.array(sample.column(1).to_pylist(), np.float64), held)
     pool = table.where("y is null").withColumn("h", F.xxhash64("f", F.lit(seed)))
