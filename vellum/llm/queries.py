@@ -91,6 +91,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(Scratch(spark), pieces, 2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import variants
+
+    return variants(Scratch(spark), _read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_embedding_dedup, op2_html_extraction, op3_mixing, op4_quality, op5_token_file, op6_minhash_dedup, op7_suffix_dedup, op8_nearest_neighbours, op9_url_filter, op10_packing, pipeline]
+    own = [op1_embedding_dedup, op2_html_extraction, op3_mixing, op4_quality, op5_token_file, op6_minhash_dedup, op7_suffix_dedup, op8_nearest_neighbours, op9_url_filter, op10_packing, op11_spelling_variants, pipeline]
     return {f.__name__: f for f in own}
 
 
