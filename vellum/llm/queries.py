@@ -97,6 +97,21 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(Scratch(spark), _read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has its label moved on by one, so that some neighbours are of another label."""
+    from .hard_negatives import hard_negatives
+
+    table = _read(spark, sf_dir, "embeddings")
+    table = table.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(Scratch(spark), table, table.where("vec_id % 100 = 0"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify
+
+    return identify(Scratch(spark), _read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_embedding_dedup, op2_html_extraction, op3_mixing, op4_quality, op5_token_file, op6_minhash_dedup, op7_suffix_dedup, op8_nearest_neighbours, op9_url_filter, op10_packing, op11_spelling_variants, pipeline]
+    own = [op1_embedding_dedup, op2_html_extraction, op3_mixing, op4_quality, op5_token_file, op6_minhash_dedup, op7_suffix_dedup, op8_nearest_neighbours, op9_url_filter, op10_packing, op11_spelling_variants, op12_hard_negatives, op13_language_id, pipeline]
     return {f.__name__: f for f in own}
 
 
