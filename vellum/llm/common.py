@@ -77,17 +77,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a small side that may be broadcast (some 10 to 50 MB).
-SMALL = 200_000
+#: Rows, and bytes of their values, of a small side that may be broadcast.
+SMALL, SMALL_BYTES = 200_000, 64 << 20
 
 
-def lookup(left: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner", salts: int = 32) -> DataFrame:
-    """left joined with a table that is small as a rule: broadcast if it has SMALL rows at most, else by salted keys.
+def lookup(left: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner", salts: int | None = None) -> DataFrame:
+    """left joined with a table that is small as a rule: broadcast if it has SMALL rows and SMALL_BYTES at most, else by salted keys.
 
-    salt: a hash that differs among the rows of left that share a key; it deals a hot key over ``salts`` tasks.
+    The bytes are those of the values as text, counted over all rows. salt: a hash that differs among the rows of left that
+    share a key; it deals a hot key over ``salts`` tasks, a quarter of the shuffle partitions where that is more than 32.
     """
-    if small.limit(SMALL + 1).count() <= SMALL:
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))
+    n, held = small.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n <= SMALL and held <= SMALL_BYTES:
         return left.join(F.broadcast(small), on, how)
+    salts = salts or max(32, shuffle_partitions(left.sparkSession) // 4)
     left = left.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(small, [*on, "_salt"], how).drop("_salt")

@@ -12,8 +12,8 @@ precision; a pair lost to rounding of the distances is ruled out by a margin.
 
 Equal vectors of one label are a class: they are compared once and counted by their number.
 
-Defined results: null labels and unusable vectors (null, empty, zero, null or non-finite components) link with nothing;
-vectors of different lengths do not link; rows that repeat a vec_id are one vertex, and each row counts as a vector of
+Defined results: null ids, null labels and unusable vectors (null, empty, zero, null or non-finite components) link with nothing,
+and a row with a null id has itself (null) as component and is kept; vectors of different lengths do not link; rows that repeat a vec_id are one vertex, and each row counts as a vector of
 its own; an empty table gives no rows; other columns are not read.
 """
 
@@ -43,7 +43,7 @@ def near_vectors(scratch: Scratch, table: DataFrame, cosine: float = 0.93, id_co
     reach = float(np.sqrt(2 - 2 * cosine)) + MARGIN
     label = F.col(label_col) if label_col else F.lit(0)
     rows = table.select(F.col(id_col).cast("long").alias("id"), label.cast("string").alias("label"), as_doubles(F.col(vec_col)).alias("v"))
-    rows = rows.withColumn("ok", usable(F.col("v")) & F.col("label").isNotNull())
+    rows = rows.withColumn("ok", usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull())
     good = rows.where("ok").select("id", "label", "v", F.size("v").alias("dim"))
     classes = good.groupBy("label", "dim", "v").agg(F.min("id").alias("c"), F.count("*").alias("n"))
     # Rows of one id with different vectors share the vertex; their classes stay apart by a key of their own.

@@ -7,13 +7,17 @@
 3. Each page is read again with the winning paths of its host: of those that lead to text on this page, the one whose share
    of votes times the root of its share of the page's text is greatest gives the article (on equal terms the smaller path).
    A page on which none does keeps its own choice, so no page is lost to its host's majority.
+4. What lies outside the article is text if it varies from page to page: a lead in a container of its own, a second article,
+   the heading before the article. Blocks outside that come back, path and text, on ``repeats`` of the host's pages (two at
+   least) are boilerplate, and so is what stands in the same named place; so are those that are links for the most part.
 
 Blocks are what block-level tags bound.  Character references are decoded, white space becomes single spaces, blocks are
 trimmed and joined by an empty line in page order.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are told by tag, role, and names in class and id: every part of such a name is a listed word or
 says where or in what form (``site-header``, ``comment-list``, but not ``no-sidebar`` or ``page-header-fixed``).  A name does
 not discard a container of main, of the page's only articles, or, where it has neither, of most of its text, unless that is
-reader comments.  An article inside main brings what else main holds.  Of a header inside an article or main, its headings stay:
+reader comments.  List items and table cells go by name only as adverts and comments, inline elements only as adverts, and never
+past the end of their block.  An article inside main brings what else main holds.  Of a header inside an article or main, its headings stay:
 they are the article's own title; what else it holds (bylines, dates, buttons) goes as headers do.
 
 Defined results: null, empty or tag-only html gives an empty text; a null url belongs to a host of its own (empty); rows
@@ -27,6 +31,7 @@ import re
 from collections import Counter
 from html import unescape
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +54,8 @@ BAD_WORDS = frozenset(
     "header masthead topbar footer footnav sidebar aside widget widgets cookie cookies consent gdpr notice alert popup modal overlay subscribe newsletter "
     "signup login comment comments commentlist reply replies respond disqus share sharing social related recommended pagination pager skip toolbar".split()
 )
+#: What discards an inline element, and, with comments, a list item or a cell.
+AD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
 #: Parts of a name that say where or in what form the rest is.
 FORM_WORDS = frozenset(
@@ -61,6 +68,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ITEMS = frozenset("li td th tr dd dt".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body blockquote html dd li center".split())
 GOOD = {"article": 1.5, "main": 1.3}
@@ -79,9 +87,11 @@ class Page:
         pieces: list[str] = []
         named: dict[int, set[str]] = {}  # elements that only their names make boilerplate, and the words
         linked, in_link, at, n = 0, 0, 0, len(html)
+        inline: list = []  # of an inline element that goes: its tag, and how many of that tag are open in it
 
         def flush() -> None:
             nonlocal linked
+            inline.clear()
             if pieces:
                 text = " ".join(unescape("".join(pieces)).split())
                 if text and not stack[-1][2]:
@@ -92,7 +102,7 @@ class Page:
         while at < n:
             m = _TOKEN.search(html, at)
             end = m.start() if m else n
-            if end > at and not stack[-1][2]:
+            if end > at and not stack[-1][2] and not inline:
                 pieces.append(html[at:end])
                 if in_link:
                     linked += end - at
@@ -105,6 +115,10 @@ class Page:
                 break
             tag = tag.lower()
             if m[1]:
+                if inline and tag == inline[0]:
+                    inline[1] -= 1
+                    if not inline[1]:
+                        inline.clear()
                 if tag == "a":
                     in_link = max(0, in_link - 1)
                 elif tag in BLOCKS:
@@ -124,12 +138,13 @@ class Page:
             elif tag == "a":
                 in_link = 1
             if tag not in BLOCKS:
-                if tag in VOID or not m[3] or stack[-1][2]:
+                if tag in VOID or stack[-1][2]:
                     continue
                 # An inline advert or the like goes with its content and bounds no block.
-                if self._bad(tag, m[3]) or self._named(tag, m[3]):
-                    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                    at = close.end() if close else n
+                if inline:
+                    inline[1] += tag == inline[0]
+                elif m[3] and (self._bad(tag, m[3]) or self._named(tag, m[3]) & AD_WORDS):
+                    inline += [tag, 1]
                 continue
             flush()
             if tag in VOID:
@@ -147,6 +162,8 @@ class Page:
             if m[3].endswith("/") and tag in ("svg", "math"):
                 continue
             words = set() if bad else self._named(tag, m[3])
+            if tag in ITEMS:
+                words &= AD_WORDS | COMMENT_WORDS
             opened[tag] += 1
             if bad or tag == "p" and not words:
                 stack.append((tag, stack[-1][1], bad))
@@ -248,11 +265,35 @@ class Page:
             up = self.elements[up][0]
         return up if up > 0 else best
 
-    def text(self, wanted: set[int]) -> str:
+    def _inside(self, wanted: set[int]) -> list[bool]:
         inside = [False] * len(self.elements)
         for e, (parent, _, _) in enumerate(self.elements):
             inside[e] = e in wanted or parent >= 0 and inside[parent]
-        return "\n\n".join(t for t, _, e in self.blocks if inside[e])
+        return inside
+
+    def size(self, wanted: set[int]) -> int:
+        """Characters of the blocks in the elements wanted."""
+        inside = self._inside(wanted)
+        return sum(len(t) for t, _, e in self.blocks if inside[e])
+
+    def others(self, wanted: set[int]) -> dict[int, tuple[int, int | None]]:
+        """Blocks outside the elements wanted that are not links for the most part, with what tells whether they repeat: (mark, place)."""
+        inside = self._inside(wanted)
+        return {i: self._mark(t, e) for i, (t, linked, e) in enumerate(self.blocks) if not inside[e] and 2 * linked < len(t)}
+
+    def _mark(self, text: str, element: int, steps: int = 3) -> tuple[int, int | None]:
+        """Hashes of a block's text, numbers generalised, with the end of its path, and of that end alone where a step of it has a class."""
+        tail = []
+        while element > 0 and len(tail) < steps:
+            tail.append(self.elements[element][1])
+            element = self.elements[element][0]
+        marks = [xxhash.xxh3_64_intdigest("\n".join(x).encode("utf-8", "replace")) - (1 << 63) for x in ([*tail, re.sub(r"\d+", "0", text)], tail)]
+        return marks[0], marks[1] if any("." in x for x in tail) else None
+
+    def text(self, wanted: set[int], repeated: frozenset[int] = frozenset()) -> str:
+        """The blocks in the elements wanted, and those outside that do not repeat on the host's pages."""
+        inside, others = self._inside(wanted), self.others(wanted)
+        return "\n\n".join(t for i, (t, _, e) in enumerate(self.blocks) if inside[e] or i in others and repeated.isdisjoint(others[i]))
 
     def by_path(self, path: str) -> set[int]:
         """The elements at the end of the chain of steps, in one pass: a step leads on from its parent's."""
@@ -265,20 +306,23 @@ class Page:
         return out
 
 
-def extract_page(html: str | None, paths: list[tuple[str, float]]) -> str:
-    """The text of a page, given its host's winning paths with their shares of votes."""
+def extract_page(html: str | None, paths: list[tuple[str, float]], repeated: frozenset[int] = frozenset()) -> str:
+    """The text of a page, given its host's winning paths with their shares of votes, and the marks of blocks that repeat."""
     if not html:
         return ""
-    page, best = Page(html), (0.0, "")
+    page, best, wanted = Page(html), 0.0, None
     whole = sum(len(t) for t, _, _ in page.blocks)
     for path, share in sorted(paths):
-        if (found := page.by_path(path)) and (text := page.text(found)):
-            best = max(best, (share * (len(text) / whole) ** 0.5, text), key=lambda x: x[0])
-    return best[1] or page.text({page.choice()})
+        if (found := page.by_path(path)) and (size := page.size(found)) and share * (size / whole) ** 0.5 > best:
+            best, wanted = share * (size / whole) ** 0.5, found
+    return page.text({page.choice()} if wanted is None else wanted, repeated)
 
 
-def extract(scratch: Scratch, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", winning: float = 0.05) -> DataFrame:
-    """(id, url, text). winning: the share of a host's votes that makes a path a winning one; so a host has 1 / winning at most."""
+def extract(scratch: Scratch, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", winning: float = 0.05, repeats: float = 0.3) -> DataFrame:
+    """(id, url, text). winning: the share of a host's votes that makes a path a winning one; so a host has 1 / winning at most.
+
+    repeats: the share of a host's pages on which a block outside the article is boilerplate.
+    """
     host = F.coalesce(host_of(F.col(url_col).cast("string")), F.lit(""))
     base = pages.select(F.struct(F.col(id_col), F.col(url_col)).alias("_row"), F.col(html_col).cast("string").alias("_html"), host.alias("_host"))
 
@@ -286,23 +330,34 @@ def extract(scratch: Scratch, pages: DataFrame, id_col: str = "page_id", url_col
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for html in b.column(1):
+            hosts, paths, marks, places = [], [], [], []
+            for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 page = Page(html.as_py() or "")
-                out.append(page.path(page.choice()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["_host", "path"])
-
-    votes = base.select("_host", "_html").mapInArrow(vote, "_host string, path string").where("path <> ''").groupBy("_host", "path").count()
+                chosen = page.choice()
+                own = set(page.others({chosen}).values())
+                hosts += [host] * (1 + len(own))
+                paths += [page.path(chosen), *[None] * len(own)]
+                marks += [None, *(m for m, _ in own)]
+                places += [None, *(p for _, p in own)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(marks, pa.int64()), pa.array(places, pa.int64())], names=["_host", "path", "mark", "place"])
+
+    votes = base.select("_host", "_html").mapInArrow(vote, "_host string, path string, mark long, place long").groupBy("_host", "path", "mark", "place").count()
     votes = scratch.write(votes, "votes")
-    share = F.col("count") / F.col("all")
-    best = votes.join(votes.groupBy("_host").agg(F.sum("count").alias("all")), "_host").where(share >= winning)
-    best = scratch.write(best.groupBy("_host").agg(F.collect_list(F.struct("path", share.alias("share"))).alias("_paths")), "paths")
+    voted, marked = votes.where("path <> ''"), votes.where("mark is not null and count > 1")
+    all_ = votes.where("path is not null").groupBy("_host").agg(F.sum(F.when(F.col("path") != "", F.col("count"))).alias("votes"), F.sum("count").alias("pages"))
+    share = F.col("count") / F.col("votes")
+    best = voted.join(all_, "_host").where(share >= winning).groupBy("_host").agg(F.collect_list(F.struct("path", share.alias("share"))).alias("_paths"))
+    same = marked.join(all_, "_host").where(F.col("count") / F.col("pages") >= repeats).groupBy("_host").agg(F.concat(F.collect_list("mark"), F.collect_set("place")).alias("_marks"))
+    best = scratch.write(best.join(same, "_host", "full"), "paths")
 
     @F.pandas_udf("string")
-    def read(html, paths):
+    def read(html, paths, marks):
         import pandas as pd
 
-        return pd.Series([extract_page(h, [] if p is None else [(x["path"], x["share"]) for x in p]) for h, p in zip(html, paths, strict=True)])
+        out = []
+        for h, p, m in zip(html, paths, marks, strict=True):
+            out.append(extract_page(h, [] if p is None else [(x["path"], x["share"]) for x in p], frozenset() if m is None else frozenset(map(int, m))))
+        return pd.Series(out)
 
     found = lookup(base, best, ["_host"], F.xxhash64("_html"), "left")
-    return found.select("_row.*", read("_html", "_paths").alias("text"))
+    return found.select("_row.*", read("_html", "_paths", "_marks").alias("text"))

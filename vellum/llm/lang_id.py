@@ -22,7 +22,7 @@ rows; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, lookup
@@ -110,15 +110,21 @@ class Codes:
             fit, held = np.ones(len(y), bool), np.ones(len(y), bool)
         # Every language weighs the same, however many of its texts there are.
         weight = 1 / np.bincount(at[fit], minlength=len(self.names))[at[fit]] / len(self.names)
-        self.mean = np.average(x[fit].astype(np.float64), axis=0, weights=weight)
+        z = x[fit].astype(np.float32)
+        self.mean = weight.astype(np.float32) @ z
         target = self.code[at[fit]]
         self.shift = weight @ target
-        z = (x[fit] - self.mean) * np.sqrt(weight)[:, None]
+        z -= self.mean
+        z *= np.sqrt(weight)[:, None].astype(np.float32)
         t = (target - self.shift) * np.sqrt(weight)[:, None]
         if len(z) <= z.shape[1]:  # the smaller of the two systems
-            self.w = z.T @ np.linalg.solve(z @ z.T + ridge * np.eye(len(z)), t)
+            gram = (z @ z.T).astype(np.float64)
+            gram[np.diag_indices(len(gram))] += ridge
+            self.w = z.T @ np.linalg.solve(gram, t)
         else:
-            self.w = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ t)
+            gram = (z.T @ z).astype(np.float64)
+            gram[np.diag_indices(len(gram))] += ridge
+            self.w = np.linalg.solve(gram, z.T @ t)
         f, own = self.bits(x[held]), at[held]
         # How often each bit is right for each language; a language's weights add up to one.
         hits, n = np.zeros_like(self.code), np.bincount(own, minlength=len(self.names))
@@ -185,16 +191,19 @@ def learn(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, lang_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.binary()), b.column(2)], names=["lang", "f", "h"])
 
     seen = drawn.select("lang", "t", "h").mapInArrow(read, "lang string, f binary, h long").dropDuplicates(["lang", "h"])
-    rows = seen.orderBy("h", "lang").limit(2 * max_learned).toArrow()
-    lang, h = np.array(rows.column(0).to_pylist(), object), np.array(rows.column(2).to_pylist(), np.int64)
-    if not len(lang):
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = seen.withColumn("r", rank).where(F.col("r") <= each).select("lang", "h", "f").orderBy("h", "lang").toArrow()  # max_learned at most, or one of each language
+    if not rows.num_rows:
         return None
-    x = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float16).reshape(-1, N_FEATURES)
-    taken = np.concatenate([np.flatnonzero(lang == name)[:each] for name in sorted(set(lang.tolist()))])
-    return Codes(x[taken].astype(np.float32), lang[taken], h[taken] % 4 == 3)
+    x = np.empty((rows.num_rows, N_FEATURES), np.float32)
+    for i, f in enumerate(rows.column(2)):
+        x[i] = np.frombuffer(f.as_buffer(), np.float16)
+    lang, held = np.array(rows.column(0).to_pylist(), object), rows.column(1).to_numpy() % 4 == 3
+    del rows
+    return Codes(x, lang, held)
 
 
-def identify(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, max_learned: int = 8_000, margin: float = 0.2, seed: int = 31) -> DataFrame:
+def identify(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, max_learned: int = 3_000, margin: float = 0.2, seed: int = 31) -> DataFrame:
     """(id, held_out, lang_pred, score, ambiguous) of every row. margin: a lead of scores below it is ambiguous."""
     model = docs.sparkSession.sparkContext.broadcast(learn(scratch, docs, id_col, text_col, lang_col, folds, max_learned, seed))  # features x bits
 

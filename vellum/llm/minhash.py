@@ -25,10 +25,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, Scratch, connected_components, mix, splitmix, text_slices
+from .common import Scratch, connected_components, mix, splitmix, text_slices
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -58,6 +59,32 @@ def threshold_of(k: int, similarity: float, miss: float = 1e-5) -> int:
     return k
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[begin:end], eight bytes a step.
+
+    Each step mixes what it has with the next bytes, so no pattern of bytes cancels out; words of up to eight bytes and one length never
+    share a hash.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - begin
+    with np.errstate(over="ignore"):
+        h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at, live = 0, np.arange(len(begin))
+        while len(live):
+            h[live] = mix(h[live] ^ (eight[begin[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]))
+            at += 8
+            live = live[size[live] > at] if at < LONG_WORD else live[:0]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes())
+    return h
+
+
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(document of each distinct shingle, its 64-bit hash), sorted by both."""
     n_docs, data = len(offs) - 1, LOWER[data]
@@ -76,7 +103,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.n
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(begin):
         return none
-    h = PrefixHash(data)(begin, end)
+    h = word_hashes(data, begin, end)
     doc = np.searchsorted(offs, begin, side="right") - 1
     count = np.bincount(doc, minlength=n_docs)
     at = np.concatenate([[0], np.cumsum(count)])
