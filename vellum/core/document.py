@@ -110,12 +110,12 @@ class Document:
         seen: set[int] = set()
         while start not in seen:
             seen.add(start)
-            section = self._section(start)
+            section = self._section(start) | {"at": start}
             self.sections.append(section)
             hybrid = section["trailer"].get("XRefStm")
             if isinstance(hybrid, int) and hybrid not in seen and hybrid < end:
                 seen.add(hybrid)
-                self.sections.append(self._section(hybrid))
+                self.sections.append(self._section(hybrid) | {"at": hybrid, "hybrid": True})
             start = section["trailer"].get("Prev")
             if not isinstance(start, int):
                 break
@@ -213,7 +213,7 @@ class Document:
         trailer = dict(trailer or {})
         trailer.setdefault("Size", max((r.num for r in offsets), default=0) + 1)
         self.xref_range = (0, len(self.data))
-        self.sections = [{"trailer": trailer, "offsets": offsets, "packed": {}}]
+        self.sections = [{"trailer": trailer, "offsets": offsets, "packed": {}, "at": 0}]
         self.trailer = trailer
         if "Root" not in trailer:
             for ref, start in sorted(offsets.items(), key=lambda x: x[1]):
@@ -397,9 +397,11 @@ class Document:
 
     # ---- tables -------------------------------------------------------------------------------------------------
 
-    def xref_entries(self) -> Iterator[tuple]:
-        """(section_ord, num, gen, kind, offset, stm_num, stm_index), newest section first."""
+    def xref_entries(self, section: int | None = None) -> Iterator[tuple]:
+        """(section_ord, num, gen, kind, offset, stm_num, stm_index), newest section first; of one section alone, where it is given."""
         for k, s in enumerate(self.sections):
+            if section is not None and k != section:
+                continue
             for ref, offset in s["offsets"].items():
                 yield k, ref.num, ref.gen, "offset", offset, None, None
             for ref, (holder, index) in s["packed"].items():
@@ -420,9 +422,12 @@ class Document:
                     yield ref, seen[ref], ("packed", *place)
 
     def objects(self) -> Iterator[tuple[Ref, int, Any]]:
+        return (x[:3] for x in self.placed_objects())
+
+    def placed_objects(self) -> Iterator[tuple[Ref, int, Any, tuple]]:
         for ref, revision, place in self.places():
             try:
-                yield ref, revision, self.get(ref) if self._layout.get(ref) == place else self.read(ref, place)
+                yield ref, revision, self.get(ref) if self._layout.get(ref) == place else self.read(ref, place), place
             except PdfError as e:
                 self.fail(e, ("indirectObject", *ref))
             except RecursionError:

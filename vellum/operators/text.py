@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.ranges import first_match
+
 
 def combine_runs(runs: DataFrame) -> DataFrame:
     """text_runs to one row per operator: the union of the boxes and the parts' text in order."""
@@ -26,33 +28,49 @@ def simple_widths(codes: DataFrame, widths: DataFrame, missing: float = 0.0) ->
 
 
 def cid_widths(codes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """codes (doc_id, num, gen, cid) with the width of the first range that holds the cid, else the font's default.
-
-    An equi-join on the font with the range as residual predicate; the first match is the least position.
-    """
-    r = ranges.select("doc_id", "num", "gen", "pos", "lo", "hi", "width")
+    """codes (doc_id, num, gen, cid) with the width of the first range that holds the cid, else the font's default."""
     key = ["doc_id", "num", "gen"]
-    hits = codes.join(r, key).where("cid between lo and hi").groupBy(*key, "cid").agg(F.min_by("width", "pos").alias("width"))
     default = ranges.groupBy(*key).agg(F.max("default_width").alias("_d"))
-    return codes.join(hits, [*key, "cid"], "left").join(default, key, "left").withColumn("width", F.coalesce("width", "_d", F.lit(1000.0))).drop("_d")
+    held = first_match(codes, ranges.where("lo is not null").select(*key, "pos", "lo", "hi", "width"), key, "cid", ["width"])
+    return held.join(default, key, "left").withColumn("width", F.coalesce("width", "_d", F.lit(1000.0))).drop("_d")
+
+
+def code_steps(data: Column, spaces: Column) -> Column:
+    """The codes of a string as array<struct<at, bytes, code>>, by spaces array<struct<pos, bytes, lo, hi>> in their order.
+
+    At each byte the first space that fits and holds the next bytes says how many they are; a byte that none takes is passed
+    over. Which bytes begin a code is found by doubling: the places reached in 2^k steps, and whither 2^k steps lead from each place.
+    """
+    n = F.octet_length(data)
+
+    def step(at: Column) -> Column:
+        left = n - at
+        code = lambda s: F.conv(F.hex(F.substring(data, at + 1, s["bytes"])), 16, 10).cast("long")
+        fits = F.filter(spaces, lambda s: (s["bytes"] <= left) & code(s).between(s["lo"], s["hi"]))
+        return F.transform(F.slice(fits, 1, 1), lambda s: F.struct(at.alias("at"), s["bytes"].cast("int").alias("bytes"), code(s).alias("code")))
+
+    steps = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), step)
+    onward = F.concat(F.transform(steps, lambda s, i: i + F.coalesce(F.get(s, F.lit(0))["bytes"], F.lit(1))), F.array(n))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n + 1)).cast("int")))
+    walk = F.aggregate(
+        rounds,
+        F.struct(onward.alias("jump"), F.array(F.lit(0)).alias("seen")),
+        lambda w, _: F.struct(F.transform(w["jump"], lambda x: F.get(w["jump"], x)).alias("jump"), F.array_union(w["seen"], F.transform(w["seen"], lambda x: F.get(w["jump"], x))).alias("seen")),
+    )
+    return F.flatten(F.transform(F.array_sort(F.filter(walk["seen"], lambda x: x < n)), lambda x: F.get(steps, x)))
 
 
 def decode_codes(strings: DataFrame, codespaces: DataFrame, mappings: DataFrame) -> DataFrame:
-    """strings (doc_id, num, gen, sid, bytes) with the text that ToUnicode mappings give, for fonts whose codes have one length.
+    """strings (doc_id, num, gen, sid, bytes) with the text that ToUnicode mappings give; codes may have several lengths.
 
-    Codes join their font's ranges (equi-join, the range as residual predicate); of several the least position counts, and
-    codes without one give nothing.  Fonts with codes of several lengths are decoded in the parse stage.
+    Of several mappings that hold a code the least position counts, and codes without one give nothing.
     """
     key = ["doc_id", "num", "gen"]
-    wide = codespaces.where("of = 'unicode'").groupBy(*key).agg(F.min("bytes").alias("_w"), F.max("bytes").alias("_x")).where("_w = _x").drop("_x")
-    rows = strings.join(wide, key).withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("bytes") / F.col("_w")).cast("int") - 1)))
-    code = F.conv(F.hex(F.substring(F.col("bytes"), F.col("_i") * F.col("_w") + 1, F.col("_w"))), 16, 10).cast("long")
-    m = mappings.select(*key, "pos", "lo", "hi", F.col("text").alias("_t"))
-    hits = rows.withColumn("_c", code).join(m, key).where("_c between lo and hi")
-    hits = hits.groupBy(*key, "sid", "_i").agg(F.min_by(F.struct("_c", "lo", "_t"), "pos").alias("h"))
-    last = F.substring("h._t", -1, 1)
-    shifted = F.concat(F.left(F.col("h._t"), F.length("h._t") - 1), F.expr("decode(unhex(lpad(hex(ascii(right(h._t, 1)) + h._c - h.lo), 8, '0')), 'UTF-32')"))
-    char = F.when(F.col("h._c") == F.col("h.lo"), F.col("h._t")).otherwise(F.when(last != "", shifted).otherwise(""))
+    own = codespaces.where("of = 'unicode'").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "bytes", "lo", "hi"))).alias("_spaces"))
+    rows = strings.join(own, key).select(*key, "sid", F.explode(code_steps(F.col("bytes"), F.col("_spaces"))).alias("_c")).select(*key, "sid", F.col("_c.at").alias("_i"), F.col("_c.code").alias("_code"))
+    hits = first_match(rows, mappings.select(*key, "pos", "lo", "hi", F.col("text").alias("_t")), key, "_code", ["lo", "_t"]).where("_t is not null")
+    shifted = F.concat(F.left(F.col("_t"), F.length("_t") - 1), F.expr("decode(unhex(lpad(hex(ascii(right(_t, 1)) + _code - lo), 8, '0')), 'UTF-32')"))
+    char = F.when(F.col("_code") == F.col("lo"), F.col("_t")).otherwise(F.when(F.length("_t") > 0, shifted).otherwise(""))
     out = hits.select(*key, "sid", "_i", char.alias("c")).groupBy(*key, "sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "c"))), lambda x: x["c"]), "").alias("text"))
     return strings.join(out, [*key, "sid"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 

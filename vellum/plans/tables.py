@@ -26,14 +26,19 @@ SCHEMAS: dict[str, str] = {
     "headers": "type string, version string, xref_start bigint, xref_end bigint, recovered boolean, encrypted boolean",
     "trailers": "section_ord int, trailer string",
     "xref_entries": "section_ord int, num bigint, gen bigint, kind string, offset bigint, stm_num bigint, stm_index bigint",
+    "xref_sections": "at bigint, prev bigint, hybrid bigint, entries array<struct<num:bigint,gen:bigint,kind:string,offset:bigint,stm_num:bigint,stm_index:bigint>>",
     "object_layouts": "num bigint, gen bigint, revision int, storage struct<kind:string,start:bigint,end:bigint,stm_num:bigint,stm_index:bigint>",
     "objects": f"num bigint, gen bigint, revision int, kind string, value string, data binary, ref {REF}",
     "object_nodes": f"num bigint, gen bigint, revision int, path array<string>, kind string, i bigint, d double, s string, b binary, ref {REF}",
+    "objects_at": "start bigint, num bigint, gen bigint, kind string, value string, i bigint",
     "object_rows": "num bigint, gen bigint, row int, depth int, key string, kind string, shown string",
     "pages": f"page_index int, num bigint, gen bigint, path array<int>, crop {RECT}, media {RECT}, above {RECT}, rotation int, dict string",
     "content_streams": "page_index int, ord int, num bigint, gen bigint, data binary",
     "resources": f"page_index int, category string, key string, ref {REF}, kind string",
     "operators": "page_index int, seq int, op string, nums array<double>, name string, bytes binary, tj array<struct<text:binary,offset:double>>, props string",
+    "stream_operators": "page_index int, num bigint, gen bigint, seq int, op string, nums array<double>, name string",
+    "xobjects": f"page_index int, num bigint, gen bigint, key string, ref {REF}, target {REF}, kind string",
+    "forms": f"num bigint, gen bigint, matrix {MATRIX}, own boolean",
     "features": f"page_index int, seq int, kind string, bounds {RECT}, matrix {MATRIX}, annotation struct<type:string,idx:int,num:bigint,gen:bigint>, image struct<num:bigint,gen:bigint,encoding:string,data:binary>, text struct<text:string,font_num:bigint,font_gen:bigint,ps_name:string,size:double>",
     "text_runs": "page_index int, seq int, part int, text string, x double, y double, width double, height double, size double",
     "glyph_runs": "page_index int, seq int, pos int, font_num bigint, code bigint, gid bigint, glyph string, x double, y double, advance double",
@@ -174,6 +179,68 @@ def _trailers(doc):
         yield k, _json(s["trailer"])
 
 
+def _xref_sections(doc):
+    """Sections with what they say of their place; a hybrid's own prev leads nowhere."""
+    for k, s in enumerate(doc.sections):
+        link = {key: x if isinstance(x := s["trailer"].get(key), int) and not s.get("hybrid") and not doc.recovered else None for key in ("Prev", "XRefStm")}
+        keys = ("num", "gen", "kind", "offset", "stm_num", "stm_index")
+        own = [dict(zip(keys, e[1:], strict=True)) for e in doc.xref_entries(k)]
+        yield s["at"], link["Prev"], link["XRefStm"], own
+
+
+def _objects_at(doc, nums: tuple[int, ...] | None = None):
+    """Every object at an offset of the file, by that offset."""
+    from vellum.core.document import type_name
+
+    for ref, _, x, place in doc.placed_objects():
+        if place[0] == "offset" and (nums is None or ref.num in nums):
+            yield place[1], *ref, type_name(x), _json(x), x if type(x) is int else None
+
+
+def _forms(doc):
+    """(id, stream) of the newest form XObjects, each once."""
+    from vellum.core.objects import Stream
+
+    for ref, revision, x in doc.objects():
+        if not revision and isinstance(x, Stream) and doc.name_(x.dict.get("Subtype")) == "Form":
+            yield ref, x
+
+
+def _form_rows(doc):
+    from vellum.core.geometry import matrix_of
+
+    for ref, s in _forms(doc):
+        yield *ref, _dict(matrix_of(doc.reals_(s.dict.get("Matrix")))), doc.dict_(s.dict.get("Resources")) is not None
+
+
+def _stream_operators(doc, ops: tuple[str, ...] | None = None):
+    """Operators of page contents, and of each form once."""
+    from vellum.core.content import operators
+    from vellum.core.objects import PdfError
+
+    pages = ((p.index, None, None, b"".join(s.data for _, s in p.streams()), ("page", *p.ref)) for p in doc.pages())
+    forms = ((None, *ref, s.data, ("form", *ref)) for ref, s in _forms(doc))
+    for owners in (pages, forms):
+        for page, num, gen, data, intent in owners:
+            try:
+                for k, op in enumerate(operators(data)):
+                    if ops is None or op.op in ops:
+                        yield page, num, gen, k, op.op, op.nums, op.name
+            except PdfError as e:
+                doc.fail(e, intent)
+
+
+def _xobjects(doc):
+    """What the names of XObjects mean on each page and in each form with resources of its own."""
+    own = ((p.index, None, None, p.resources()) for p in doc.pages())
+    inner = ((None, *ref, doc.dict_(s.dict.get("Resources"))) for ref, s in _forms(doc))
+    for owners in (own, inner):
+        for page, num, gen, resources in owners:
+            for key, entry in (doc.dict_((resources or {}).get("XObject")) or {}).items():
+                if (s := doc.stream_(entry)) is not None:
+                    yield page, num, gen, key, _ref(entry), _ref(s.id), doc.name_(s.dict.get("Subtype"))
+
+
 def _object_layouts(doc):
     """Every place of every object with its extent and revision (0 is the newest); vellum.operators.layouts has the same as relations."""
     entries = sorted(doc.xref_entries(), key=lambda e: (e[0], e[3]))
@@ -509,8 +576,8 @@ def _parse_errors(doc, compat: bool = False):
 
 
 _ROWS = {
-    "headers": _headers, "trailers": _trailers, "xref_entries": lambda doc: doc.xref_entries(), "object_layouts": _object_layouts, "objects": _objects, "object_nodes": _object_nodes, "object_rows": _object_rows,
-    "pages": _pages, "content_streams": _content_streams, "resources": _resources, "operators": _operators, "features": _features, "text_runs": _text_runs, "glyph_runs": _glyph_runs, "vertical_metrics": _vertical_metrics, "display_list": _display_list,
+    "headers": _headers, "trailers": _trailers, "xref_entries": lambda doc: doc.xref_entries(), "xref_sections": _xref_sections, "object_layouts": _object_layouts, "objects": _objects, "object_nodes": _object_nodes, "objects_at": _objects_at, "object_rows": _object_rows,
+    "pages": _pages, "content_streams": _content_streams, "resources": _resources, "operators": _operators, "stream_operators": _stream_operators, "xobjects": _xobjects, "forms": _form_rows, "features": _features, "text_runs": _text_runs, "glyph_runs": _glyph_runs, "vertical_metrics": _vertical_metrics, "display_list": _display_list,
     "fonts": _fonts, "font_widths": _font_widths, "font_differences": _font_differences, "cid_widths": _cid_widths, "tounicode_mappings": _tounicode, "codespaces": _codespaces,
     "images": _images, "image_pixels": _image_pixels, "image_rgba": _image_rgba, "color_spaces": _color_spaces, "ext_gstates": _ext_gstates, "shadings": _shadings, "functions": _functions, "parse_errors": _parse_errors,
 }

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from vellum import synth
 from vellum.functions import geometry as G
+from vellum.operators.chains import layouts_of_sections
+from vellum.operators.invocations import images
+from vellum.plans.cut import cut
 from vellum.plans.tables import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +155,25 @@ def tounicode_range_join(spark, sf_dir):
     return decode_codes(strings, e.table("codespaces"), e.table("tounicode_mappings")).select("doc_id", "text")
 
 
+MIXED = b"begincmap 2 begincodespacerange <20> <7E> <8140> <9FFC> endcodespacerange 2 beginbfrange <20> <7E> <0020> <8140> <819F> <0020> endbfrange endcmap"
+
+
+@query("SELECT c_custkey AS doc_id, c_name || ' ' || c_mktsegment AS text FROM customer")
+def tounicode_mixed_lengths(spark, sf_dir):
+    """Every third character in two bytes, the others in one, and bytes that no codespace takes between them."""
+    from vellum.operators.text import decode_codes
+
+    def make(r):
+        text = f"{r['c_name']} {r['c_mktsegment']}"
+        shown = b"".join((b"%04X" % (0x8140 + ord(c) - 32) if i % 3 == r["c_custkey"] % 3 else b"%02X" % ord(c)) + (b"FF" if i % 7 == 0 else b"") for i, c in enumerate(text))
+        return synth.one_page(b"BT /F1 10 Tf 20 20 Td <%s> Tj ET" % shown, F1, extra={**TYPE0, 7: synth.stream(MIXED)}).finish()
+
+    read_once = cut(Engine(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make)).bundle(fonts={"columns": ("num", "gen")}, operators={"columns": ("seq", "bytes"), "ops": ("Tj",)}, codespaces={}, tounicode_mappings={}), "read")
+    rows = lambda name: read_once.select("doc_id", F.explode(name).alias("x")).select("doc_id", "x.*")
+    strings = rows("operators").withColumnRenamed("seq", "sid").join(rows("fonts"), "doc_id")
+    return decode_codes(strings, rows("codespaces"), rows("tounicode_mappings")).select("doc_id", "text")
+
+
 @query("SELECT doc_id, text FROM documents")
 def pdfdoc_decode(spark, sf_dir):
     from vellum.functions.text import pdf_doc_bytes, pdf_text
@@ -200,25 +222,57 @@ IM = b"/XObject << /Im 6 0 R >>"
 
 @query("SELECT p_partkey AS doc_id, 5.0::DOUBLE AS x, (p_partkey % 97)::DOUBLE AS y, p_size::DOUBLE AS width, round(p_retailprice, 4) AS height, 6::BIGINT AS num FROM part")
 def ctm_images(spark, sf_dir):
+    """Matrices by relations on the operators, as nested_q_cm and form_recursion."""
     make = lambda r: synth.one_page(b"q %d 0 0 %s 5 %d cm /Im Do Q" % (r["p_size"], num(r["p_retailprice"]), r["p_partkey"] % 97), IM, extra=IMAGE).finish()
-    f = Engine(write_pdfs(dealt(read(spark, sf_dir, "part")), "p_partkey", make)).features(("image",))
-    return f.select("doc_id", *[F.round(f"bounds.{c}", 4).alias(c) for c in ("x", "y", "width", "height")], "image.num")
+    f = images(Engine(write_pdfs(dealt(read(spark, sf_dir, "part")), "p_partkey", make)))
+    return f.select("doc_id", *[F.round(f"bounds.{c}", 4).alias(c) for c in ("x", "y", "width", "height")], "num")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(i AS INTEGER) AS seq, (CASE i WHEN 0 THEN 2.0 * (n_nationkey + 1) WHEN 1 THEN 2.0 ELSE 1.0 END)::DOUBLE AS width FROM nation, (VALUES (0), (1), (2)) v(i)")
 def nested_q_cm(spark, sf_dir):
     make = lambda r: synth.one_page(b"q 2 0 0 2 1 1 cm q %d 0 0 1 0 0 cm /Im Do Q /Im Do Q /Im Do" % (r["n_nationkey"] + 1), IM, extra=IMAGE).finish()
-    f = Engine(write_pdfs(read(spark, sf_dir, "nation"), "n_nationkey", make)).features(("image",))
+    f = images(Engine(write_pdfs(read(spark, sf_dir, "nation"), "n_nationkey", make)))
+    return f.select("doc_id", "seq", F.round("bounds.width", 6).alias("width"))
+
+
+@query("""SELECT c_custkey AS doc_id, CAST(i AS INTEGER) AS seq, (CASE i WHEN 0 THEN k * 2 WHEN 1 THEN k * 6 WHEN 2 THEN k * 2 WHEN 3 THEN 1 ELSE 5 END)::DOUBLE AS width
+FROM (SELECT c_custkey, 1 + c_nationkey AS k FROM customer), (VALUES (0), (1), (2), (3), (4)) v(i)""")
+def unbalanced_q(spark, sf_dir):
+    """A Q with nothing to close goes back to the start of the stream; a q that is never closed holds to its end."""
+
+    def make(r):
+        return synth.one_page(b"%d 0 0 1 0 0 cm q 2 0 0 1 0 0 cm /Im Do q 3 0 0 1 0 0 cm /Im Do Q /Im Do Q Q /Im Do q 5 0 0 1 0 0 cm q /Im Do" % (1 + r["c_nationkey"]), IM, extra=IMAGE).finish()
+
+    f = images(Engine(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make)))
     return f.select("doc_id", "seq", F.round("bounds.width", 6).alias("width"))
 
 
+@query("""SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, i) - 1 AS INTEGER) AS seq, (o_orderkey % 89 + 10 * i)::DOUBLE AS x, (2 + i)::DOUBLE AS width, (6 + i)::BIGINT AS num
+FROM orders, (VALUES (0), (1)) v(i)""")
+def shared_forms(spark, sf_dir):
+    """A form that draws an image, and a form without resources of its own that draws another, placed once for each order of a customer."""
+    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    extra = {
+        5: synth.stream(b"2 0 0 1 0 0 cm /Im Do /Fm Do", b"/Type /XObject /Subtype /Form /BBox [0 0 9 9] /Resources << /XObject << /Im 6 0 R /Fm 8 0 R >> >>"),
+        8: synth.stream(b"1.5 0 0 1 0 0 cm /Fm Do /Im Do", b"/Type /XObject /Subtype /Form /BBox [0 0 9 9] /Matrix [1 0 0 1 5 0] /Resources << /XObject << /Im 7 0 R /Fm 5 0 R >> >>"),
+        **IMAGE,
+        7: IMAGE[6],
+    }
+
+    def make(r):
+        return synth.one_page(b" ".join(b"q 1 0 0 1 %d 0 cm /Fm Do Q" % (k % 89) for k in r["keys"]), b"/XObject << /Fm 5 0 R >>", extra=extra).finish()
+
+    f = images(Engine(write_pdfs(rows, "o_custkey", make)))
+    return f.select("doc_id", "seq", F.round("bounds.x", 6).alias("x"), F.round("bounds.width", 6).alias("width"), "num")
+
+
 @query("SELECT s_suppkey AS doc_id, (10 + 2 * (s_suppkey % 13))::DOUBLE AS x, (20 + 6)::DOUBLE AS y, 2.0::DOUBLE AS width, 3.0::DOUBLE AS height FROM supplier")
 def form_recursion(spark, sf_dir):
     def make(r):
         form = {5: synth.stream(b"q 1 0 0 1 %d 2 cm /Im Do Q" % (r["s_suppkey"] % 13), b"/Type /XObject /Subtype /Form /BBox [0 0 9 9] /Matrix [2 0 0 3 0 0] /Resources << /XObject << /Im 6 0 R /Fm 5 0 R >> >>"), **IMAGE}
         return synth.one_page(b"1 0 0 1 10 20 cm /Fm Do", b"/XObject << /Fm 5 0 R >>", extra=form).finish()
 
-    f = Engine(write_pdfs(read(spark, sf_dir, "supplier"), "s_suppkey", make)).features(("image", "text"))
+    f = images(Engine(write_pdfs(read(spark, sf_dir, "supplier"), "s_suppkey", make)))
     return f.select("doc_id", *[F.round(f"bounds.{c}", 6).alias(c) for c in ("x", "y", "width", "height")])
 
 
@@ -318,38 +372,41 @@ def _customers(spark, sf_dir):
 
 @query("SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS INTEGER) AS revision, o_orderkey AS value FROM orders")
 def xref_revisions(spark, sf_dir):
-    n = _customers(spark, sf_dir).table("object_nodes", columns=("revision", "i"), nums=(5,), depth=0)
-    return n.select("doc_id", "revision", F.col("i").alias("value"))
+    layouts, at, _ = _chains(_customers(spark, sf_dir))
+    own = layouts.where("num = 5").select("doc_id", "revision", F.col("storage.start").alias("start"))
+    return own.join(at, ["doc_id", "start"]).select("doc_id", "revision", F.col("i").alias("value"))
 
 
-def _layouts(e: Engine) -> DataFrame:
-    from vellum.operators.layouts import object_layouts
-
-    return object_layouts(e.table("xref_entries"), e.table("headers"))
+def _chains(e: Engine) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(layouts, objects by their offsets, headers): one reading, then relations on its sections."""
+    read_once = cut(e.bundle(xref_sections={}, headers={"columns": ("xref_start", "xref_end")}, objects_at={"columns": ("start", "i"), "nums": (5,)}), "read")
+    rows = lambda name: read_once.select("doc_id", F.explode(name).alias("x")).select("doc_id", "x.*")
+    return layouts_of_sections(rows("xref_sections"), rows("headers")), rows("objects_at"), rows("headers")
 
 
 @query("SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS INTEGER) AS revision, (16 + length(o_orderkey::VARCHAR))::BIGINT AS extent FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
 def object_extents(spark, sf_dir):
     """The last object's extent goes on to the word startxref; the length of the table before it comes off."""
-    both = _customers(spark, sf_dir).bundle(object_layouts={}, headers={"columns": ("xref_start", "xref_end")})
-    out = both.select("doc_id", F.col("headers")[0].alias("h"), F.explode("object_layouts").alias("x")).where("x.num = 5 and x.revision = 0")
-    return out.select("doc_id", "x.revision", (F.col("x.storage.end") - F.col("x.storage.start") - F.col("h.xref_end") + F.col("h.xref_start")).alias("extent"))
+    layouts, _, ends = _chains(_customers(spark, sf_dir))
+    out = layouts.where("num = 5 and revision = 0").join(ends, "doc_id")
+    return out.select("doc_id", "revision", (F.col("storage.end") - F.col("storage.start") - F.col("xref_end") + F.col("xref_start")).alias("extent"))
 
 
 @query("SELECT o_custkey AS doc_id, 5::BIGINT AS num, CAST(count(*) - 1 AS INTEGER) AS oldest FROM orders GROUP BY o_custkey")
 def navigate_oldest(spark, sf_dir):
     from vellum.operators.layouts import navigate
 
-    return navigate(_layouts(_customers(spark, sf_dir))).where("num = 5").select("doc_id", "num", F.col("revision").alias("oldest"))
+    return navigate(_chains(_customers(spark, sf_dir))[0]).where("num = 5").select("doc_id", "num", F.col("revision").alias("oldest"))
 
 
 @query("SELECT o_custkey AS doc_id, max(o_orderkey) AS value FROM orders GROUP BY o_custkey")
 def resolve_latest(spark, sf_dir):
-    """What a look-up by id finds: layouts and objects of one reading of the document meet inside its row."""
-    both = _customers(spark, sf_dir).bundle(object_layouts={"columns": ("num", "gen", "revision")}, object_nodes={"columns": ("num", "gen", "revision", "i"), "nums": (5,), "depth": 0})
-    newest = F.filter("object_layouts", lambda x: (x["num"] == 5) & (x["revision"] == 0))[0]
-    found = F.filter("object_nodes", lambda x: (x["gen"] == newest["gen"]) & (x["revision"] == newest["revision"]))
-    return both.select("doc_id", found[0]["i"].alias("value"))
+    """What a look-up by id finds."""
+    from vellum.operators.layouts import resolve_latest as newest
+
+    layouts, at, _ = _chains(_customers(spark, sf_dir))
+    own = newest(layouts).where("num = 5").select("doc_id", F.col("storage.start").alias("start"))
+    return own.join(at, ["doc_id", "start"]).select("doc_id", F.col("i").alias("value"))
 
 
 @query("SELECT s_suppkey AS doc_id, s_name AS name, (s_suppkey * 2)::BIGINT AS value, true AS recovered, 8::BIGINT AS size FROM supplier")
