@@ -175,3 +175,68 @@ def test_layouts_of_sections(spark):
     shape = lambda r: (r["doc_id"], r["num"], r["gen"], r["revision"], tuple(x or -1 if not isinstance(x, str) else x for x in r["storage"]))
     want = sorted(map(shape, e.table("object_layouts").collect()))
     assert sorted(map(shape, layouts_of_sections(e.table("xref_sections"), e.table("headers")).collect())) == want
+
+
+# ---- hits, scans of chunks -------------------------------------------------------------------------------------------
+
+
+def test_hits_of_many_regions(spark):
+    from vellum.operators.hits import hits
+
+    rng = random.Random(6)
+    box = lambda: (rng.uniform(-50, 600), rng.uniform(-50, 600), rng.choice([0.0, 0.5, 3.0, 40.0, 700.0]), rng.choice([0.0, 1.0, 9.0, 300.0]))
+    features = [(d, p, i, box()) for d in (1, 2) for p in (0, 1) for i in range(60)] + [(3, 0, i, (10.0 * i, 0.0, 10.0, 10.0)) for i in range(200)] + [(3, 0, 900, None)]
+    regions = [(d, p, i, box()) for d in (1, 2) for p in (0, 1) for i in range(25)] + [(3, 0, 0, (95.0, 5.0, 0.0, 0.0)), (3, 0, 1, (0.0, 10.0, 5000.0, 2.0)), (3, 0, 2, None), (4, 0, 0, box())]
+    rect = "struct<x:double,y:double,width:double,height:double>"
+    f = spark.createDataFrame(features, f"doc_id long, page_index int, seq int, bounds {rect}")
+    r = spark.createDataFrame(regions, f"doc_id long, page_index int, region int, rect {rect}")
+    touch = lambda a, b: all(a[i] <= b[i] + b[i + 2] and b[i] <= a[i] + a[i + 2] for i in (0, 1))
+    want = sorted((d, p, i, k) for d, p, i, a in features for e, q, k, b in regions if (d, p) == (e, q) and a and b and touch(a, b))
+    for most in (20_000, 3):
+        assert sorted((x["doc_id"], x["page_index"], x["seq"], x["region"]) for x in hits(f, r, most).collect()) == want
+    assert hits(f.limit(0), r).collect() == [] and hits(f, r.limit(0)).collect() == []
+
+
+def broken(rng):
+    words = [b"1 0 obj << >> endobj", b"12 0 obj", b"3  \n1\t0 obj (x)", b"stream", b"endstream", b"trailer << /Size 3 >>", b"x4 0 obj", b"5 0 object", b"upstream", b"7 0 obj", b"%" + b"z" * 20, b"\xff\x80\xe9", b"6 0 R"]
+    return b"%PDF-1.4\n" + rng.choice([b" ", b"\n"]).join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+
+
+def test_scan_of_chunks(spark):
+    from vellum.core.document import Document
+    from vellum.operators.scan import chunks, markers, recovered
+
+    rng = random.Random(9)
+    files = [broken(rng) for _ in range(40)]
+    want = []
+    for i, data in enumerate(files):
+        doc = Document(data)
+        want += [(i, ref.num, ref.gen, at) for s in doc.sections for ref, at in s["offsets"].items()]
+    docs = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(files)] + [(90, bytearray()), (91, None)], "doc_id long, content binary")
+    for size in (16, 50, 1 << 20):
+        got = recovered(markers(chunks(docs, size))).collect()
+        assert sorted((r["doc_id"], r["num"], r["gen"], r["offset"]) for r in got) == sorted(want)
+
+
+def test_chunks_of_files(spark, tmp_path):
+    """Tasks read ranges of a file, whole chunks with a byte before and some beyond; the scan is that of the whole content."""
+    from pyspark.sql import functions as F
+
+    from vellum.operators.scan import BEYOND, chunks, markers
+    from vellum.sources.chunks import register
+
+    register(spark)
+    rng = random.Random(10)
+    data = {name: b" ".join(broken(rng) for _ in range(20)) for name in ("a.pdf", "b.pdf", "c.txt")}
+    for name, b in data.items():
+        (tmp_path / name).write_bytes(b)
+    (tmp_path / "empty.pdf").write_bytes(b"")
+    rows = spark.read.format("file_chunks").option("size", 512).option("task", 2).load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() == sum(-(-len(data[n]) // 1024) for n in ("a.pdf", "b.pdf"))
+    for r in rows.collect():
+        whole = data[r["path"].rsplit("/", 1)[1]]
+        assert bytes(r["data"]) == whole[r["start"] - r["lead"] : r["start"] + r["size"] + BEYOND]
+    named = rows.withColumn("doc_id", F.element_at(F.split("path", "/"), -1))
+    docs = spark.createDataFrame([(n, bytearray(b)) for n, b in data.items() if n != "c.txt"], "doc_id string, content binary")
+    shape = lambda df: sorted((r["doc_id"], r["at"], r["kind"]) for r in df.collect())
+    assert shape(markers(named)) == shape(markers(chunks(docs)))

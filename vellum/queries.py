@@ -303,12 +303,37 @@ def hit_test(spark, sf_dir):
     return f.where(G.contains(F.col("bounds"), F.lit(250.0), F.lit(5.0))).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
+@query("""SELECT c_custkey AS doc_id, CAST(i AS INTEGER) AS region, count(*) AS hits, sum(event_id + 10)::BIGINT AS ids
+FROM events JOIN customer ON c_custkey = user_id, (VALUES (0), (1), (2)) v(i)
+WHERE event_id % 500 <= (c_custkey * 37 + i * 150) % 500 + c_nationkey * 4 * i AND (c_custkey * 37 + i * 150) % 500 <= event_id % 500 + 10 AND 5 <= 10 AND 0 <= 5 + i GROUP BY ALL""")
+def region_hits(spark, sf_dir):
+    """Three regions a customer against the annotations of their page, from a point to a broad strip."""
+    from vellum.operators.hits import hits
+
+    regions = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("page_index"), "c_nationkey", F.explode(F.array(*map(F.lit, range(3)))).alias("region"))
+    left = (F.col("doc_id") * 37 + F.col("region") * 150) % 500
+    regions = regions.select("doc_id", "page_index", "region", G.rect(left, F.lit(5), F.col("c_nationkey") * 4 * F.col("region"), F.col("region")).alias("rect"))
+    found = hits(cut(_numbered_users(spark, sf_dir).table("features", columns=("page_index", "bounds", "annotation"), mask=1), "read"), regions)
+    return found.groupBy("doc_id", "region").agg(F.count("*").alias("hits"), F.sum(F.col("annotation.num")).alias("ids"))
+
+
+def _numbered_users(spark, sf_dir):
+    """Annotations as objects whose numbers are ten more than those of the events."""
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("keys"))
+
+    def make(r):
+        notes = {10 + k: b"<< /Type /Annot /Subtype /Link /Rect [%d 10 %d 0] >>" % (k % 500, k % 500 + 10) for k in r["keys"]}
+        return synth.one_page(b"", page=b"/MediaBox [0 0 9 9] /Annots [%s]" % b" ".join(b"%d 0 R" % k for k in notes), extra=notes).finish()
+
+    return Engine(write_pdfs(rows, "user_id", make))
+
+
 # ---- structure ------------------------------------------------------------------------------------------------------
 
 
 def _tree(spark, sf_dir):
     """One file: regions as inner nodes, nations as pages."""
-    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
     rows = n.groupBy(F.lit(0).cast("long").alias("k")).agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "n_nationkey", "n_name"))).alias("items"))  # a region table's worth of rows
 
     def make(r):
@@ -424,6 +449,23 @@ def recovery_scan(spark, sf_dir):
     return all_.select("doc_id", F.col("features")[0]["text"]["text"].alias("name"), F.col("object_nodes")[0]["i"].alias("value"), F.col("headers")[0]["recovered"].alias("recovered"), size.alias("size"))
 
 
+@query("SELECT c_custkey AS doc_id, num::BIGINT AS num, CASE num WHEN 7 THEN c_custkey * 2 WHEN 6 THEN c_custkey END::BIGINT AS value FROM customer, (VALUES (1), (2), (3), (4), (5), (6), (7)) v(num)")
+def recovery_chunks(spark, sf_dir):
+    """Files without a table in chunks of a kilobyte that cut headers: the last of each object, but none of those in streams."""
+    from vellum.operators.scan import chunks, markers, recovered
+
+    def make(r):
+        k = r["c_custkey"]
+        w = synth.one_page(b"", extra={5: synth.stream(b"99 0 obj << >> endobj 7 0 obj 1 endobj"), 6: b"%d" % k, 7: b"%d" % k})
+        return w.finish(xref=False).replace(b"6 0 obj", b"%" + b"x" * (k % 1024) + b"\n6 0 obj") + b"%" + b"y" * (700 + k % 13) + b"\n7 0 obj\n%d\nendobj\n" % (k * 2)
+
+    docs = cut(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make), "files")
+    found = recovered(markers(chunks(docs, 1024)))
+    near = F.decode(F.substring(F.col("content"), F.col("offset").cast("int") + 1, F.lit(40)), "ISO-8859-1")
+    value = F.when(F.col("num") >= 6, F.regexp_extract(near, r"obj\s+(\d+)", 1)).cast("long")
+    return found.join(docs, "doc_id").select("doc_id", "num", value.alias("value"))
+
+
 @query("SELECT c_custkey AS doc_id, c_name AS name, c_nationkey::BIGINT AS nation, round(c_acctbal, 2) AS balance FROM customer")
 def object_streams(spark, sf_dir):
     def make(r):
