@@ -240,3 +240,36 @@ def test_chunks_of_files(spark, tmp_path):
     docs = spark.createDataFrame([(n, bytearray(b)) for n, b in data.items() if n != "c.txt"], "doc_id string, content binary")
     shape = lambda df: sorted((r["doc_id"], r["at"], r["kind"]) for r in df.collect())
     assert shape(markers(named)) == shape(markers(chunks(docs)))
+
+
+# ---- paths ---------------------------------------------------------------------------------------------------------
+
+
+def test_paths_like_the_reader(spark):
+    """Random operators, illegal orders among them: the same paintings, clips and segments as the display list."""
+    from vellum import synth
+    from vellum.operators.paths import painted
+    from vellum.plans.tables import Engine
+
+    rng = random.Random(12)
+    n = lambda k: b" ".join(b"%d" % rng.randint(0, 9) for _ in range(k))
+    sizes = {b"m": 2, b"l": 2, b"c": 6, b"v": 4, b"y": 4, b"re": 4, b"h": 0}
+    words = [*sizes, b"m", b"S", b"s", b"f", b"f*", b"B", b"b", b"b*", b"n", b"W", b"W*"]
+    docs = []
+    for i in range(40):
+        body = b" ".join((n(sizes[w]) + b" " + w) if w in sizes else w for w in (rng.choice(words) for _ in range(50)))
+        docs.append((i, bytearray(synth.one_page(body).finish())))
+    e = Engine(spark.createDataFrame(docs, "doc_id long, content binary"))
+    want = {}
+    for r in e.table("display_list", columns=("seq", "verb", "path")).orderBy("doc_id", "seq").collect():
+        want.setdefault(r["doc_id"], []).append((r["verb"], r["path"].split()))
+    got = {}
+    for r in painted(e.table("operators")).orderBy("doc_id", "seq", "part").collect():
+        flat = []
+        for s in r["segments"]:
+            flat += [s["verb"], *("%g" % v for v in s["at"])]
+        got.setdefault(r["doc_id"], []).append((r["verb"], flat))
+    assert sum(map(len, want.values())) > 200
+    number = lambda rows: {k: [(v, [t if t in "mlch" else float(t) for t in p]) for v, p in own] for k, own in rows.items()}
+    assert number(got) == number(want)
+    assert painted(e.table("operators").limit(0)).collect() == []

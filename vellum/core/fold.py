@@ -194,7 +194,7 @@ class Fold:
                 yield from self.draw(look.data, self.doc.dict_(look.dict.get("Resources")) or {}, State(appearance(self.doc.rect_(look.dict.get("BBox")), m, rect)), ("annotation", *(look.id or (None, None))), (look.id,))
 
     def draw(self, data: bytes, resources: dict, first: State, intent: tuple, inside: tuple) -> Iterator[tuple]:
-        state, stack, path, at, start, clip = replace(first), [], [], None, None, None
+        state, stack, path, at, start, clip, drawn = replace(first), [], [], None, None, None, False
         doc = self.doc
 
         def row(verb: str, paint: tuple, what: str | None = None) -> tuple:
@@ -221,23 +221,25 @@ class Fold:
                     elif o == "y":
                         n = [*n, *n[2:]]
                     path.append(_shown("l" if o == "l" else "c", *n))
-                    at = (n[-2], n[-1])
+                    at, drawn = (n[-2], n[-1]), True
                 elif o == "re":
                     x, y, w, h = n
                     path.append(" ".join([_shown("m", x, y), _shown("l", x + w, y), _shown("l", x + w, y + h), _shown("l", x, y + h), "h"]))
-                    at = start = (x, y)
-                elif o == "h" and path:
+                    at, drawn = (x, y), True
+                    start = at
+                elif o == "h" and at is not None:
                     path.append("h")
-                    at = start
+                    at, drawn = start, True
                 elif o in _PAINT:
-                    if o in ("s", "b", "b*") and path:
+                    if o in ("s", "b", "b*") and at is not None:
                         path.append("h")
-                    for verb in _PAINT[o] if path else ():
+                        drawn = True
+                    for verb in _PAINT[o] if drawn else ():
                         yield row(verb, state.stroke if verb == "stroke" else state.fill)
-                    if clip and path:
+                    if clip and drawn:
                         state.clips += 1
                         yield row(clip, state.fill)
-                    path, at, clip = [], None, None
+                    path, at, clip, drawn = [], None, None, False
                 elif o in ("W", "W*"):
                     clip = "clip" if o == "W" else "eoclip"
                 elif o in ("Tj", "'", '"', "TJ"):

@@ -328,6 +328,36 @@ def _numbered_users(spark, sf_dir):
     return Engine(write_pdfs(rows, "user_id", make))
 
 
+@query("""SELECT c_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY i) - 1 AS INTEGER) AS nth, verb, CAST(n AS INTEGER) AS segments, (x + c_custkey)::DOUBLE AS last_x FROM customer JOIN
+(VALUES (1, 0, 'stroke', 2, 0), (3, 0, 'clip', 2, 3), (4, 0, 'fill', 2, 6), (5, 0, 'eofill', 6, 0), (5, 1, 'stroke', 6, 0), (5, 2, 'eoclip', 6, 0), (6, 0, 'stroke', 4, 2), (7, 0, 'fill', 2, 9)) v(k, i, verb, n, x) ON k = c_custkey % 8""")
+def path_legality(spark, sf_dir):
+    """Moves alone and lines without a start paint nothing, and no clip comes of them; a close counts, if it has something to close."""
+    from vellum.operators.paths import painted
+
+    bodies = [
+        b"%(a)d 2 m S h S",
+        b"h %(b)d 4 l %(a)d 2 m h S",
+        b"1 2 m 3 4 m B",
+        b"1 2 m %(b)d 4 l W n",
+        b"1 2 m W n 5 5 m %(c)d 6 l f",
+        b"3 3 m %(a)d 0 2 2 re W* B*",
+        b"1 1 m 2 2 3 3 v %(d)d 4 l s",
+        b"1 1 m 2 2 l W Q 4 4 m n 8 8 m %(e)d 9 l f",
+    ]
+
+    def make(r):
+        k = r["c_custkey"]
+        body = bodies[k % 8].replace(b"W Q 4 4 m n", b"W Q n") if k % 8 == 7 else bodies[k % 8]
+        return synth.one_page(body % {b"a": k, b"b": k + 3, b"c": k + 6, b"d": k + 2, b"e": k + 9}).finish()
+
+    ops = Engine(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make)).table("operators", columns=("page_index", "seq", "op", "nums"))
+    rows = painted(ops)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "part")) - 1
+    points = F.filter(F.transform("segments", lambda s: s["at"]), lambda a: F.size(a) > 0)
+    last = F.element_at(F.element_at(points, -1), -2)
+    return rows.select("doc_id", nth.alias("nth"), "verb", F.size("segments").alias("segments"), last.alias("last_x"))
+
+
 # ---- structure ------------------------------------------------------------------------------------------------------
 
 
