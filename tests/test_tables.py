@@ -136,3 +136,40 @@ def test_images_as_files(spark):
     assert got[6] == ("jpg", b"\xff\xd8") and got[5][0] == "png" and struct.unpack(">II", got[5][1][16:24]) == (2, 1)
     data = lambda b: zlib.decompress(b[b.index(b"IDAT") + 4 : b.index(b"IEND") - 8])
     assert data(got[5][1]) == b"\0\x01\xff" and data(got[7][1]) == b"\0\0\0\0\xff\x80\0"
+
+
+def test_files_by_size(spark):
+    from vellum.sources.pdf import spread
+
+    docs = spark.createDataFrame([(i, bytearray(b"x" * (5000 if i % 10 == 0 else 10))) for i in range(40)], "doc_id long, content binary")
+    parts = spread(docs, 1000).rdd.glom().map(lambda p: [r["doc_id"] for r in p]).collect()
+    assert sorted(x for p in parts for x in p) == list(range(40))
+    assert all(p == [p[0]] for p in parts if any(x % 10 == 0 for x in p))  # a large one is alone
+    assert spread(docs.limit(0)).count() == 0 and spread(docs.where("doc_id % 10 <> 0"), 100).rdd.getNumPartitions() == 4
+
+
+def test_passwords_in_sql(spark):
+    from vellum import synth
+    from vellum.functions.udtf import register
+
+    register(spark)
+    w = synth.one_page(b"")
+    trailer, key = synth.rc4_40(w, b"pdf", b"owner")
+    w.objects[4] = synth.stream(synth.arcfour(synth.object_key(key, 4), b"BT /F1 12 Tf (sealed) Tj ET"))
+    spark.createDataFrame([(bytearray(w.finish(trailer=trailer)),)], "content binary").createOrReplaceTempView("vellum_sealed")
+    text = "SELECT f.text.text FROM vellum_sealed, LATERAL pdf_features(content, 4, {}) f"
+    assert [r["text"] for r in spark.sql(text.format("'pdf'")).collect()] == ["sealed"]
+    assert spark.sql("SELECT count(*) AS n FROM vellum_sealed, LATERAL pdf_operators(content, 'pdf') o WHERE op = 'Tj'").first()["n"] == 1
+    assert [r["failure"] for r in spark.sql("SELECT failure FROM vellum_sealed, LATERAL pdf_errors(content)").collect()][:1] == ["passwordRequired"]
+    got = spark.sql("SELECT pdf_text(X'FEFF00410042') AS a, pdf_text(X'EFBBBFC3A9') AS b, pdf_text(X'41A0') AS c, pdf_text(NULL) AS d").first()
+    assert (got["a"], got["b"], got["c"], got["d"]) == ("AB", "é", "A₢", None)
+
+
+def test_decryption_of_many_blocks():
+    from vellum import synth
+    from vellum.core.crypt import aes_cbc_decrypt
+
+    for key in (bytes(range(16)), bytes(range(32))):
+        plain = bytes(i * 7 % 256 for i in range(16 * 50))
+        assert aes_cbc_decrypt(key, synth.rijndael_cbc(key, bytes(16), plain), iv=bytes(16), unpad=False) == plain
+        assert aes_cbc_decrypt(key, bytes(16), unpad=False) == b""

@@ -8,6 +8,8 @@ from __future__ import annotations
 import hashlib
 from functools import lru_cache
 
+import numpy as np
+
 from .objects import Name, PdfError
 
 #: Fixed value of the format: what fills a short password.
@@ -82,24 +84,28 @@ def _schedule(key: bytes) -> list[bytes]:
 _ROWS_BACK = [(i - 4 * (i % 4)) % 16 for i in range(16)]
 
 
+@lru_cache(1)
+def _inverse() -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    _, back, mul = _tables()
+    return np.frombuffer(bytes(back), np.uint8), tuple(np.array(list(mul[k]), np.uint8) for k in (9, 11, 13, 14))
+
+
 def aes_cbc_decrypt(key: bytes, data: bytes, iv: bytes | None = None, unpad: bool = True) -> bytes:
     """iv: of the first 16 bytes, if not given."""
     if iv is None:
         iv, data = data[:16], data[16:]
     if len(key) not in (16, 32) or len(iv) != 16 or len(data) % 16:
         raise PdfError("decryptionFailed")
-    _, back, mul = _tables()
-    m9, m11, m13, m14 = (mul[k] for k in (9, 11, 13, 14))
-    rounds, out, last = _schedule(key)[::-1], bytearray(), iv
-    for at in range(0, len(data), 16):
-        block = data[at : at + 16]
-        s = [a ^ b for a, b in zip(block, rounds[0], strict=True)]
-        for r, k in enumerate(rounds[1:], 1):
-            s = [back[s[i]] ^ k[n] for n, i in enumerate(_ROWS_BACK)]
-            if r < len(rounds) - 1:
-                s = [v for c in range(0, 16, 4) for a, b, d, e in [s[c : c + 4]] for v in (m14[a] ^ m11[b] ^ m13[d] ^ m9[e], m9[a] ^ m14[b] ^ m11[d] ^ m13[e], m13[a] ^ m9[b] ^ m14[d] ^ m11[e], m11[a] ^ m13[b] ^ m9[d] ^ m14[e])]
-        out += bytes(a ^ b for a, b in zip(s, last, strict=True))
-        last = block
+    back, (m9, m11, m13, m14) = _inverse()
+    blocks = np.frombuffer(data, np.uint8).reshape(-1, 16)
+    rounds = [np.frombuffer(bytes(k), np.uint8) for k in _schedule(key)[::-1]]
+    s = blocks ^ rounds[0]  # all blocks at once: only their sums with the blocks before depend on each other
+    for r, k in enumerate(rounds[1:], 1):
+        s = back[s[:, _ROWS_BACK]] ^ k
+        if r < len(rounds) - 1:
+            a, b, d, e = (s[:, i::4] for i in range(4))
+            s = np.stack([m14[a] ^ m11[b] ^ m13[d] ^ m9[e], m9[a] ^ m14[b] ^ m11[d] ^ m13[e], m13[a] ^ m9[b] ^ m14[d] ^ m11[e], m11[a] ^ m13[b] ^ m9[d] ^ m14[e]], axis=2).reshape(-1, 16)
+    out = bytearray((s ^ np.concatenate([np.frombuffer(iv, np.uint8)[None], blocks[:-1]])[: len(blocks)]).tobytes())
     if unpad and out:
         n = out[-1]
         if not 1 <= n <= 16:
@@ -248,9 +254,11 @@ class Security:
         return self._run(self._method(name or self.stream), ident[0], ident[1], data)
 
 
+@lru_cache(256)
 def hash_of_revision(data: bytes, password: bytes, extra: bytes, revision: int) -> bytes:
     """Revision 5 is one SHA-256.  Revision 6 hardens it (ISO 32000-2, algorithm 2.B): rounds of AES over 64 copies of what is
-    known, each hashed by the function that the result modulo 3 names, until 64 rounds are done and the last byte allows it."""
+    known, each hashed by the function that the result modulo 3 names, until 64 rounds are done and the last byte allows it.  Files that share an
+    encryption dictionary, as those of one batch may, share the work."""
     k, done = hashlib.sha256(data).digest(), 0
     while revision >= 6:
         sealed = aes_cbc_encrypt(k[:16], k[16:32], (password + k + extra) * 64)

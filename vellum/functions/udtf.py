@@ -6,7 +6,18 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
+def pdf_text_sql() -> str:
+    """The Column pdf_text of vellum.functions.text as a SQL function, so that it stays in the JVM."""
+    from vellum.functions.text import _FROM, _TO
+
+    given, to = (f"decode(unhex('{x.encode().hex()}'), 'UTF-8')" for x in (_FROM, _TO))
+    return f"""CREATE OR REPLACE TEMPORARY FUNCTION pdf_text(b BINARY) RETURNS STRING RETURN CASE
+      WHEN substring(b, 1, 2) = X'FEFF' THEN decode(substring(b, 3), 'UTF-16BE') WHEN substring(b, 1, 2) = X'FFFE' THEN decode(substring(b, 3), 'UTF-16LE')
+      WHEN substring(b, 1, 3) = X'EFBBBF' THEN decode(substring(b, 4), 'UTF-8') ELSE translate(decode(b, 'ISO-8859-1'), {given}, {to}) END"""
+
+
 def register(spark: SparkSession) -> None:
+    """The table functions take a password after their other arguments; pdf_features also whether compat holds."""
     from vellum.plans.tables import _ROWS, SCHEMAS
 
     @F.udtf(returnType="seq int, kind string, text string, start bigint, end bigint")
@@ -22,10 +33,10 @@ def register(spark: SparkSession) -> None:
         rows = _ROWS[name]
 
         class Rows:
-            def eval(self, content: bytes):
+            def eval(self, content: bytes, password: str = None):
                 from vellum.core.document import Document
 
-                yield from rows(Document(content or b""))
+                yield from rows(Document(content or b"", password))
 
         return F.udtf(Rows, returnType=SCHEMAS[name])
 
@@ -34,21 +45,13 @@ def register(spark: SparkSession) -> None:
 
     @F.udtf(returnType=SCHEMAS["features"])
     class Features:
-        def eval(self, content: bytes, mask: int):
+        def eval(self, content: bytes, mask: int, password: str = None, compat: bool = False):
             from vellum.core.document import Document
 
-            yield from _ROWS["features"](Document(content or b""), mask=mask)
+            yield from _ROWS["features"](Document(content or b"", password), mask=mask, compat=bool(compat))
 
     spark.udtf.register("pdf_features", Features)
 
-    @F.pandas_udf("string")
-    def text(b):
-        import pandas as pd
-
-        from vellum.core.text import pdf_text
-
-        return pd.Series([None if x is None else pdf_text(x) for x in b])
-
     @F.pandas_udf("array<double>")
     def function_eval(program, domain, rng, inputs):
         import pandas as pd
@@ -77,6 +80,6 @@ def register(spark: SparkSession) -> None:
                 out.append(None)
         return pd.Series(out)
 
-    spark.udf.register("pdf_text", text)
+    spark.sql(pdf_text_sql())
     spark.udf.register("pdf_function_eval", function_eval)
     spark.udf.register("pdf_decode_stream", decode_stream)

@@ -362,39 +362,38 @@ def path_legality(spark, sf_dir):
 
 
 def _tree(spark, sf_dir):
-    """One file: regions as inner nodes, nations as pages."""
-    n = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
-    rows = n.groupBy(F.lit(0).cast("long").alias("k")).agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "n_nationkey", "n_name"))).alias("items"))  # a region table's worth of rows
+    """A file for each nation: market segments as inner nodes, customers as pages."""
+    rows = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.array_sort(F.collect_list(F.struct("c_mktsegment", "c_custkey", "c_name"))).alias("items"))
 
     def make(r):
         w, kids = synth.Writer(), {}
         for x in r["items"]:
-            kids.setdefault(x["r_regionkey"], []).append(x)
+            kids.setdefault(x["c_mktsegment"], []).append(x)
         w.add(b"<< /Type /Catalog /Pages 2 0 R >>", 1)
-        w.add(b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (100 + k) for k in sorted(kids)), len(r["items"])), 2)
-        for k, own in kids.items():
-            w.add(b"<< /Type /Pages /Parent 2 0 R /MediaBox [0 0 %d 50] /Kids [%s] /Count %d >>" % (10 + k, b" ".join(b"%d 0 R" % (200 + x["n_nationkey"]) for x in own), len(own)), 100 + k)
+        w.add(b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (101 + k) for k in range(len(kids))), len(r["items"])), 2)
+        for k, own in enumerate(kids.values(), 101):
+            w.add(b"<< /Type /Pages /Parent 2 0 R /MediaBox [0 0 %d 50] /Kids [%s] /Count %d >>" % (k, b" ".join(b"%d 0 R" % (200 + x["c_custkey"]) for x in own), len(own)), k)
             for x in own:
-                w.add(b"<< /Type /Page /Parent %d 0 R /PieceInfo (%s) >>" % (100 + k, x["n_name"].encode()), 200 + x["n_nationkey"])
+                w.add(b"<< /Type /Page /Parent %d 0 R /PieceInfo (%s) >>" % (k, x["c_name"].encode()), 200 + x["c_custkey"])
         return w.finish()
 
     return Engine(write_pdfs(rows, "k", make))
 
 
-TREE_SQL = "SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS INTEGER) AS page_index, (200 + n_nationkey)::BIGINT AS num{} FROM nation"
+TREE_SQL = "SELECT c_nationkey::BIGINT AS doc_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) - 1 AS INTEGER) AS page_index, (200 + c_custkey)::BIGINT AS num{} FROM customer"
 
 
-@query(TREE_SQL.format(", (10 + n_regionkey)::DOUBLE AS width"))
+@query(TREE_SQL.format(", (100 + dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment))::DOUBLE AS width"))
 def page_tree(spark, sf_dir):
     p = _tree(spark, sf_dir).table("pages")
-    return p.select("page_index", "num", G.page_rect(F.col("crop"), F.col("media"), F.col("above"))["width"].alias("width"))
+    return p.select("doc_id", "page_index", "num", G.page_rect(F.col("crop"), F.col("media"), F.col("above"))["width"].alias("width"))
 
 
 @query(TREE_SQL.format(""))
 def page_tree_recursive(spark, sf_dir):
     from vellum.operators.page_tree import flatten
 
-    return flatten(spark, _tree(spark, sf_dir).table("object_nodes")).select("page_index", "num")
+    return flatten(spark, _tree(spark, sf_dir).table("object_nodes")).select("doc_id", "page_index", "num")
 
 
 @query("""SELECT p_partkey AS doc_id, (CASE WHEN p_partkey % 4 = 3 THEN 612 WHEN p_partkey % 4 = 2 THEN p_size WHEN p_partkey % 4 = 1 THEN 100 ELSE least(p_size + 30, 100) - p_size END)::DOUBLE AS width,
@@ -479,7 +478,7 @@ def recovery_scan(spark, sf_dir):
     return all_.select("doc_id", F.col("features")[0]["text"]["text"].alias("name"), F.col("object_nodes")[0]["i"].alias("value"), F.col("headers")[0]["recovered"].alias("recovered"), size.alias("size"))
 
 
-@query("SELECT c_custkey AS doc_id, num::BIGINT AS num, CASE num WHEN 7 THEN c_custkey * 2 WHEN 6 THEN c_custkey END::BIGINT AS value FROM customer, (VALUES (1), (2), (3), (4), (5), (6), (7)) v(num)")
+@query("SELECT c_custkey AS doc_id, num::BIGINT AS num, CASE num WHEN 7 THEN c_custkey * 2 WHEN 6 THEN c_custkey ELSE 0 END::BIGINT AS value FROM customer, (VALUES (1), (2), (3), (4), (5), (6), (7)) v(num)")
 def recovery_chunks(spark, sf_dir):
     """Files without a table in chunks of a kilobyte that cut headers: the last of each object, but none of those in streams."""
     from vellum.operators.scan import chunks, markers, recovered
@@ -492,7 +491,7 @@ def recovery_chunks(spark, sf_dir):
     docs = cut(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make), "files")
     found = recovered(markers(chunks(docs, 1024)))
     near = F.decode(F.substring(F.col("content"), F.col("offset").cast("int") + 1, F.lit(40)), "ISO-8859-1")
-    value = F.when(F.col("num") >= 6, F.regexp_extract(near, r"obj\s+(\d+)", 1)).cast("long")
+    value = F.when(F.col("num") >= 6, F.regexp_extract(near, r"obj\s+(\d+)", 1)).otherwise("0").cast("long")
     return found.join(docs, "doc_id").select("doc_id", "num", value.alias("value"))
 
 
@@ -798,20 +797,19 @@ def token_dump(spark, sf_dir):
     return spark.sql("SELECT doc_id, t.* FROM vellum_token_docs, LATERAL pdf_tokens(content) t")
 
 
-@query("""WITH r AS (SELECT DISTINCT n_regionkey AS k FROM nation), n AS (SELECT * FROM nation),
-own AS (SELECT k, n_nationkey AS c, row_number() OVER (PARTITION BY k ORDER BY n_nationkey) - 1 AS i FROM r JOIN n ON n_regionkey = k),
-top AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM r),
-box AS (SELECT k, unnest([0, 1, 2, 3]) AS i FROM r),
+@query("""WITH n AS (SELECT c_nationkey AS d, c_custkey AS c, c_name, 100 + dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS k FROM customer),
+own AS (SELECT d, k, c, row_number() OVER (PARTITION BY d, k ORDER BY c) - 1 AS i FROM n), r AS (SELECT DISTINCT d, k FROM n), f AS (SELECT DISTINCT d FROM n),
+box AS (SELECT d, k, unnest([0, 1, 2, 3]) AS i FROM r),
 listed AS (
-SELECT 1 AS num, 0 AS a, 0 AS b, 0 AS depth, '' AS key, 'dictionary' AS kind, '2 entries' AS shown UNION ALL SELECT 1, 1, 0, 1, 'Pages', 'reference', '2 0 R' UNION ALL SELECT 1, 2, 0, 1, 'Type', 'name', 'Catalog'
-UNION ALL SELECT 2, 0, 0, 0, '', 'dictionary', '3 entries' UNION ALL SELECT 2, 1, 0, 1, 'Count', 'integer', '' || (SELECT count(*) FROM n) UNION ALL SELECT 2, 2, 0, 1, 'Kids', 'array', (SELECT count(*) FROM r) || ' items'
-UNION ALL SELECT 2, 3, i, 2, '' || i, 'reference', (100 + k) || ' 0 R' FROM top UNION ALL SELECT 2, 4, 0, 1, 'Type', 'name', 'Pages'
-UNION ALL SELECT 100 + k, 0, 0, 0, '', 'dictionary', '5 entries' FROM r UNION ALL SELECT 100 + k, 1, 0, 1, 'Count', 'integer', '' || count(*) FROM own GROUP BY k UNION ALL SELECT 100 + k, 2, 0, 1, 'Kids', 'array', count(*) || ' items' FROM own GROUP BY k
-UNION ALL SELECT 100 + k, 3, i, 2, '' || i, 'reference', (200 + c) || ' 0 R' FROM own UNION ALL SELECT 100 + k, 4, 0, 1, 'MediaBox', 'array', '4 items' FROM r
-UNION ALL SELECT 100 + k, 5, i, 2, '' || i, 'integer', '' || [0, 0, 10 + k, 50][i + 1] FROM box UNION ALL SELECT 100 + k, 6, 0, 1, 'Parent', 'reference', '2 0 R' FROM r UNION ALL SELECT 100 + k, 7, 0, 1, 'Type', 'name', 'Pages' FROM r
-UNION ALL SELECT 200 + n_nationkey, 0, 0, 0, '', 'dictionary', '3 entries' FROM n UNION ALL SELECT 200 + n_nationkey, 1, 0, 1, 'Parent', 'reference', (100 + n_regionkey) || ' 0 R' FROM n
-UNION ALL SELECT 200 + n_nationkey, 2, 0, 1, 'PieceInfo', 'string', lower(hex(encode(n_name))) FROM n UNION ALL SELECT 200 + n_nationkey, 3, 0, 1, 'Type', 'name', 'Page' FROM n)
-SELECT 0::BIGINT AS doc_id, num::BIGINT AS num, 0::BIGINT AS gen, CAST(row_number() OVER (PARTITION BY num ORDER BY a, b) - 1 AS INTEGER) AS row, CAST(depth AS INTEGER) AS depth, key, kind, shown FROM listed""")
+SELECT d, 1 AS num, 0 AS a, 0 AS b, 0 AS depth, '' AS key, 'dictionary' AS kind, '2 entries' AS shown FROM f UNION ALL SELECT d, 1, 1, 0, 1, 'Pages', 'reference', '2 0 R' FROM f UNION ALL SELECT d, 1, 2, 0, 1, 'Type', 'name', 'Catalog' FROM f
+UNION ALL SELECT d, 2, 0, 0, 0, '', 'dictionary', '3 entries' FROM f UNION ALL SELECT d, 2, 1, 0, 1, 'Count', 'integer', '' || count(*) FROM n GROUP BY d UNION ALL SELECT d, 2, 2, 0, 1, 'Kids', 'array', count(*) || ' items' FROM r GROUP BY d
+UNION ALL SELECT d, 2, 3, k - 101, 2, '' || (k - 101), 'reference', k || ' 0 R' FROM r UNION ALL SELECT d, 2, 4, 0, 1, 'Type', 'name', 'Pages' FROM f
+UNION ALL SELECT d, k, 0, 0, 0, '', 'dictionary', '5 entries' FROM r UNION ALL SELECT d, k, 1, 0, 1, 'Count', 'integer', '' || count(*) FROM own GROUP BY d, k UNION ALL SELECT d, k, 2, 0, 1, 'Kids', 'array', count(*) || ' items' FROM own GROUP BY d, k
+UNION ALL SELECT d, k, 3, i, 2, '' || i, 'reference', (200 + c) || ' 0 R' FROM own UNION ALL SELECT d, k, 4, 0, 1, 'MediaBox', 'array', '4 items' FROM r
+UNION ALL SELECT d, k, 5, i, 2, '' || i, 'integer', '' || [0, 0, k, 50][i + 1] FROM box UNION ALL SELECT d, k, 6, 0, 1, 'Parent', 'reference', '2 0 R' FROM r UNION ALL SELECT d, k, 7, 0, 1, 'Type', 'name', 'Pages' FROM r
+UNION ALL SELECT d, 200 + c, 0, 0, 0, '', 'dictionary', '3 entries' FROM n UNION ALL SELECT d, 200 + c, 1, 0, 1, 'Parent', 'reference', k || ' 0 R' FROM n
+UNION ALL SELECT d, 200 + c, 2, 0, 1, 'PieceInfo', 'string', lower(hex(encode(c_name))) FROM n UNION ALL SELECT d, 200 + c, 3, 0, 1, 'Type', 'name', 'Page' FROM n)
+SELECT d::BIGINT AS doc_id, num::BIGINT AS num, 0::BIGINT AS gen, CAST(row_number() OVER (PARTITION BY d, num ORDER BY a, b) - 1 AS INTEGER) AS row, CAST(depth AS INTEGER) AS depth, key, kind, shown FROM listed""")
 def object_display_rows(spark, sf_dir):
     return _tree(spark, sf_dir).table("object_rows")
 

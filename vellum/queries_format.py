@@ -514,19 +514,19 @@ def encrypted_strings(spark, sf_dir):
     return n.groupBy("doc_id").agg(of(5).alias("sealed"), of(6).alias("plain"))
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS doc_id, r_name AS text FROM region")
+@query("SELECT c_custkey AS doc_id, c_name AS text FROM customer")
 def aes_256_text(spark, sf_dir):
     """Revision 6: the key of the file comes out of the password by the hardened hash."""
     key = bytes(range(32))
     trailer = synth.aes_256("pässword".encode(), key)
-    sealed = F.aes_encrypt(F.concat(F.lit(b"BT /F1 12 Tf ("), F.encode(F.col("r_name"), "UTF-8"), F.lit(b") Tj ET")), F.lit(key), F.lit("CBC"), F.lit("PKCS"))
+    sealed = F.aes_encrypt(F.concat(F.lit(b"BT /F1 12 Tf ("), F.encode(F.col("c_name"), "UTF-8"), F.lit(b") Tj ET")), F.lit(key), F.lit("CBC"), F.lit("PKCS"))
 
     def make(r):
         w = synth.one_page(b"")
         w.objects[4] = synth.stream(r["sealed"])
         return w.finish(trailer=trailer)
 
-    docs = write_pdfs(dealt(read(spark, sf_dir, "region").select("r_regionkey", sealed.alias("sealed"))), "r_regionkey", make)
+    docs = write_pdfs(dealt(read(spark, sf_dir, "customer").select("c_custkey", sealed.alias("sealed"))), "c_custkey", make)
     return Engine(docs, password="pässword").features(("text",)).select("doc_id", F.col("text.text").alias("text"))
 
 
@@ -591,9 +591,12 @@ def rect_union(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), both["width"].alias("width"), both["height"].alias("height"))
 
 
-@query(f"SELECT encoding, CAST(code AS INTEGER) AS code, glyph FROM {_values(GLYPHS)} v(encoding, code, glyph)")
+@query(f"SELECT p_partkey AS k, encoding, CAST(code AS INTEGER) AS code, glyph FROM part JOIN {_values([(i, *g) for i, g in enumerate(GLYPHS)])} v(i, encoding, code, glyph) ON i = p_partkey % {len(GLYPHS)}")
 def base_encoding_glyphs(spark, sf_dir):
+    """Codes that the rows of a table choose, in the encoding that they choose."""
     from vellum.operators.text import base_encodings
 
-    asked = spark.createDataFrame([(e, c) for e, c, _ in GLYPHS], "encoding string, code int")
-    return base_encodings(spark).join(asked, ["encoding", "code"])
+    nth = (F.col("p_partkey") % len(GLYPHS)).cast("int")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), nth)
+    asked = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), pick([e for e, _, _ in GLYPHS]).alias("encoding"), pick([c for _, c, _ in GLYPHS]).alias("code"))
+    return asked.join(F.broadcast(base_encodings(spark)), ["encoding", "code"]).select("k", "encoding", "code", "glyph")
