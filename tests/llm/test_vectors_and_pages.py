@@ -240,7 +240,7 @@ def test_consensus_of_a_host(spark, scratch):
 def test_fixed_rules(spark, scratch):
     urls = ["https://a.COM/en/1", "http://x.example.com/en/71?q", "http://example.com/en/81", "http://b.net/de/", "http://w.example.net/de/8", "http://notnet/de/", "http://q.org/es/#x", None, "no scheme", "http://c.com", "http://mynet.de/x://y/de/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
-    got = [tuple(r) for r in url_rules.judge(pages, url_rules.mine(spark.createDataFrame([], "url string, bad boolean")), URL_RULES).orderBy("page_id").select("host", "path", "rule", "verdict").collect()]
+    got = [tuple(r) for r in url_rules.judge(scratch, pages, url_rules.mine(scratch, spark.createDataFrame([], "url string, bad boolean")), URL_RULES).orderBy("page_id").select("host", "path", "rule", "verdict").collect()]
     assert got == [
         ("a.com", "/en/1", "com/en/", "block"),
         ("x.example.com", "/en/71", "example.com/en/7", "allow"),
@@ -262,14 +262,14 @@ def labelled_urls():
     return [*rows, *rows[:3], (None, True), ("http://x", None), ("no scheme", False)]
 
 
-def test_mined_rules(spark):
-    rules = url_rules.mine(spark.createDataFrame(labelled_urls(), "url string, bad boolean"))
+def test_mined_rules(spark, scratch):
+    rules = url_rules.mine(scratch, spark.createDataFrame(labelled_urls(), "url string, bad boolean"))
     found = {tuple(r["tokens"]): r["confidence"] for r in rules.collect()}
     assert ("w:spam0",) in found and all(c > 0.3 for c in found.values()) and not any("ok" in t for k in found for t in k)
     assert all(r["tok"] in r["tokens"] for r in rules.collect())
     pages = spark.createDataFrame([(0, "http://shop.spam0.example/new"), (1, "http://ok77.example/read/3"), (1, "http://ok77.example/read/3"), (2, None)], "page_id long, url string").withColumn("_t", F.lit("own"))
-    assert [r["verdict"] for r in url_rules.judge(pages, rules, []).orderBy("page_id").collect()] == ["block", "allow", "allow", "allow"]
-    assert url_rules.judge(pages.limit(0), rules, []).count() == 0
+    assert [r["verdict"] for r in url_rules.judge(scratch, pages, rules, []).orderBy("page_id").collect()] == ["block", "allow", "allow", "allow"]
+    assert url_rules.judge(scratch, pages.limit(0), rules, []).count() == 0
 
 
 def tokens(spark, urls):
@@ -277,7 +277,7 @@ def tokens(spark, urls):
     return [set(r[0]) for r in df.select(url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url")))).collect()]
 
 
-def test_rules_against_a_count(spark):
+def test_rules_against_a_count(spark, scratch):
     """Every rule by brute force: combinations of the pages' tokens, counted on the mined and the held-out pages."""
     from itertools import combinations
     from math import sqrt
@@ -308,14 +308,14 @@ def test_rules_against_a_count(spark):
             if p >= 1.5 * base and low > base and hb > base * hm:
                 good[c] = p
     want = {c for c, p in good.items() if not any(set(o) < set(c) and q >= p for o, q in good.items())}
-    got = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), min_support=0.0)
+    got = url_rules.mine(scratch, spark.createDataFrame(rows, "url string, bad boolean"), min_support=0.0)
     assert {tuple(r["tokens"]) for r in got.collect()} == want and want
 
 
-def test_long_paths_that_repeat_are_mined_at_once(spark):
+def test_long_paths_that_repeat_are_mined_at_once(spark, scratch):
     long = "/".join(f"part{chr(97 + i)}" for i in range(24))
     rows = [(f"http://h.example/{long}/x{i}y", True) for i in range(40)] + [(f"http://g.example/other/{i}", False) for i in range(80)]
-    rules = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    rules = url_rules.mine(scratch, spark.createDataFrame(rows, "url string, bad boolean")).collect()
     assert 1 <= len(rules) <= 3 and all(r["confidence"] == 1 and len(r["tokens"]) == 1 for r in rules)
 
 

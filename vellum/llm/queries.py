@@ -81,7 +81,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})(?:/|\.html)?$", 1)
     numbered = pages.withColumn("doc_id", F.when(number != "", number).cast("long"))
     labelled = numbered.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return judge(pages, mine(labelled), URL_RULES)
+    scratch = Scratch(spark)
+    return judge(scratch, pages, mine(scratch, labelled), URL_RULES)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

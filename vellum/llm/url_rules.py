@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup
+from .common import Scratch, lookup
 
 
 def host_of(url: Column) -> Column:
@@ -65,14 +65,15 @@ def _hits(sets: DataFrame, index: DataFrame) -> DataFrame:
     return lookup(asked, index, ["tok"], F.xxhash64("_t")).where(F.size(F.array_except("tokens", "_t")) == 0)
 
 
-def mine(labelled: DataFrame, min_count: int = 5, min_lift: float = 1.5, sure: float = 1.64, most: int = 3, min_support: float = 1e-4) -> DataFrame:
+def mine(scratch: Scratch, labelled: DataFrame, min_count: int = 5, min_lift: float = 1.5, sure: float = 1.64, most: int = 3, min_support: float = 1e-4) -> DataFrame:
     """(tok, tokens, confidence, n) from labelled(url, bad boolean): combinations of up to ``most`` tokens that mean bad."""
     url = F.col("url").cast("string")
     rows = labelled.where("url is not null and bad is not null").select("url", tokens_of(host_of(url), path_of(url)).alias("_t"), "bad", (F.pmod(F.xxhash64(url), F.lit(4)) == 0).alias("held"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     bad, held = F.col("bad"), F.col("held")
     sums = {"n": count(~held), "b": count(~held & bad), "hn": count(held), "hb": count(held & bad)}
-    sets = rows.groupBy("_t").agg(*[v.alias(k) for k, v in sums.items()])
+    rows = scratch.write(rows, "labelled")
+    sets = scratch.write(rows.groupBy("_t").agg(*[v.alias(k) for k, v in sums.items()]), "sets")
     n, b = sets.agg(F.sum("n"), F.sum("b")).first()
     base = b / n if n else 0.0
     # Tokens that stand in the same pages make the same rules: one of them stands for all, or a long path that repeats would
@@ -81,20 +82,21 @@ def mine(labelled: DataFrame, min_count: int = 5, min_lift: float = 1.5, sure: f
     share = each.groupBy("tok").agg(F.sum("n").alias("pages"), F.sum("all").alias("all"), F.sum("h").alias("h"))
     first = share.groupBy("all", "h").agg(F.max("tok").alias("tok")).select("tok")
     kept = sets.where("b > 0").select("_t", F.explode("_t").alias("tok")).join(first, "tok", "left_semi").groupBy("_t").agg(F.collect_set("tok").alias("t"))
-    mined = lookup(rows.where(bad & ~held).select("_t", url.alias("_u")), kept, ["_t"], F.xxhash64("_u"))
-    found = frequent(mined.select("t"), min_count, min_support, most).select("tokens")
+    mined = lookup(rows.where(bad & ~held).select("_t", url.alias("_u")), scratch.write(kept, "kept"), ["_t"], F.xxhash64("_u"))
+    found = frequent(scratch.write(mined.select("t"), "mined"), min_count, min_support, most).select("tokens")
     # Filed under the token that the fewest pages hold.
     filed = found.withColumn("tok", F.explode("tokens")).join(share, "tok").groupBy("tokens").agg(F.min(F.struct("pages", "tok"))["tok"].alias("tok"))
+    filed = scratch.write(filed, "filed")
     counted = _hits(sets, filed).groupBy("tok", "tokens").agg(*[F.sum(k).alias(k) for k in sums])
     p, z = F.col("b") / F.col("n"), float(sure)
     low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
     rules = counted.where((F.col("b") >= min_count) & (p >= min_lift * base) & (low > base) & (F.col("hb") > base * F.col("hn")))
-    rules = rules.select("tok", "tokens", p.alias("confidence"), "n")
+    rules = scratch.write(rules.select("tok", "tokens", p.alias("confidence"), "n"), "rules")
     # A rule goes if a part of it is a rule that is as sure: it would add nothing.
     parts = rules.select("tokens", "confidence", F.explode("tokens").alias("t"))
     other = rules.select(F.col("tokens").alias("o"), F.col("confidence").alias("oc"), F.explode("tokens").alias("t"))
     idle = parts.join(other, "t").where("size(o) < size(tokens) and size(array_except(o, tokens)) = 0 and oc >= confidence").select("tokens").distinct()
-    return rules.join(idle, "tokens", "left_anti").select("tok", "tokens", "confidence", "n")
+    return scratch.write(rules.join(idle, "tokens", "left_anti").select("tok", "tokens", "confidence", "n"), "surest")
 
 
 def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -106,7 +108,7 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return out
 
 
-def judge(pages: DataFrame, mined: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(scratch: Scratch, pages: DataFrame, mined: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, mined): mined is the surest mined rule that fits, else null."""
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
@@ -116,6 +118,7 @@ def judge(pages: DataFrame, mined: DataFrame, rules: list[tuple[str, str, str]],
     done, asked = base.where(~open_), base.where(open_).withColumn("_t", tokens_of(F.col("host"), F.col("path")))
     # Distinct token sets meet the index once; a host with a third of the pages is one row in the aggregate's partial step.
     best = _hits(asked.select("_t").distinct(), mined).groupBy("_t").agg(F.max(F.struct("confidence", "tokens"))["tokens"].alias("_best"))
+    best = scratch.write(best, "best")
     found = lookup(asked, best, ["_t"], F.xxhash64("path"), "left")
     block = F.when(F.col("_best").isNotNull(), "block").otherwise("allow")
     none = F.lit(None).cast("string")
