@@ -273,3 +273,44 @@ def test_paths_like_the_reader(spark):
     number = lambda rows: {k: [(v, [t if t in "mlch" else float(t) for t in p]) for v, p in own] for k, own in rows.items()}
     assert number(got) == number(want)
     assert painted(e.table("operators").limit(0)).collect() == []
+
+
+# ---- where glyphs stand --------------------------------------------------------------------------------------------
+
+
+def text_content(rng):
+    n = lambda lo=-3, hi=9: b"%d" % rng.randint(lo, hi)
+    word = lambda: b"(" + b"".join(rng.choice([b"A", b"b", b" ", b"z"]) for _ in range(rng.randint(1, 5))) + b")"
+    sets = [lambda: n() + b" Tc", lambda: n() + b" Tw", lambda: n(20, 150) + b" Tz", lambda: n() + b" TL", lambda: n() + b" Ts", lambda: rng.choice([b"/F1 ", b"/F2 "]) + n(1, 20) + b" Tf"]
+    moves = [lambda: n() + b" " + n() + b" Td", lambda: n() + b" " + n() + b" TD", lambda: b"2 0 1 1 " + n() + b" " + n() + b" Tm", lambda: b"T*"]
+    shows = [lambda: word() + b" Tj", lambda: b"[" + word() + b" -200 " + word() + b" 50 30 " + word() + b"] TJ", lambda: word() + b" '", lambda: n() + b" " + n() + b" " + word() + b' "']
+    out = [b"/F1 10 Tf"]
+    for _ in range(4):
+        out.append(rng.choice([b"q", b"q 2 0 0 1 3 4 cm", b"Q", b"1 0 0 3 0 0 cm", b"q 5 Tc", b"Q"]))
+        out.append(rng.choice(sets)())
+        if out[-2] == b"Q":
+            out.append(b"/F2 7 Tf")
+        out += [b"BT", *[rng.choice(rng.choice([sets, moves, shows, shows]))() for _ in range(7)], b"ET"]
+    return b" ".join(out)
+
+
+def test_glyphs_by_windows(spark):
+    from vellum import synth
+    from vellum.operators.measure import glyphs, origins, runs
+    from vellum.plans.cut import cut
+    from vellum.plans.tables import Engine
+
+    rng = random.Random(14)
+    second = synth.FONT.replace(b"/Helvetica", b"/Other").replace(b"500 ", b"310 ")
+    docs = [(i, bytearray(synth.one_page(text_content(rng), b"/Font << /F1 5 0 R /F2 6 0 R >>", extra={5: synth.FONT, 6: second}).finish())) for i in range(30)]
+    e = Engine(spark.createDataFrame(docs, "doc_id long, content binary"))
+    found = cut(glyphs(e), "test")
+    order = lambda df, *by: [tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in df.orderBy("doc_id", *by).collect()]
+    want = order(e.table("glyph_runs").select("doc_id", "font_num", "code", "x", "y", "advance", "seq", "pos"), "seq", "pos")
+    got = order(origins(found).select("doc_id", "font_num", "code", "x", "y", "advance", "seq", "pos"), "seq", "pos")
+    assert len(want) > 500 and [r[:6] for r in got] == [r[:6] for r in want]
+    want = order(e.features(("text",)).select("doc_id", "bounds.x", "bounds.y", "bounds.width", "bounds.height", "text.text", "seq"), "seq")
+    boxes = runs(found, e.table("fonts"))
+    got = order(boxes.select("doc_id", "bounds.x", "bounds.y", "bounds.width", "bounds.height", F.decode("bytes", "ISO-8859-1"), "seq"), "seq")
+    assert [r[:6] for r in got] == [r[:6] for r in want]
+    assert glyphs(Engine(spark.createDataFrame([], "doc_id long, content binary"))).collect() == []

@@ -17,13 +17,12 @@ def of_numbers(nums: Column) -> Column:
     return F.struct(*[F.get(nums, F.lit(i)).alias(n) for i, n in enumerate(("a", "b", "c", "d", "tx", "ty"))]).cast(MATRIX)
 
 
-def matrices(ops: DataFrame, key: list[str]) -> DataFrame:
-    """ops (key, seq, op, nums, ...) other than q, Q and cm, with m: the matrix in force at each, from that of the stream's start.
+def framed(ops: DataFrame, key: list[str]) -> DataFrame:
+    """ops (key, seq, op, ...) without Q, with _frame: the q (its seq) that each lies in, or a number below zero.
 
     The depth after each operator is a running sum of q less Q, lifted where a Q has nothing to close: such a Q goes back to
-    the start. The frame of an operator at depth k is the last q that led to depth k, found by a window for each depth. What
-    holds at an operator is the last cm before it in its frame, else the q that opened the frame; so every cm and every q has
-    one that it goes on from, and the products along those chains take as many rounds as the longest has binary digits.
+    the start, so frames without a q are told apart by the number of those. The frame of an operator at depth k is the last
+    q that led to depth k, found by a window for each depth; a q itself lies in the frame around it.
     """
     by = Window.partitionBy(*key).orderBy("seq")
     run = F.sum(F.when(F.col("op") == "q", 1).when(F.col("op") == "Q", -1).otherwise(0)).over(by)
@@ -36,10 +35,18 @@ def matrices(ops: DataFrame, key: list[str]) -> DataFrame:
     opens = rows.where("op = 'q'").withColumn("_depth", F.col("_after")).withColumn("_opens", F.col("seq"))
     in_depth = Window.partitionBy(*key, "_depth").orderBy("seq")
     frame = F.when(F.col("_depth") == 0, -1 - F.col("_stray")).otherwise(F.last("_opens", ignorenulls=True).over(in_depth))
-    lies = lies.unionByName(opens).withColumn("_frame", frame).where("_opens is null")
+    return lies.unionByName(opens).withColumn("_frame", frame).where("_opens is null").drop("_s", "_stray", "_after", "_depth", "_opens")
+
+
+def matrices(ops: DataFrame, key: list[str]) -> DataFrame:
+    """ops (key, seq, op, nums, ...) other than q, Q and cm, with m: the matrix in force at each, from that of the stream's start.
+
+    What holds at an operator is the last cm before it in its frame, else the q that opened the frame; so every cm and every
+    q has one that it goes on from, and the products along those chains take as many rounds as the longest has binary digits.
+    """
     before = Window.partitionBy(*key, "_frame").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.last(F.when(F.col("op") == "cm", F.col("seq")), ignorenulls=True).over(before), F.when(F.col("_frame") >= 0, F.col("_frame")))
-    placed = cut(lies.withColumn("_up", base).drop("_s", "_stray", "_after", "_depth", "_opens", "_frame"), "state")
+    placed = cut(framed(ops, key).withColumn("_up", base).drop("_frame"), "state")
     own = F.when(F.col("op") == "cm", of_numbers(F.col("nums"))).otherwise(identity())
     nodes = placed.where("op in ('cm', 'q')").select(*key, F.col("seq").alias("_at"), own.alias("_m"), "_up")
     nodes = cut(nodes, "state")

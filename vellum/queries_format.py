@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vellum import synth
 from vellum.functions import geometry as G
+from vellum.plans.cut import cut
 from vellum.plans.tables import Engine
 from vellum.queries import F1, FONT, IM, IMAGE, _function, dealt, num, query, read, write_pdfs
 
@@ -112,16 +113,24 @@ WIDTHS_SQL = "list_sum([400 + 10 * (ascii(substr({0}, CAST(i AS BIGINT), 1)) % 1
 def text_spacing(spark, sf_dir):
     """Character spacing for each code, word spacing for the blank, then the horizontal scale."""
     make = lambda k, name: synth.one_page(b"BT /F1 12 Tf 1.5 Tc 3 Tw 50 Tz 100 500 Td %s Tj ET" % synth.literal(name.encode() + b" z"), F1, extra=FONT).finish()
-    f = _suppliers(spark, sf_dir, make).features(("text",))
-    return f.select("doc_id", F.col("text.text").alias("text"), F.round("bounds.width", 6).alias("width"), F.round("bounds.y", 6).alias("y"))
+    f = _measured(_suppliers(spark, sf_dir, make))
+    return f.select("doc_id", "text", F.round("bounds.width", 6).alias("width"), F.round("bounds.y", 6).alias("y"))
+
+
+def _measured(e: Engine) -> DataFrame:
+    """Text operators with their texts and boxes, by windows over the glyphs; the files are written once."""
+    from vellum.functions.text import pdf_text
+    from vellum.operators.measure import glyphs, runs
+
+    e = Engine(cut(e.docs, "files"))
+    return runs(glyphs(e), e.table("fonts", columns=("num", "gen", "up", "down"))).withColumn("text", pdf_text(F.col("bytes")))
 
 
 @query(f"""SELECT s_suppkey AS doc_id, s_name || 'xy' AS text, 50.0::DOUBLE AS x, round(10 * ({WIDTHS_SQL.format("s_name")} + 0.25 + {WIDTHS_SQL.format("'xy'")}), 6)::DOUBLE AS width FROM supplier""")
 def tj_bounds(spark, sf_dir):
     """The parts of a TJ are one run, which reaches from the first to the last."""
     make = lambda k, name: synth.one_page(b"BT /F1 10 Tf 50 60 Td [%s -250 (xy)] TJ ET" % synth.literal(name.encode()), F1, extra=FONT).finish()
-    f = _suppliers(spark, sf_dir, make).features(("text",))
-    return f.select("doc_id", F.col("text.text").alias("text"), "bounds.x", F.round("bounds.width", 6).alias("width"))
+    return _measured(_suppliers(spark, sf_dir, make)).select("doc_id", "text", "bounds.x", F.round("bounds.width", 6).alias("width"))
 
 
 @query("SELECT s_suppkey AS doc_id, s_name AS text, CAST(s_suppkey % 8 AS VARCHAR) AS mode FROM supplier")
@@ -203,8 +212,14 @@ def glyph_runs_simple(spark, sf_dir):
     """Names by differences and base encoding; origins with rise and character spacing."""
     font = {5: synth.FONT.replace(b"/Encoding /WinAnsiEncoding", b"/Encoding << /BaseEncoding /WinAnsiEncoding /Differences [83 /big] >>")}
     make = lambda k, name: synth.one_page(b"BT /F1 12 Tf 2 Tc 3 Ts 100 500 Td %s Tj ET" % synth.literal(name.encode()), F1, extra=font).finish()
-    g = _suppliers(spark, sf_dir, make).table("glyph_runs", columns=("pos", "code", "glyph", "x", "y")).where("code in (83, 35, 117)")
-    return g.withColumns({c: F.round(c, 6) for c in ("x", "y")})
+    from vellum.operators.measure import glyphs, origins
+    from vellum.operators.text import base_encodings, glyph_names
+
+    e = Engine(cut(_suppliers(spark, sf_dir, make).docs, "files"))
+    fonts = e.table("fonts", columns=("num", "gen", "encoding"))
+    g = origins(glyphs(e)).where("code in (83, 35, 117)").select("doc_id", F.col("font_num").alias("num"), F.col("font_gen").alias("gen"), "pos", "code", "x", "y").join(fonts, ["doc_id", "num", "gen"])
+    g = glyph_names(g, e.table("font_differences"), base_encodings(spark))
+    return g.select("doc_id", "pos", F.col("code").cast("long").alias("code"), "glyph", *[F.round(c, 6).alias(c) for c in ("x", "y")])
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(i AS INTEGER) AS pos, (i + 1)::BIGINT AS code, (n_nationkey + 3 * i)::BIGINT AS gid, (20 + 10 * CASE i WHEN 0 THEN 0 WHEN 1 THEN 0.25 ELSE 0.75 END)::DOUBLE AS x FROM nation, range(3) v(i)")
