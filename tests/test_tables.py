@@ -173,3 +173,15 @@ def test_decryption_of_many_blocks():
         plain = bytes(i * 7 % 256 for i in range(16 * 50))
         assert aes_cbc_decrypt(key, synth.rijndael_cbc(key, bytes(16), plain), iv=bytes(16), unpad=False) == plain
         assert aes_cbc_decrypt(key, bytes(16), unpad=False) == b""
+
+
+def test_texts_without_boxes(spark):
+    """Text that is not measured is the text that is, empty runs and all."""
+    from vellum import synth
+    from vellum.plans.tables import Engine
+
+    body = b"BT (no font) Tj /F1 12 Tf (a) Tj [(b) -20 () (c)] TJ () Tj [] TJ [5] TJ [()] TJ (d) ' 1 2 (e) \" /F9 3 Tf (f) Tj () Tj ET"
+    font = synth.FONT.replace(b"[400", b"[0")
+    e = Engine(spark.createDataFrame([(1, bytearray(synth.one_page(body, b"/Font << /F1 5 0 R >>", extra={5: font}).finish()))], "doc_id long, content binary"))
+    want = [(r["seq"], r["text"]) for r in e.features(("text",)).orderBy("seq").collect()]
+    assert [(r["seq"], r["text"]) for r in e.table("features", columns=("seq", "text"), mask=4).orderBy("seq").collect()] == want and len(want) == 6

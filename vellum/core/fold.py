@@ -59,8 +59,8 @@ class Feature:
 class Fold:
     """compat: character and word spacing as the literal behaviour has it (character spacing not read, word spacing times the size)."""
 
-    def __init__(self, doc: Document, mask: int, compat: bool = False):
-        self.doc, self.mask, self.compat = doc, mask, compat
+    def __init__(self, doc: Document, mask: int, compat: bool = False, boxes: bool = True):
+        self.doc, self.mask, self.compat, self.boxes = doc, mask, compat, boxes  # without boxes nothing of text is measured
         self.fonts: dict[Any, Font | None] = {}
         self.spaces: dict[tuple[int, str], Any] = {}
 
@@ -133,6 +133,8 @@ class Fold:
         return (wide / 1000 + tc * n + tw * spaces) * h
 
     def show(self, state: State, data: bytes) -> Feature | None:
+        if not self.boxes:
+            return self.show_all(state, [(data, None)])
         size = max(state.size, TINY)
         m = Matrix(size, 0, 0, size).then(state.text).then(state.ctm)
         up, down = state.font.metrics() if state.font else (0.8, -0.2)
@@ -147,6 +149,13 @@ class Fold:
 
     def show_all(self, state: State, items: list) -> Feature | None:
         whole = None
+        if not self.boxes:
+            font = state.font
+            shown = [data for data, _ in items if data is not None] if self.mask & TEXT else []
+            text = "".join(map(font.decode if font else _plain, shown))
+            if not text and all(self.advance(state, data) <= 0 for data in shown):
+                return None
+            return Feature("text", None, None, text=(text, state.font_ref, font.ps_name if font else None, state.size))
         for data, offset in items:
             if data is None:
                 state.text = Matrix(tx=displacement(offset, state.size, state.scale)).then(state.text)

@@ -69,15 +69,17 @@ class Engine:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content"), p.alias("password"))
         self.compat = compat
 
-    def _reader(self, name: str, args: dict) -> Callable[..., Iterator[tuple]]:
+    def _reader(self, name: str, args: dict, columns: tuple[str, ...] | None = None) -> Callable[..., Iterator[tuple]]:
         if name not in SCHEMAS:
             raise KeyError(name)
+        if name == "features" and columns is not None and not {"bounds", "matrix"} & set(columns):
+            args = {"boxes": False, **args}
         own = {"compat": self.compat} if name in ("features", "text_runs", "glyph_runs", "display_list", "parse_errors") else {}
         return partial(_ROWS[name], **own, **args)
 
     def table(self, name: str, columns: tuple[str, ...] | None = None, **args) -> DataFrame:
         """A table: of its columns only those named leave Python; args say which of its rows are made at all."""
-        rows, schema = self._reader(name, args), SCHEMAS[name]
+        rows, schema = self._reader(name, args, columns), SCHEMAS[name]
         if columns is None:
             return flat(self.docs, f"doc_id bigint, {schema}", rows)
         fields, at = _chosen(schema, columns)
@@ -92,7 +94,7 @@ class Engine:
         for name, args in tables.items():
             columns = args.get("columns") or tuple(f.name for f in StructType.fromDDL(SCHEMAS[name]))
             fields, at = _chosen(SCHEMAS[name], columns)
-            parts.append((name, columns, fields, at, self._reader(name, {k: v for k, v in args.items() if k != "columns"})))
+            parts.append((name, columns, fields, at, self._reader(name, {k: v for k, v in args.items() if k != "columns"}, columns)))
 
         def rows(doc):
             yield tuple([dict(zip(columns, at(r), strict=True)) for r in read(doc)] for _, columns, _, at, read in parts)
@@ -338,11 +340,12 @@ def _operators(doc, ops: tuple[str, ...] | None = None, pages: tuple[int, ...] |
             doc.fail(e, ("page", *p.ref))
 
 
-def _features(doc, mask: int = 7, compat: bool = False):
+def _features(doc, mask: int = 7, compat: bool = False, boxes: bool = True):
+    """boxes: whether text is measured; where neither bounds nor matrix is asked for, it is not."""
     from vellum.core.filters import IMAGE_CODECS
     from vellum.core.fold import Fold
 
-    fold = Fold(doc, mask, compat)
+    fold = Fold(doc, mask, compat, boxes)
     for p in doc.pages():
         for k, f in enumerate(fold.page(p) if mask else ()):
             annotation = image = text = None

@@ -79,7 +79,7 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscrip
 @query(LINES_SQL)
 def text_lines(spark, sf_dir):
     docs = write_pdfs(dealt(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", _lines)
-    return Engine(docs).features(("text",)).select("doc_id", F.col("seq").alias("line"), F.col("text.text").alias("text"))
+    return Engine(docs).table("features", columns=("seq", "text"), mask=4).select("doc_id", F.col("seq").alias("line"), F.col("text.text").alias("text"))
 
 
 @query("SELECT doc_id, replace(text, ' ', '') AS text FROM documents")
