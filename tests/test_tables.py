@@ -185,3 +185,14 @@ def test_texts_without_boxes(spark):
     e = Engine(spark.createDataFrame([(1, bytearray(synth.one_page(body, b"/Font << /F1 5 0 R >>", extra={5: font}).finish()))], "doc_id long, content binary"))
     want = [(r["seq"], r["text"]) for r in e.features(("text",)).orderBy("seq").collect()]
     assert [(r["seq"], r["text"]) for r in e.table("features", columns=("seq", "text"), mask=4).orderBy("seq").collect()] == want and len(want) == 6
+
+
+def test_jbig2_files(spark):
+    from vellum import synth
+    from vellum.plans.tables import Engine
+    from vellum.sources.images import image_files
+
+    image = synth.stream(b"page", b"/Subtype /Image /Width 1 /Height 1 /BitsPerComponent 1 /ColorSpace /DeviceGray /Filter /JBIG2Decode /DecodeParms << /JBIG2Globals 7 0 R >>")
+    data = synth.one_page(b"", extra={6: image, 7: synth.stream(b"shared", flate=True), 8: image.replace(b"/JBIG2Globals 7 0 R", b"")}).finish()
+    rows = image_files(Engine(spark.createDataFrame([(1, bytearray(data))], "doc_id long, content binary"))).orderBy("num").collect()
+    assert [(r["num"], r["extension"], bytes(r["file"])[13:]) for r in rows] == [(6, "jb2", b"sharedpage"), (8, "jb2", b"page")] and bytes(rows[0]["file"])[:4] == b"\x97JB2"

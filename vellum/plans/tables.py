@@ -55,6 +55,7 @@ SCHEMAS: dict[str, str] = {
     "image_rgba": "num bigint, gen bigint, y int, values array<int>",
     "color_spaces": "page_index int, key string, kind string, components int, is_cmyk boolean, base string, structure string",
     "ext_gstates": "page_index int, key string, line_width double, line_cap int, line_join int, miter double, dash_phase double, dash array<double>, intent string, overprint_stroke boolean, overprint_fill boolean, overprint_mode int, flatness double, smoothness double, stroke_adjust boolean, blend string, smask string, stroke_alpha double, fill_alpha double, alpha_is_shape boolean, text_knockout boolean",
+    "soft_masks": f"page_index int, key string, kind string, ref {REF}, bbox {RECT}, matrix {MATRIX}, space string, isolated boolean, knockout boolean, backdrop array<double>, transfer string, samples array<double>",
     "shadings": "page_index int, key string, type int, space string, coords array<double>, domain array<double>, extend array<boolean>, background array<double>, samples array<array<double>>",
     "functions": "num bigint, gen bigint, kind string, domain array<double>, range array<double>, outputs int, at_low array<double>, at_middle array<double>, at_high array<double>",
     "parse_errors": "failure string, start bigint, end bigint, intent struct<kind:string,num:bigint,gen:bigint>",
@@ -545,6 +546,29 @@ def _ext_gstates(doc):
             yield page, key, g["LW"], g["LC"], g["LJ"], g["ML"], *dash, g["RI"], g["OP"], g["op"], g["OPM"], g["FL"], g["SM"], g["SA"], g["BM"], g["SMask"], g["CA"], g["ca"], g["AIS"], g["TK"]
 
 
+def _soft_masks(doc):
+    """What graphics states say of soft masks: the group that is drawn, its space, what lies behind it, and the transfer of its values."""
+    from vellum.core.functions import evaluate, parse
+    from vellum.core.geometry import matrix_of
+    from vellum.core.images import named_space
+    from vellum.core.objects import Name
+
+    for p in doc.pages():
+        resources = p.resources()
+        for key, x in (doc.dict_(resources.get("ExtGState")) or {}).items():
+            mask = doc.dict_((doc.dict_(x) or {}).get("SMask"))
+            group = doc.stream_(mask.get("G")) if mask is not None else None
+            if group is None:
+                continue
+            own = doc.dict_(group.dict.get("Group")) or {}
+            space = named_space(doc, str(doc.name_(own.get("CS")) or ""), doc.dict_(group.dict.get("Resources")) or resources) if own.get("CS") is not None else None
+            transfer = doc.resolve(mask.get("TR"))
+            f = parse(doc, mask.get("TR")) if transfer is not None and not isinstance(transfer, Name) else None
+            samples = [v[0] if (v := evaluate(f, [t])) else None for t in (0.0, 0.25, 0.5, 0.75, 1.0)] if f else None
+            kind = str(transfer) if isinstance(transfer, Name) else "function" if f else None
+            yield p.index, key, doc.name_(mask.get("S")), _ref(group.id), _dict(doc.rect_(group.dict.get("BBox"))), _dict(matrix_of(doc.reals_(group.dict.get("Matrix")))), space.kind if space else None, bool(doc.bool_(own.get("I"))), bool(doc.bool_(own.get("K"))), doc.reals_(mask.get("BC")), kind, samples
+
+
 def _shadings(doc):
     from vellum.core.images import shading_of
 
@@ -582,7 +606,7 @@ _ROWS = {
     "headers": _headers, "trailers": _trailers, "xref_entries": lambda doc: doc.xref_entries(), "xref_sections": _xref_sections, "object_layouts": _object_layouts, "objects": _objects, "object_nodes": _object_nodes, "objects_at": _objects_at, "object_rows": _object_rows,
     "pages": _pages, "content_streams": _content_streams, "resources": _resources, "operators": _operators, "stream_operators": _stream_operators, "xobjects": _xobjects, "forms": _form_rows, "features": _features, "text_runs": _text_runs, "glyph_runs": _glyph_runs, "vertical_metrics": _vertical_metrics, "display_list": _display_list,
     "fonts": _fonts, "font_widths": _font_widths, "font_differences": _font_differences, "cid_widths": _cid_widths, "tounicode_mappings": _tounicode, "codespaces": _codespaces,
-    "images": _images, "image_pixels": _image_pixels, "image_rgba": _image_rgba, "color_spaces": _color_spaces, "ext_gstates": _ext_gstates, "shadings": _shadings, "functions": _functions, "parse_errors": _parse_errors,
+    "images": _images, "image_pixels": _image_pixels, "image_rgba": _image_rgba, "color_spaces": _color_spaces, "ext_gstates": _ext_gstates, "soft_masks": _soft_masks, "shadings": _shadings, "functions": _functions, "parse_errors": _parse_errors,
 }
 
 

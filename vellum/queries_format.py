@@ -615,3 +615,49 @@ def base_encoding_glyphs(spark, sf_dir):
     pick = lambda values: F.get(F.array(*map(F.lit, values)), nth)
     asked = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), pick([e for e, _, _ in GLYPHS]).alias("encoding"), pick([c for _, c, _ in GLYPHS]).alias("code"))
     return asked.join(F.broadcast(base_encodings(spark)), ["encoding", "code"]).select("k", "encoding", "code", "glyph")
+
+
+@query("""SELECT c_custkey AS doc_id, kind, num::BIGINT AS num, (c_nationkey + 5)::DOUBLE AS width, space, isolated, round(back, 6)::DOUBLE AS back, transfer, round(middle, 6)::DOUBLE AS middle FROM customer, LATERAL (VALUES
+('Luminosity', 5, 'DeviceRGB', true, c_nationkey / 25.0, 'function', 0.25 + c_nationkey / 100.0), ('Alpha', 6, NULL, false, NULL, 'Identity', NULL)) v(kind, num, space, isolated, back, transfer, middle)""")
+def soft_mask_groups(spark, sf_dir):
+    """The groups of soft masks with their colour space, what lies behind them, and the transfer of their values."""
+
+    def make(r):
+        k = r["c_nationkey"]
+        group = synth.stream(b"0 0 1 1 re f", b"/Type /XObject /Subtype /Form /BBox [0 0 %d 7] /Group << /S /Transparency /CS /DeviceRGB /I true >>" % (k + 5))
+        plain = synth.stream(b"", b"/Type /XObject /Subtype /Form /BBox [0 0 %d 7]" % (k + 5))
+        one = b"/A << /SMask << /S /Luminosity /G 5 0 R /BC [%s 0 0] /TR << /FunctionType 2 /Domain [0 1] /C0 [%s] /C1 [%s] /N 2 >> >> >>" % (num(k / 25), num(k / 100), num(1 + k / 100))
+        return synth.one_page(b"/A gs", b"/ExtGState << %s /B << /SMask << /S /Alpha /G 6 0 R /TR /Identity >> >> /C << /SMask /None >> >>" % one, extra={5: group, 6: plain}).finish()
+
+    m = Engine(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make)).table("soft_masks")
+    return m.select("doc_id", "kind", "ref.num", "bbox.width", "space", "isolated", F.round(F.col("backdrop")[0], 6).alias("back"), "transfer", F.round(F.col("samples")[2], 6).alias("middle"))
+
+
+@query("SELECT c_custkey AS doc_id, 5::BIGINT AS num, c_custkey * 3 AS value FROM customer")
+def hybrid_sections(spark, sf_dir):
+    """An object that only the stream beside a classic table names."""
+    from vellum.queries import _chains
+
+    def make(r):
+        w = synth.one_page(b"")
+        places = {n: w._put(n, w.objects[n]) for n in sorted(w.objects)}
+        hidden = w._put(5, b"%d" % (r["c_custkey"] * 3)).to_bytes(4, "big")
+        at = w._put(6, synth.stream(b"\1" + hidden + b"\0\0", b"/Type /XRef /W [1 4 2] /Index [5 1] /Size 7 /Root 1 0 R"))
+        return w._table(places, 1, b"/XRefStm %d" % at)
+
+    layouts, at, _ = _chains(Engine(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make)))
+    own = layouts.where("num = 5 and revision = 0").select("doc_id", F.col("storage.start").alias("start"))
+    return own.join(at, ["doc_id", "start"]).select("doc_id", F.lit(5).cast("long").alias("num"), F.col("i").alias("value"))
+
+
+@query("""SELECT o_custkey AS doc_id, CAST(nth AS INTEGER) AS nth, num::BIGINT AS num FROM (SELECT DISTINCT o_custkey FROM orders), (VALUES (0, 1), (1, 2), (2, 3), (3, 4), (4, 5)) v(nth, num)
+UNION ALL SELECT o_custkey, CAST(3 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER), 5 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1""")
+def objects_by_range(spark, sf_dir):
+    """Objects in the order of their bytes, whatever their numbers and revisions."""
+    from pyspark.sql import Window
+
+    from vellum.queries import _chains, _customers
+
+    layouts, _, _ = _chains(_customers(spark, sf_dir))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("storage.start")) - 1
+    return layouts.select("doc_id", nth.alias("nth"), "num")

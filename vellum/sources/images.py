@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.plans.tables import Engine, flat
+from vellum.plans.tables import Engine, _globals, flat
 
+#: What makes segments a file of their own: the format's mark, segments in a row, one page.
+JBIG2_HEAD = b"\x97JB2\r\n\x1a\n" + b"\x01" + (1).to_bytes(4, "big")
 SCHEMA = "doc_id bigint, num bigint, gen bigint, extension string, file binary"
 
 
@@ -35,6 +37,8 @@ def _files(doc):
             continue
         if i.encoding in ("jpeg", "jpeg2000"):
             yield *ref, "jpg" if i.encoding == "jpeg" else "jp2", x.data
+        elif i.encoding == "jbig2":
+            yield *ref, "jb2", JBIG2_HEAD + (_globals(doc, x) or b"") + x.data
         elif (px := pixels(i, x.data)) is not None:
             top = (1 << i.bits) - 1
             if i.space.kind in ("DeviceGray", "DeviceRGB"):
