@@ -421,11 +421,14 @@ class Document:
                     packed.add(ref)
                     yield ref, seen[ref], ("packed", *place)
 
-    def objects(self) -> Iterator[tuple[Ref, int, Any]]:
-        return (x[:3] for x in self.placed_objects())
+    def objects(self, nums: tuple[int, ...] | None = None) -> Iterator[tuple[Ref, int, Any]]:
+        return (x[:3] for x in self.placed_objects(nums))
 
-    def placed_objects(self) -> Iterator[tuple[Ref, int, Any, tuple]]:
+    def placed_objects(self, nums: tuple[int, ...] | None = None) -> Iterator[tuple[Ref, int, Any, tuple]]:
+        """nums: only objects of these numbers are read."""
         for ref, revision, place in self.places():
+            if nums is not None and ref.num not in nums:
+                continue
             try:
                 yield ref, revision, self.get(ref) if self._layout.get(ref) == place else self.read(ref, place), place
             except PdfError as e:

@@ -195,8 +195,8 @@ def _objects_at(doc, nums: tuple[int, ...] | None = None):
     """Every object at an offset of the file, by that offset."""
     from vellum.core.document import type_name
 
-    for ref, _, x, place in doc.placed_objects():
-        if place[0] == "offset" and (nums is None or ref.num in nums):
+    for ref, _, x, place in doc.placed_objects(nums):
+        if place[0] == "offset":
             yield place[1], *ref, type_name(x), _json(x), x if type(x) is int else None
 
 
@@ -262,8 +262,8 @@ def _object_layouts(doc):
 
 def _wanted(doc, nums, latest: bool):
     """(id, revision, object) of the objects asked for."""
-    for ref, revision, x in doc.objects():
-        if (nums is None or ref.num in nums) and not (latest and revision):
+    for ref, revision, x in doc.objects(nums):
+        if not (latest and revision):
             yield ref, revision, x
 
 
