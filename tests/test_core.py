@@ -308,3 +308,24 @@ def test_cmap_with_mixed_lengths():
     assert t.decode(b"ABCD\x80\x01\x80\x12\xff") == "abfi\U0001f600A2" and t.decode(b"\xff") is None
     assert codes(b"\x41\x80\x01\x80", t.spaces) == [0x41, 0x8001]
     assert parse_cmap(b"/WMode 1 def 1 begincidrange <00> <10> 5 endcidrange 1 begincidchar <20> 9 endcidchar", unicode=False)[1:] == ([(0, 16, 5), (32, 32, 9)], 1)
+
+
+@pytest.mark.parametrize("text", [b"<< /A [ 1 0 R 2 true ] /B << /C (x) >> /D null >>", b"[ 1 2 0 R 3 R0 ]", b"5 0 R", b"[ << /A 1 ] >>", b"<< /A 1 2 >>", b"[ nullx 1 R ]"])
+def test_comments_for_blanks_change_no_object(text):
+    """What is read in one match and what the lexer reads token by token is the same."""
+
+    def got(data):
+        try:
+            return parse_object(Lexer(data))
+        except PdfError as e:
+            return e.failure
+
+    assert repr(got(text)) == repr(got(text.replace(b" ", b"%c\n")))
+
+
+def test_sections_and_headers_in_other_spacing():
+    plain = synth.one_page(b"BT ET", extra={5: b"[1 0 R (s)]"}).finish()
+    other = plain.replace(b" n", b"%n").replace(b"%n", b"\x00n")
+    for data in (plain, other):
+        doc = Document(data)
+        assert not doc.recovered and [p.index for p in doc.pages()] == [0] and repr(doc.get((5, 0))) == repr(Document(plain).get((5, 0)))

@@ -135,6 +135,11 @@ class Document:
             return self._classic(lex)
         return self._from_stream(at)
 
+    # What most files have, in one match each; whatever else there is goes to the lexer.
+    _ENTRY = re.compile(rb"[\x00\t\n\x0c\r ]*(\d{1,18})[\x00\t\n\x0c\r ]+(\d{1,18})[\x00\t\n\x0c\r ]+([nf])(?![^\x00\t\n\x0c\r %()\[\]{}/<>\\])")
+    _BEGIN = re.compile(rb"[\x00\t\n\x0c\r ]*(\d{1,18})[\x00\t\n\x0c\r ]+(\d{1,18})[\x00\t\n\x0c\r ]+obj(?![^\x00\t\n\x0c\r %()\[\]{}/<>\\])")
+    _END = re.compile(rb"[\x00\t\n\x0c\r ]*endobj(?![^\x00\t\n\x0c\r %()\[\]{}/<>\\])")
+
     def _classic(self, lex: Lexer) -> dict[str, Any]:
         offsets: dict[Ref, int] = {}
         while True:
@@ -149,6 +154,11 @@ class Document:
             if t[0] != "int" or t[1] < 0:
                 raise PdfError("expectedNaturalNumber", t[2], t[3])
             for num in range(t[1], t[1] + lex.natural()):
+                if m := self._ENTRY.match(lex.data, lex.pos, lex.end):
+                    lex.pos = m.end()
+                    if m[3] == b"n" and (offset := int(m[1])):
+                        offsets[Ref(num, int(m[2]))] = offset
+                    continue
                 offset, gen, flag = lex.natural(), lex.natural(), lex.next()
                 if flag is None or flag[0] != "word" or flag[1] not in (b"n", b"f"):
                     if offset == 0 and flag is not None:
@@ -285,14 +295,21 @@ class Document:
         return require_object(Lexer(stream.data, starts[index], end))
 
     def _indirect(self, lex: Lexer, direct_only: bool = False) -> tuple[Ref, Any]:
-        ref = Ref(lex.natural(), lex.natural())
+        begin = self._BEGIN.match(lex.data, lex.pos, lex.end)
+        ref = Ref(int(begin[1]), int(begin[2])) if begin else Ref(lex.natural(), lex.natural())
         intent = ("indirectObject", *ref)
         try:
-            lex.keyword(b"obj", "expectedIdentifierNotFound")
+            if begin:
+                lex.pos = begin.end()
+            else:
+                lex.keyword(b"obj", "expectedIdentifierNotFound")
             sec = None if direct_only else self.security
             obj = require_object(lex, (lambda b: sec.of_string(ref, b)) if sec else None)
             if type(obj) is int and (m := self._POINTER.match(lex.data, lex.pos)):  # an object that is a reference
                 obj, lex.pos = Ref(obj, int(m[1])), m.end()
+            if m := self._END.match(lex.data, lex.pos, lex.end):
+                lex.pos = m.end()
+                return ref, obj
             t = lex.next()
             if t and t[0] == "word" and t[1] == b"stream":
                 if not isinstance(obj, dict):

@@ -183,32 +183,52 @@ PLAIN = re.compile(
 )
 
 
+#: The same and what holds them together, a whole reference among them.
+_PART = re.compile(
+    rb"[" + _SPACE + rb"]*(?:(\d{1,18})[" + _SPACE + rb"]+(\d{1,18})[" + _SPACE + rb"]+R(?![^" + _STOP + rb"])|([+-]?\d{1,18}(?![\d.]))|([+-]?\d*\.\d*)|/([^" + _STOP + rb"]*)"
+    rb"|\(([^()\\\r]*)\)|(<<)|(>>)|(\[)|(\])|(true|false|null)(?![^" + _STOP + rb"]))"
+)
+_REF, _INT, _REAL, _NAME, _STRING, _WORD = 2, 3, 4, 5, 6, 11
+_BRACKETS = {7: "open", 8: "close", 9: "left", 10: "right"}
+
+
 def parse_object(lex: Lexer, decrypt=None) -> tuple[bool, Any]:
     """(found, value) of the next object; found is False at the end."""
     stack: list[Any] = []
-    plain, data, stop = PLAIN.match, lex.data, lex.end
+    part, data, stop = _PART.match, lex.data, lex.end
     while True:
-        m = plain(data, lex.pos, stop)
-        if m and (n := m.lastindex) < 5:
+        m = part(data, lex.pos, stop)
+        n = m.lastindex if m else None
+        if n in _BRACKETS:
+            lex.pos = end = m.end()
+            kind, start = _BRACKETS[n], m.start(n)
+        elif n:
             lex.pos = m.end()
-            if n == 1:
-                value = int(m[1])
-            elif n == 2:
-                value = real_value(m[2])
-            elif n == 3:
-                value = Name(text_of_name(m[3]))
+            if n == _INT:
+                value = int(m[_INT])
+            elif n == _NAME:
+                value = Name(text_of_name(m[_NAME]))
+            elif n == _REF and stack:
+                value = Ref(int(m[1]), int(m[2]))
+            elif n == _REF:  # by itself, the first number is an object
+                value, lex.pos = int(m[1]), m.end(1)
+            elif n == _REAL:
+                value = real_value(m[_REAL])
+            elif n == _STRING:
+                value = decrypt(m[_STRING]) if decrypt else m[_STRING]
             else:
-                value = decrypt(m[4]) if decrypt else m[4]
+                value = _WORDS[m[_WORD]]
             if not stack:
                 return True, value
             stack.append(value)
             continue
-        t = lex.next()
-        if t is None:
-            if not stack:
-                return False, None
-            raise PdfError("missingEndOfScope", lex.pos, lex.end)
-        kind, value, start, end = t
+        else:
+            t = lex.next()
+            if t is None:
+                if not stack:
+                    return False, None
+                raise PdfError("missingEndOfScope", lex.pos, lex.end)
+            kind, value, start, end = t
         if kind == "left":
             stack.append(_OPEN_ARRAY)
             continue

@@ -16,18 +16,20 @@ def section_order(sections: DataFrame, headers: DataFrame) -> DataFrame:
     it. Which sections 2^k steps lead to doubles in each round, so n revisions take log2(n) + 1 rounds; the least number of
     steps counts, which ends a circle; a section that came as a hybrid ends the chain that leads to it again.
     """
-    jump = sections.where("prev is not null").select("doc_id", "at", F.col("prev").alias("to")).join(sections.select("doc_id", F.col("at").alias("to")), ["doc_id", "to"]).select("doc_id", "at", "to")
-    jump = cut(jump, "jump")
-    reach = headers.select("doc_id", F.col("xref_start").alias("at"), F.lit(0).alias("steps")).join(sections.select("doc_id", "at"), ["doc_id", "at"])
-    reach, size, width = cut(reach, "reach"), -1, 1
-    n = reach.count()
+    jump = sections.where("prev is not null").select("doc_id", "at", F.col("prev").alias("to")).join(sections.select("doc_id", F.col("at").alias("to")), ["doc_id", "to"])
+    jump = jump.select("doc_id", F.col("at").alias("src"), F.col("to").alias("at"), F.lit(None).cast("long").alias("steps"))
+    reach = headers.select("doc_id", F.col("xref_start").alias("at")).join(sections.select("doc_id", "at"), ["doc_id", "at"])
+    reach = reach.select("doc_id", F.lit(None).cast("long").alias("src"), "at", F.lit(0).cast("long").alias("steps"))
+    # one table for both: those without src are reached from the file's end, the others lead from src to at
+    state, size, width = cut(reach.union(jump), "chain"), -1, 1
+    n = state.where("src is null").count()
     while n > size:
         size = n
-        more = reach.join(jump, ["doc_id", "at"]).select("doc_id", F.col("to").alias("at"), (F.col("steps") + width).alias("steps"))
-        reach = cut(reach.union(more).groupBy("doc_id", "at").agg(F.min("steps").alias("steps")), "reach")
-        onward = jump.select("doc_id", F.col("at").alias("to"), F.col("to").alias("next"))
-        jump = cut(jump.join(onward, ["doc_id", "to"]).select("doc_id", "at", F.col("next").alias("to")), "jump")
-        n, width = reach.count(), width * 2
+        hop = state.where("src is not null").select("doc_id", F.col("src").alias("at"), F.col("at").alias("next"))
+        moved = state.join(hop, ["doc_id", "at"]).select("doc_id", "src", F.col("next").alias("at"), (F.col("steps") + width).alias("steps"))
+        state = cut(moved.union(state.where("src is null")).groupBy("doc_id", "src", "at").agg(F.min("steps").alias("steps")), "chain")
+        n, width = state.where("src is null").count(), width * 2
+    reach = state.where("src is null").select("doc_id", "at", "steps")
     end = headers.select("doc_id", F.col("xref_end").alias("_end"))
     both = sections.join(reach, ["doc_id", "at"]).join(end, "doc_id")
     hybrids = both.where("hybrid < _end").select("doc_id", F.col("hybrid").alias("at"), "steps", F.lit(1).alias("kind"))

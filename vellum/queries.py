@@ -43,6 +43,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """A table before it is grouped for work in Python: a shuffle of a stated number is not merged into a few tasks because its rows are small; the grouping needs no other."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def write_pdfs(df: DataFrame, id_col: str, make: Callable[[dict], bytes]) -> DataFrame:
     """(doc_id, content): one file per row."""
 
@@ -186,7 +192,7 @@ def pdfdoc_decode(spark, sf_dir):
 
 def _orders(spark, sf_dir):
     """One page per order: a colour and a rectangle per line item."""
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))).alias("items"))
+    rows = gathered(read(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))).alias("items"))
 
     def make(r):
         body = b"".join(b"%s 0 %s rg %s %s %d 1 re f\n" % (num(x["l_discount"]), num(x["l_tax"]), num(x["l_quantity"]), num(x["l_extendedprice"]), x["l_linenumber"]) for x in r["items"])
@@ -251,7 +257,7 @@ def unbalanced_q(spark, sf_dir):
 FROM orders, (VALUES (0), (1)) v(i)""")
 def shared_forms(spark, sf_dir):
     """A form that draws an image, and a form without resources of its own that draws another, placed once for each order of a customer."""
-    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    rows = gathered(read(spark, sf_dir, "orders"), "o_custkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
     extra = {
         5: synth.stream(b"2 0 0 1 0 0 cm /Im Do /Fm Do", b"/Type /XObject /Subtype /Form /BBox [0 0 9 9] /Resources << /XObject << /Im 6 0 R /Fm 8 0 R >> >>"),
         8: synth.stream(b"1.5 0 0 1 0 0 cm /Fm Do /Im Do", b"/Type /XObject /Subtype /Form /BBox [0 0 9 9] /Matrix [1 0 0 1 5 0] /Resources << /XObject << /Im 7 0 R /Fm 5 0 R >> >>"),
@@ -277,7 +283,7 @@ def form_recursion(spark, sf_dir):
 
 
 def _users(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("items"))
+    rows = gathered(read(spark, sf_dir, "events"), "user_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("items"))
 
     def make(r):
         notes = b" ".join(b"<< /Type /Annot /Subtype /%s /Rect [%d 10 %d 0] >>" % (x["event_type"].encode(), x["event_id"] % 500 + 10, x["event_id"] % 500) for x in r["items"])
@@ -319,7 +325,7 @@ def region_hits(spark, sf_dir):
 
 def _numbered_users(spark, sf_dir):
     """Annotations as objects whose numbers are ten more than those of the events."""
-    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("keys"))
+    rows = gathered(read(spark, sf_dir, "events"), "user_id").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("keys"))
 
     def make(r):
         notes = {10 + k: b"<< /Type /Annot /Subtype /Link /Rect [%d 10 %d 0] >>" % (k % 500, k % 500 + 10) for k in r["keys"]}
@@ -411,7 +417,7 @@ def page_boxes(spark, sf_dir):
 
 def _customers(spark, sf_dir):
     """One file per customer: object 5 is rewritten by each order."""
-    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    rows = gathered(read(spark, sf_dir, "orders"), "o_custkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
 
     def make(r):
         w = synth.one_page(b"")
@@ -542,7 +548,7 @@ def _image(data: bytes, width: int, height: int, parms: bytes) -> bytes:
 
 
 def _bytes_of(spark, sf_dir, make) -> DataFrame:
-    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: (x % 256).cast("int")).alias("v"))
+    rows = gathered(read(spark, sf_dir, "events"), "user_id").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: (x % 256).cast("int")).alias("v"))
     px = Engine(write_pdfs(rows, "user_id", make)).table("image_pixels")
     out = px.select("doc_id", "y", F.posexplode("values").alias("x", "value"))
     width = F.max("x").over(Window.partitionBy("doc_id")) + 1
