@@ -275,6 +275,54 @@ def test_paths_like_the_reader(spark):
     assert painted(e.table("operators").limit(0)).collect() == []
 
 
+def test_clips_like_a_stack(spark):
+    """Random q, Q, cm, rectangles and clips against a stack of states, a Q without a q among them."""
+    from vellum import synth
+    from vellum.operators.clips import visible
+    from vellum.plans.tables import Engine
+
+    rng, docs, want = random.Random(3), [], []
+    for i in range(30):
+        body, seq, page = [], 0, (0, 0, 100, 80)
+        state, stack = ((1, 1, 0, 0), page), []
+        for _ in range(40):
+            what = rng.choice(["q", "Q", "cm", "f", "f", "Wn", "Wf"])
+            if what == "q":
+                stack.append(state)
+            elif what == "Q":
+                state = stack.pop() if stack else ((1, 1, 0, 0), page)
+            elif what == "cm":
+                a, d, x, y = rng.choice([1, 1, 2, -1]), rng.choice([1, 1, 2, -1]), rng.randint(-9, 9), rng.randint(-9, 9)
+                (ma, md, mx, my), clip = state
+                state = (a * ma, d * md, x * ma + mx, y * md + my), clip
+                body.append(b"%d 0 0 %d %d %d cm" % (a, d, x, y))
+                seq += 1
+                continue
+            else:
+                r = [rng.randint(-20, 90) for _ in range(2)] + [rng.randint(-9, 60) for _ in range(2)]
+                (ma, md, mx, my), clip = state
+                xs, ys = sorted((r[0] * ma + mx, (r[0] + r[2]) * ma + mx)), sorted((r[1] * md + my, (r[1] + r[3]) * md + my))
+                both = (max(xs[0], clip[0]), max(ys[0], clip[1]), min(xs[1], clip[2]), min(ys[1], clip[3]))
+                body.append(b"%d %d %d %d re" % tuple(r))
+                body += [b"W"] * (what[0] == "W") + [b"n" if what == "Wn" else b"f"]
+                seq += len([b"re", *[b"W"] * (what[0] == "W")])
+                if what != "Wn":
+                    seen = clip[0] < clip[2] and clip[1] < clip[3] and both[0] <= both[2] and both[1] <= both[3]
+                    want.append((i, seq, clip, both if seen else None))
+                if what[0] == "W":
+                    state = state[0], both
+                seq += 1
+                continue
+            body.append(what.encode())
+            seq += 1
+        docs.append((i, bytearray(synth.one_page(b" ".join(body), page=b"/MediaBox [0 0 100 80]").finish())))
+    e = Engine(spark.createDataFrame(docs, "doc_id long, content binary"))
+    got = [(r["doc_id"], r["seq"], tuple(r["clip"]), tuple(r["visible"]) if r["visible"] else None) for r in visible(e).collect()]
+    assert len(want) > 300 and sum(x[3] is not None for x in want) > 20
+    assert sorted(got) == sorted(want)
+    assert visible(Engine(spark.createDataFrame([], "doc_id long, content binary"))).collect() == []
+
+
 # ---- where glyphs stand --------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,9 @@
-"""The graphics state's matrix as relations: q and Q matched by depth, matrices chained by doubling."""
+"""The graphics state's matrix as relations: q and Q matched by depth, what they save chained by doubling."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +40,26 @@ def framed(ops: DataFrame, key: list[str]) -> DataFrame:
     return lies.unionByName(opens).withColumn("_frame", frame).where("_opens is null").drop("_s", "_stray", "_after", "_depth", "_opens")
 
 
-def matrices(ops: DataFrame, key: list[str]) -> DataFrame:
-    """ops (key, seq, op, nums, ...) other than q, Q and cm, with m: the matrix in force at each, from that of the stream's start.
+def inherited(ops: DataFrame, key: list[str], sets: Column, own: Column, combine: Callable[[Column, Column], Column], empty: Column, name: str) -> DataFrame:
+    """ops (key, seq, op, ...) other than Q, with a column of that name: what all operators that set something say together.
 
-    What holds at an operator is the last cm before it in its frame, else the q that opened the frame; so every cm and every
-    q has one that it goes on from, and the products along those chains take as many rounds as the longest has binary digits.
+    What holds at an operator is the last that sets something before it in its frame, else the q that opened the frame; so
+    each of those and every q has one that it goes on from, and what they add up to along those chains (by combine, which
+    has to be associative, from empty) takes as many rounds as the longest has binary digits.
     """
     before = Window.partitionBy(*key, "_frame").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.last(F.when(F.col("op") == "cm", F.col("seq")), ignorenulls=True).over(before), F.when(F.col("_frame") >= 0, F.col("_frame")))
+    base = F.coalesce(F.last(F.when(sets, F.col("seq")), ignorenulls=True).over(before), F.when(F.col("_frame") >= 0, F.col("_frame")))
     placed = cut(framed(ops, key).withColumn("_up", base).drop("_frame"), "state")
-    own = F.when(F.col("op") == "cm", of_numbers(F.col("nums"))).otherwise(identity())
-    nodes = placed.where("op in ('cm', 'q')").select(*key, F.col("seq").alias("_at"), own.alias("_m"), "_up")
+    nodes = placed.where(sets | (F.col("op") == "q")).select(*key, F.col("seq").alias("_at"), F.when(sets, own).otherwise(empty).alias("_m"), "_up")
     nodes = cut(nodes, "state")
     while not nodes.where("_up is not null").isEmpty():
         up = nodes.select(*key, F.col("_at").alias("_up"), F.col("_m").alias("_n"), F.col("_up").alias("_next"))
         told = nodes.join(up, [*key, "_up"], "left")
-        nodes = cut(told.select(*key, "_at", F.when(F.col("_n").isNull(), F.col("_m")).otherwise(concat(F.col("_m"), F.col("_n"))).alias("_m"), F.col("_next").alias("_up")), "state")
-    rest = placed.where("op not in ('cm', 'q')").join(nodes.select(*key, F.col("_at").alias("_up"), "_m"), [*key, "_up"], "left")
-    return rest.withColumn("m", F.coalesce("_m", identity())).drop("_m", "_up")
+        nodes = cut(told.select(*key, "_at", F.when(F.col("_n").isNull(), F.col("_m")).otherwise(combine(F.col("_m"), F.col("_n"))).alias("_m"), F.col("_next").alias("_up")), "state")
+    all_ = placed.join(nodes.select(*key, F.col("_at").alias("_up"), "_m"), [*key, "_up"], "left")
+    return all_.withColumn(name, F.coalesce("_m", empty)).drop("_m", "_up")
+
+
+def matrices(ops: DataFrame, key: list[str]) -> DataFrame:
+    """ops (key, seq, op, nums, ...) other than q, Q and cm, with m: the matrix in force at each, from that of the stream's start."""
+    return inherited(ops, key, F.col("op") == "cm", of_numbers(F.col("nums")), concat, identity(), "m").where("op not in ('cm', 'q')")

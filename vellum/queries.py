@@ -364,6 +364,24 @@ def path_legality(spark, sf_dir):
     return rows.select("doc_id", nth.alias("nth"), "verb", F.size("segments").alias("segments"), last.alias("last_x"))
 
 
+@query("""SELECT c_custkey AS doc_id, CAST(i AS INTEGER) AS nth, CASE i WHEN 2 THEN 'stroke' WHEN 4 THEN 'stroke' ELSE 'fill' END AS verb,
+(CASE i WHEN 0 THEN greatest(a, 10) WHEN 1 THEN greatest(10, b + 5) WHEN 3 THEN 50 END)::DOUBLE AS left_, (CASE i WHEN 0 THEN 10 WHEN 1 THEN greatest(10, b + 5) WHEN 3 THEN 50 END)::DOUBLE AS bottom,
+(CASE i WHEN 0 THEN least(a + 20, 50) WHEN 1 THEN b + 25 WHEN 3 THEN least(50 + c_custkey, 120) END)::DOUBLE AS right_, (CASE i WHEN 0 THEN 15 WHEN 1 THEN b + 25 WHEN 3 THEN 52 END)::DOUBLE AS top
+FROM (SELECT c_custkey, c_custkey % 50 AS a, c_custkey % 7 AS b FROM customer), (VALUES (0), (1), (2), (3), (4)) v(i)""")
+def visible_paths(spark, sf_dir):
+    """What the page's box and clips within clips leave of rectangles and a line; nothing of the third and the last."""
+    from vellum.operators.clips import SIDES, visible
+
+    def make(r):
+        k = r["c_custkey"]
+        body = b"q 10 10 40 30 re W n %d 5 20 10 re f q 1 0 0 1 5 5 cm %d %d 20 20 re W* n 0 0 100 100 re f Q 0 0 30 %d re S Q 50 50 %d 2 re f 0 0 m 500 0 l S" % (k % 50, k % 7, k % 7, k % 7, k)
+        return synth.one_page(body, page=b"/MediaBox [0 0 200 100] /CropBox [0 5 120 300]").finish()
+
+    rows = visible(Engine(write_pdfs(dealt(read(spark, sf_dir, "customer")), "c_custkey", make)))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "part")) - 1
+    return rows.select("doc_id", nth.alias("nth"), "verb", *[F.col(f"visible.{c}").alias(c) for c in SIDES])
+
+
 # ---- structure ------------------------------------------------------------------------------------------------------
 
 
