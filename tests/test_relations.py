@@ -362,3 +362,33 @@ def test_glyphs_by_windows(spark):
     got = order(boxes.select("doc_id", "bounds.x", "bounds.y", "bounds.width", "bounds.height", F.decode("bytes", "ISO-8859-1"), "seq"), "seq")
     assert [r[:6] for r in got] == [r[:6] for r in want]
     assert glyphs(Engine(spark.createDataFrame([], "doc_id long, content binary"))).collect() == []
+
+
+def joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("SortMergeJoin"), plan.count("Broadcast")
+
+
+def test_tables_of_documents_are_not_broadcast(spark):
+    """Thousands of like documents take few bytes in a file: that says nothing of what their rows take in the driver."""
+    from vellum import synth
+    from vellum.operators.layouts import dereference
+    from vellum.plans.cut import cut
+    from vellum.plans.tables import Engine
+
+    e = Engine(spark.createDataFrame([(k, bytearray(synth.one_page(b"", extra={5: b"6 0 R", 6: b"%d" % k}).finish())) for k in range(3)], "doc_id long, content binary"))
+    out = dereference(e.table("objects").where("num = 5").select("doc_id", "ref"), e.table("objects"), hops=2)
+    assert joins(out) == (2, 0)
+    parsed = cut(e.bundle(objects={"columns": ("num", "kind")}, headers={"columns": ("version",)}), "parsed")
+    rows = lambda name: parsed.select("doc_id", F.explode(name).alias("x")).select("doc_id", "x.*")
+    assert joins(rows("objects").join(rows("headers"), "doc_id")) == (1, 0)
+    assert sorted((r["doc_id"], r["value"]) for r in out.collect()) == [(k, '{"t": "integer", "v": %d}' % k) for k in range(3)]
+
+
+def test_regions_are_not_broadcast(spark):
+    from vellum.operators.hits import hits
+
+    features = spark.range(4).selectExpr("id as doc_id", "0 as page_index", "named_struct('x', 1D, 'y', 1D, 'width', 2D, 'height', 2D) as bounds")
+    regions = spark.range(4).selectExpr("id as doc_id", "0 as page_index", "7 as region", "named_struct('x', 2D, 'y', 2D, 'width', 5D, 'height', 5D) as rect")
+    out = hits(features, regions)
+    assert joins(out) == (3, 0) and sorted((r["doc_id"], r["region"]) for r in out.collect()) == [(k, 7) for k in range(4)]
