@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.plans.cut import cut
+from vellum.plans.cut import cut, joined_by_shuffle
 
 KEY = ["doc_id", "page_index"]
 GRID = [*KEY, "level", "cx", "cy"]
@@ -38,11 +38,11 @@ def hits(features: DataFrame, regions: DataFrame, most: int = 20_000) -> DataFra
     r = regions.where("rect is not null and region is not null").select(*KEY, "region", "rect")
     found = f.select(_level(F.col("bounds")).alias("l")).union(r.select(_level(F.col("rect")).alias("l"))).distinct().collect()  # powers of two of page sizes
     levels = F.array(*[F.lit(x["l"]) for x in sorted(found)]).cast("array<int>")
-    f, r = _in_cells(f, "bounds", "_of", levels), _in_cells(r, "rect", "_or", levels)
+    f, r = (joined_by_shuffle(_in_cells(*x, levels)) for x in ((f, "bounds", "_of"), (r, "rect", "_or")))
     full = cut(f.groupBy(*GRID).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")), "cells")
     f = f.join(full, GRID).withColumn("_part", F.pmod(F.xxhash64(*[c for c in features.columns]), F.col("_parts")).cast("int")).drop("_parts")
     r = r.join(full, GRID).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    both = f.join(r, [*GRID, "_part"]).where("_of = level or _or = level")
+    both = joined_by_shuffle(f).join(r, [*GRID, "_part"]).where("_of = level or _or = level")
     a, b, size = F.col("bounds"), F.col("rect"), F.pow(F.lit(2.0), F.col("level"))
     touch = (a["x"] <= b["x"] + b["width"]) & (b["x"] <= a["x"] + a["width"]) & (a["y"] <= b["y"] + b["height"]) & (b["y"] <= a["y"] + a["height"])
     here = (F.floor(F.greatest(a["x"], b["x"]) / size) == F.col("cx")) & (F.floor(F.greatest(a["y"], b["y"]) / size) == F.col("cy"))
