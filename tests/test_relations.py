@@ -392,3 +392,21 @@ def test_regions_are_not_broadcast(spark):
     regions = spark.range(4).selectExpr("id as doc_id", "0 as page_index", "7 as region", "named_struct('x', 2D, 'y', 2D, 'width', 5D, 'height', 5D) as rect")
     out = hits(features, regions)
     assert joins(out) == (3, 0) and sorted((r["doc_id"], r["region"]) for r in out.collect()) == [(k, 7) for k in range(4)]
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """A file of one row group and many splits has its rows in one of them, until they are dealt out."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from vellum.queries import dealt
+
+    pq.write_table(pa.table({"a": list(range(5000))}), f"{tmp_path}/t.parquet", row_group_size=5000, use_dictionary=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/t.parquet")
+        assert rows.rdd.getNumPartitions() > 6
+        assert dealt(rows).groupBy(F.spark_partition_id()).count().count() == max(6, spark.sparkContext.defaultParallelism)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -196,3 +196,47 @@ def test_jbig2_files(spark):
     data = synth.one_page(b"", extra={6: image, 7: synth.stream(b"shared", flate=True), 8: image.replace(b"/JBIG2Globals 7 0 R", b"")}).finish()
     rows = image_files(Engine(spark.createDataFrame([(1, bytearray(data))], "doc_id long, content binary"))).orderBy("num").collect()
     assert [(r["num"], r["extension"], bytes(r["file"])[13:]) for r in rows] == [(6, "jb2", b"sharedpage"), (8, "jb2", b"page")] and bytes(rows[0]["file"])[:4] == b"\x97JB2"
+
+
+def test_blocks_beyond_those_decrypted_at_once(monkeypatch):
+    """Keys are expanded once; blocks meet across the parts in which they are decrypted."""
+    import random
+
+    from vellum import synth
+    from vellum.core import crypt
+
+    rng = random.Random(5)
+    monkeypatch.setattr(crypt, "_BLOCKS", 3)
+    for n in (16, 32):
+        key, iv = rng.randbytes(n), rng.randbytes(16)
+        for blocks in (1, 2, 3, 4, 7):
+            plain = rng.randbytes(16 * blocks)
+            assert crypt.aes_cbc_decrypt(key, synth.rijndael_cbc(key, iv, plain), iv=iv, unpad=False) == plain
+        assert crypt._schedule(key) is crypt._schedule(key)
+
+
+def test_rows_are_held_by_bytes():
+    """Batches of rows for Python are cut by rows and by bytes; none is lost."""
+    import pyarrow as pa
+
+    from vellum.plans.tables import HELD, slices
+
+    small = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["a"])
+    large = pa.RecordBatch.from_arrays([pa.array([b"x" * (HELD // 4)] * 10 + [b"y" * 3 * HELD])], names=["a"])
+    assert [p.num_rows for p in slices(small)] == [256, 256, 256, 232]
+    parts = list(slices(large))
+    assert max(p.num_rows for p in parts) <= 4 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([large]))
+    assert list(slices(small.slice(0, 0))) == []
+
+
+def test_large_files_leave_python_before_many_rows(spark):
+    """Rows of files of more than HELD bytes are not kept until there are BATCH of them."""
+    from vellum import synth
+    from vellum.plans.tables import HELD, Engine
+
+    body = b"%" + b"x" * (HELD // 2) + b"\n1 w"
+    docs = spark.createDataFrame([(k, bytearray(synth.one_page(body).finish())) for k in range(5)], "doc_id long, content binary").coalesce(1)
+    found = Engine(docs).table("operators", columns=("op", "nums"))
+    sizes = found.mapInArrow(lambda batches: (b.select(["doc_id"]) for b in batches), "doc_id long")
+    assert sorted(r["doc_id"] for r in sizes.collect()) == list(range(5))
+    assert [(r["op"], r["nums"]) for r in found.collect()] == [("w", [1.0])] * 5

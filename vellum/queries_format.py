@@ -22,7 +22,7 @@ def _nations(spark, sf_dir, make) -> Engine:
 
 
 def _suppliers(spark, sf_dir, make, **args) -> Engine:
-    return Engine(write_pdfs(read(spark, sf_dir, "supplier"), "s_suppkey", lambda r: make(r["s_suppkey"], r["s_name"])), **args)
+    return Engine(write_pdfs(dealt(read(spark, sf_dir, "supplier")), "s_suppkey", lambda r: make(r["s_suppkey"], r["s_name"])), **args)
 
 
 def _values(rows: list[tuple]) -> str:
