@@ -51,6 +51,22 @@ def gathered(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(_tasks(df.sparkSession), key)
 
 
+def records(part) -> list[dict]:
+    """The rows of an Arrow batch; those of an array of structs are made column by column."""
+    import pyarrow as pa
+
+    columns = []
+    for c in part.columns:
+        if pa.types.is_list(c.type) and pa.types.is_struct(c.type.value_type) and not c.null_count and not (held := c.flatten()).null_count:
+            names = [f.name for f in c.type.value_type]
+            items = [dict(zip(names, v, strict=True)) for v in zip(*(x.to_pylist() for x in held.flatten()), strict=True)]
+            ends = c.offsets.to_pylist()
+            columns.append([items[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)])
+        else:
+            columns.append(c.to_pylist())
+    return [dict(zip(part.schema.names, r, strict=True)) for r in zip(*columns, strict=True)]
+
+
 def write_pdfs(df: DataFrame, id_col: str, make: Callable[[dict], bytes]) -> DataFrame:
     """(doc_id, content): one file per row."""
 
@@ -61,7 +77,7 @@ def write_pdfs(df: DataFrame, id_col: str, make: Callable[[dict], bytes]) -> Dat
 
         for b in batches:
             for part in slices(b):
-                rows = part.to_pylist()
+                rows = records(part)
                 yield pa.RecordBatch.from_arrays([pa.array([r[id_col] for r in rows], pa.int64()), pa.array([make(r) for r in rows], pa.binary())], names=["doc_id", "content"])
 
     return df.mapInArrow(run, "doc_id long, content binary")
