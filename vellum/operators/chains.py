@@ -1,4 +1,4 @@
-"""Chains of cross-reference sections as relations: their order by doubling, then revisions and extents by windows."""
+"""Chains of cross-reference sections as relations: their order by places or by doubling, then revisions and extents by windows."""
 
 from __future__ import annotations
 
@@ -6,11 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.layouts import object_layouts
-from vellum.plans.cut import cut
+from vellum.plans.cut import cut, joined_by_shuffle
+
+
+def in_order(sections: DataFrame, headers: DataFrame) -> DataFrame:
+    """sections (doc_id, at, prev, hybrid, ...) with section_ord, the order in which a reader comes to them, and nothing that it does not come to.
+
+    Updates go to a file's end, so in most files each section leads to the next one before it in the file, and the order is
+    that of the places: one window tells so of a document, and gives it. The documents of which that does not hold, or that
+    have hybrids, are ordered by doubling.
+    """
+    cols = sections.columns
+    down = Window.partitionBy("doc_id").orderBy(F.desc("at"))
+    found = sections.join(joined_by_shuffle(headers.select("doc_id", F.col("xref_start").alias("_start"))), "doc_id")
+    found = found.withColumns({"_nth": (F.row_number().over(down) - 1).cast("long"), "_next": F.lead("at").over(down)})
+    follows = F.col("hybrid").isNull() & F.col("prev").eqNullSafe(F.col("_next")) & (F.col("prev").isNull() | (F.col("prev") < F.col("at"))) & ((F.col("_nth") > 0) | (F.col("at") == F.col("_start")))
+    found = cut(found.withColumn("_plain", F.min(F.coalesce(follows, F.lit(False))).over(Window.partitionBy("doc_id"))).select(*cols, F.col("_nth").alias("section_ord"), "_plain"), "sections")
+    plain, others = found.where("_plain").select(*cols, "section_ord"), found.where("not _plain").select(*cols)
+    if others.isEmpty():
+        return plain
+    order = _by_doubling(others.select("doc_id", "at", "prev", "hybrid"), headers)
+    return plain.union(others.join(order, ["doc_id", "at"]).select(*cols, F.col("section_ord").cast("long").alias("section_ord")))
 
 
 def section_order(sections: DataFrame, headers: DataFrame) -> DataFrame:
-    """(doc_id, at, section_ord): sections (doc_id, at, prev, hybrid) in the order in which a reader comes to them.
+    """(doc_id, at, section_ord): sections (doc_id, at, prev, hybrid) in the order in which a reader comes to them."""
+    return in_order(sections.select("doc_id", "at", "prev", "hybrid"), headers).select("doc_id", "at", "section_ord")
+
+
+def _by_doubling(sections: DataFrame, headers: DataFrame) -> DataFrame:
+    """(doc_id, at, section_ord) of whatever sections there are.
 
     From the section that the file's end names, each leads to the one before it (prev), and its hybrid comes right after
     it. Which sections 2^k steps lead to doubles in each round, so n revisions take log2(n) + 1 rounds; the least number of
@@ -43,6 +68,5 @@ def section_order(sections: DataFrame, headers: DataFrame) -> DataFrame:
 
 def layouts_of_sections(sections: DataFrame, headers: DataFrame) -> DataFrame:
     """object_layouts from the rows of xref_sections, in whatever order those come."""
-    order = section_order(sections.select("doc_id", "at", "prev", "hybrid"), headers)
-    entries = sections.select("doc_id", "at", F.explode("entries").alias("x")).join(order, ["doc_id", "at"]).select("doc_id", "section_ord", "x.*")
-    return object_layouts(entries, headers)
+    ordered = in_order(sections.select("doc_id", "at", "prev", "hybrid", "entries"), headers)
+    return object_layouts(ordered.select("doc_id", "section_ord", F.explode("entries").alias("x")).select("doc_id", "section_ord", "x.*"), headers)

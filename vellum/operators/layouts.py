@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.plans.cut import joined_by_shuffle
+
 
 def object_layouts(entries: DataFrame, headers: DataFrame) -> DataFrame:
     """(doc_id, num, gen, revision, storage): revision 0 is the newest; an object's extent ends where the next one begins.
 
-    Windows are per document, so a task holds one document's entries.  Of a packed id only its newest sighting has a layout.
+    Windows are per document, so a task holds one document's entries, which one shuffle brings there.  Of a packed id only its newest sighting has a layout.
     """
-    seen = Window.partitionBy("doc_id", "num", "gen").orderBy("section_ord", "kind")
-    ranked = entries.withColumn("revision", F.row_number().over(seen) - 1)
-    first_packed = F.min(F.when(F.col("kind") == "packed", F.col("revision"))).over(Window.partitionBy("doc_id", "num", "gen"))
+    of_id = Window.partitionBy("doc_id", "num", "gen")
+    entries = entries.join(joined_by_shuffle(headers.select("doc_id", F.col("xref_end").alias("_e"))), "doc_id", "left")
+    ranked = entries.withColumn("revision", F.row_number().over(of_id.orderBy("section_ord", "kind")) - 1)
+    first_packed = F.min(F.when(F.col("kind") == "packed", F.col("revision"))).over(of_id)
     ranked = ranked.withColumn("_p", first_packed).where((F.col("kind") == "offset") | (F.col("revision") == F.col("_p")))
-    distinct = ranked.where("kind = 'offset'").select("doc_id", "offset").distinct()
-    after = distinct.withColumn("next", F.lead("offset").over(Window.partitionBy("doc_id").orderBy("offset")))
-    ends = after.join(headers.select("doc_id", F.col("xref_start").alias("_s"), F.col("xref_end").alias("_e")), "doc_id").select("doc_id", "offset", F.coalesce("next", "_e").alias("end"))
-    out = ranked.join(ends, ["doc_id", "offset"], "left")
+    after = Window.partitionBy("doc_id").orderBy(F.desc("offset")).rangeBetween(Window.unboundedPreceding, -1)
+    out = ranked.withColumn("end", F.when(F.col("kind") == "offset", F.coalesce(F.min("offset").over(after), "_e")))
     storage = F.struct("kind", F.col("offset").alias("start"), "end", "stm_num", "stm_index")
     return out.select("doc_id", "num", "gen", F.col("revision").cast("int").alias("revision"), storage.alias("storage"))
 

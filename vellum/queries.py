@@ -461,10 +461,10 @@ def _customers(spark, sf_dir):
     def make(r):
         w = synth.one_page(b"")
         w.add(b"%d" % r["keys"][0], 5)
-        out = w.finish()
+        w.finish()
         for k in r["keys"][1:]:
-            out = w.update({5: b"%d" % k})
-        return out
+            w.append({5: b"%d" % k})
+        return bytes(w.out)
 
     return Engine(write_pdfs(rows, "o_custkey", make))
 
@@ -476,9 +476,9 @@ def xref_revisions(spark, sf_dir):
     return own.join(at, ["doc_id", "start"]).select("doc_id", "revision", F.col("i").alias("value"))
 
 
-def _chains(e: Engine) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(layouts, objects by their offsets, headers): one reading, then relations on its sections."""
-    read_once = cut(e.bundle(xref_sections={}, headers={"columns": ("xref_start", "xref_end")}, objects_at={"columns": ("start", "i"), "nums": (5,)}), "read")
+def _chains(e: Engine, nums: tuple[int, ...] = (5,)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(layouts, objects of nums by their offsets, headers): one reading, then relations on its sections."""
+    read_once = cut(e.bundle(xref_sections={}, headers={"columns": ("xref_start", "xref_end")}, objects_at={"columns": ("start", "i"), "nums": nums}), "read")
     rows = lambda name: read_once.select("doc_id", F.explode(name).alias("x")).select("doc_id", "x.*")
     return layouts_of_sections(rows("xref_sections"), rows("headers")), rows("objects_at"), rows("headers")
 
@@ -486,7 +486,7 @@ def _chains(e: Engine) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query("SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS INTEGER) AS revision, (16 + length(o_orderkey::VARCHAR))::BIGINT AS extent FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
 def object_extents(spark, sf_dir):
     """The last object's extent goes on to the word startxref; the length of the table before it comes off."""
-    layouts, _, ends = _chains(_customers(spark, sf_dir))
+    layouts, _, ends = _chains(_customers(spark, sf_dir), nums=())
     out = layouts.where("num = 5 and revision = 0").join(ends, "doc_id")
     return out.select("doc_id", "revision", (F.col("storage.end") - F.col("storage.start") - F.col("xref_end") + F.col("xref_start")).alias("extent"))
 
@@ -495,7 +495,7 @@ def object_extents(spark, sf_dir):
 def navigate_oldest(spark, sf_dir):
     from vellum.operators.layouts import navigate
 
-    return navigate(_chains(_customers(spark, sf_dir))[0]).where("num = 5").select("doc_id", "num", F.col("revision").alias("oldest"))
+    return navigate(_chains(_customers(spark, sf_dir), nums=())[0]).where("num = 5").select("doc_id", "num", F.col("revision").alias("oldest"))
 
 
 @query("SELECT o_custkey AS doc_id, max(o_orderkey) AS value FROM orders GROUP BY o_custkey")

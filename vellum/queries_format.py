@@ -658,6 +658,6 @@ def objects_by_range(spark, sf_dir):
 
     from vellum.queries import _chains, _customers
 
-    layouts, _, _ = _chains(_customers(spark, sf_dir))
+    layouts, _, _ = _chains(_customers(spark, sf_dir), nums=())
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("storage.start")) - 1
     return layouts.select("doc_id", nth.alias("nth"), "num")
