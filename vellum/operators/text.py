@@ -45,19 +45,23 @@ def code_steps(data: Column, spaces: Column) -> Column:
 
     def step(at: Column) -> Column:
         left = n - at
-        code = lambda s: F.conv(F.hex(F.substring(data, at + 1, s["bytes"])), 16, 10).cast("long")
-        fits = F.filter(spaces, lambda s: (s["bytes"] <= left) & code(s).between(s["lo"], s["hi"]))
-        return F.transform(F.slice(fits, 1, 1), lambda s: F.struct(at.alias("at"), s["bytes"].cast("int").alias("bytes"), code(s).alias("code")))
-
+        tried = F.transform(spaces, lambda s: F.struct(s["bytes"].cast("int").alias("bytes"), s["lo"].alias("lo"), s["hi"].alias("hi"), F.conv(F.hex(F.substring(data, at + 1, s["bytes"])), 16, 10).cast("long").alias("code")))
+        fits = F.filter(tried, lambda t: (t["bytes"] <= left) & t["code"].between(t["lo"], t["hi"]))
+        return F.transform(F.slice(fits, 1, 1), lambda t: F.struct(at.alias("at"), t["bytes"].alias("bytes"), t["code"].alias("code")))
+
+    def walked(steps: Column) -> Column:
+        onward = F.concat(F.transform(steps, lambda s, i: i + F.coalesce(F.get(s, F.lit(0))["bytes"], F.lit(1))), F.array(n))
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n + 1)).cast("int")))
+        walk = F.aggregate(
+            rounds,
+            F.struct(onward.alias("jump"), F.array(F.lit(0)).alias("seen")),
+            lambda w, _: F.struct(F.transform(w["jump"], lambda x: F.get(w["jump"], x)).alias("jump"), F.array_union(w["seen"], F.transform(w["seen"], lambda x: F.get(w["jump"], x))).alias("seen")),
+        )
+        return F.flatten(F.transform(F.array_sort(F.filter(walk["seen"], lambda x: x < n)), lambda x: F.get(steps, x)))
+
+    # A lambda's argument is computed once; as an expression inside of one, the steps would be made anew for each code.
     steps = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), step)
-    onward = F.concat(F.transform(steps, lambda s, i: i + F.coalesce(F.get(s, F.lit(0))["bytes"], F.lit(1))), F.array(n))
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n + 1)).cast("int")))
-    walk = F.aggregate(
-        rounds,
-        F.struct(onward.alias("jump"), F.array(F.lit(0)).alias("seen")),
-        lambda w, _: F.struct(F.transform(w["jump"], lambda x: F.get(w["jump"], x)).alias("jump"), F.array_union(w["seen"], F.transform(w["seen"], lambda x: F.get(w["jump"], x))).alias("seen")),
-    )
-    return F.flatten(F.transform(F.array_sort(F.filter(walk["seen"], lambda x: x < n)), lambda x: F.get(steps, x)))
+    return F.get(F.transform(F.array(steps), walked), F.lit(0))
 
 
 def decode_codes(strings: DataFrame, codespaces: DataFrame, mappings: DataFrame) -> DataFrame:
