@@ -461,3 +461,60 @@ def test_steps_of_a_string_are_made_once(spark):
     plan = got._jdf.queryExecution().analyzed().toString()
     assert plan.count("conv(") == 1
     assert [(c["at"], c["bytes"], c["code"]) for c in got.first()["c"]] == [x for i in range(700) for x in ((3 * i, 1, 0x41), (3 * i + 1, 2, 0x8140))]
+
+
+def tree_file(kids, pages=(3, 4, 5, 6), extra=None):
+    """kids: inner nodes by their numbers, 2 is the root."""
+    from vellum import synth
+
+    w = synth.Writer()
+    w.add(b"<< /Type /Catalog /Pages 2 0 R >>", 1)
+    for n, own in kids.items():
+        w.add(b"<< /Type /Pages /Kids [%s] >>" % b" ".join(b"%d 0 R" % k for k in own), n)
+    for n in pages:
+        w.add(b"<< /Type /Page >>", n)
+    for n, body in (extra or {}).items():
+        w.add(body, n)
+    return w
+
+
+def test_page_tree_agrees_with_the_walk(spark):
+    """Nodes of several depths, updates, and what is no tree: circles, a page with kids, kids that are no array, none, or of no kind."""
+    from vellum.operators.page_tree import flatten
+    from vellum.plans.tables import Engine
+
+    newer = tree_file({2: (3, 4), 10: (6,)})
+    newer.finish()
+    files = [
+        tree_file({2: (10, 3, 11, 3), 10: (4, 5), 11: (12,), 12: (6, 4)}).finish(),
+        tree_file({2: (3, 10), 10: (4, 5, 11, 2, 2), 11: (6, 10, 2)}).finish(),
+        tree_file({2: (3, 4)}, (4, 5), {3: b"<< /Type /Page /Kids [5 0 R] >>"}).finish(),
+        tree_file({}, (3,), {2: b"<< /Type /Pages /Kids << /A 3 0 R >> >>"}).finish(),
+        tree_file({2: (3, 99)}).finish(),
+        tree_file({2: (3, 7)}, extra={7: b"<< /Kids [4 0 R] >>"}).finish(),
+        tree_file({2: tuple(range(30, 3, -1))}, range(4, 31)).finish(),
+        newer.update({2: b"<< /Type /Pages /Kids [5 0 R 10 0 R] >>"}),
+        tree_file({2: ()}).finish(),
+        b"junk",
+        None,
+    ]
+    e = Engine(spark.createDataFrame(list(enumerate(files)), "doc_id long, content binary"))
+    want = sorted(tuple(r) for r in e.table("pages", columns=("page_index", "num", "gen", "path")).collect())
+    assert [sum(r[0] == k for r in want) for k in range(11)] == [6, 4, 2, 0, 1, 1, 27, 2, 0, 0, 0]
+    needed = {"columns": ("num", "gen", "revision", "path", "kind", "s", "ref"), "latest": True, "depth": 2, "keys": ("Type", "Kids", "Pages")}
+    for args in ({}, needed):
+        assert sorted(tuple(r) for r in flatten(spark, e.table("object_nodes", **args)).collect()) == want
+    chain = tree_file({2: (3, 10), 10: (4, 11), 11: (5, 12), 12: (6,)}).finish()
+    nodes = Engine(spark.createDataFrame([(7, chain)], "doc_id long, content binary")).table("object_nodes")
+    assert [sorted(r["num"] for r in flatten(spark, nodes, depth).collect()) for depth in (1, 3, 4, 64)] == [[3], [3, 4, 5], [3, 4, 5, 6], [3, 4, 5, 6]]
+
+
+def test_page_tree_of_more_rows_than_a_recursive_query_has(spark, sf_dir):
+    """The bound stands for Spark's million."""
+    from vellum.queries import QUERIES
+
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        assert QUERIES["page_tree_recursive"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count() > 50
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")

@@ -438,7 +438,8 @@ def page_tree(spark, sf_dir):
 def page_tree_recursive(spark, sf_dir):
     from vellum.operators.page_tree import flatten
 
-    return flatten(spark, _tree(spark, sf_dir).table("object_nodes")).select("doc_id", "page_index", "num")
+    nodes = _tree(spark, sf_dir).table("object_nodes", columns=("num", "gen", "revision", "path", "kind", "s", "ref"), latest=True, depth=2, keys=("Type", "Kids", "Pages"))
+    return flatten(spark, nodes).select("doc_id", "page_index", "num")
 
 
 @query("""SELECT p_partkey AS doc_id, (CASE WHEN p_partkey % 4 = 3 THEN 612 WHEN p_partkey % 4 = 2 THEN p_size WHEN p_partkey % 4 = 1 THEN 100 ELSE least(p_size + 30, 100) - p_size END)::DOUBLE AS width,
