@@ -3,7 +3,8 @@
 Spark's own recursion bounds the rows of a query (a million, whatever number of documents they come of), gathers what it
 found in as many tasks as its first step has, and makes its inputs again in each step. So each level is a join of the inner
 nodes above with their kids, written before the next; pages, which are most of a tree, are joined once, when all inner nodes
-have their places. A node that lies in itself is not entered again, and a page is a leaf, as in the walk.
+have their places. A join holds the one row of a node, not its kids. A node that lies in itself is not entered again, and a
+page is a leaf, as in the walk.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WHERE n.key = 'Pages' AND t.key = 'Type' AND t.s = 'Catalog'
 """
 STEP = """
 SELECT t.doc_id, k.kid.num AS num, k.kid.gen AS gen, array_append(t.path, k.ord) AS path, array_append(t.above, k.kid) AS above
-FROM {tree} t JOIN {kids} k ON t.doc_id = k.doc_id AND t.num = k.num AND t.gen = k.gen WHERE NOT array_contains(t.above, k.kid)
+FROM {kids} k JOIN {tree} t ON t.doc_id = k.doc_id AND t.num = k.num AND t.gen = k.gen WHERE NOT array_contains(t.above, k.kid)
 """
 PAGES = """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, num, gen) - 1 AS INT) AS page_index, num, gen, path FROM {pages}
